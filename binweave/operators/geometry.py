@@ -202,6 +202,28 @@ def corner_extents(tiled: DataFrame, half: float = PIXEL_HALF) -> DataFrame:
     return tiled.agg(*aggs)
 
 
+def relative_shape(tiled: DataFrame, half: float = PIXEL_HALF) -> DataFrame:
+    """Relative corners of each place within a tile, the part all tiles share.
+
+    Places are made distinct before they are expanded; a tile has at most
+    2 * width**2 of them, whatever the number of pixels.
+    """
+    places = tiled.select("rel_region_x", "rel_region_y").distinct()
+    h = float(half)
+    ring = [(-h, -h), (-h, h), (h, h), (h, -h), (-h, -h)]
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("corner_ord"),
+                two_digits(F.col("rel_region_x") + F.lit((a + b) / 2.0)).alias("rel_corner_x"),
+                two_digits(F.col("rel_region_y") + F.lit((b - a) / 2.0)).alias("rel_corner_y"),
+            )
+            for n, (a, b) in enumerate(ring, start=1)
+        ]
+    )
+    return places.select("*", F.inline(points))
+
+
 def label_anchor(extents: DataFrame) -> DataFrame:
     """Where a tile's label stands: middle of the x extents, one above the y extents."""
     return extents.select(
@@ -226,11 +248,12 @@ def mask_long(pixels: DataFrame, low: int, high: int) -> DataFrame:
     seen = pixels.filter(
         F.col("region1").between(low, high) & F.col("region2").between(low, high)
     )
+    bins = F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
     cells = (
         pixels.select("chr")
         .distinct()
-        .select("chr", F.explode(F.sequence(F.lit(low), F.lit(high))).cast("bigint").alias("region1"))
-        .select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).cast("bigint").alias("region2"))
+        .select("chr", F.explode(bins).alias("region1"))
+        .select("*", F.explode(bins).alias("region2"))
     )
     ones = seen.select("chr", "region1", "region2", F.lit(1).alias("value")).distinct()
     return cells.join(ones, ["chr", "region1", "region2"], "left").fillna(0, ["value"])

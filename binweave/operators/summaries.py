@@ -23,7 +23,7 @@ from binweave.functions.numeric import (
 from binweave.functions.text import fixed_text, one_decimal, volcano_text
 from binweave.operators.boundary import vertices
 from binweave.operators.geometry import TILE
-from binweave.operators.relational import above_subset_max, number_rows
+from binweave.operators.relational import above_subset_max, first_rows, number_rows
 
 # Widths of the volcano and size bins, bins per unit of the
 # coarser volcano, and corner rows drawn per pixel.
@@ -198,13 +198,15 @@ def volcano_bins(
     )
 
 
-def coarse_volcano_bins(pixels: DataFrame, per_unit: float = LOGFC_PER_UNIT) -> DataFrame:
-    """Volcano bins by count per unit: ``per_unit`` for the fold change, one for p."""
+def coarse_volcano_bins(
+    pixels: DataFrame, per_unit: float = LOGFC_PER_UNIT, p_per_unit: float = 1.0
+) -> DataFrame:
+    """Volcano bins by count per unit of the fold change and of -log10 p."""
     return _volcano_names(
         pixels.withColumns(
             {
                 "round_logfc": bin_by_count(F.col("logfc"), per_unit),
-                "round_neg_log10_p": bin_by_count(F.col("neg_log10_p")),
+                "round_neg_log10_p": bin_by_count(F.col("neg_log10_p"), p_per_unit),
             }
         )
     )
@@ -407,3 +409,15 @@ def polygon_counts(polygons: DataFrame) -> DataFrame:
         F.count("*").alias("id_length"), F.count_distinct("id").alias("id_n_uniq")
     )
     return counts.withColumn("rows_per_id", F.col("id_length") / F.col("id_n_uniq"))
+
+
+def first_polygon_extents(relative: DataFrame) -> DataFrame:
+    """Extents of the relative coordinates of each polygon's first vertex, by level and tile."""
+    first = first_rows(relative, ["nb_clust", "id"], ["x", "y", "iff"])
+    return first.groupBy("nb_clust", "tile_id").agg(
+        *[
+            f(c).alias(f"{c}_{n}")
+            for c in ("rel_x", "rel_y")
+            for n, f in (("min", F.min), ("max", F.max))
+        ]
+    )

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binweave.operators.geometry import corners, position_name, relative_corners, tiled_pixels
+from binweave.operators.geometry import (
+    corners,
+    position_name,
+    relative_corners,
+    relative_shape,
+    tiled_pixels,
+)
 from binweave.operators.summaries import volcano_bins, with_p
 from binweave.plans import sql_parts as s
 from binweave.plans.registry import query
@@ -105,17 +111,15 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tiled = position_name(tiled_pixels(pixels(spark, d))).select(
-        "chr", "region1", "region2", "logfc", "round_region_x", "round_region_y",
-        "rel_region_x", "rel_region_y", "rel_regions",
-    )
-    whole = relative_corners(corners(tiled, 0.45, closed=True)).select(
-        "chr", "region1", "region2", "logfc", "rel_regions", "corner_ord", "rel_corner_x", "rel_corner_y"
+_VARYING = ["chr", "region1", "region2", "logfc", "rel_regions"]
+
+
+def _corner_rows(spark: SparkSession, d: str) -> DataFrame:
+    tiled = position_name(tiled_pixels(pixels(spark, d)))
+    narrow = tiled.select(*_VARYING, "round_region_x", "round_region_y")
+    return relative_corners(corners(narrow, 0.45, closed=True)).select(
+        *_VARYING, "corner_ord", "rel_corner_x", "rel_corner_y"
     )
-    dim, _ = factor_common(whole, ["rel_regions", "corner_ord"], ["rel_corner_x", "rel_corner_y"])
-    fact = tiled.select("chr", "region1", "region2", "logfc", "rel_regions")
-    return whole, dim, fact
 
 
 _REL = f"""
@@ -132,7 +136,21 @@ named AS (
     ),
 )
 def shared_shape(spark: SparkSession, d: str) -> DataFrame:
-    return _split(spark, d)[1]
+    shape = position_name(relative_shape(tiled_pixels(pixels(spark, d))))
+    return shape.drop("rel_region_x", "rel_region_y")
+
+
+@query(
+    "a6_factored",
+    s.sql(
+        s.PIXELS, s.TILED, s.EXTENTS, _REL,
+        "SELECT DISTINCT rel_regions, corner_ord, rel_corner_x, rel_corner_y FROM named",
+    ),
+)
+def factored(spark: SparkSession, d: str) -> DataFrame:
+    """The same shape, found by splitting the corner table itself."""
+    keys, shared = ["rel_regions", "corner_ord"], ["rel_corner_x", "rel_corner_y"]
+    return factor_common(_corner_rows(spark, d), keys, shared)[0]
 
 
 @query(
@@ -143,6 +161,7 @@ def shared_shape(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def restored(spark: SparkSession, d: str) -> DataFrame:
-    """Varying rows joined back to the shared shape: the corner table again."""
-    _, dim, fact = _split(spark, d)
-    return fact.join(dim, "rel_regions")
+    """Pixels joined back to the shared shape: the corner table again."""
+    tiled = position_name(tiled_pixels(pixels(spark, d))).select(*_VARYING)
+    shape = position_name(relative_shape(tiled_pixels(pixels(spark, d))))
+    return tiled.join(shape.drop("rel_region_x", "rel_region_y"), "rel_regions")
