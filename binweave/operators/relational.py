@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 10_000_000  # rows of one key above which a join treats the key apart
+HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
+NULL_PARTS = 1024  # parts over which rows with a missing key are spread
 BIN_BLOCK = 1024  # bins per block when a grid is built
 NUMBER_BLOCK = 65_536  # values per block when rows are numbered
 
@@ -36,16 +37,27 @@ def join_spread(
 ) -> DataFrame:
     """Join ``big`` to a side holding one row per key, when a key may hold much of ``big``.
 
-    Keys with more than ``hot_rows`` rows are joined in place: there are at most
-    rows / hot_rows of them, which bounds what is broadcast.  All other rows
-    are shuffled on the key as usual.
+    A key with more than ``hot_rows`` rows is salted over as many parts as it
+    holds that number; the other side repeats the row of such a key once per
+    part.  There are at most rows / hot_rows hot keys, which bounds the table
+    of them that is broadcast.  Rows with a missing key match nothing and are
+    spread freely.  The salt is a hash of the row, so a retried task repeats it.
     """
     counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.filter(F.col("_n") > hot_rows).select(*keys))
-    hot_unique = F.broadcast(unique.join(hot, list(keys), "left_semi"))
-    cold = big.join(hot, list(keys), "left_anti").join(unique, list(keys), how)
-    warm = big.join(hot, list(keys), "left_semi").join(hot_unique, list(keys), how)
-    return cold.unionByName(warm)
+    hot = F.broadcast(
+        counts.filter(F.col("_n") > hot_rows).select(
+            *keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")
+        )
+    )
+    spread = F.xxhash64(*big.columns)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(missing, F.pmod(spread, F.lit(NULL_PARTS))).otherwise(
+        F.pmod(spread, F.coalesce(F.col("_parts"), F.lit(1)))
+    )
+    salted = big.join(hot, list(keys), "left").withColumn("_salt", salt.cast("int")).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    repeated = unique.join(hot, list(keys), "left").withColumn("_salt", F.explode(parts)).drop("_parts")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def rows_for_keys(

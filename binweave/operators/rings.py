@@ -1,16 +1,20 @@
 """Order of the vertices along outline rings.
 
 Following a ring is a chain of single steps, and a ring can be as long as the
-matrix is wide.  It is done in two parts, neither of which puts a whole group
+matrix is wide.  It is done in three parts, none of which puts a whole group
 into one task:
 
 1. Segments are shuffled by group and map block, and each task links the ones
    it holds into paths with array operations.  A block bounds the rows that
-   belong together, however large the group is.  Rings inside a block, nearly
-   all of them in practice, are finished here.
-2. Paths that leave their block are joined end to start.  Each round doubles
-   how far a path sees, so a ring of n paths takes about log2(n) rounds of
-   equi-joins on unique vertices.  Every round is written to the shared folder.
+   belong together, however large the group is.  Rings inside a block are
+   finished here.
+2. A ring that leaves its block is open in every block it touches.  Those
+   segments alone are linked again on blocks shifted by half a block, which
+   finishes the small rings that only happened to lie on a border.
+3. What is still open belongs to rings as large as a block.  Their paths are
+   joined end to start.  Each round doubles how far a path sees, so a ring of n
+   paths takes about log2(n) rounds of equi-joins on unique vertices.  Every
+   round is written to the shared folder.
 
 A ring is named by its least vertex (ring_x, ring_y) and starts there, which
 makes the result independent of partitioning.  Rings are open: the first vertex
@@ -33,7 +37,7 @@ from binweave.operators.geometry import rotate
 from binweave.operators.relational import join_null_safe
 from binweave.scratch import cut
 
-BLOCK = 64  # dual cells on a side; at most 2 * BLOCK**2 segments per group and block
+BLOCK = 512  # dual cells on a side; at most 2 * BLOCK**2 segments per group and block
 CHUNK_ROWS = 200_000  # rows linked at a time within a task
 
 
@@ -163,8 +167,10 @@ def _tracer(keys: Sequence[str], chunk_rows: int):
     return run
 
 
-def _local_paths(segs: DataFrame, keys: Sequence[str], block: int, chunk_rows: int) -> DataFrame:
-    """Part 1: paths within blocks, one row per segment."""
+def _local_paths(
+    segs: DataFrame, keys: Sequence[str], block: int, shift: int, chunk_rows: int
+) -> DataFrame:
+    """Parts 1 and 2: paths within blocks, one row per segment."""
     fields = [segs.schema[k] for k in keys]
     longs = ("x1", "y1", "x2", "y2", "head_x", "head_y", "pos", "kept_before")
     schema = T.StructType(
@@ -173,7 +179,10 @@ def _local_paths(segs: DataFrame, keys: Sequence[str], block: int, chunk_rows: i
         + [T.StructField(c, T.BooleanType()) for c in ("keep", "closed")]
     )
     # Both ends of a segment lie in one dual cell, so their sum gives the cell.
-    cell = {b: F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / (4 * block)) for a, b in (("x", "bx"), ("y", "by"))}
+    cell = {
+        f"b{a}": F.floor((F.col(f"{a}1") + F.col(f"{a}2") + 4 * shift) / (4 * block))
+        for a in ("x", "y")
+    }
     placed = (
         segs.withColumns(cell)
         .repartition(*keys, "bx", "by")
@@ -223,7 +232,7 @@ def _path_table(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _join_paths(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Part 2: for each open path its ring and its distance along the ring.
+    """Part 3: for each open path its ring and its distance along the ring.
 
     Each path knows the least vertex among the paths it sees ahead, how far
     away that one's path is, and where its view ends.
@@ -311,6 +320,22 @@ def _number_open(open_rows: DataFrame, paths: DataFrame, keys: Sequence[str]) ->
     )
 
 
+def _closed(traced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rings that are whole within their block; their head is their least vertex."""
+    return traced.filter("closed").select(
+        *keys,
+        "x1",
+        "y1",
+        "x2",
+        "y2",
+        F.col("head_x").alias("least_x"),
+        F.col("head_y").alias("least_y"),
+        F.col("pos").alias("vertex_ord"),
+        F.col("kept_before").alias("kept_ord"),
+        "keep",
+    )
+
+
 def trace(
     segs: DataFrame,
     keys: Sequence[str],
@@ -323,24 +348,17 @@ def trace(
     ``next_x, next_y``, ``vertex_ord`` from 0, ``keep`` for turns and
     ``kept_ord``, their number among the turns (NULL elsewhere).
     """
-    traced = cut(_local_paths(segs, keys, block, chunk_rows), "traced")
-    common = ("x1", "y1", "x2", "y2", "least_x", "least_y", "vertex_ord", "kept_ord", "keep")
-    rows = traced.filter("closed").select(
-        *keys,
-        "x1",
-        "y1",
-        "x2",
-        "y2",
-        F.col("head_x").alias("least_x"),
-        F.col("head_y").alias("least_y"),
-        F.col("pos").alias("vertex_ord"),
-        F.col("kept_before").alias("kept_ord"),
-        "keep",
-    )
+    traced = cut(_local_paths(segs, keys, block, 0, chunk_rows), "traced")
+    rows = _closed(traced, keys)
     open_rows = traced.filter("not closed")
     if not open_rows.isEmpty():
-        paths = cut(_path_table(open_rows, keys), "heads")
-        rows = rows.unionByName(_number_open(open_rows, paths, keys).select(*keys, *common))
+        again = open_rows.select(*keys, "x1", "y1", "x2", "y2")
+        traced = cut(_local_paths(again, keys, block, block // 2, chunk_rows), "traced")
+        rows = rows.unionByName(_closed(traced, keys))
+        open_rows = traced.filter("not closed")
+        if not open_rows.isEmpty():
+            paths = cut(_path_table(open_rows, keys), "heads")
+            rows = rows.unionByName(_number_open(open_rows, paths, keys))
     half = {"least_x": "ring_x", "least_y": "ring_y", "x1": "x", "y1": "y", "x2": "next_x", "y2": "next_y"}
     return rows.select(
         *keys,
