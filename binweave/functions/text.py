@@ -12,6 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Texts a viewer matches selections by, or shows.
+VOLCANO_NAME = "logFC=%s -log10(p)=%s"
+LOG_LOG_NAME = "logFC=%s l-l(p)=%s"
+SIZE_NAME = "tiles=%s log10(pixels)=%s"
+LOG2_SIZE_NAME = "log2(tiles)=%s log10(pixels)=%s"
+CLUSTER_LABEL = "Cluster %d: %d/%d pixels shown, logFC %s to %s, log10(p) %s to %s"
+GRID_TITLE = "%d missing pixels out of %d possible in grid"
+CLUSTER_LINE = "cluster %s"
+ROWS_LINE = "%s rows= %s"
+CORNERS_PART = " corners= %s"
+PIXELS_PART = " pixels= %s"
+
 
 def whole_text(x: Column) -> Column:
     """Text of a double that holds a whole number."""
@@ -34,11 +46,9 @@ def pair_text(a: Column, b: Column, sep: str = ",") -> Column:
     return F.concat_ws(sep, a, b)
 
 
-def volcano_text(round_logfc: Column, round_p: Column, name: str = "-log10(p)") -> Column:
+def volcano_text(round_logfc: Column, round_p: Column, name: str = VOLCANO_NAME) -> Column:
     """Name of a volcano bin."""
-    return F.format_string(
-        f"logFC=%s {name}=%s", plain_text(round_logfc), plain_text(round_p)
-    )
+    return F.format_string(name, plain_text(round_logfc), plain_text(round_p))
 
 
 def fixed_text(x: Column, digits: int = 2) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binweave.functions.text import GRID_TITLE
+
 HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
 NULL_PARTS = 1024  # parts over which rows with a missing key are spread
 BIN_BLOCK = 1024  # bins per block when a grid is built
@@ -214,9 +216,7 @@ def grid_counts(pixels: DataFrame) -> DataFrame:
     missing = F.col("possible") - present.scalar()
     return possible.select(missing.alias("missing"), "possible").withColumn(
         "title",
-        F.format_string(
-            "%d missing pixels out of %d possible in grid", F.col("missing"), F.col("possible")
-        ),
+        F.format_string(GRID_TITLE, F.col("missing"), F.col("possible")),
     )
 
 

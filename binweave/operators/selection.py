@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binweave.functions.text import PIXELS_PART
 from binweave.operators.summaries import most_significant
 
 INLINE_VALUES = 1_000  # up to here chosen values become literals in the filter
@@ -82,5 +83,5 @@ def tooltip(heat: DataFrame) -> DataFrame:
     """Text of a volcano bin with its pixels."""
     return heat.withColumn(
         "tooltip",
-        F.concat_ws(" ", F.col("volcano_bin"), F.lit("pixels="), F.col("pixels").cast("string")),
+        F.concat("volcano_bin", F.format_string(PIXELS_PART, F.col("pixels").cast("string"))),
     )

@@ -20,10 +20,27 @@ from binweave.functions.numeric import (
     neg_log10,
     signed_neg_log10,
 )
-from binweave.functions.text import fixed_text, one_decimal, volcano_text
+from binweave.functions.text import (
+    CLUSTER_LABEL,
+    CLUSTER_LINE,
+    CORNERS_PART,
+    LOG2_SIZE_NAME,
+    LOG_LOG_NAME,
+    ROWS_LINE,
+    SIZE_NAME,
+    VOLCANO_NAME,
+    fixed_text,
+    one_decimal,
+    volcano_text,
+)
 from binweave.operators.boundary import vertices
 from binweave.operators.geometry import TILE
-from binweave.operators.relational import above_subset_max, first_rows, number_rows
+from binweave.operators.relational import (
+    above_subset_max,
+    first_rows,
+    join_null_safe,
+    number_rows,
+)
 
 # Widths of the volcano and size bins, bins per unit of the
 # coarser volcano, and corner rows drawn per pixel.
@@ -33,6 +50,7 @@ LOG_LOG_P_WIDTH = 0.1
 SIZE_WIDTH = 0.25
 LOGFC_PER_UNIT = 4.0
 CORNERS_PER_PIXEL = 5
+REPRESENTATIONS = ("cluster", "simplified", "pixel")
 
 
 def with_p(pixels: DataFrame) -> DataFrame:
@@ -159,19 +177,40 @@ def presence_crosstab(pixels: DataFrame, low: int, high: int) -> DataFrame:
 # --- tiles -------------------------------------------------------------------
 
 
-def tile_summary(
-    pixels: DataFrame, keys: Sequence[str] = ("chr", *TILE)
-) -> DataFrame:
-    """Pixels, means and distinct clusters per tile, from pixels and not from corners."""
-    return pixels.groupBy(*keys).agg(
-        F.count("*").alias("pixels"),
-        (F.count("*") * CORNERS_PER_PIXEL).alias("corner_rows"),
-        F.avg("neg_log10_p").alias("mean_neg_log10_p"),
-        F.avg("logfc").alias("mean_logfc"),
-        F.count_distinct("clust").alias("clusters"),
+def cluster_tiles(tiled: DataFrame, keys: Sequence[str] = ("chr", *TILE)) -> DataFrame:
+    """One row per cluster and tile, from which tile and cluster summaries both follow.
+
+    The only pass over the pixels: means are kept as sums and counts, and
+    counting rows here replaces counting distinct values there.
+    """
+    measures = ("logfc", "neg_log10_p")
+    aggs = [F.count("*").alias("displayed_pixels")]
+    for c in measures:
+        aggs += [
+            F.sum(c).alias(f"{c}_sum"),
+            F.count(c).alias(f"{c}_n"),
+            F.min(c).alias(f"{c}_min"),
+            F.max(c).alias(f"{c}_max"),
+        ]
+    return tiled.groupBy(*keys, "clust").agg(*aggs)
+
+
+def summarize_tiles(cells: DataFrame, keys: Sequence[str] = ("chr", *TILE)) -> DataFrame:
+    """Tile summary from ``cluster_tiles``."""
+    return cells.groupBy(*keys).agg(
+        F.sum("displayed_pixels").alias("pixels"),
+        (F.sum("displayed_pixels") * CORNERS_PER_PIXEL).alias("corner_rows"),
+        F.try_divide(F.sum("neg_log10_p_sum"), F.sum("neg_log10_p_n")).alias("mean_neg_log10_p"),
+        F.try_divide(F.sum("logfc_sum"), F.sum("logfc_n")).alias("mean_logfc"),
+        F.count("*").alias("clusters"),
     )
 
 
+def tile_summary(pixels: DataFrame, keys: Sequence[str] = ("chr", *TILE)) -> DataFrame:
+    """Pixels, means and distinct clusters per tile, from pixels and not from corners."""
+    return summarize_tiles(cluster_tiles(pixels, keys), keys)
+
+
 # --- volcano -----------------------------------------------------------------
 
 
@@ -192,7 +231,7 @@ def volcano_bins(
     )
     return _volcano_names(df).withColumns(
         {
-            "lnl_bin": volcano_text(F.col("round_logfc"), F.col("round_lnl_p"), "l-l(p)"),
+            "lnl_bin": volcano_text(F.col("round_logfc"), F.col("round_lnl_p"), LOG_LOG_NAME),
             "relative_lnl_p": F.col("lnl_p") - F.col("round_lnl_p"),
         }
     )
@@ -229,7 +268,7 @@ def volcano_heat(
 
     Grouped on the numbers; the name is put back from the two of them.
     """
-    name = ("volcano_bin", "-log10(p)") if p != "round_lnl_p" else ("lnl_bin", "l-l(p)")
+    name = ("lnl_bin", LOG_LOG_NAME) if p == "round_lnl_p" else ("volcano_bin", VOLCANO_NAME)
     counts = binned.groupBy(*keys, "round_logfc", p).agg(F.count("*").alias("pixels"))
     return counts.withColumns(
         {
@@ -275,18 +314,23 @@ def most_significant(pixels: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- clusters ----------------------------------------------------------------
 
 
-def cluster_sizes(tiled: DataFrame, keys: Sequence[str] = ("chr", "clust")) -> DataFrame:
-    """Pixels, tiles and value ranges per cluster, in one aggregation."""
-    return tiled.groupBy(*keys).agg(
-        F.count("*").alias("pixels"),
-        F.count_distinct(*TILE).alias("tiles"),
-        F.min("logfc").alias("logfc_min"),
-        F.max("logfc").alias("logfc_max"),
-        F.min("neg_log10_p").alias("neg_log10_p_min"),
-        F.max("neg_log10_p").alias("neg_log10_p_max"),
+def summarize_clusters(cells: DataFrame, keys: Sequence[str] = ("chr", "clust")) -> DataFrame:
+    """Pixels, tiles and value ranges per cluster, from ``cluster_tiles``."""
+    return cells.groupBy(*keys).agg(
+        F.sum("displayed_pixels").alias("pixels"),
+        F.count("*").alias("tiles"),
+        F.min("logfc_min").alias("logfc_min"),
+        F.max("logfc_max").alias("logfc_max"),
+        F.min("neg_log10_p_min").alias("neg_log10_p_min"),
+        F.max("neg_log10_p_max").alias("neg_log10_p_max"),
     )
 
 
+def cluster_sizes(tiled: DataFrame) -> DataFrame:
+    """Pixels, tiles and value ranges per cluster, straight from tiled pixels."""
+    return summarize_clusters(cluster_tiles(tiled))
+
+
 def size_bins(sizes: DataFrame, log2_tiles: bool = False, width: float = SIZE_WIDTH) -> DataFrame:
     """Size bin of each cluster, by tiles (plain or log2) and log10 pixels."""
     df = sizes.withColumn("log10_pixels", log10_full(F.col("pixels")))
@@ -296,10 +340,10 @@ def size_bins(sizes: DataFrame, log2_tiles: bool = False, width: float = SIZE_WI
         df = df.withColumn("log2_tiles", log2_full(F.col("tiles")))
         df = df.withColumn("round_tiles", bin_by_width(F.col("log2_tiles"), width))
         df = df.withColumn("rel_log2_tiles", F.col("log2_tiles") - F.col("round_tiles"))
-        name = "log2(tiles)=%s log10(pixels)=%s"
+        name = LOG2_SIZE_NAME
     else:
         df = df.withColumn("round_tiles", F.col("tiles").cast("double"))
-        name = "tiles=%s log10(pixels)=%s"
+        name = SIZE_NAME
     return df.withColumn(
         "size_bin",
         F.format_string(
@@ -323,36 +367,20 @@ def size_points(binned_sizes: DataFrame, keys: Sequence[str] = ("chr",)) -> Data
 
 
 def cluster_tile_labels(
-    tiled: DataFrame, sizes: DataFrame, anchor: DataFrame, keys: Sequence[str] = ("chr", "clust")
+    cells: DataFrame, sizes: DataFrame, anchor: DataFrame, keys: Sequence[str] = ("chr", "clust")
 ) -> DataFrame:
     """Label of each cluster in each of its tiles: displayed and total pixels, value ranges.
 
-    The value text depends on the cluster alone, so it is formatted once per
-    cluster and joined to the tiles afterwards.
+    ``cells`` comes from ``cluster_tiles``.  The value texts depend on the
+    cluster alone, so they are formatted once per cluster and joined to its tiles.
     """
-    displayed = tiled.groupBy(*keys, *TILE).agg(F.count("*").alias("displayed_pixels"))
-    ranges = sizes.select(
-        *keys,
-        "pixels",
-        F.concat(
-            F.lit("logFC "),
-            one_decimal("logfc_min"),
-            F.lit(" to "),
-            one_decimal("logfc_max"),
-            F.lit(", log10(p) "),
-            one_decimal("neg_log10_p_min"),
-            F.lit(" to "),
-            one_decimal("neg_log10_p_max"),
-        ).alias("ranges"),
-    )
+    ends = ("logfc_min", "logfc_max", "neg_log10_p_min", "neg_log10_p_max")
+    ranges = sizes.select(*keys, "pixels", *[one_decimal(c).alias(c) for c in ends])
     label = F.format_string(
-        "Cluster %d: %d/%d pixels shown, %s",
-        F.col("clust"),
-        F.col("displayed_pixels"),
-        F.col("pixels"),
-        F.col("ranges"),
+        CLUSTER_LABEL, F.col("clust"), F.col("displayed_pixels"), F.col("pixels"), *[F.col(c) for c in ends]
     )
-    return displayed.join(ranges, list(keys)).select(
+    displayed = cells.select(*keys, *TILE, "displayed_pixels")
+    return join_null_safe(displayed, ranges, keys).select(
         *keys,
         *TILE,
         "displayed_pixels",
@@ -362,45 +390,37 @@ def cluster_tile_labels(
     )
 
 
-def representation_rows(
+def representation_sizes(
     pixels: DataFrame, segs: DataFrame, keys: Sequence[str] = ("chr", "clust")
 ) -> DataFrame:
-    """Rows per cluster of the outline, the simplified outline and the pixels."""
+    """Per cluster: rows as outline, as simplified outline and as pixels, and its least bins."""
     ends = vertices(segs, keys).groupBy(*keys).agg(
         F.count("*").alias("cluster"), F.sum(F.col("keep").cast("bigint")).alias("simplified")
     )
-    outline = ends.unpivot(list(keys), ["cluster", "simplified"], "data_type", "rows")
-    counts = pixels.groupBy(*keys).agg(F.count("*").alias("rows"))
-    return outline.unionByName(counts.withColumn("data_type", F.lit("pixel")))
-
+    counts = pixels.groupBy(*keys).agg(
+        F.count("*").alias("pixel"),
+        F.min("region1").alias("region1"),
+        F.min("region2").alias("region2"),
+    )
+    return join_null_safe(ends, counts, keys)
 
-def representation_labels(
-    pixels: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("chr", "clust")
-) -> DataFrame:
-    """Label of each cluster: rows of every representation and corners of its pixels.
 
-    ``sizes`` comes from ``representation_rows``; a cluster has three rows there.
-    """
-    kind = F.col("data_type")
-    place = F.when(kind == "cluster", 1).when(kind == "simplified", 2).otherwise(3)
-    line = F.concat(kind, F.lit(" rows= "), F.col("rows").cast("string"))
-    text = sizes.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(place.alias("place"), line.alias("line")))).alias("lines"),
-        (F.max(F.when(kind == "pixel", F.col("rows"))) * 4).alias("corners"),
+def representation_rows(sizes: DataFrame, keys: Sequence[str] = ("chr", "clust")) -> DataFrame:
+    """The same counts, one row per cluster and representation."""
+    return sizes.select(*keys, *REPRESENTATIONS).unpivot(
+        list(keys), list(REPRESENTATIONS), "data_type", "rows"
     )
+
+
+def representation_labels(sizes: DataFrame, keys: Sequence[str] = ("chr", "clust")) -> DataFrame:
+    """Label of each cluster: a line per representation, and the corners of its pixels."""
+    lines = [F.format_string(CLUSTER_LINE, F.col("clust").cast("string"))]
+    lines += [F.format_string(ROWS_LINE, F.lit(n), F.col(n).cast("string")) for n in REPRESENTATIONS]
+    corners = F.col("pixel") * 4
     label = F.concat(
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("cluster "), F.col("clust").cast("string")),
-            F.transform("lines", lambda s: s["line"]),
-        ),
-        F.lit(" corners= "),
-        F.col("corners").cast("string"),
-    )
-    corner = pixels.groupBy(*keys).agg(
-        F.min("region1").alias("region1"), F.min("region2").alias("region2")
+        F.concat_ws("\n", *lines), F.format_string(CORNERS_PART, corners.cast("string"))
     )
-    return corner.join(text.select(*keys, "corners", label.alias("label")), list(keys))
+    return sizes.select(*keys, "region1", "region2", corners.alias("corners"), label.alias("label"))
 
 
 def polygon_counts(polygons: DataFrame) -> DataFrame:

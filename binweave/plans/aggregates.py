@@ -21,6 +21,7 @@ from binweave.operators.summaries import (
     profile,
     representation_labels,
     representation_rows,
+    representation_sizes,
     rounded_heat,
     size_bins,
     size_heat,
@@ -348,7 +349,7 @@ shapes AS (
 def joined_text(spark: SparkSession, d: str) -> DataFrame:
     px = pixels(spark, d)
     keys = ["chr", "clust"]
-    return representation_labels(px, representation_rows(px, segments(px, keys)))
+    return representation_labels(representation_sizes(px, segments(px, keys)))
 
 
 @query(
@@ -361,7 +362,7 @@ def joined_text(spark: SparkSession, d: str) -> DataFrame:
 )
 def conditional_value(spark: SparkSession, d: str) -> DataFrame:
     px = pixels(spark, d)
-    rows = representation_rows(px, segments(px, ["chr", "clust"]))
+    rows = representation_rows(representation_sizes(px, segments(px, ["chr", "clust"])))
     of = lambda kind: F.max(F.when(F.col("data_type") == kind, F.col("rows")))
     return rows.groupBy("chr", "clust").agg(
         (of("pixel") * 4).alias("corners"), of("simplified").alias("simplified")
@@ -441,7 +442,7 @@ def extents(spark: SparkSession, d: str) -> DataFrame:
 @query("c25_representation_rows", s.sql(s.PIXELS, REPRESENTATION, "SELECT * FROM shapes"))
 def representations(spark: SparkSession, d: str) -> DataFrame:
     px = pixels(spark, d)
-    return representation_rows(px, segments(px, ["chr", "clust"]))
+    return representation_rows(representation_sizes(px, segments(px, ["chr", "clust"])))
 
 
 POLYGON_REL = """

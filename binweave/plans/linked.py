@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,20 +202,16 @@ def linked_outlines(spark: SparkSession, d: str) -> DataFrame:
 # --- user functions ------------------------------------------------------------
 
 
-def _box(group: pd.DataFrame) -> pd.DataFrame:
+def _box(group: pa.Table) -> pa.Table:
     """One row per group: its box and how much of it is filled."""
-    high = int(group["region1"].max() - group["region1"].min()) + 1
-    wide = int(group["region2"].max() - group["region2"].min()) + 1
-    first = group.iloc[0]
-    return pd.DataFrame(
-        {
-            "chr": [first["chr"]],
-            "clust": [first["clust"]],
-            "round_region_x": [first["round_region_x"]],
-            "round_region_y": [first["round_region_y"]],
-            "box": [high * wide],
-            "filled": [len(group) / (high * wide)],
-        }
+    sides = []
+    for name in ("region1", "region2"):
+        ends = pc.min_max(group[name]).as_py()
+        sides.append(ends["max"] - ends["min"] + 1)
+    box = sides[0] * sides[1]
+    first = group.select(["chr", "clust", *TILE]).slice(0, 1)
+    return first.append_column("box", pa.array([box])).append_column(
+        "filled", pa.array([group.num_rows / box])
     )
 
 
@@ -239,7 +236,7 @@ def group_function(spark: SparkSession, d: str) -> DataFrame:
     keys = ["chr", "clust", *TILE]
     schema = "chr string, clust int, round_region_x double, round_region_y double, box bigint, filled double"
     rows = tiled(spark, d).select(*keys, "region1", "region2")
-    return rows.groupBy(*keys).applyInPandas(_box, schema)
+    return rows.groupBy(*keys).applyInArrow(_box, schema)
 
 
 @query(

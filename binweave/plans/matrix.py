@@ -34,8 +34,9 @@ from binweave.operators.geometry import (
 from binweave.operators.relational import relative_to_least, tagged_union
 from binweave.operators.rings import outlines, ring_roles, rings
 from binweave.operators.summaries import (
+    REPRESENTATIONS,
     representation_labels,
-    representation_rows,
+    representation_sizes,
     tile_summary,
 )
 from binweave.plans import sql_parts as s
@@ -289,6 +290,7 @@ def vertex_tiles(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.PIXELS, REPRESENTATION,
         """SELECT p.chr, p.clust, min(region1) AS region1, min(region2) AS region2, 4 * count(*) AS corners,
+             max(c."rows") AS cluster, max(t."rows") AS simplified, count(*) AS pixel,
              'cluster ' || p.clust || chr(10) || 'cluster rows= ' || max(c."rows") || chr(10) ||
              'simplified rows= ' || max(t."rows") || chr(10) || 'pixel rows= ' || count(*) ||
              ' corners= ' || 4 * count(*) AS label
@@ -297,9 +299,11 @@ def vertex_tiles(spark: SparkSession, d: str) -> DataFrame:
            GROUP BY p.chr, p.clust""",
     ),
 )
-def representation_sizes(spark: SparkSession, d: str) -> DataFrame:
+def representations(spark: SparkSession, d: str) -> DataFrame:
     px = pixels(spark, d)
-    return representation_labels(px, representation_rows(px, segments(px, CLUSTER)))
+    sizes = representation_sizes(px, segments(px, CLUSTER))
+    counts = sizes.select(*CLUSTER, *REPRESENTATIONS)
+    return representation_labels(sizes).join(counts, CLUSTER)
 
 
 @query(

@@ -42,11 +42,13 @@ from binweave.operators.relational import (
 from binweave.operators.summaries import (
     cluster_sizes,
     cluster_tile_labels,
+    cluster_tiles,
     coarse_volcano_bins,
     color_scale,
     midpoint_intervals,
     size_bins,
     size_points,
+    summarize_clusters,
     volcano_bins,
     volcano_heat,
     with_p,
@@ -238,7 +240,8 @@ def missing(spark: SparkSession, d: str) -> DataFrame:
 )
 def labels(spark: SparkSession, d: str) -> DataFrame:
     rows = tiled(spark, d)
-    return cluster_tile_labels(rows, cluster_sizes(rows), label_anchor(corner_extents(rows)))
+    cells = cluster_tiles(rows)
+    return cluster_tile_labels(cells, summarize_clusters(cells), label_anchor(corner_extents(rows)))
 
 
 @query(

@@ -1,7 +1,7 @@
 """Composed jobs: the tables behind the linked views, and what a selection shows.
 
-``linked_tables`` writes the derived pixel table once, since most other tables
-start from it, and leaves the rest lazy.  ``write_linked_view`` writes every
+``linked_tables`` writes the derived pixel table once, and from it one row per
+cluster and tile, since the other tables start from these two; the rest is lazy.  ``write_linked_view`` writes every
 table in chunks by the selectors its view answers to, so that a viewer opens
 only the chunk of the current selection.
 """
@@ -24,7 +24,6 @@ from binweave.operators.geometry import (
     label_anchor,
     polygon_tiles,
     position_name,
-    presence,
     relative_shape,
     tile_center,
     tile_name,
@@ -41,16 +40,18 @@ from binweave.operators.relational import (
 from binweave.operators.rings import close_rings, outlines, trace
 from binweave.operators.selection import flag_selected, initial_selection, shown, tooltip
 from binweave.operators.summaries import (
-    cluster_sizes,
     cluster_tile_labels,
+    cluster_tiles,
     first_polygon_extents,
     polygon_counts,
     representation_labels,
     representation_rows,
+    representation_sizes,
     size_bins,
     size_heat,
     size_points,
-    tile_summary,
+    summarize_clusters,
+    summarize_tiles,
     volcano_bins,
     volcano_heat,
     with_p,
@@ -100,9 +101,10 @@ def linked_tables(
 ) -> dict[str, DataFrame]:
     """The tables of the linked cluster view, or those of them in ``names``."""
     rows = cut(prepared_pixels(pixels, greatest, width, offset), "prepared")
-    sizes = cluster_sizes(rows)
+    cells = cut(cluster_tiles(rows), "cells")
+    sizes = summarize_clusters(cells)
     binned = size_bins(sizes, log2_tiles)
-    seen = presence(rows)
+    seen = cells.select("chr", *TILE, "clust")
     anchor = label_anchor(corner_extents(rows))
 
     def local_outlines() -> DataFrame:
@@ -124,10 +126,10 @@ def linked_tables(
             "relative_logfc", "relative_neg_log10_p",
         ),
         "shape": lambda: position_name(relative_shape(rows)).drop("rel_region_x", "rel_region_y"),
-        "tiles": lambda: tile_name(tile_center(tile_summary(rows), offset)),
+        "tiles": lambda: tile_name(tile_center(summarize_tiles(cells), offset)),
         "presence": lambda: tile_name(tile_center(seen, offset)),
         "local_outlines": local_outlines,
-        "labels": lambda: tile_name(cluster_tile_labels(rows, sizes, anchor)),
+        "labels": lambda: tile_name(cluster_tile_labels(cells, sizes, anchor)),
         "volcano_heat": lambda: tooltip(volcano_heat(rows)),
         "size_heat": lambda: size_heat(binned),
         "size_points": lambda: size_points(binned),
@@ -206,7 +208,7 @@ def outline_report(
     ordered = trace(segs, CLUSTER)
     simple = ordered.filter("keep").withColumn("vertex_ord", F.col("kept_ord"))
     columns = [*CLUSTER, "ring_x", "ring_y", "vertex_ord", "x", "y"]
-    sizes = representation_rows(inside, segs)
+    sizes = representation_sizes(inside, segs)
     return {
         "outlines": tagged_union(
             {
@@ -215,8 +217,8 @@ def outline_report(
             }
         ),
         "pixels": inside,
-        "sizes": sizes,
-        "labels": representation_labels(inside, sizes),
+        "sizes": representation_rows(sizes),
+        "labels": representation_labels(sizes),
     }
 
 

@@ -10,8 +10,8 @@ from binweave.operators.geometry import corner_extents, tiled_pixels
 from binweave.operators.summaries import cluster_sizes, size_bins, size_points, tile_summary, volcano_bins, volcano_heat, with_p
 from binweave.sources.stand_ins import pixels
 
-# Windows over a handful of rows only: the top ranks, the distinct levels.
-SMALL_WINDOWS = {"b10_ranked_keys", "b10_ranked_tiles", "d8_midpoint_intervals"}
+# A window over a handful of rows only: the distinct levels.
+SMALL_WINDOWS = {"d8_midpoint_intervals"}
 
 
 def plan(df):
