@@ -136,80 +136,79 @@ def inside_extents(df: DataFrame, extents: DataFrame, columns: Mapping[str, str]
 # --- grid ------------------------------------------------------------------
 
 
-def _grid_blocks(pixels: DataFrame, max_distance: int | None) -> DataFrame:
-    """Grid cells as one row per (chr, region1, block of region2), with the cells as an array.
+def _grid_blocks(pixels: DataFrame, max_distance: int | None, by: Sequence[str]) -> DataFrame:
+    """Grid cells as one row per (by, region1, block of region2), with the cells as an array.
 
     Only bins are shuffled, never cells: a row carries at most BIN_BLOCK of them.
     """
-    block = F.floor(F.col("region2") / BIN_BLOCK)
+    first, second = F.col("region1"), F.col("region2")
     seconds = (
-        pixels.select("chr", "region2")
+        pixels.select(*by, "region2")
         .distinct()
-        .groupBy("chr", block.alias("block"))
+        .groupBy(*by, F.floor(second / BIN_BLOCK).alias("block"))
         .agg(F.sort_array(F.collect_set("region2")).alias("others"))
     )
-    firsts = pixels.select("chr", "region1").distinct()
+    firsts = pixels.select(*by, "region1").distinct()
+    begin = F.floor(first / BIN_BLOCK)
     if max_distance is None:
-        ends = seconds.groupBy("chr").agg(F.max("block").alias("end_block"))
-        firsts = firsts.join(ends, "chr").filter(
-            F.floor(F.col("region1") / BIN_BLOCK) <= F.col("end_block")
-        )
+        ends = seconds.groupBy(*by).agg(F.max("block").alias("end_block"))
+        firsts = firsts.join(ends, list(by)).filter(begin <= F.col("end_block"))
         last = F.col("end_block")
-        within = lambda v: v >= F.col("region1")
+        within = lambda v: v >= first
     else:
-        last = F.floor((F.col("region1") + max_distance) / BIN_BLOCK)
-        within = lambda v: v.between(F.col("region1"), F.col("region1") + max_distance)
-    steps = firsts.select(
-        "chr",
-        "region1",
-        F.explode(F.sequence(F.floor(F.col("region1") / BIN_BLOCK), last)).alias("block"),
-    )
-    return steps.join(seconds, ["chr", "block"]).select(
-        "chr", "region1", "block", F.filter("others", within).alias("cells")
+        last = F.floor((first + max_distance) / BIN_BLOCK)
+        within = lambda v: v.between(first, first + max_distance)
+    steps = firsts.select(*by, "region1", F.explode(F.sequence(begin, last)).alias("block"))
+    return steps.join(seconds, [*by, "block"]).select(
+        *by, "region1", "block", F.filter("others", within).alias("cells")
     )
 
 
-def grid(pixels: DataFrame, max_distance: int | None = None) -> DataFrame:
+def grid(
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+) -> DataFrame:
     """Every (region1, region2) made of bins seen on either axis, region1 <= region2.
 
     The whole triangle grows with the square of the chromosome; give
     ``max_distance`` on long ones.
     """
-    return _grid_blocks(pixels, max_distance).select(
-        "chr", "region1", F.explode("cells").alias("region2")
+    return _grid_blocks(pixels, max_distance, by).select(
+        *by, "region1", F.explode("cells").alias("region2")
     )
 
 
-def missing_pixels(pixels: DataFrame, max_distance: int | None = None) -> DataFrame:
+def missing_pixels(
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+) -> DataFrame:
     """Grid cells without a pixel.
 
-    Pixels are gathered per (chr, region1, block), at most BIN_BLOCK cells each,
+    Pixels are gathered per (by, region1, block), at most BIN_BLOCK cells each,
     and taken off the grid's array; cells that are present are never rows.
     """
     present = pixels.groupBy(
-        "chr", "region1", F.floor(F.col("region2") / BIN_BLOCK).alias("block")
+        *by, "region1", F.floor(F.col("region2") / BIN_BLOCK).alias("block")
     ).agg(F.collect_set("region2").alias("present"))
-    both = _grid_blocks(pixels, max_distance).join(present, ["chr", "region1", "block"], "left")
+    both = _grid_blocks(pixels, max_distance, by).join(present, [*by, "region1", "block"], "left")
     none = F.array().cast("array<bigint>")
     absent = F.array_except("cells", F.coalesce(F.col("present"), none))
-    return both.select("chr", "region1", F.explode(absent).alias("region2"))
+    return both.select(*by, "region1", F.explode(absent).alias("region2"))
 
 
-def grid_sizes(pixels: DataFrame) -> DataFrame:
+def grid_sizes(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
     """Cells of the whole triangle per region1, counted without listing them."""
     return (
-        _grid_blocks(pixels, None)
-        .groupBy("chr", "region1")
+        _grid_blocks(pixels, None, by)
+        .groupBy(*by, "region1")
         .agg(F.sum(F.size("cells")).alias("cells"))
     )
 
 
-def grid_counts(pixels: DataFrame) -> DataFrame:
+def grid_counts(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
     """Missing and possible pixels of the whole triangle, one row."""
-    possible = grid_sizes(pixels).agg(F.sum("cells").alias("possible"))
+    possible = grid_sizes(pixels, by).agg(F.sum("cells").alias("possible"))
     present = (
         pixels.filter("region1 <= region2")
-        .select("chr", "region1", "region2")
+        .select(*by, "region1", "region2")
         .distinct()
         .agg(F.count("*").alias("present"))
     )

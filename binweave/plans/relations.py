@@ -56,6 +56,7 @@ from binweave.operators.summaries import (
 from binweave.plans import sql_parts as s
 from binweave.plans.aggregates import POLYGON_REL, POLYGON_TILES, SIZE_BINS, scored, tiled
 from binweave.plans.registry import query
+from binweave.scratch import cut
 from binweave.sources.stand_ins import criterion, pixels, polygons
 
 # --- values relative to a group ------------------------------------------------
@@ -240,7 +241,7 @@ def missing(spark: SparkSession, d: str) -> DataFrame:
 )
 def labels(spark: SparkSession, d: str) -> DataFrame:
     rows = tiled(spark, d)
-    cells = cluster_tiles(rows)
+    cells = cut(cluster_tiles(rows), "cells")  # read by both sides of the join
     return cluster_tile_labels(cells, summarize_clusters(cells), label_anchor(corner_extents(rows)))
 
 
