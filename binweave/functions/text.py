@@ -30,8 +30,11 @@ def whole_text(x: Column) -> Column:
     return F.rint(x).cast("bigint").cast("string")
 
 
-def plain_text(x: Column, digits: int = 2) -> Column:
-    """Shortest plain text of ``x`` at up to ``digits`` decimals; Inf and -Inf by name."""
+def plain_text(x: Column, digits: int = 9) -> Column:
+    """Shortest plain text of ``x`` at up to ``digits`` decimals; Inf and -Inf by name.
+
+    Nine digits drop the noise of a float product and still tell any two bins apart.
+    """
     fixed = F.round(x, digits).try_cast(f"decimal(38,{digits})").cast("string")
     trimmed = F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
     unsigned = F.when(trimmed == "-0", F.lit("0")).otherwise(trimmed)

@@ -104,7 +104,7 @@ def position_name(df: DataFrame) -> DataFrame:
     """``rel_regions``: the pixel's place in its tile as text."""
     return df.withColumn(
         "rel_regions",
-        F.concat_ws(",", *[plain_text(F.col(f"rel_region_{a}"), 1) for a in AXES]),
+        F.concat_ws(",", *[plain_text(F.col(f"rel_region_{a}")) for a in AXES]),
     )
 
 

@@ -194,6 +194,21 @@ def missing_pixels(
     return both.select(*by, "region1", F.explode(absent).alias("region2"))
 
 
+def grid_with_pixels(
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+) -> DataFrame:
+    """Every grid cell with its pixel, or NULLs where it has none.
+
+    A pixel's bins are grid bins by definition, so the cells that have one are the pixels
+    themselves and only the missing ones are added; no cell is shuffled.
+    """
+    inside = F.col("region1") <= F.col("region2")
+    if max_distance is not None:
+        inside &= F.col("region2") <= F.col("region1") + max_distance
+    absent = missing_pixels(pixels, max_distance, by)
+    return pixels.filter(inside).unionByName(absent, allowMissingColumns=True)
+
+
 def grid_sizes(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
     """Cells of the whole triangle per region1, counted without listing them."""
     return (

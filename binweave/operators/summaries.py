@@ -340,29 +340,39 @@ def size_bins(sizes: DataFrame, log2_tiles: bool = False, width: float = SIZE_WI
         df = df.withColumn("log2_tiles", log2_full(F.col("tiles")))
         df = df.withColumn("round_tiles", bin_by_width(F.col("log2_tiles"), width))
         df = df.withColumn("rel_log2_tiles", F.col("log2_tiles") - F.col("round_tiles"))
-        name = LOG2_SIZE_NAME
     else:
         df = df.withColumn("round_tiles", F.col("tiles").cast("double"))
-        name = SIZE_NAME
-    return df.withColumn(
-        "size_bin",
-        F.format_string(
-            name, fixed_text(F.col("round_tiles")), fixed_text(F.col("round_log10_pixels"))
-        ),
+    return df.withColumn("size_bin", size_text(log2_tiles))
+
+
+def size_text(log2_tiles: bool = False) -> Column:
+    """Name of a size bin."""
+    return F.format_string(
+        LOG2_SIZE_NAME if log2_tiles else SIZE_NAME,
+        fixed_text(F.col("round_tiles")),
+        fixed_text(F.col("round_log10_pixels")),
     )
 
 
-def size_heat(binned_sizes: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
-    """Clusters per size bin."""
-    return binned_sizes.groupBy(*keys, "size_bin", "round_tiles", "round_log10_pixels").agg(
+def size_heat(
+    binned_sizes: DataFrame, log2_tiles: bool = False, keys: Sequence[str] = ("chr",)
+) -> DataFrame:
+    """Clusters per size bin, grouped on the numbers and named afterwards."""
+    counts = binned_sizes.groupBy(*keys, "round_tiles", "round_log10_pixels").agg(
         F.count("*").alias("clusters")
     )
+    return counts.withColumns(
+        {"size_bin": size_text(log2_tiles), "log10_clusters": F.log10("clusters")}
+    )
 
 
 def size_points(binned_sizes: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame:
-    """Clusters numbered among those at the same place of the same size bin."""
+    """Clusters numbered among those at the same place of the same size bin.
+
+    The place is where log10 of the pixels lies in the bin, so equal pixels are the same place.
+    """
     return number_rows(
-        binned_sizes, [*keys, "size_bin", "pixels"], "clust", "rel_row"
+        binned_sizes, [*keys, "round_tiles", "round_log10_pixels", "pixels"], "clust", "rel_row"
     )
 
 

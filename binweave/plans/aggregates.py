@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from binweave.functions.numeric import log10_full, neg_log10
 from binweave.operators.boundary import segments
 from binweave.operators.geometry import TILE, corner_extents, polygon_tiles, tiled_pixels
-from binweave.operators.relational import grid_counts, grid_sizes, relative_to_least
+from binweave.operators.relational import (
+    grid_counts,
+    grid_sizes,
+    relative_to_least,
+    tagged_union,
+)
 from binweave.operators.summaries import (
     cluster_sizes,
     coarse_volcano_bins,
@@ -189,6 +194,31 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_OFFSETS = {"(0,-25)": (0.0, -25.0), "(20,-25)": (20.0, -25.0)}
+
+
+@query(
+    "c10_tile_summary_offsets",
+    s.sql(
+        s.PIXELS, s.with_p(),
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS "offset", chr, round_even((region_x + {x}) / 50e0, 0) * 50e0 + 0e0 AS round_region_x,
+                round_even((region_y + {y}) / 50e0, 0) * 50e0 + 0e0 AS round_region_y, count(*) AS pixels,
+                avg(logfc) AS mean_logfc, count(DISTINCT clust) AS clusters FROM scored GROUP BY 1, 2, 3, 4"""
+            for name, (x, y) in _OFFSETS.items()
+        ),
+    ),
+)
+def tiles_by_offset(spark: SparkSession, d: str) -> DataFrame:
+    """The same summary on tiles with other offsets."""
+    rows = scored(spark, d)
+    found = {
+        name: tile_summary(tiled_pixels(rows, offset=offset)).drop("corner_rows", "mean_neg_log10_p")
+        for name, offset in _OFFSETS.items()
+    }
+    return tagged_union(found, "offset")
+
+
 _POLYGON_TILES = """
 ptiles AS (
   SELECT *, round_even(x / 10e0, 0) + 0e0 AS round_x, round_even(y / 10e0, 0) + 0e0 AS round_y,
@@ -293,7 +323,7 @@ size_binned AS (
     ),
 )
 def size_heat_log2(spark: SparkSession, d: str) -> DataFrame:
-    return size_heat(size_bins(cluster_sizes(tiled(spark, d)), log2_tiles=True))
+    return size_heat(size_bins(cluster_sizes(tiled(spark, d)), True), True).drop("log10_clusters")
 
 
 @query(
@@ -306,7 +336,7 @@ def size_heat_log2(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def size_heat_linear(spark: SparkSession, d: str) -> DataFrame:
-    return size_heat(size_bins(cluster_sizes(tiled(spark, d))))
+    return size_heat(size_bins(cluster_sizes(tiled(spark, d)))).drop("log10_clusters")
 
 
 @query(

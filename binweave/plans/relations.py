@@ -31,6 +31,7 @@ from binweave.operators.geometry import (
 from binweave.operators.relational import (
     first_rows,
     grid,
+    grid_with_pixels,
     index_shift,
     join_spread,
     missing_pixels,
@@ -94,6 +95,24 @@ def row_numbers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "d2_row_number_log2",
+    s.sql(
+        s.PIXELS, s.TILED, s.CLUSTER_SIZES, SIZE_BINS,
+        """SELECT chr, clust, pixels, tiles, round(log2_tiles - round_log2_tiles, 9) AS rel_log2_tiles,
+             printf('log2(tiles)=%.2f log10(pixels)=%.2f', round_log2_tiles, round_log10_pixels) AS size_bin,
+             row_number() OVER (PARTITION BY chr, round_log2_tiles, round_log10_pixels, pixels ORDER BY clust) AS rel_row
+           FROM size_binned""",
+    ),
+)
+def row_numbers_log2(spark: SparkSession, d: str) -> DataFrame:
+    points = size_points(size_bins(cluster_sizes(tiled(spark, d)), log2_tiles=True))
+    return points.select(
+        "chr", "clust", "pixels", "tiles", "size_bin",
+        F.round("rel_log2_tiles", 9).alias("rel_log2_tiles"), "rel_row",
+    )
+
+
 @query(
     "d3_first_row",
     s.sql(
@@ -211,8 +230,24 @@ def band_grid(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def outer_join(spark: SparkSession, d: str) -> DataFrame:
-    px = pixels(spark, d)
-    return grid(px, 49).join(px, ["chr", "region1", "region2"], "left")
+    return grid_with_pixels(pixels(spark, d), 49)
+
+
+@query(
+    "e2_polygons_of_pixels",
+    s.sql(
+        s.PIXELS, s.POLYGONS,
+        """SELECT p.region1, p.region2, p.clust, q.nb_clust, q.id FROM pixels p
+           LEFT JOIN polygons q ON q.i = p.region2 AND q.j = p.region1 AND q.nb_clust = 3""",
+    ),
+)
+def polygons_of_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Every pixel, with its polygons at one level where there are any."""
+    drawn = polygons(spark, d).filter("nb_clust = 3").select(
+        F.col("i").alias("region2"), F.col("j").alias("region1"), "nb_clust", "id"
+    )
+    px = pixels(spark, d).select("region1", "region2", "clust")
+    return px.join(drawn, ["region1", "region2"], "left")
 
 
 @query(

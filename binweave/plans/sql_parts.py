@@ -71,10 +71,10 @@ axis_tiled AS (
 
 
 def number_text(x: str) -> str:
-    """Plain text of a number with at most two decimals."""
+    """Plain text of a number with at most nine decimals."""
     return (
         f"CASE WHEN {x} = 'inf'::DOUBLE THEN 'Inf' WHEN {x} = '-inf'::DOUBLE THEN '-Inf' "
-        f"ELSE regexp_replace(regexp_replace(printf('%.2f', round({x}, 2)), '\\.?0+$', ''), '^-0$', '0') END"
+        f"ELSE regexp_replace(regexp_replace(printf('%.9f', {x}), '\\.?0+$', ''), '^-0$', '0') END"
     )
 
 

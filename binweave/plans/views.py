@@ -17,16 +17,22 @@ from pyspark.sql import functions as F
 from binweave.functions.text import pair_text
 from binweave.operators.boundary import segments
 from binweave.operators.geometry import (
+    PIXEL_HALF,
     TILE,
     TILE_OFFSET,
     TILE_WIDTH,
+    axis_relative_corners,
+    axis_tile,
     corner_extents,
+    corners,
     label_anchor,
     polygon_tiles,
     position_name,
     relative_shape,
     tile_center,
+    tile_corners,
     tile_name,
+    tile_spacing,
     tiled_pixels,
 )
 from binweave.operators.relational import (
@@ -38,10 +44,19 @@ from binweave.operators.relational import (
     window,
 )
 from binweave.operators.rings import close_rings, outlines, trace
-from binweave.operators.selection import flag_selected, initial_selection, shown, tooltip
+from binweave.operators.selection import (
+    diagonal_pixels,
+    flag_selected,
+    initial_selection,
+    shown,
+    tooltip,
+)
 from binweave.operators.summaries import (
+    LOGFC_PER_UNIT,
     cluster_tile_labels,
     cluster_tiles,
+    coarse_volcano_bins,
+    color_scale,
     first_polygon_extents,
     polygon_counts,
     representation_labels,
@@ -52,6 +67,7 @@ from binweave.operators.summaries import (
     size_points,
     summarize_clusters,
     summarize_tiles,
+    tile_summary,
     volcano_bins,
     volcano_heat,
     with_p,
@@ -131,7 +147,7 @@ def linked_tables(
         "local_outlines": local_outlines,
         "labels": lambda: tile_name(cluster_tile_labels(cells, sizes, anchor)),
         "volcano_heat": lambda: tooltip(volcano_heat(rows)),
-        "size_heat": lambda: size_heat(binned),
+        "size_heat": lambda: size_heat(binned, log2_tiles),
         "size_points": lambda: size_points(binned),
         "first": lambda: tile_name(initial_selection(rows, seen, TILE)),
     }
@@ -235,6 +251,43 @@ def polygon_view(polygons: DataFrame, below: float = 100.0, divisor: float = 10.
     }
 
 
+def volcano_view(
+    pixels: DataFrame, band: int = 50, below: int | None = None, per_unit: float = LOGFC_PER_UNIT
+) -> dict[str, DataFrame]:
+    """Pixels near the diagonal linked to a volcano plot by pixel name.
+
+    ``band`` bounds the distance of the two bins, ``below`` the greatest bin.
+    """
+    near = pixels.filter(F.col("region2") < F.col("region1") + band)
+    if below is not None:
+        near = near.filter(F.col("region2") < below)
+    named = coarse_volcano_bins(pixel_name(with_p(near)), per_unit)
+    drawn = named.select("chr", "region1", "region2", "r1r2", "logfc", "sign_neg_log10_p")
+    return {
+        "pixels": named,
+        "corners": corners(drawn, 0.5),
+        "volcano_heat": tooltip(volcano_heat(named)),
+        "color_scale": color_scale(named, per_unit),
+        "first": diagonal_pixels(named.select("chr", "region1", "region2", "r1r2")),
+    }
+
+
+def axis_view(pixels: DataFrame, width: float = 100.0, half: float = PIXEL_HALF) -> dict[str, DataFrame]:
+    """Pixels on tiles of the unrotated axes, with rings around pixels and tiles."""
+    tiled = axis_tile(with_p(pixels), width)
+    keys = ["chr", "round_r1r2", "round_region1", "round_region2"]
+    drawn = tiled.select(
+        *keys, "r1r2", "rel_regions", "region1", "region2", "logfc", "neg_log10_p"
+    )
+    return {
+        "pixels": tiled,
+        "corners": axis_relative_corners(corners(drawn, half, closed=True)),
+        "tiles": tile_summary(tiled, keys),
+        "tile_corners": tile_corners(tile_summary(tiled, keys), width * half),
+        "spacing": tile_spacing(tiled),
+    }
+
+
 def pixel_name(df: DataFrame) -> DataFrame:
     """``r1r2``: the pixel's two bins as text."""
     return df.withColumn(

@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 from binweave.operators.geometry import corners, position_name, relative_corners, relative_shape, tiled_pixels
 from binweave.plans.views import (
     CHUNKS,
+    axis_view,
     linked_from,
     linked_tables,
     linked_view,
     missing_report,
     outline_report,
     polygon_view,
+    volcano_view,
     write_linked_view,
 )
 from binweave.sinks.chunks import (
@@ -167,3 +169,21 @@ def test_reports(spark, sf_dir):
     view = polygon_view(polygons(spark, sf_dir))
     assert view["polygons"].filter("rel_x < 0 OR rel_y < 0").isEmpty()
     assert view["first_extents"].count() > 0 and view["counts"].count() == 7
+
+
+def test_volcano_and_axis_views(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    view = volcano_view(px, 40, 150)
+    n = px.filter("region2 < region1 + 40 AND region2 < 150").count()
+    assert view["pixels"].count() == n and view["corners"].count() == 4 * n
+    assert view["volcano_heat"].agg(F.sum("pixels")).first()[0] == n
+    assert view["first"].filter("region1 <> region2").isEmpty() and view["first"].count() == 5
+    assert view["color_scale"].filter("height < 0").isEmpty()
+    axis = axis_view(px, 50.0)
+    assert axis["tiles"].agg(F.sum("pixels")).first()[0] == px.count()
+    assert axis["corners"].count() == 5 * px.count()
+    assert axis["tile_corners"].count() == 5 * axis["tiles"].count()
+    assert axis["spacing"].first()["spacing"] == 50.0
+    # Offsets of a shared place repeat exactly in every tile.
+    places = axis["corners"].select("rel_regions", "corner_ord", F.round("rel_x", 6), F.round("rel_y", 6)).distinct()
+    assert places.groupBy("rel_regions", "corner_ord").count().filter("count > 1").isEmpty()
