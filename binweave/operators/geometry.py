@@ -21,6 +21,8 @@ TILE_HALF = 45.0
 TILE_WIDTH = 50.0
 TILE_OFFSET = (20.0, -24.0)
 
+BROADCAST_PLACES = 200_000  # places of a tile up to which its shape is broadcast
+
 AXES = ("x", "y")
 TILE = ("round_region_x", "round_region_y")
 
@@ -224,6 +226,18 @@ def relative_shape(tiled: DataFrame, half: float = PIXEL_HALF) -> DataFrame:
     return places.select("*", F.inline(points))
 
 
+def restore_corners(
+    tiled: DataFrame, shape: DataFrame, width: float = TILE_WIDTH
+) -> DataFrame:
+    """Corner rows from pixels and the shape their tiles share.
+
+    A tile has at most 2 * width**2 places, which decides whether the shape is
+    small enough to broadcast.
+    """
+    small = 2 * width * width <= BROADCAST_PLACES
+    return tiled.join(F.broadcast(shape) if small else shape, ["rel_region_x", "rel_region_y"])
+
+
 def label_anchor(extents: DataFrame) -> DataFrame:
     """Where a tile's label stands: middle of the x extents, one above the y extents."""
     return extents.select(

@@ -67,7 +67,7 @@ def rows_for_keys(
 ) -> DataFrame:
     """Rows whose key is wanted; ``keep_missing`` adds a row of NULLs for a key without any."""
     distinct = wanted.select(*keys).distinct()
-    found = rows.join(distinct, list(keys), "left_semi")
+    found = join_spread(rows, distinct, keys, "left_semi")
     if not keep_missing:
         return found
     absent = distinct.join(rows.select(*keys).distinct(), list(keys), "left_anti")

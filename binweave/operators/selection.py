@@ -45,18 +45,19 @@ def flag_selected(
     df: DataFrame, selection: Mapping[str, Any], flag: str = "selected"
 ) -> DataFrame:
     """All rows, with a flag on those the selection picks."""
-    picked = F.lit(True)
+    picked, marked = F.lit(True), []
     for name, value in selection.items():
         if isinstance(value, DataFrame):
-            marks = value.select(name).distinct().withColumn(f"_{name}", F.lit(True))
+            mark = f"_{name}_selected"
+            marks = value.select(name).distinct().withColumn(mark, F.lit(True))
             df = df.join(marks, name, "left")
-            picked = picked & F.coalesce(F.col(f"_{name}"), F.lit(False))
+            picked = picked & F.coalesce(F.col(mark), F.lit(False))
+            marked.append(mark)
         elif _is_set(value):
             picked = picked & F.coalesce(F.col(name).isin(list(value)), F.lit(False))
         else:
             picked = picked & F.col(name).eqNullSafe(F.lit(value))
-    extra = [c for c in df.columns if c.startswith("_")]
-    return df.withColumn(flag, picked).drop(*extra)
+    return df.withColumn(flag, picked).drop(*marked)
 
 
 def diagonal_pixels(pixels: DataFrame, n: int = 5) -> DataFrame:

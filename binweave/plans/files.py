@@ -10,6 +10,7 @@ from binweave.operators.geometry import (
     position_name,
     relative_corners,
     relative_shape,
+    restore_corners,
     tiled_pixels,
 )
 from binweave.operators.summaries import volcano_bins, with_p
@@ -162,6 +163,7 @@ def factored(spark: SparkSession, d: str) -> DataFrame:
 )
 def restored(spark: SparkSession, d: str) -> DataFrame:
     """Pixels joined back to the shared shape: the corner table again."""
-    tiled = position_name(tiled_pixels(pixels(spark, d))).select(*_VARYING)
-    shape = position_name(relative_shape(tiled_pixels(pixels(spark, d))))
-    return tiled.join(shape.drop("rel_region_x", "rel_region_y"), "rel_regions")
+    tiled = position_name(tiled_pixels(pixels(spark, d)))
+    narrow = tiled.select(*_VARYING, "rel_region_x", "rel_region_y")
+    whole = restore_corners(narrow, relative_shape(tiled))
+    return whole.drop("rel_region_x", "rel_region_y")

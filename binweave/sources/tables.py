@@ -90,16 +90,16 @@ def tsv_path(root: str, prefix: str, chromosome: str | int, resolution: int) ->
 
 
 def write_partitioned(df: DataFrame, root: str, resolution: int) -> None:
-    """Parquet in ``chr=/resolution=`` folders, rows near each other on the map kept together.
+    """Parquet in ``chr=/resolution=`` folders, each file a range of bins.
 
-    ``rebalance`` lets adaptive execution split a chromosome too large for one
-    task and join small ones; sorting gives row groups tight bin ranges, so
-    window filters skip them.
+    Range partitions split a large chromosome over tasks, and a window filter
+    skips the files and row groups outside it.
     """
+    keys = ("chr", "region1", "region2")
     (
         df.withColumn("resolution", F.lit(resolution))
-        .hint("rebalance", "chr")
-        .sortWithinPartitions("chr", "region1", "region2")
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .write.partitionBy("chr", "resolution")
         .parquet(root)
     )
