@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binweave.functions.text import GRID_TITLE
+from binweave.scratch import cut
 
 HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
+BROADCAST_ROWS = 100_000  # rows up to which a counted table is broadcast
 NULL_PARTS = 1024  # parts over which rows with a missing key are spread
 BIN_BLOCK = 1024  # bins per block when a grid is built
 NUMBER_BLOCK = 65_536  # values per block when rows are numbered
@@ -62,6 +64,24 @@ def join_spread(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def join_checked(
+    big: DataFrame,
+    unique: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join to a side that is usually small, after looking at its size.
+
+    The side is written first, so that counting it costs next to nothing.  Up to
+    ``broadcast_rows`` rows it is broadcast, beyond that joined by ``join_spread``.
+    """
+    written = cut(unique, "unique")
+    if written.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return big.join(F.broadcast(written), list(keys), how)
+    return join_spread(big, written, keys, how)
+
+
 def rows_for_keys(
     rows: DataFrame, wanted: DataFrame, keys: Sequence[str], keep_missing: bool = False
 ) -> DataFrame:

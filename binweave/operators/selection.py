@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from binweave.functions.text import PIXELS_PART
+from binweave.operators.relational import join_checked
 from binweave.operators.summaries import most_significant
 
 INLINE_VALUES = 1_000  # up to here chosen values become literals in the filter
@@ -23,17 +24,17 @@ def shown(df: DataFrame, selection: Mapping[str, Any]) -> DataFrame:
 
     A selector is a value, a collection of values, or a DataFrame with the
     selector's column.  Values and short collections become filters, which
-    prune chunk folders and reach the scan; a DataFrame is semi-joined.
+    prune chunk folders and reach the scan; a DataFrame is semi-joined by its size.
     """
     for name, value in selection.items():
         if isinstance(value, DataFrame):
-            df = df.join(value.select(name).distinct(), name, "left_semi")
+            df = join_checked(df, value.select(name).distinct(), [name], "left_semi")
         elif _is_set(value):
             values = list(value)
             if len(values) > INLINE_VALUES:
                 table = df.sparkSession.createDataFrame([(v,) for v in values], [name])
                 table = table.withColumn(name, F.col(name).cast(df.schema[name].dataType))
-                df = df.join(table.distinct(), name, "left_semi")
+                df = join_checked(df, table.distinct(), [name], "left_semi")
             else:
                 df = df.filter(F.col(name).isin(values))
         else:
@@ -50,7 +51,7 @@ def flag_selected(
         if isinstance(value, DataFrame):
             mark = f"_{name}_selected"
             marks = value.select(name).distinct().withColumn(mark, F.lit(True))
-            df = df.join(marks, name, "left")
+            df = join_checked(df, marks, [name], "left")
             picked = picked & F.coalesce(F.col(mark), F.lit(False))
             marked.append(mark)
         elif _is_set(value):

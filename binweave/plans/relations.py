@@ -52,7 +52,6 @@ from binweave.operators.summaries import (
     summarize_clusters,
     volcano_bins,
     volcano_heat,
-    with_p,
 )
 from binweave.plans import sql_parts as s
 from binweave.plans.aggregates import POLYGON_REL, POLYGON_TILES, SIZE_BINS, scored, tiled

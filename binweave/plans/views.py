@@ -9,6 +9,7 @@ only the chunk of the current selection.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -187,11 +188,11 @@ def linked_view(tables: Mapping[str, DataFrame], selection: Mapping[str, Any]) -
 
 
 def linked_from(tables: Mapping[str, DataFrame], selection: DataFrame) -> dict[str, DataFrame]:
-    """The same chain for those of the tables that are given.
+    """The same chain for those of the tables that are given, from a table of one row.
 
-    The selection is a one-row table, so nothing is collected.
+    Its values enter the filters as scalar subqueries: nothing is collected or joined,
+    chunk folders are pruned when the query runs, and a second row is an error.
     """
-    one = F.broadcast(selection.limit(1))
     views = {
         "volcano_zoom": ("volcano_points", ["chr", "volcano_bin"]),
         "cluster_pixels": ("pixels", CLUSTER),
@@ -200,11 +201,12 @@ def linked_from(tables: Mapping[str, DataFrame], selection: DataFrame) -> dict[s
         "tile_outlines": ("local_outlines", ["chr", "round_regions"]),
         "tile_label": ("labels", [*CLUSTER, "round_regions"]),
     }
-    return {
-        view: tables[name].join(one.select(*keys), keys, "left_semi")
-        for view, (name, keys) in views.items()
-        if name in tables
-    }
+    found = {}
+    for view, (name, keys) in views.items():
+        if name in tables:
+            chosen = [F.col(k) == selection.select(k).scalar() for k in keys]
+            found[view] = tables[name].filter(reduce(lambda a, b: a & b, chosen))
+    return found
 
 
 def missing_report(pixels: DataFrame, max_distance: int | None = None) -> dict[str, DataFrame]:
@@ -279,11 +281,12 @@ def axis_view(pixels: DataFrame, width: float = 100.0, half: float = PIXEL_HALF)
     drawn = tiled.select(
         *keys, "r1r2", "rel_regions", "region1", "region2", "logfc", "neg_log10_p"
     )
+    tiles = cut(tile_summary(tiled, keys), "tiles")
     return {
         "pixels": tiled,
         "corners": axis_relative_corners(corners(drawn, half, closed=True)),
-        "tiles": tile_summary(tiled, keys),
-        "tile_corners": tile_corners(tile_summary(tiled, keys), width * half),
+        "tiles": tiles,
+        "tile_corners": tile_corners(tiles, width * half),
         "spacing": tile_spacing(tiled),
     }
 

@@ -227,3 +227,9 @@ def test_missing_group_value_is_a_group(spark):
     px = spark.createDataFrame(cells, "m int, region1 bigint, region2 bigint")
     for block in (64, 1):
         assert ring_roles(rings(px, KEY, block=block), KEY).count() == 2
+
+
+def test_no_pixels_no_outlines(spark):
+    px = spark.createDataFrame([], "m int, region1 bigint, region2 bigint")
+    assert outlines(px, KEY).isEmpty()
+    assert close_rings(outlines(px, KEY), KEY).isEmpty()

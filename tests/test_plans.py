@@ -69,3 +69,22 @@ def test_outline_takes_two_shuffles(spark, sf_dir):
     text = plan(vertices(segments(px, keys), keys))
     assert text.count("Exchange hashpartitioning") == own + 2
     assert "partial_bit_or" in text
+
+
+def test_same_shape_at_ten_times_the_size(spark):
+    """With size-based broadcasts off, plans do not depend on the tables' size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("c10_tile_summary", "c27_grid_counts", "d1_group_relative", "d2_row_number", "e3_missing_pixels",
+                     "e10_pixels_to_polygons", "i10_simplified", "a6_restored"):
+            shapes = []
+            for sf in ("sf0.001", "sf0.01"):
+                text = plan(driver.queries()[name](spark, f"/root/testdata/{sf}"))
+                shapes.append(re.findall(r"\b(\w+(?:Join|Aggregate|Exchange|Window|Generate))\b", text))
+                # What is still broadcast is hinted: hot-key lists and the shared shape.
+                hinted = text.count("BroadcastExchange")
+                assert hinted == {"d1_group_relative": 2, "e10_pixels_to_polygons": 2, "a6_restored": 1}.get(name, 0)
+            assert shapes[0] == shapes[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

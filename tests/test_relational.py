@@ -9,6 +9,7 @@ from binweave.operators.relational import (
     grid_counts,
     grid_sizes,
     index_shift,
+    join_checked,
     join_spread,
     missing_pixels,
     number_rows,
@@ -50,6 +51,16 @@ def test_salted_join_equals_plain_join(spark, skewed, how, hot):
     assert found == plain
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi"])
+@pytest.mark.parametrize("limit", [2, 1_000])
+def test_checked_join_broadcasts_small_sides_only(spark, skewed, how, limit):
+    unique = spark.range(1, 10).select(F.col("id").cast("int").alias("k"), F.lit(True).alias("seen"))
+    joined = join_checked(skewed, unique, ["k"], how, limit)
+    plain = skewed.join(unique, "k", how).select(*joined.columns)
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+    assert ("_salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == (limit == 2)
+
+
 def test_hot_key_is_split(spark, skewed):
     """The hot key's rows reach the join under several salts."""
     unique = spark.createDataFrame([(1, "a")], "k int, name string")
