@@ -7,6 +7,8 @@ for chunk names.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,14 +36,18 @@ def plain_text(x: Column, digits: int = 9) -> Column:
     """Shortest plain text of ``x`` at up to ``digits`` decimals; Inf and -Inf by name.
 
     Nine digits drop the noise of a float product and still tell any two bins apart.
+    Whole and everyday numbers, nearly all there are, avoid decimal arithmetic.
     """
+    scale = F.lit(10.0**digits)
+    rounded = F.rint(x * scale) / scale
     fixed = F.round(x, digits).try_cast(f"decimal(38,{digits})").cast("string")
-    trimmed = F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if digits else fixed
-    unsigned = F.when(trimmed == "-0", F.lit("0")).otherwise(trimmed)
+    trimmed = F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
     return (
         F.when(x == F.lit(float("inf")), F.lit("Inf"))
         .when(x == F.lit(float("-inf")), F.lit("-Inf"))
-        .otherwise(unsigned)
+        .when((rounded == F.rint(rounded)) & (F.abs(rounded) < 1e15), whole_text(rounded))
+        .when(F.abs(rounded).between(1e-3, 1e6), rounded.cast("string"))
+        .otherwise(trimmed)
     )
 
 
@@ -49,9 +55,23 @@ def pair_text(a: Column, b: Column, sep: str = ",") -> Column:
     return F.concat_ws(sep, a, b)
 
 
+def fill(template: str, *values: Column) -> Column:
+    """A template's ``%s`` and ``%d`` filled with columns; NULL if one of them is.
+
+    ``concat`` stays in generated code, where ``format_string`` runs a formatter per row.
+    """
+    parts = re.split("%[sd]", template)
+    if len(parts) != len(values) + 1:
+        raise ValueError(f"{len(values)} values for {template!r}")
+    pieces = [F.lit(parts[0])]
+    for value, after in zip(values, parts[1:]):
+        pieces += [value.cast("string"), F.lit(after)]
+    return F.concat(*pieces)
+
+
 def volcano_text(round_logfc: Column, round_p: Column, name: str = VOLCANO_NAME) -> Column:
     """Name of a volcano bin."""
-    return F.format_string(name, plain_text(round_logfc), plain_text(round_p))
+    return fill(name, plain_text(round_logfc), plain_text(round_p))
 
 
 def fixed_text(x: Column, digits: int = 2) -> Column:
@@ -66,4 +86,10 @@ def one_decimal(x: pd.Series) -> pd.Series:
     Java's formatter rounds the shortest decimal text instead (0.25 becomes 0.3),
     so this one runs over Arrow batches.  Call it on per-cluster tables only.
     """
-    return x.map(lambda v: None if pd.isna(v) else "%.1f" % v)
+
+    def show(v):
+        if pd.isna(v):
+            return None
+        return ("%.1f" % v).replace("inf", "Inf")
+
+    return x.map(show)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binweave.functions.text import GRID_TITLE
+from binweave.functions.text import GRID_TITLE, fill
 from binweave.scratch import cut
 
 HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
@@ -250,7 +250,7 @@ def grid_counts(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
     missing = F.col("possible") - present.scalar()
     return possible.select(missing.alias("missing"), "possible").withColumn(
         "title",
-        F.format_string(GRID_TITLE, F.col("missing"), F.col("possible")),
+        fill(GRID_TITLE, F.col("missing"), F.col("possible")),
     )
 
 

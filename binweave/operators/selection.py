@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binweave.functions.text import PIXELS_PART
+from binweave.functions.text import PIXELS_PART, fill
 from binweave.operators.relational import join_checked
 from binweave.operators.summaries import most_significant
 
@@ -85,5 +85,5 @@ def tooltip(heat: DataFrame) -> DataFrame:
     """Text of a volcano bin with its pixels."""
     return heat.withColumn(
         "tooltip",
-        F.concat("volcano_bin", F.format_string(PIXELS_PART, F.col("pixels").cast("string"))),
+        F.concat("volcano_bin", fill(PIXELS_PART, F.col("pixels"))),
     )

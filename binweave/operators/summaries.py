@@ -29,6 +29,7 @@ from binweave.functions.text import (
     ROWS_LINE,
     SIZE_NAME,
     VOLCANO_NAME,
+    fill,
     fixed_text,
     one_decimal,
     volcano_text,
@@ -347,7 +348,7 @@ def size_bins(sizes: DataFrame, log2_tiles: bool = False, width: float = SIZE_WI
 
 def size_text(log2_tiles: bool = False) -> Column:
     """Name of a size bin."""
-    return F.format_string(
+    return fill(
         LOG2_SIZE_NAME if log2_tiles else SIZE_NAME,
         fixed_text(F.col("round_tiles")),
         fixed_text(F.col("round_log10_pixels")),
@@ -386,7 +387,7 @@ def cluster_tile_labels(
     """
     ends = ("logfc_min", "logfc_max", "neg_log10_p_min", "neg_log10_p_max")
     ranges = sizes.select(*keys, "pixels", *[one_decimal(c).alias(c) for c in ends])
-    label = F.format_string(
+    label = fill(
         CLUSTER_LABEL, F.col("clust"), F.col("displayed_pixels"), F.col("pixels"), *[F.col(c) for c in ends]
     )
     displayed = cells.select(*keys, *TILE, "displayed_pixels")
@@ -424,11 +425,11 @@ def representation_rows(sizes: DataFrame, keys: Sequence[str] = ("chr", "clust")
 
 def representation_labels(sizes: DataFrame, keys: Sequence[str] = ("chr", "clust")) -> DataFrame:
     """Label of each cluster: a line per representation, and the corners of its pixels."""
-    lines = [F.format_string(CLUSTER_LINE, F.col("clust").cast("string"))]
-    lines += [F.format_string(ROWS_LINE, F.lit(n), F.col(n).cast("string")) for n in REPRESENTATIONS]
+    lines = [fill(CLUSTER_LINE, F.col("clust"))]
+    lines += [fill(ROWS_LINE, F.lit(n), F.col(n)) for n in REPRESENTATIONS]
     corners = F.col("pixel") * 4
     label = F.concat(
-        F.concat_ws("\n", *lines), F.format_string(CORNERS_PART, corners.cast("string"))
+        F.concat_ws("\n", *lines), fill(CORNERS_PART, corners)
     )
     return sizes.select(*keys, "region1", "region2", corners.alias("corners"), label.alias("label"))
 

@@ -9,7 +9,7 @@ only the chunk of the current selection.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import cache, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -95,6 +95,14 @@ CHUNKS = {
 }
 
 
+# Columns of the prepared pixels that the tables are made of.
+PREPARED = [
+    "chr", "region1", "region2", "clust", "logfc", "neg_log10_p", *TILE, "rel_region_x",
+    "rel_region_y", "round_regions", "rel_regions", "round_logfc", "round_neg_log10_p",
+    "volcano_bin", "relative_logfc", "relative_neg_log10_p",
+]
+
+
 def prepared_pixels(
     pixels: DataFrame,
     greatest: int | None = None,
@@ -117,15 +125,24 @@ def linked_tables(
     names: Sequence[str] = tuple(CHUNKS),
 ) -> dict[str, DataFrame]:
     """The tables of the linked cluster view, or those of them in ``names``."""
-    rows = cut(prepared_pixels(pixels, greatest, width, offset), "prepared")
-    cells = cut(cluster_tiles(rows), "cells")
-    sizes = summarize_clusters(cells)
-    binned = size_bins(sizes, log2_tiles)
-    seen = cells.select("chr", *TILE, "clust")
-    anchor = label_anchor(corner_extents(rows))
+
+    @cache
+    def rows() -> DataFrame:
+        prepared = prepared_pixels(pixels, greatest, width, offset)
+        return cut(prepared.select(*PREPARED), "prepared")
+
+    @cache
+    def cells() -> DataFrame:
+        return cut(cluster_tiles(rows()), "cells")
+
+    def seen() -> DataFrame:
+        return cells().select("chr", *TILE, "clust")
+
+    def binned() -> DataFrame:
+        return size_bins(summarize_clusters(cells()), log2_tiles)
 
     def local_outlines() -> DataFrame:
-        local = tile_name(outlines(rows, LOCAL, saddle))
+        local = tile_name(outlines(rows(), LOCAL, saddle))
         return local.withColumns(
             {
                 f"rel_region_{a}": F.col(f"region_{a}") - F.col(f"round_region_{a}")
@@ -133,24 +150,28 @@ def linked_tables(
             }
         )
 
+    def labels() -> DataFrame:
+        anchor = label_anchor(corner_extents(rows()))
+        return tile_name(cluster_tile_labels(cells(), summarize_clusters(cells()), anchor))
+
     build = {
-        "pixels": lambda: rows.select(
+        "pixels": lambda: rows().select(
             "chr", "round_regions", "rel_regions", "region1", "region2", "clust",
             "logfc", "neg_log10_p", "volcano_bin",
         ),
-        "volcano_points": lambda: rows.select(
+        "volcano_points": lambda: rows().select(
             "chr", "volcano_bin", "clust", "region1", "region2",
             "relative_logfc", "relative_neg_log10_p",
         ),
-        "shape": lambda: position_name(relative_shape(rows)).drop("rel_region_x", "rel_region_y"),
-        "tiles": lambda: tile_name(tile_center(summarize_tiles(cells), offset)),
-        "presence": lambda: tile_name(tile_center(seen, offset)),
+        "shape": lambda: position_name(relative_shape(rows())).drop("rel_region_x", "rel_region_y"),
+        "tiles": lambda: tile_name(tile_center(summarize_tiles(cells()), offset)),
+        "presence": lambda: tile_name(tile_center(seen(), offset)),
         "local_outlines": local_outlines,
-        "labels": lambda: tile_name(cluster_tile_labels(cells, sizes, anchor)),
-        "volcano_heat": lambda: tooltip(volcano_heat(rows)),
-        "size_heat": lambda: size_heat(binned, log2_tiles),
-        "size_points": lambda: size_points(binned),
-        "first": lambda: tile_name(initial_selection(rows, seen, TILE)),
+        "labels": labels,
+        "volcano_heat": lambda: tooltip(volcano_heat(rows())),
+        "size_heat": lambda: size_heat(binned(), log2_tiles),
+        "size_points": lambda: size_points(binned()),
+        "first": lambda: tile_name(initial_selection(rows(), seen(), TILE)),
     }
     return {name: build[name]() for name in names}
 

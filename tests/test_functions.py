@@ -15,7 +15,7 @@ from binweave.functions.numeric import (
     signed_neg_log10,
     two_digits,
 )
-from binweave.functions.text import fixed_text, one_decimal, plain_text, volcano_text, whole_text
+from binweave.functions.text import fill, fixed_text, one_decimal, plain_text, volcano_text, whole_text
 
 
 def values(spark, column, xs):
@@ -61,10 +61,19 @@ def test_text(spark):
     assert values(spark, plain_text, [3 * 0.1, 600.0, 0.25, -0.0, math.inf, -math.inf, 1e9]) == [
         "0.3", "600", "0.25", "0", "Inf", "-Inf", "1000000000",
     ]
+    assert values(spark, plain_text, [0.0001, -12345678.5, 2.9999999999, -0.0625, 1e-12]) == [
+        "0.0001", "-12345678.5", "3", "-0.0625", "0",
+    ]
     assert values(spark, fixed_text, [2.0, 0.25]) == ["2.00", "0.25"]
     assert values(spark, lambda x: volcano_text(x, x), [0.5]) == ["logFC=0.5 -log10(p)=0.5"]
 
 
-@pytest.mark.parametrize("x,text", [(0.25, "0.2"), (0.35, "0.3"), (0.45, "0.5"), (-1.5, "-1.5"), (2.0, "2.0")])
+def test_fill_counts_its_values(spark):
+    assert values(spark, lambda x: fill("a %d of %s", F.lit(2), x.cast("int")), [3.0, None]) == ["a 2 of 3", None]
+    with pytest.raises(ValueError, match="2 values"):
+        fill("%s", F.lit(1), F.lit(2))
+
+
+@pytest.mark.parametrize("x,text", [(0.25, "0.2"), (0.35, "0.3"), (0.45, "0.5"), (-1.5, "-1.5"), (2.0, "2.0"), (-math.inf, "-Inf")])
 def test_one_decimal_rounds_the_exact_value(spark, x, text):
     assert values(spark, one_decimal, [x]) == [text]
