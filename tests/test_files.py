@@ -91,6 +91,25 @@ def test_large_chunks_split_into_files(spark, tmp_path):
     assert read_chunks(spark, path, df.schema).count() == 1000
 
 
+def test_hot_chunk_is_split_over_tasks(spark, tmp_path):
+    """Adaptive execution splits a selector value that is too large for one task."""
+    path = str(tmp_path / "hot")
+    rows = spark.range(0, 300_000, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(-1).alias("s"),
+    )
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    try:
+        write_chunks(rows, ["s"], path)
+    finally:
+        spark.conf.set(name, before)
+    assert sum(n.endswith(".csv") for n in os.listdir(f"{path}/s=-1")) > 3
+    assert sum(n.endswith(".csv") for n in os.listdir(f"{path}/s=3")) == 1
+    assert read_chunks(spark, path, rows.schema).count() == 300_000
+
+
 def test_no_selectors_is_one_folder(spark, tmp_path):
     path = str(tmp_path / "plain")
     write_chunks(spark.range(10), [], path)

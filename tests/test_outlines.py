@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binweave.operators.boundary import group_areas, segments, simplified_vertices
-from binweave.operators.rings import close_rings, outlines, ring_roles, rings, trace
+from binweave.operators.rings import _local_paths, close_rings, outlines, ring_roles, rings, trace
 
 KEY = ["m"]
 
@@ -233,3 +233,22 @@ def test_no_pixels_no_outlines(spark):
     px = spark.createDataFrame([], "m int, region1 bigint, region2 bigint")
     assert outlines(px, KEY).isEmpty()
     assert close_rings(outlines(px, KEY), KEY).isEmpty()
+
+
+def test_hot_group_is_linked_in_many_tasks(spark):
+    """One group with all the rows: no task links more than a part of it."""
+    px = spark.range(20_000).select(
+        F.lit(0).alias("m"),
+        F.floor(F.col("id") / 20).alias("region1"),
+        (F.floor(F.col("id") / 20) + F.col("id") % 20).alias("region2"),
+    )
+    holed = px.filter(F.pmod(F.xxhash64("region1", "region2"), F.lit(10)) < 8)
+    paths = _local_paths(segments(holed, KEY), KEY, 16, 0, 1_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = [r["count"] for r in paths.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(shares) == 8 and max(shares) < sum(shares) / 3
+    areas = ring_roles(rings(holed, KEY, block=16), KEY).agg(F.sum("area")).first()[0]
+    assert areas == group_areas(segments(holed, KEY), KEY).first()["area"]
