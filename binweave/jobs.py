@@ -12,20 +12,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from binweave.plans.views import (
-    CHUNKS,
     axis_view,
     linked_tables,
     missing_report,
     outline_report,
     polygon_view,
     volcano_view,
+    write_linked_view,
 )
 from binweave.sinks.chunks import write_chunks
 from binweave.sources.tables import read_partitioned, read_pixels, read_polygons
 
 # Selectors by which the tables of each job are chunked; tables not named go to one folder.
+# The linked view brings its own.
 JOB_CHUNKS: dict[str, dict[str, Sequence[str]]] = {
-    "linked": CHUNKS,
+    "linked": {},
     "volcano": {"pixels": ["chr", "volcano_bin"]},
     "axis": {"corners": ["chr", "round_r1r2"], "pixels": ["chr", "round_r1r2"]},
     "missing": {"missing": ["chr"]},
@@ -80,7 +81,10 @@ def parse(argv: Sequence[str] | None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None) -> None:
     args = parse(argv)
     spark = SparkSession.builder.appName(f"binweave {args.job}").getOrCreate()
-    for name, df in build(spark, args).items():
+    tables = build(spark, args)
+    if args.job == "linked":
+        return write_linked_view(tables, args.out)
+    for name, df in tables.items():
         write_chunks(df, JOB_CHUNKS[args.job].get(name, []), f"{args.out}/{name}")
 
 

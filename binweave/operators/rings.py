@@ -347,6 +347,9 @@ def trace(
     Columns: the keys, ``ring_x, ring_y`` (least vertex of the ring), ``x, y``,
     ``next_x, next_y``, ``vertex_ord`` from 0, ``keep`` for turns and
     ``kept_ord``, their number among the turns (NULL elsewhere).
+
+    Runs when called: paths are written to the shared folder, and whether any
+    are still open decides what comes next.
     """
     traced = cut(_local_paths(segs, keys, block, 0, chunk_rows), "traced")
     rows = _closed(traced, keys)

@@ -167,7 +167,7 @@ def facet_tiles(spark: SparkSession, d: str) -> DataFrame:
 )
 def linked_chain(spark: SparkSession, d: str) -> DataFrame:
     """From the starting selection: its bin's pixels, its cluster's pixels and tiles, its tile's pixels and label."""
-    names = ["pixels", "volcano_points", "presence", "labels", "first"]
+    names = ["pixels", "volcano_points", "cluster_points", "presence", "labels", "first"]
     tables = linked_tables(pixels(spark, d), names=names)
     views = linked_from(tables, tables["first"])
     rows = {

@@ -30,6 +30,7 @@ from binweave.operators.geometry import (
     polygon_tiles,
     position_name,
     relative_shape,
+    tile,
     tile_center,
     tile_corners,
     tile_name,
@@ -74,7 +75,7 @@ from binweave.operators.summaries import (
     with_p,
 )
 from binweave.scratch import cut
-from binweave.sinks.chunks import write_chunks
+from binweave.sinks.chunks import write_bucketed_chunks, write_chunks
 
 CLUSTER = ["chr", "clust"]
 LOCAL = ["chr", "clust", *TILE]
@@ -93,6 +94,10 @@ CHUNKS = {
     "shape": [],
     "first": [],
 }
+# Tables looked up by cluster, of which there are too many for a folder each.
+BUCKETED = {"outlines": ["chr", "clust"], "cluster_points": ["chr", "clust"]}
+BUCKETS = 64
+TABLES = (*CHUNKS, *BUCKETED)
 
 
 # Columns of the prepared pixels that the tables are made of.
@@ -122,7 +127,7 @@ def linked_tables(
     offset: tuple[float, float] = TILE_OFFSET,
     log2_tiles: bool = False,
     saddle: str = "separate",
-    names: Sequence[str] = tuple(CHUNKS),
+    names: Sequence[str] = TABLES,
 ) -> dict[str, DataFrame]:
     """The tables of the linked cluster view, or those of them in ``names``."""
 
@@ -150,6 +155,9 @@ def linked_tables(
             }
         )
 
+    def cluster_outlines() -> DataFrame:
+        return tile_name(tile(outlines(rows(), CLUSTER, saddle), width, offset))
+
     def labels() -> DataFrame:
         anchor = label_anchor(corner_extents(rows()))
         return tile_name(cluster_tile_labels(cells(), summarize_clusters(cells()), anchor))
@@ -167,6 +175,10 @@ def linked_tables(
         "tiles": lambda: tile_name(tile_center(summarize_tiles(cells()), offset)),
         "presence": lambda: tile_name(tile_center(seen(), offset)),
         "local_outlines": local_outlines,
+        "outlines": cluster_outlines,
+        "cluster_points": lambda: rows().select(
+            "chr", "clust", "region1", "region2", "logfc", "neg_log10_p"
+        ),
         "labels": labels,
         "volcano_heat": lambda: tooltip(volcano_heat(rows())),
         "size_heat": lambda: size_heat(binned(), log2_tiles),
@@ -179,7 +191,10 @@ def linked_tables(
 def write_linked_view(tables: Mapping[str, DataFrame], path: str) -> None:
     """Every table in its chunks below ``path``."""
     for name, df in tables.items():
-        write_chunks(df, CHUNKS[name], f"{path}/{name}")
+        if name in BUCKETED:
+            write_bucketed_chunks(df, BUCKETED[name], f"{path}/{name}", BUCKETS)
+        else:
+            write_chunks(df, CHUNKS[name], f"{path}/{name}")
 
 
 def linked_view(tables: Mapping[str, DataFrame], selection: Mapping[str, Any]) -> dict[str, DataFrame]:
@@ -196,7 +211,8 @@ def linked_view(tables: Mapping[str, DataFrame], selection: Mapping[str, Any]) -
     mine = {"clust": selection["clust"]} if "clust" in selection else {}
     return {
         "volcano_zoom": flag_selected(pick("volcano_points", "volcano_bin"), mine),
-        "cluster_pixels": pick("pixels", "clust"),
+        "cluster_pixels": pick("cluster_points", "clust"),
+        "cluster_outline": pick("outlines", "clust"),
         "cluster_tiles": pick("presence", "clust"),
         "tile_pixels": flag_selected(pick("pixels", "round_regions"), mine),
         "tile_outlines": flag_selected(pick("local_outlines", "round_regions"), mine),
@@ -216,7 +232,8 @@ def linked_from(tables: Mapping[str, DataFrame], selection: DataFrame) -> dict[s
     """
     views = {
         "volcano_zoom": ("volcano_points", ["chr", "volcano_bin"]),
-        "cluster_pixels": ("pixels", CLUSTER),
+        "cluster_pixels": ("cluster_points", CLUSTER),
+        "cluster_outline": ("outlines", CLUSTER),
         "cluster_tiles": ("presence", CLUSTER),
         "tile_pixels": ("pixels", ["chr", "round_regions"]),
         "tile_outlines": ("local_outlines", ["chr", "round_regions"]),

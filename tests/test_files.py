@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from binweave.operators.geometry import corners, position_name, relative_corners, relative_shape, tiled_pixels
 from binweave.plans.views import (
-    CHUNKS,
+    BUCKETS,
+    TABLES,
     axis_view,
     linked_from,
     linked_tables,
@@ -153,7 +154,7 @@ def test_factoring_is_lossless_and_smaller(spark, sf_dir):
 
 def test_linked_view_end_to_end(spark, sf_dir, tmp_path):
     tables = linked_tables(pixels(spark, sf_dir))
-    assert set(tables) == set(CHUNKS)
+    assert set(tables) == set(TABLES)
     first = tables["first"].first().asDict()
     views = linked_view(tables, first)
     chained = linked_from(tables, tables["first"])
@@ -163,7 +164,10 @@ def test_linked_view_end_to_end(spark, sf_dir, tmp_path):
     assert views["size_zoom"].count() == tables["size_points"].count()  # no size bin chosen yet
     path = str(tmp_path / "view")
     write_linked_view(tables, path)
-    assert set(os.listdir(path)) == set(CHUNKS)
+    assert set(os.listdir(path)) == set(TABLES)
+    mine = {"chr": first["chr"], "clust": first["clust"]}
+    found = read_bucketed_chunk(spark, f"{path}/outlines", mine, BUCKETS)
+    assert found.count() == views["cluster_outline"].count() > 0
     stored = read_chunks(spark, f"{path}/pixels", tables["pixels"].schema)
     again = linked_view({**tables, "pixels": stored}, first)["tile_pixels"]
     assert again.count() == views["tile_pixels"].count()

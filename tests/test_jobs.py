@@ -5,6 +5,7 @@ import os
 import pytest
 
 from binweave import jobs
+from binweave.plans.views import TABLES
 from binweave.sources.stand_ins import pixels, polygons
 from binweave.sources.tables import write_partitioned
 
@@ -23,7 +24,7 @@ def inputs(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize(
     "job,options,tables",
     [
-        ("linked", ["--pixels", "{}/pixels.tsv", "--greatest", "80"], set(jobs.CHUNKS)),
+        ("linked", ["--pixels", "{}/pixels.tsv", "--greatest", "80"], set(TABLES)),
         ("volcano", ["--pixels", "{}/px", "--chr", "chr1"], {"pixels", "corners", "volcano_heat", "color_scale", "first"}),
         ("axis", ["--pixels", "{}/px", "--width", "50"], {"pixels", "corners", "tiles", "tile_corners", "spacing"}),
         ("missing", ["--pixels", "{}/px", "--max-distance", "49"], {"missing", "counts"}),
