@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from binweave.operators.boundary import (
     bounding_boxes,
     group_areas,
+    group_masks,
     segments,
     simplified_vertices,
     vertices,
@@ -376,6 +377,26 @@ def dense_mask(spark: SparkSession, d: str) -> DataFrame:
     return mask_long(pixels(spark, d), 1, 60)
 
 
+@query(
+    "i17_group_masks",
+    s.sql(
+        s.PIXELS, s.TILED,
+        f"""SELECT {', '.join('c.' + k.strip() for k in LOCAL_SQL.split(','))}, c.region1, c.region2,
+             c.region1 - c.low1 + 1 AS "row", c.region2 - c.low2 + 1 AS col,
+             CASE WHEN p.region1 IS NULL THEN 0 ELSE 1 END AS value
+           FROM (SELECT *, unnest(range(low2, high2 + 1)) AS region2 FROM (
+                   SELECT *, unnest(range(low1, high1 + 1)) AS region1 FROM (
+                     SELECT {LOCAL_SQL}, min(region1) - 1 AS low1, max(region1) + 1 AS high1,
+                       min(region2) - 1 AS low2, max(region2) + 1 AS high2 FROM tiled GROUP BY {LOCAL_SQL}))) c
+           LEFT JOIN tiled p ON p.region1 = c.region1 AND p.region2 = c.region2
+             AND {' AND '.join(f'p.{k.strip()} = c.{k.strip()}' for k in LOCAL_SQL.split(','))}""",
+    ),
+)
+def masks(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of clusters within tiles."""
+    return group_masks(tiled(spark, d), LOCAL)
+
+
 @query(
     "i18_presence",
     s.sql(s.PIXELS, s.TILED, "SELECT DISTINCT chr, round_region_x, round_region_y, clust FROM tiled"),
