@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from binweave.llm import sharding, topk  # noqa: F401
+from binweave.llm import bitplanes, packing, quality, sharding, topk  # noqa: F401
 from binweave.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -114,6 +114,14 @@ def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+def span_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of the byte spans from ``low`` to before ``high``."""
+    powers, inverse = _BYTES.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[lower][data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[high] - sums[low]) * inverse[low])
+
+
 def split(column: pa.Array, lower: bool = False) -> Words:
     """Words of every row, unchanged or with A-Z in lower case."""
     data, offsets = text_bytes(column)
@@ -131,11 +139,7 @@ def split(column: pa.Array, lower: bool = False) -> Words:
     after[:-1] = inside[1:]
     after[row_starts[row_starts > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    powers, inverse = _BYTES.upto(size + 1)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_VALUES[lower][data] * powers[:size], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data)
+    return Words(span_hashes(data, starts, ends, lower), np.searchsorted(starts, offsets), starts, ends, data)
 
 
 def windows(words: Words, width: int, short: bool = False) -> Windows:
