@@ -18,12 +18,11 @@ def slot(*columns: str, bits: int = BITMAP_BITS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(bits))
 
 
-def bitmap(df: DataFrame, *columns: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Boolean array over slots; at most ``bits / 64`` words reach the driver."""
+def bitmap_of(slots: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bits of the slots in column ``slot``, as bytes; at most ``bits / 64`` words reach the driver."""
     words = (
-        df.select(slot(*columns, bits=bits).alias("slot"))
-        .groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), (F.col("slot") % 64).cast("int"))).alias("set"))
+        slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("set"))
         .toArrow()
     )
     packed = np.zeros(bits // 64, np.int64)
@@ -31,5 +30,10 @@ def bitmap(df: DataFrame, *columns: str, bits: int = BITMAP_BITS) -> np.ndarray:
     return packed.view(np.uint8)
 
 
+def bitmap(df: DataFrame, *columns: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bits of the rows' slots."""
+    return bitmap_of(df.select(slot(*columns, bits=bits).alias("slot")), bits)
+
+
 def contains(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

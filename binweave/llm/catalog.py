@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from binweave.llm import bitplanes, packing, quality, sharding, topk  # noqa: F401
+from binweave.llm import (  # noqa: F401
+    bitplanes,
+    decontaminate,
+    language,
+    lm,
+    packing,
+    quality,
+    sharding,
+    substrings,
+    topk,
+)
 from binweave.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_PAIRS = 1 << 20  # pairs a bucket is meant to hold
+BUCKET_PAIRS = 1 << 21  # pairs a bucket is meant to hold
 WORD_BYTES = 6  # text bytes per word from which the number of pairs is estimated
 PACKED = "bucket int, vals binary, flags binary, ids binary, tags binary, runs binary"
 _TYPES = [pa.int32(), *[pa.binary()] * 5]

@@ -41,6 +41,8 @@ def _byte_values(lower: bool) -> np.ndarray:
 _VALUES = {lower: _byte_values(lower) for lower in (False, True)}
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SEPARATORS)] = False
+# Letters, digits and every byte of a multi-byte character.
+_IS_PLAIN = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 
 
 class _Powers:
@@ -122,14 +124,17 @@ def span_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray, lower: bool
     return mix((sums[high] - sums[low]) * inverse[low])
 
 
-def split(column: pa.Array, lower: bool = False) -> Words:
-    """Words of every row, unchanged or with A-Z in lower case."""
+def split(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Words of every row, unchanged or with A-Z in lower case.
+
+    ``plain``: ASCII punctuation and control characters separate words too.
+    """
     data, offsets = text_bytes(column)
     size = len(data)
     if not size:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, data)
-    inside = _IS_WORD[data]
+    inside = (_IS_PLAIN if plain else _IS_WORD)[data]
     row_starts = offsets[:-1][offsets[:-1] < size]
     before = np.zeros(size, bool)
     before[1:] = inside[:-1]
@@ -165,7 +170,8 @@ def windows(words: Words, width: int, short: bool = False) -> Windows:
 
 def unique_per_row(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, and the row offsets into them."""
-    order = np.lexsort((values, rows))
+    order = np.argsort(values)
+    order = order[np.argsort(rows[order].astype(np.uint16 if n_rows <= 1 << 16 else np.int64), kind="stable")]
     values, rows = values[order], rows[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
