@@ -5,6 +5,7 @@ from __future__ import annotations
 from binweave.llm import (  # noqa: F401
     bitplanes,
     decontaminate,
+    jaccard,
     language,
     lm,
     packing,
