@@ -91,7 +91,7 @@ def _doc_hits(shared):
                 new = np.ones(len(at), bool)
                 new[1:] = (row[1:] != row[:-1]) | (at[1:] - at[:-1] > 2 * RADIUS)
                 heads = np.flatnonzero(new)
-                for a, b in zip(heads, np.append(heads[1:], len(at)), strict=True):
+                for a, b in zip(heads, np.append(heads[1:], len(at))[: len(heads)], strict=True):
                     r = row[a]
                     begin = max(int(at[a]) - RADIUS, int(words.first[r]))
                     end = min(int(at[b - 1]) + RADIUS, int(words.first[r + 1]))

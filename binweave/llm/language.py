@@ -232,13 +232,13 @@ def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary
     A NULL text and one without a letter get ``und`` and 0, as do all if no language was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast((languages, log_p))  # vocabulary x languages
-    kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score", "_letter")])
+    kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score", "__letter")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
         tool = pieces(vocabulary)
         for batch in batches:
-            texts, letter = batch.column("text"), batch.column("_letter").to_numpy(zero_copy_only=False)
+            texts, letter = batch.column("text"), batch.column("__letter").to_numpy(zero_copy_only=False)
             best, share = np.zeros(len(texts), int), np.zeros(len(texts))
             # Memory follows words x languages, so many languages mean shorter chunks.
             most = CHUNK_BYTES * 4 // max(4, len(names))
@@ -253,13 +253,13 @@ def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary
                 share[low:high] = 1 / odds.sum(axis=1)
             known = letter & bool(names)
             label = np.where(known, np.array([*names, UNKNOWN], object)[best], UNKNOWN)
-            fields = [n for n in batch.schema.names if n != "_letter"]
+            fields = [n for n in batch.schema.names if n != "__letter"]
             arrays = [batch.column(n) for n in fields] + [pa.array(label, pa.string()), pa.array(np.where(known, share, 0.0))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*fields, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     letter = F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False))
-    return kept.withColumn("_letter", letter).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.withColumn("__letter", letter).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 @query("op1_language")

@@ -142,20 +142,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
-def with_quality(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where it is 0.5 or more)."""
+def with_quality(docs: DataFrame, weights: np.ndarray, bits: int = BITS, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 where the score is 0.5 or more).
+
+    Columns of ``docs`` that bear the two names are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size
+    kept = docs.select([c for c in docs.columns if c not in (score_name, predicted_name)])
+    names = kept.columns
 
-    def run(columns: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in columns:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             values = score(batch.column("text"), shared.value, bits)
-            fields = [f for f in batch.schema.names]
-            arrays = [batch.column(f) for f in fields] + [pa.array(values), pa.array((values >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*fields, "score", "predicted"])
+            arrays = [*batch.columns, pa.array(values), pa.array((values >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, score_name, predicted_name])
 
-    kept = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, score double, predicted int")
+    return kept.mapInArrow(run, f"{fields}, `{score_name}` double, `{predicted_name}` int")
 
 
 @query("op7_quality")

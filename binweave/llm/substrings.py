@@ -153,10 +153,10 @@ def holes_of(words: Words, row: int, covered: np.ndarray) -> tuple[list[tuple[in
     return [(int(words.starts[a + x]), int(words.starts[a + y] if a + y < b else words.ends[b - 1])) for x, y in runs], [(x, y - x) for x, y in runs]
 
 
-def _remove(window: int, fields: list[str]):
+def _remove(window: int, fields: list[str], removed: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column("text"), batch.column("keys").to_pylist()
+            texts, keys = batch.column("text"), batch.column("__keys").to_pylist()
             kept, spans = [], []
             for low, high in row_chunks(texts):
                 words = split(texts.slice(low, high - low))
@@ -180,7 +180,7 @@ def _remove(window: int, fields: list[str]):
                     spans.append([{"start": x, "words": n} for x, n in runs])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
             arrays = [pa.array(kept, pa.string()) if f == "text" else batch.column(f) for f in fields] + [pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*fields, "removed"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*fields, removed])
 
     return run
 
@@ -198,40 +198,41 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     probes = usable.mapInArrow(_probes(buckets, window, block), PACKED)
     hits = probes.groupBy("bucket").applyInArrow(_hits(buckets), PACKED)
     per_doc = cut(hits.groupBy("bucket").applyInArrow(_per_doc(6), _PER_DOC), "hits")
-    near = maybe(usable, per_doc).filter("_maybe").drop("_maybe").join(per_doc, "doc_id")
+    near = maybe(usable, per_doc).filter("__maybe").drop("__maybe").join(per_doc, "doc_id")
     full = near.select("doc_id", "text", "keys").mapInArrow(_candidates(buckets, window, block), PACKED)
     found = full.groupBy("bucket").applyInArrow(_repeats(buckets), PACKED)
     return cut(found.groupBy("bucket").applyInArrow(_per_doc(8), _PER_DOC), "repeats")
 
 
 def maybe(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``docs`` with ``_maybe``: false for documents certainly not among ``members``."""
+    """``docs`` with ``__maybe``: false for documents certainly not among ``members``."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(members, "doc_id"))  # fixed size
 
     @F.arrow_udf("boolean")
     def inside(slots: pa.Array) -> pa.Array:
         return pa.array(contains(shared.value, slots.to_numpy(zero_copy_only=False).astype(np.int64)))
 
-    return docs.withColumn("_maybe", inside(slot("doc_id")))
+    return docs.withColumn("__maybe", inside(slot("doc_id")))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, removed: str = "removed") -> DataFrame:
     """``docs`` with repeated words cut out of ``text``, and ``removed``: the runs cut out.
 
     ``removed`` holds (first word, number of words) in the numbering of the input's words, which
     are unchanged otherwise, as is the white space around them; it is empty where nothing was
-    cut.  A NULL text stays NULL, and a document with a NULL id stays as it is.
+    cut.  A column of ``docs`` that bears its name is replaced.  A NULL text stays NULL, and a
+    document with a NULL id stays as it is.
     """
-    fields = [c for c in docs.columns if c not in ("removed", "keys", "_maybe")]
-    found = repeats(docs, window)
+    fields = [c for c in docs.columns if c != removed]
+    found = repeats(docs, window).withColumnRenamed("keys", "__keys")
     marked = maybe(docs.select(*fields), found)
     kind = "array<struct<start: bigint, words: bigint>>"
-    clean = marked.filter("NOT _maybe").select(*fields, F.array().cast(kind).alias("removed"))
-    kept = docs.select(*fields).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", removed {kind}"
-    touched = marked.filter("_maybe").drop("_maybe").join(found, "doc_id", "left")
-    same = touched.filter("keys IS NULL").select(*fields, F.array().cast(kind).alias("removed"))
-    changed = touched.filter("keys IS NOT NULL").select(*fields, "keys").mapInArrow(_remove(window, fields), schema)
+    none = F.array().cast(kind).alias(removed)
+    clean = marked.filter("NOT __maybe").select(*fields, none)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*fields).schema) + f", `{removed}` {kind}"
+    touched = marked.filter("__maybe").drop("__maybe").join(found, "doc_id", "left")
+    same = touched.filter("__keys IS NULL").select(*fields, none)
+    changed = touched.filter("__keys IS NOT NULL").select(*fields, "__keys").mapInArrow(_remove(window, fields, removed), schema)
     return clean.unionByName(same).unionByName(changed)
 
 
