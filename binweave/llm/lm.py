@@ -39,7 +39,7 @@ BETA, DISCOUNT = 0.2, 0.75
 MIN_PAIR = 2  # pairs seen once carry no evidence beyond their words
 
 _END, _BEGIN = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
-_BUFFER = 1 << 20
+_BUFFER = 1 << 19
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
