@@ -208,9 +208,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: str = VOCABULARY)
     those not held out with a language and a text; each language is fitted in a task of its own.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = usable.select("doc_id", "lang")
+    # Only ids whose hash is low enough for about three times ``rows`` are ranked at all.
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(1 << 40)
+    low = ids.join(sizes, "lang").filter(place < F.lit(3.0 * rows) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     sample = F.broadcast(  # at most ``rows`` ids per language
-        usable.select("doc_id", "lang").withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("doc_id").distinct()
+        low.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("doc_id").distinct()
     )
     chosen = usable.select("doc_id", "lang", "text").join(sample, "doc_id")
 
