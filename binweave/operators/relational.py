@@ -12,6 +12,7 @@ from binweave.functions.text import GRID_TITLE, fill
 from binweave.scratch import cut
 
 HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
+HOT_KEYS = 10_000  # bound of the list of salted keys, which is broadcast
 BROADCAST_ROWS = 100_000  # rows up to which a counted table is broadcast
 NULL_PARTS = 1024  # parts over which rows with a missing key are spread
 BIN_BLOCK = 1024  # bins per block when a grid is built
@@ -38,30 +39,35 @@ def join_spread(
     keys: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    counted: str | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a side holding one row per key, when a key may hold much of ``big``.
 
     A key with more than ``hot_rows`` rows is salted over as many parts as it
     holds that number; the other side repeats the row of such a key once per
-    part.  There are at most rows / hot_rows hot keys, which bounds the table
-    of them that is broadcast.  Rows with a missing key match nothing and are
-    spread freely.  The salt is a hash of the row, so a retried task repeats it.
+    part.  The limit rises with the table so that at most ``HOT_KEYS`` keys are
+    hot, which bounds the list of them that is broadcast.  Rows are salted at random from
+    a fixed seed, so equal rows part as well.  ``counted`` names a column of ``unique`` that
+    already holds the rows of each key; without it they are counted in a pass of their own.
+    A missing key matches a missing one if ``null_safe``, else nothing, and is spread freely.
     """
-    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(
-        counts.filter(F.col("_n") > hot_rows).select(
-            *keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts")
-        )
-    )
-    spread = F.xxhash64(*big.columns)
+    if counted:
+        counts = unique.select(*keys, F.col(counted).alias("_n"))
+        unique = unique.drop(counted)
+    else:
+        counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = F.greatest(F.lit(hot_rows), F.ceil(counts.agg(F.sum("_n")).scalar() / HOT_KEYS))
+    hot = counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(missing, F.pmod(spread, F.lit(NULL_PARTS))).otherwise(
-        F.pmod(spread, F.coalesce(F.col("_parts"), F.lit(1)))
-    )
-    salted = big.join(hot, list(keys), "left").withColumn("_salt", salt.cast("int")).drop("_parts")
+    spread = F.floor(F.rand(7) * F.coalesce(F.col("_parts"), F.lit(1)))
+    if not null_safe:
+        spread = F.when(missing, F.floor(F.rand(7) * NULL_PARTS)).otherwise(spread)
+    join = join_null_safe if null_safe else lambda a, b, k, h: a.join(b, list(k), h)
+    salted = join(big, F.broadcast(hot), keys, "left").withColumn("_salt", spread.cast("int")).drop("_parts")
     parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    repeated = unique.join(hot, list(keys), "left").withColumn("_salt", F.explode(parts)).drop("_parts")
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    repeated = join(unique, F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(parts)).drop("_parts")
+    return join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def join_checked(
@@ -127,21 +133,24 @@ def rows_of_ranked_keys(
 ) -> DataFrame:
     """Rows of the keys at the given ranks; at most ``len(ranks)`` keys are broadcast."""
     chosen = F.broadcast(keys_by_rank(df, keys, ranks))
-    return df.join(chosen, list(keys), "left_semi")
+    return join_null_safe(df, chosen, keys, "left_semi")
 
 
-def above_subset_max(df: DataFrame, column: str, subset: Column) -> DataFrame:
-    """Rows above the greatest value ``column`` takes where ``subset`` holds."""
+def above_subset_max(df: DataFrame, column: str, subset: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Rows above the greatest value ``column`` takes where ``subset`` holds, in all or by group."""
+    if by:
+        limits = df.filter(subset).groupBy(*by).agg(F.max(column).alias("_limit"))
+        return join_null_safe(df, limits, by).filter(F.col(column) > F.col("_limit")).drop("_limit")
     limit = df.filter(subset).agg(F.max(column)).scalar()
     return df.filter(F.col(column) > limit)
 
 
 def index_shift(pixels: DataFrame) -> DataFrame:
-    """``i, j``: region2 and region1 counted from the least bin of the table, from 1."""
-    least = pixels.agg(F.least(F.min("region1"), F.min("region2"))).scalar()
-    return pixels.withColumns(
-        {"i": F.col("region2") - least + 1, "j": F.col("region1") - least + 1}
-    )
+    """``i, j``: region2 and region1 counted from the least bin of their chromosome, from 1."""
+    least = pixels.groupBy("chr").agg(F.least(F.min("region1"), F.min("region2")).alias("_least"))
+    return join_null_safe(pixels, least, ["chr"]).withColumns(
+        {"i": F.col("region2") - F.col("_least") + 1, "j": F.col("region1") - F.col("_least") + 1}
+    ).drop("_least")
 
 
 def inside_extents(df: DataFrame, extents: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -156,49 +165,53 @@ def inside_extents(df: DataFrame, extents: DataFrame, columns: Mapping[str, str]
 # --- grid ------------------------------------------------------------------
 
 
-def _grid_blocks(pixels: DataFrame, max_distance: int | None, by: Sequence[str]) -> DataFrame:
-    """Grid cells as one row per (by, region1, block of region2), with the cells as an array.
-
-    Only bins are shuffled, never cells: a row carries at most BIN_BLOCK of them.
-    """
-    first, second = F.col("region1"), F.col("region2")
-    seconds = (
+def _seconds(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct region2 values in arrays of one block each."""
+    return (
         pixels.select(*by, "region2")
         .distinct()
-        .groupBy(*by, F.floor(second / BIN_BLOCK).alias("block"))
+        .groupBy(*by, F.floor(F.col("region2") / BIN_BLOCK).alias("block"))
         .agg(F.sort_array(F.collect_set("region2")).alias("others"))
     )
+
+
+def _grid_blocks(pixels: DataFrame, max_distance: int, by: Sequence[str]) -> DataFrame:
+    """Grid cells as one row per (by, region1, block of region2), with the cells as an array.
+
+    Only bins are shuffled, never cells: a row carries at most BIN_BLOCK of them.
+    """
+    first = F.col("region1")
     firsts = pixels.select(*by, "region1").distinct()
-    begin = F.floor(first / BIN_BLOCK)
-    if max_distance is None:
-        ends = seconds.groupBy(*by).agg(F.max("block").alias("end_block"))
-        firsts = firsts.join(ends, list(by)).filter(begin <= F.col("end_block"))
-        last = F.col("end_block")
-        within = lambda v: v >= first
-    else:
-        last = F.floor((first + max_distance) / BIN_BLOCK)
-        within = lambda v: v.between(first, first + max_distance)
-    steps = firsts.select(*by, "region1", F.explode(F.sequence(begin, last)).alias("block"))
-    return steps.join(seconds, [*by, "block"]).select(
-        *by, "region1", "block", F.filter("others", within).alias("cells")
+    blocks = F.sequence(F.floor(first / BIN_BLOCK), F.floor((first + max_distance) / BIN_BLOCK))
+    steps = firsts.select(*by, "region1", F.explode(blocks).alias("block"))
+    return join_null_safe(steps, _seconds(pixels, by), [*by, "block"]).select(
+        *by, "region1", "block", F.filter("others", lambda v: v.between(first, first + max_distance)).alias("cells")
     )
 
 
+def _distance(pixels: DataFrame, max_distance: int | None, whole: bool) -> int:
+    """The distance given, or the longest there is for a whole triangle that is asked for."""
+    if max_distance is not None:
+        return max_distance
+    if not whole:
+        raise ValueError("give max_distance; whole=True lists the whole triangle, which is quadratic in bins")
+    return pixels.agg(F.coalesce(F.max("region2") - F.min("region1"), F.lit(0)).alias("d")).first()["d"]
+
+
 def grid(
-    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",), whole: bool = False
 ) -> DataFrame:
     """Every (region1, region2) made of bins seen on either axis, region1 <= region2.
 
-    The whole triangle grows with the square of the chromosome; give
-    ``max_distance`` on long ones.
+    ``max_distance`` bounds region2 - region1; ``whole`` asks for the whole triangle instead.
     """
-    return _grid_blocks(pixels, max_distance, by).select(
+    return _grid_blocks(pixels, _distance(pixels, max_distance, whole), by).select(
         *by, "region1", F.explode("cells").alias("region2")
     )
 
 
 def missing_pixels(
-    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",), whole: bool = False
 ) -> DataFrame:
     """Grid cells without a pixel.
 
@@ -208,14 +221,15 @@ def missing_pixels(
     present = pixels.groupBy(
         *by, "region1", F.floor(F.col("region2") / BIN_BLOCK).alias("block")
     ).agg(F.collect_set("region2").alias("present"))
-    both = _grid_blocks(pixels, max_distance, by).join(present, [*by, "region1", "block"], "left")
+    cells = _grid_blocks(pixels, _distance(pixels, max_distance, whole), by)
+    both = join_null_safe(cells, present, [*by, "region1", "block"], "left")
     none = F.array().cast("array<bigint>")
     absent = F.array_except("cells", F.coalesce(F.col("present"), none))
     return both.select(*by, "region1", F.explode(absent).alias("region2"))
 
 
 def grid_with_pixels(
-    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",)
+    pixels: DataFrame, max_distance: int | None = None, by: Sequence[str] = ("chr",), whole: bool = False
 ) -> DataFrame:
     """Every grid cell with its pixel, or NULLs where it has none.
 
@@ -225,24 +239,41 @@ def grid_with_pixels(
     inside = F.col("region1") <= F.col("region2")
     if max_distance is not None:
         inside &= F.col("region2") <= F.col("region1") + max_distance
-    absent = missing_pixels(pixels, max_distance, by)
+    absent = missing_pixels(pixels, max_distance, by, whole)
     return pixels.filter(inside).unionByName(absent, allowMissingColumns=True)
 
 
 def grid_sizes(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
-    """Cells of the whole triangle per region1, counted without listing them."""
-    return (
-        _grid_blocks(pixels, None, by)
-        .groupBy(*by, "region1")
-        .agg(F.sum(F.size("cells")).alias("cells"))
+    """Cells of the whole triangle per region1, counted without building one.
+
+    A region1 has the region2 values from it on: those in its own block of bins, and the sum
+    over all later blocks, which is a running sum over one row per block.
+    """
+    firsts = pixels.select(*by, "region1").distinct().withColumn("block", F.floor(F.col("region1") / BIN_BLOCK))
+    seconds = _seconds(pixels, by)
+    number = seconds.select(*by, "block", F.size("others").alias("n"))
+    blocks = number.unionByName(firsts.select(*by, "block").distinct().withColumn("n", F.lit(0)))
+    later = Window.partitionBy(*by).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(*by, "block").agg(F.sum("n").alias("n")).select(
+        *by, "block", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("later")
     )
+    met = join_null_safe(join_null_safe(firsts, sums, [*by, "block"]), seconds, [*by, "block"], "left")
+    own = F.coalesce(F.size(F.filter("others", lambda v: v >= F.col("region1"))), F.lit(0))
+    own = F.when(F.col("others").isNull(), 0).otherwise(own)
+    return met.select(*by, "region1", (own + F.col("later")).cast("bigint").alias("cells")).filter("cells > 0")
 
 
-def grid_counts(pixels: DataFrame, by: Sequence[str] = ("chr",)) -> DataFrame:
-    """Missing and possible pixels of the whole triangle, one row."""
-    possible = grid_sizes(pixels, by).agg(F.sum("cells").alias("possible"))
+def grid_counts(pixels: DataFrame, by: Sequence[str] = ("chr",), max_distance: int | None = None) -> DataFrame:
+    """Missing and possible pixels, one row: of the whole triangle, or up to a distance."""
+    inside = F.col("region1") <= F.col("region2")
+    if max_distance is None:
+        sizes = grid_sizes(pixels, by)
+    else:
+        sizes = _grid_blocks(pixels, max_distance, by).select(F.size("cells").alias("cells"))
+        inside &= F.col("region2") <= F.col("region1") + max_distance
+    possible = sizes.agg(F.coalesce(F.sum("cells"), F.lit(0)).cast("bigint").alias("possible"))
     present = (
-        pixels.filter("region1 <= region2")
+        pixels.filter(inside)
         .select(*by, "region1", "region2")
         .distinct()
         .agg(F.count("*").alias("present"))
@@ -265,8 +296,8 @@ def relative_to_least(
     An aggregate and a join rather than a window, so that a group holding a
     large share of the rows is not sorted in one task.
     """
-    least = df.groupBy(*keys).agg(*[F.min(c).alias(f"_least_{c}") for c in columns])
-    joined = join_spread(df, least, keys, "inner", hot_rows)
+    least = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.min(c).alias(f"_least_{c}") for c in columns])
+    joined = join_spread(df, least, keys, "inner", hot_rows, "_rows", null_safe=True)
     return joined.withColumns(
         {f"rel_{c}": F.col(c) - F.col(f"_least_{c}") for c in columns}
     ).drop(*[f"_least_{c}" for c in columns])
@@ -283,8 +314,8 @@ def rows_of_first_id(
     df: DataFrame, keys: Sequence[str], id_column: str = "id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Rows carrying the least id of their group."""
-    least = df.groupBy(*keys).agg(F.min(id_column).alias("_first_id"))
-    joined = join_spread(df, least, keys, "inner", hot_rows)
+    least = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min(id_column).alias("_first_id"))
+    joined = join_spread(df, least, keys, "inner", hot_rows, "_rows", null_safe=True)
     return joined.filter(F.col(id_column) == F.col("_first_id")).drop("_first_id")
 
 

@@ -12,8 +12,6 @@ from binweave.functions.text import PIXELS_PART, fill
 from binweave.operators.relational import join_checked
 from binweave.operators.summaries import most_significant
 
-INLINE_VALUES = 1_000  # up to here chosen values become literals in the filter
-
 
 def _is_set(value: Any) -> bool:
     return isinstance(value, (list, tuple, set, frozenset))
@@ -23,20 +21,16 @@ def shown(df: DataFrame, selection: Mapping[str, Any]) -> DataFrame:
     """Rows matching every selector.
 
     A selector is a value, a collection of values, or a DataFrame with the
-    selector's column.  Values and short collections become filters, which
-    prune chunk folders and reach the scan; a DataFrame is semi-joined by its size.
+    selector's column.  Values and collections become filters, which prune chunk
+    folders and reach the scan; a DataFrame, for more values than the driver should
+    hold, is semi-joined by its size.  Types are compared in the same way in all three:
+    both sides are widened, so 1.5 equals no whole number.
     """
     for name, value in selection.items():
         if isinstance(value, DataFrame):
             df = join_checked(df, value.select(name).distinct(), [name], "left_semi")
         elif _is_set(value):
-            values = list(value)
-            if len(values) > INLINE_VALUES:
-                table = df.sparkSession.createDataFrame([(v,) for v in values], [name])
-                table = table.withColumn(name, F.col(name).cast(df.schema[name].dataType))
-                df = join_checked(df, table.distinct(), [name], "left_semi")
-            else:
-                df = df.filter(F.col(name).isin(values))
+            df = df.filter(F.col(name).isin(list(value)))
         else:
             df = df.filter(F.col(name) == value)
     return df
@@ -62,8 +56,8 @@ def flag_selected(
 
 
 def diagonal_pixels(pixels: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` pixels on the diagonal, in bin order: a starting selection."""
-    return pixels.filter("region1 = region2").orderBy("region1").limit(n)
+    """The first ``n`` pixels on the diagonal, in order of chromosome and bin: a starting selection."""
+    return pixels.filter("region1 = region2").orderBy("chr", "region1").limit(n)
 
 
 def initial_selection(

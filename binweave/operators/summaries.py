@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from binweave.operators.relational import (
     join_null_safe,
     number_rows,
 )
+from binweave.scratch import cut
 
 # Widths of the volcano and size bins, bins per unit of the
 # coarser volcano, and corner rows drawn per pixel.
@@ -88,38 +90,46 @@ def multi_aggregate(
     return df.groupBy(*keys).agg(*aggs)
 
 
+def group_apply(
+    df: DataFrame, keys: Sequence[str], function: Callable[[pa.Table], pa.Table], schema: str, most_rows: int
+) -> DataFrame:
+    """``function`` over the rows of each group, for what no built-in aggregate can say.
+
+    A group is held in one task, so ``most_rows`` states how large one may be: a larger one is
+    an error, found by counting before any rows are gathered.  NULL keys are a group.
+    """
+    largest = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if largest > most_rows:
+        raise ValueError(f"a group of {largest} rows; at most {most_rows} are handled")
+    return df.groupBy(*keys).applyInArrow(function, schema)
+
+
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Least, greatest and number of distinct values of each column, one row per column.
 
     One pass over the rows; distinct values are counted through an aggregate on
     (column, value), so no task holds them all.
     """
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.col(c).cast("double").alias("value")
-                        if dict(df.dtypes)[c] != "string"
-                        else F.lit(None).cast("double").alias("value"),
-                        (
-                            F.col(c)
-                            if dict(df.dtypes)[c] == "string"
-                            else F.lit(None).cast("string")
-                        ).alias("text"),
-                    )
-                    for c in columns
-                ]
-            )
+    kinds = dict(df.dtypes)
+
+    def entry(c: str) -> Column:
+        text = kinds[c] == "string"
+        # Values are told apart in their own type; only the extremes are shown as doubles.
+        own = F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c)
+        return F.struct(
+            F.lit(c).alias("column"),
+            own.cast("string").alias("own"),
+            (F.lit(None) if text else F.col(c)).cast("double").alias("value"),
         )
-    )
-    values = long.groupBy("column", "value", "text").agg(F.count("*").alias("n"))
+
+    long = df.select(F.inline(F.array(*[entry(c) for c in columns])))
+    values = long.groupBy("column", "own").agg(F.min("value").alias("value"))
+    is_text = F.col("column").isin([c for c in columns if kinds[c] == "string"])
     return values.groupBy("column").agg(
         F.min("value").alias("least"),
         F.max("value").alias("greatest"),
-        F.min("text").alias("least_text"),
-        F.max("text").alias("greatest_text"),
+        F.min(F.when(is_text, F.col("own"))).alias("least_text"),
+        F.max(F.when(is_text, F.col("own"))).alias("greatest_text"),
         F.count("*").alias("values"),
     )
 
@@ -149,14 +159,26 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def midpoint_intervals(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """Interval around each distinct value, bounded half way to its neighbours.
 
-    Outer bounds lie as far out as the inner ones.  The window runs over the
-    distinct values, a handful of levels.
+    Outer bounds lie as far out as the inner ones.  Without ``by``, the distinct values are
+    dealt to ranges and written; neighbours are found within a range, and those across the edge
+    of one from the least and greatest value of every range, an array with an entry per partition.
     """
     keys = [by] if by else []
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(column)
-    near = df.select(*keys, column).distinct().withColumns(
-        {"_before": F.lag(column).over(order), "_after": F.lead(column).over(order)}
-    )
+    distinct = df.select(*keys, column).distinct()
+    if by:
+        order = Window.partitionBy(by).orderBy(column)
+        before, after = F.lag(column).over(order), F.lead(column).over(order)
+    else:
+        distinct = cut(distinct.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranged")
+        edges = distinct.groupBy("_part").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+        every = edges.agg(F.sort_array(F.array_agg(F.struct("_part", "low", "high")))).scalar()
+        distinct = distinct.withColumn("_edges", every)
+        order = Window.partitionBy("_part").orderBy(column)
+        earlier = F.filter("_edges", lambda e: e["_part"] < F.col("_part"))
+        later = F.filter("_edges", lambda e: e["_part"] > F.col("_part"))
+        before = F.coalesce(F.lag(column).over(order), F.try_element_at(earlier, F.lit(-1))["high"])
+        after = F.coalesce(F.lead(column).over(order), F.try_element_at(later, F.lit(1))["low"])
+    near = distinct.withColumns({"_before": before, "_after": after})
     v, before, after = F.col(column), F.col("_before"), F.col("_after")
     left = F.coalesce((v - before) / 2.0, (after - v) / 2.0, F.lit(0.0))
     right = F.coalesce((after - v) / 2.0, (v - before) / 2.0, F.lit(0.0))
@@ -164,14 +186,14 @@ def midpoint_intervals(df: DataFrame, column: str, by: str | None = None) -> Dat
 
 
 def presence_crosstab(pixels: DataFrame, low: int, high: int) -> DataFrame:
-    """Pixels by region1 (rows) and region2 (columns) for low < bin < high, 0 where absent."""
+    """Pixels by chr and region1 (rows) and region2 (columns) for low < bin < high, 0 where absent."""
     inner = pixels.filter(
         (F.col("region1") > low)
         & (F.col("region1") < high)
         & (F.col("region2") > low)
         & (F.col("region2") < high)
     )
-    wide = inner.groupBy("region1").pivot("region2", list(range(low + 1, high))).count()
+    wide = inner.groupBy("chr", "region1").pivot("region2", list(range(low + 1, high))).count()
     return wide.na.fill(0)
 
 
@@ -290,7 +312,10 @@ def rounded_heat(pixels: DataFrame, keys: Sequence[str] = ("chr",)) -> DataFrame
 
 
 def color_scale(binned: DataFrame, per_unit: float = LOGFC_PER_UNIT) -> DataFrame:
-    """Signed p bins above all bins at no fold change, and where to draw each."""
+    """Signed p bins above all bins at no fold change, and where to draw each.
+
+    One scale for all chromosomes of ``binned``, so that a colour means the same on each.
+    """
     above = above_subset_max(binned, "round_neg_log10_p", F.col("round_logfc") == 0)
     signed = F.signum("logfc") * F.col("round_neg_log10_p") + F.lit(0.0)
     keys = above.select(signed.alias("sign_round_neg_log10_p")).distinct()
@@ -304,12 +329,9 @@ def color_scale(binned: DataFrame, per_unit: float = LOGFC_PER_UNIT) -> DataFram
 
 
 def most_significant(pixels: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``columns`` of the most significant pixel; least bins win ties.  One row."""
-    best = F.max_by(
-        F.struct(*columns),
-        F.struct("neg_log10_p", -F.col("region1"), -F.col("region2")),
-    )
-    return pixels.agg(best.alias("best")).select("best.*")
+    """``columns`` of the most significant pixel; the least chromosome and bins win ties.  One row."""
+    order = F.struct((-F.col("neg_log10_p")).alias("p"), "chr", "region1", "region2")
+    return pixels.agg(F.min_by(F.struct(*columns), order).alias("best")).select("best.*")
 
 
 # --- clusters ----------------------------------------------------------------

@@ -77,11 +77,11 @@ def corners_by_position(spark: SparkSession, d: str) -> DataFrame:
     "c2_count_of_counts",
     s.sql(
         s.PIXELS,
-        'SELECT n AS "rows", count(*) AS keys FROM (SELECT count(*) AS n FROM pixels GROUP BY region1, region2) GROUP BY n',
+        'SELECT n AS "rows", count(*) AS keys FROM (SELECT count(*) AS n FROM pixels GROUP BY chr, region1, region2) GROUP BY n',
     ),
 )
 def uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    return count_of_counts(pixels(spark, d), ["region1", "region2"])
+    return count_of_counts(pixels(spark, d), ["chr", "region1", "region2"])
 
 
 @query(
@@ -154,11 +154,11 @@ def many_aggregates(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.POLYGONS,
         """SELECT nb_clust, count(*) AS id_length, count(DISTINCT id) AS id_n_uniq,
-           count(*) / count(DISTINCT id) AS rows_per_id FROM polygons WHERE y < 30 GROUP BY nb_clust""",
+           count(*) / count(DISTINCT id) AS rows_per_id FROM polygons GROUP BY nb_clust""",
     ),
 )
 def rows_per_id(spark: SparkSession, d: str) -> DataFrame:
-    return polygon_counts(polygons(spark, d).filter("y < 30"))
+    return polygon_counts(polygons(spark, d))
 
 
 @query(
@@ -404,7 +404,7 @@ def conditional_value(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.PIXELS, s.with_p(), s.volcano(),
         """SELECT volcano_bin, chr, clust, region1, region2 FROM binned
-           ORDER BY p_value, region1, region2 LIMIT 1""",
+           ORDER BY p_value, chr, region1, region2 LIMIT 1""",
     ),
 )
 def best_pixel(spark: SparkSession, d: str) -> DataFrame:
@@ -419,9 +419,9 @@ _CROSS = range(1, 13)
     "c22_presence_crosstab",
     s.sql(
         s.PIXELS,
-        "SELECT region1, "
+        "SELECT chr, region1, "
         + ", ".join(f'count(*) FILTER (region2 = {k}) AS "{k}"' for k in _CROSS)
-        + " FROM pixels WHERE region1 > 0 AND region1 < 13 AND region2 > 0 AND region2 < 13 GROUP BY region1",
+        + " FROM pixels WHERE region1 > 0 AND region1 < 13 AND region2 > 0 AND region2 < 13 GROUP BY chr, region1",
     ),
 )
 def crosstab(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from binweave.operators.relational import (
     columns_like,
     index_shift,
     inside_extents,
+    join_spread,
     rows_of_ranked_keys,
     strictly_between,
     window,
@@ -115,13 +116,13 @@ def cluster_set(spark: SparkSession, d: str) -> DataFrame:
     "b10_ranked_keys",
     s.sql(
         s.PIXELS,
-        """SELECT * FROM pixels WHERE clust IN (
-             SELECT clust FROM (SELECT clust, row_number() OVER (ORDER BY clust) AS r
-                                FROM (SELECT DISTINCT clust FROM pixels)) WHERE r IN (1, 40))""",
+        """SELECT p.* FROM pixels p JOIN (
+             SELECT chr, clust, row_number() OVER (ORDER BY chr, clust) AS r
+             FROM (SELECT DISTINCT chr, clust FROM pixels)) k USING (chr, clust) WHERE r IN (1, 40)""",
     ),
 )
 def ranked_keys(spark: SparkSession, d: str) -> DataFrame:
-    return rows_of_ranked_keys(pixels(spark, d), ["clust"], [1, 40])
+    return rows_of_ranked_keys(pixels(spark, d), ["chr", "clust"], [1, 40])
 
 
 @query(
@@ -146,12 +147,12 @@ def ranked_tiles(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.PIXELS, s.with_p(), s.COARSE,
         """SELECT region1, region2, round_logfc, round_neg_log10_p FROM coarse
-           WHERE abs(round_logfc) > (SELECT max(abs(round_logfc)) FROM coarse WHERE round_neg_log10_p = 3)""",
+           WHERE abs(round_logfc) > (SELECT max(abs(round_logfc)) FROM coarse WHERE round_neg_log10_p = 0 AND abs(logfc) < 1)""",
     ),
 )
 def above_max(spark: SparkSession, d: str) -> DataFrame:
     binned = coarse_volcano_bins(with_p(pixels(spark, d))).withColumn("size", F.abs("round_logfc"))
-    return above_subset_max(binned, "size", F.col("round_neg_log10_p") == 3).select(
+    return above_subset_max(binned, "size", (F.col("round_neg_log10_p") == 0) & (F.abs("logfc") < 1)).select(
         "region1", "region2", "round_logfc", "round_neg_log10_p"
     )
 
@@ -160,9 +161,8 @@ def above_max(spark: SparkSession, d: str) -> DataFrame:
     "b12_index_shift",
     s.sql(
         s.PIXELS,
-        """SELECT *, region2 - m + 1 AS i, region1 - m + 1 AS j
-           FROM pixels, (SELECT least(min(region1), min(region2)) AS m FROM pixels)
-        """.replace("SELECT *,", "SELECT pixels.*,"),
+        """SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j
+           FROM pixels JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)""",
     ),
 )
 def shifted(spark: SparkSession, d: str) -> DataFrame:
@@ -174,19 +174,19 @@ def shifted(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.PIXELS, s.POLYGONS,
         """SELECT p.region1, p.region2 FROM pixels p LEFT JOIN
-             (SELECT DISTINCT i, j FROM polygons WHERE nb_clust = 1) q ON p.region2 = q.i AND p.region1 = q.j
+             (SELECT DISTINCT i, j FROM polygons WHERE iff > 50000) q ON p.region2 = q.i AND p.region1 = q.j
            WHERE q.i IS NULL""",
     ),
 )
 def unmatched(spark: SparkSession, d: str) -> DataFrame:
     cells = (
         polygons(spark, d)
-        .filter(F.col("nb_clust") == 1)
+        .filter(F.col("iff") > 50_000)
         .select(F.col("i").alias("region2"), F.col("j").alias("region1"))
         .distinct()
         .withColumn("matched", F.lit(True))
     )
-    joined = pixels(spark, d).select("region1", "region2").join(cells, ["region1", "region2"], "left")
+    joined = join_spread(pixels(spark, d).select("region1", "region2"), cells, ["region1", "region2"])
     return joined.filter(F.col("matched").isNull()).drop("matched")
 
 
@@ -235,14 +235,14 @@ def round_columns(spark: SparkSession, d: str) -> DataFrame:
     return profile(binned, columns_like(binned, "round")).select("column", "least", "greatest", "values")
 
 
-@query("b16_head", s.sql(s.PIXELS, "SELECT * FROM pixels ORDER BY region1, region2 LIMIT 2"))
+@query("b16_head", s.sql(s.PIXELS, "SELECT * FROM pixels ORDER BY chr, region1, region2 LIMIT 2"))
 def head(spark: SparkSession, d: str) -> DataFrame:
-    return pixels(spark, d).orderBy("region1", "region2").limit(2)
+    return pixels(spark, d).orderBy("chr", "region1", "region2").limit(2)
 
 
 @query(
     "b17_diagonal_head",
-    s.sql(s.PIXELS, "SELECT * FROM pixels WHERE region1 = region2 ORDER BY region1 LIMIT 5"),
+    s.sql(s.PIXELS, "SELECT * FROM pixels WHERE region1 = region2 ORDER BY chr, region1 LIMIT 5"),
 )
 def diagonal_head(spark: SparkSession, d: str) -> DataFrame:
     return diagonal_pixels(pixels(spark, d), 5)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binweave.functions.numeric import bin_by_count
-from binweave.operators.geometry import TILE, presence, tile_name
+from binweave.operators.geometry import TILE, axis_tile, presence, tile_name
 from binweave.operators.selection import (
     diagonal_pixels,
     flag_selected,
@@ -18,6 +19,7 @@ from binweave.operators.selection import (
 )
 from binweave.operators.summaries import (
     coarse_volcano_bins,
+    group_apply,
     multi_aggregate,
 
     volcano_bins,
@@ -26,10 +28,55 @@ from binweave.operators.summaries import (
 from binweave.plans import sql_parts as s
 from binweave.plans.aggregates import scored, tiled
 from binweave.plans.registry import query
-from binweave.plans.views import linked_from, linked_tables, pixel_name
-from binweave.sources.stand_ins import pixels, polygons
+from binweave.plans.views import (
+    WrittenView,
+    axis_tile_outlines,
+    closed_pixel_rings,
+    linked_tables,
+    pixel_name,
+    polygon_view,
+    read_linked_view,
+    visible_outlines,
+    write_linked_view,
+)
+from binweave.scratch import new_path
+from binweave.sources.stand_ins import criterion, pixels, polygons
 
 _BIN = "logFC=0.25 -log10(p)=0"
+_WRITTEN_BUCKETS = 8
+
+
+def _written(spark: SparkSession, d: str, names: list[str]) -> WrittenView:
+    """Some tables of the linked view, written in chunks and read back."""
+    path = new_path(spark, "view")
+    write_linked_view(linked_tables(pixels(spark, d), names=names), path, _WRITTEN_BUCKETS)
+    return read_linked_view(spark, path)
+
+
+@query(
+    "j1_written_bin",
+    s.sql(
+        s.PIXELS, s.with_p(), s.volcano(),
+        f"SELECT chr, region1, region2, clust FROM binned WHERE chr = 'chr1' AND volcano_bin = '{_BIN}'",
+    ),
+)
+def written_bin(spark: SparkSession, d: str) -> DataFrame:
+    """A click on a volcano bin opens the one bucket that holds it."""
+    views = _written(spark, d, ["volcano_points", "size_points"]).show({"chr": "chr1", "volcano_bin": _BIN})
+    return views["volcano_zoom"].select("chr", "region1", "region2", "clust")
+
+
+@query(
+    "j2_written_tile",
+    s.sql(
+        s.PIXELS, s.TILED,
+        "SELECT region1, region2, clust, clust = 406 AS selected FROM tiled WHERE chr = 'chr1' AND round_regions = '50,0'",
+    ),
+)
+def written_tile(spark: SparkSession, d: str) -> DataFrame:
+    """A click on a tile and a cluster: the tile's pixels, with those of the cluster flagged."""
+    selection = {"chr": "chr1", "clust": 406, "round_regions": "50,0"}
+    return _written(spark, d, ["pixels"]).show(selection)["tile_pixels"].select("region1", "region2", "clust", "selected")
 
 
 @query(
@@ -59,7 +106,7 @@ def several_selectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DIAGONAL = """
-first_five AS (SELECT region1, region2 FROM pixels WHERE region1 = region2 ORDER BY region1 LIMIT 5)"""
+first_five AS (SELECT region1, region2 FROM pixels WHERE region1 = region2 ORDER BY chr, region1 LIMIT 5)"""
 
 
 @query(
@@ -91,7 +138,7 @@ def flagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIRST = """
-best AS (SELECT chr, volcano_bin, clust FROM binned ORDER BY p_value, region1, region2 LIMIT 1),
+best AS (SELECT chr, volcano_bin, clust FROM binned ORDER BY p_value, chr, region1, region2 LIMIT 1),
 first AS (
   SELECT t.chr, t.clust, b.volcano_bin, t.round_region_x, t.round_region_y, t.round_regions
   FROM tiled t JOIN best b ON t.chr = b.chr AND t.clust = b.clust
@@ -168,8 +215,8 @@ def facet_tiles(spark: SparkSession, d: str) -> DataFrame:
 def linked_chain(spark: SparkSession, d: str) -> DataFrame:
     """From the starting selection: its bin's pixels, its cluster's pixels and tiles, its tile's pixels and label."""
     names = ["pixels", "volcano_points", "cluster_points", "presence", "labels", "first"]
-    tables = linked_tables(pixels(spark, d), names=names)
-    views = linked_from(tables, tables["first"])
+    written = _written(spark, d, names)
+    views = written.show_from(written.tables["first"])
     rows = {
         name: views[name].select("region1", "region2", "clust")
         for name in ("volcano_zoom", "cluster_pixels", "tile_pixels")
@@ -194,37 +241,39 @@ def linked_chain(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def linked_outlines(spark: SparkSession, d: str) -> DataFrame:
-    tables = linked_tables(pixels(spark, d), names=["local_outlines", "first"])
-    shown_rows = linked_from(tables, tables["first"])["tile_outlines"]
+    written = _written(spark, d, ["local_outlines", "first"])
+    shown_rows = written.show_from(written.tables["first"])["tile_outlines"]
     return shown_rows.select("clust", "rel_region_x", "rel_region_y")
 
 
 # --- user functions ------------------------------------------------------------
 
 
-def _box(group: pa.Table) -> pa.Table:
-    """One row per group: its box and how much of it is filled."""
-    sides = []
-    for name in ("region1", "region2"):
-        ends = pc.min_max(group[name]).as_py()
-        sides.append(ends["max"] - ends["min"] + 1)
-    box = sides[0] * sides[1]
+def _longest_run(group: pa.Table) -> pa.Table:
+    """One row per group: the most pixels in a row of adjacent anti-diagonals, and where they start.
+
+    Which rows follow each other depends on all of the group, so no aggregate can say it.
+    """
+    at = np.unique(pc.add(group["region1"], group["region2"]).to_numpy())
+    heads = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+    sizes = np.diff(np.append(heads, len(at)))
+    best = int(np.argmax(sizes))
     first = group.select(["chr", "clust", *TILE]).slice(0, 1)
-    return first.append_column("box", pa.array([box])).append_column(
-        "filled", pa.array([group.num_rows / box])
-    )
+    return first.append_column("run", pa.array([int(sizes[best])])).append_column("starts", pa.array([int(at[heads[best]])]))
 
 
 @query(
     "k1_group_function",
     s.sql(
         s.PIXELS, s.TILED,
-        """SELECT *, n / box AS filled FROM (
-             SELECT chr, clust, round_region_x, round_region_y, count(*) AS n,
-               (max(region1) - min(region1) + 1) * (max(region2) - min(region2) + 1) AS box
-             FROM tiled GROUP BY chr, clust, round_region_x, round_region_y)""".replace(
-            "SELECT *, n / box", "SELECT chr, clust, round_region_x, round_region_y, box, n / box"
-        ),
+        """marked AS (
+             SELECT *, v - row_number() OVER (PARTITION BY chr, clust, round_region_x, round_region_y ORDER BY v) AS island
+             FROM (SELECT DISTINCT chr, clust, round_region_x, round_region_y, region1 + region2 AS v FROM tiled)),
+           islands AS (
+             SELECT chr, clust, round_region_x, round_region_y, island, count(*) AS run, min(v) AS starts
+             FROM marked GROUP BY chr, clust, round_region_x, round_region_y, island)""",
+        """SELECT chr, clust, round_region_x, round_region_y, run, starts FROM islands
+           QUALIFY row_number() OVER (PARTITION BY chr, clust, round_region_x, round_region_y ORDER BY run DESC, starts) = 1""",
     ),
 )
 def group_function(spark: SparkSession, d: str) -> DataFrame:
@@ -234,9 +283,69 @@ def group_function(spark: SparkSession, d: str) -> DataFrame:
     large the cluster is.
     """
     keys = ["chr", "clust", *TILE]
-    schema = "chr string, clust int, round_region_x double, round_region_y double, box bigint, filled double"
+    schema = "chr string, clust int, round_region_x double, round_region_y double, run bigint, starts bigint"
     rows = tiled(spark, d).select(*keys, "region1", "region2")
-    return rows.groupBy(*keys).applyInArrow(_box, schema)
+    return group_apply(rows, keys, _longest_run, schema, most_rows=100_000)
+
+
+@query(
+    "k_visible_outlines",
+    s.sql(
+        s.PIXELS,
+        """seen AS (SELECT DISTINCT chr, clust FROM pixels WHERE region2 < region1 + 3),
+           visible AS (SELECT p.* FROM pixels p JOIN seen USING (chr, clust))""",
+        s.segments("visible", "chr, clust"), s.vertices("chr, clust"),
+        "SELECT chr, clust, x / 2e0 AS x, y / 2e0 AS y FROM verts WHERE keep",
+    ),
+)
+def outlines_of_visible(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of the whole outlines of the clusters that a band of pixels shows."""
+    px = pixels(spark, d)
+    found = visible_outlines(px, px.filter("region2 < region1 + 3"))
+    return found.select("chr", "clust", F.col("region1").alias("x"), F.col("region2").alias("y"))
+
+
+@query(
+    "k_axis_tile_outlines",
+    s.sql(
+        s.PIXELS, s.AXIS_TILED, s.segments("axis_tiled", "chr, clust, round_r1r2"), s.vertices("chr, clust, round_r1r2"),
+        "SELECT chr, clust, round_r1r2, x / 2e0 AS x, y / 2e0 AS y FROM verts WHERE keep",
+    ),
+)
+def outlines_in_axis_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of the clusters' outlines within tiles of the unrotated axes."""
+    cut_up = axis_tile_outlines(axis_tile(scored(spark, d), 100.0))
+    return cut_up.select("chr", "clust", "round_r1r2", F.col("region1").alias("x"), F.col("region2").alias("y"))
+
+
+@query(
+    "k_closed_pixel_rings",
+    s.sql(
+        s.PIXELS,
+        """SELECT chr, region1, region2, c.corner_ord, region1 + c.d1 AS corner1, region2 + c.d2 AS corner2
+           FROM pixels CROSS JOIN (
+             VALUES (1, -0.4::DOUBLE, -0.4::DOUBLE), (2, -0.4::DOUBLE, 0.4::DOUBLE), (3, 0.4::DOUBLE, 0.4::DOUBLE),
+                    (4, 0.4::DOUBLE, -0.4::DOUBLE), (5, -0.4::DOUBLE, -0.4::DOUBLE)) c(corner_ord, d1, d2)""",
+    ),
+)
+def pixel_rings(spark: SparkSession, d: str) -> DataFrame:
+    rings = closed_pixel_rings(pixels(spark, d).select("chr", "region1", "region2"))
+    return rings.select("chr", "region1", "region2", "corner_ord", "corner1", "corner2")
+
+
+@query(
+    "k_criterion_intervals",
+    s.sql(
+        s.CRITERION,
+        """SELECT nb_clust, crit, nb_clust - coalesce(nb_clust - before, after - nb_clust) / 2e0 AS lower,
+             nb_clust + coalesce(after - nb_clust, nb_clust - before) / 2e0 AS upper
+           FROM (SELECT *, lag(nb_clust) OVER (ORDER BY nb_clust) AS before, lead(nb_clust) OVER (ORDER BY nb_clust) AS after
+                 FROM criterion)""",
+    ),
+)
+def criterion_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The criterion by level, with the interval in which a level is clicked."""
+    return polygon_view(polygons(spark, d), criterion=criterion(spark, d))["criterion"].select("nb_clust", "crit", "lower", "upper")
 
 
 @query(
@@ -272,13 +381,12 @@ def over_columns(spark: SparkSession, d: str) -> DataFrame:
     "k4_scalar_helper",
     s.sql(
         s.PIXELS,
-        "SELECT region1, region2, round_even(logfc * 2e0, 0) / 2e0 + 0e0 AS half FROM pixels WHERE 50 < region1 AND region1 < 150",
+        "SELECT region1, region2, round_even(logfc * 2e0, 0) / 2e0 + 0e0 AS half FROM pixels",
     ),
 )
 def scalar_helper(spark: SparkSession, d: str) -> DataFrame:
-    """Helpers are functions from Column to Column: no UDF, and the range reaches the scan."""
-    inside = lambda c: (F.col(c) > 50) & (F.col(c) < 150)
-    return pixels(spark, d).filter(inside("region1")).select(
+    """Helpers are functions from Column to Column: no UDF."""
+    return pixels(spark, d).select(
         "region1", "region2", bin_by_count(F.col("logfc"), 2.0).alias("half")
     )
 

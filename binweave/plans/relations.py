@@ -33,6 +33,7 @@ from binweave.operators.relational import (
     grid,
     grid_with_pixels,
     index_shift,
+    join_null_safe,
     join_spread,
     missing_pixels,
     relative_to_least,
@@ -153,11 +154,9 @@ def first_difference(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "d6_second_difference",
     s.sql(
-        s.PIXELS, s.segments("pixels", "chr, clust"),
-        """SELECT a.chr, a.clust, a.x1 / 2e0 AS x, a.y1 / 2e0 AS y,
-             ((b.x2 - b.x1) - (a.x2 - a.x1)) / 2e0 AS ddx, ((b.y2 - b.y1) - (a.y2 - a.y1)) / 2e0 AS ddy,
-             (b.x2 - b.x1 = a.x2 - a.x1) AND (b.y2 - b.y1 = a.y2 - a.y1) AS both_zero
-           FROM segs a JOIN segs b ON a.chr = b.chr AND a.clust = b.clust AND a.x2 = b.x1 AND a.y2 = b.y1""",
+        s.PIXELS, s.segments("pixels", "chr, clust"), s.vertices("chr, clust"),
+        """SELECT chr, clust, (x - in_dx) / 2e0 AS x, (y - in_dy) / 2e0 AS y, (out_dx - in_dx) / 2e0 AS ddx,
+             (out_dy - in_dy) / 2e0 AS ddy, NOT keep AS both_zero FROM verts""",
     ),
 )
 def second_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -237,16 +236,21 @@ def outer_join(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.PIXELS, s.POLYGONS,
         """SELECT p.region1, p.region2, p.clust, q.nb_clust, q.id FROM pixels p
-           LEFT JOIN polygons q ON q.i = p.region2 AND q.j = p.region1 AND q.nb_clust = 3""",
+           LEFT JOIN polygons q ON q.i = p.region2 AND q.j = p.region1""",
     ),
 )
 def polygons_of_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Every pixel, with its polygons at one level where there are any."""
-    drawn = polygons(spark, d).filter("nb_clust = 3").select(
+    """Every pixel, with its polygons at all levels where there are any.
+
+    Polygons may pile up on a pixel, so they are the big side; pixels without one are added.
+    """
+    drawn = polygons(spark, d).select(
         F.col("i").alias("region2"), F.col("j").alias("region1"), "nb_clust", "id"
     )
     px = pixels(spark, d).select("region1", "region2", "clust")
-    return px.join(drawn, ["region1", "region2"], "left")
+    met = join_spread(drawn, px, ["region1", "region2"], "inner")
+    alone = px.join(drawn.select("region1", "region2").distinct(), ["region1", "region2"], "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 @query(
@@ -307,7 +311,7 @@ def named_join(spark: SparkSession, d: str) -> DataFrame:
     corner = rows.groupBy("chr", "clust").agg(
         F.min("region1").alias("region1"), F.min("region2").alias("region2")
     )
-    return cluster_sizes(rows).select("chr", "clust", "pixels").join(corner, ["chr", "clust"])
+    return join_null_safe(cluster_sizes(rows).select("chr", "clust", "pixels"), corner, ["chr", "clust"])
 
 
 @query(
@@ -315,12 +319,12 @@ def named_join(spark: SparkSession, d: str) -> DataFrame:
     s.sql(
         s.POLYGONS, s.PIXELS,
         """SELECT q.* FROM polygons q WHERE EXISTS (
-             SELECT 1 FROM pixels p WHERE p.region1 < 100 AND p.region2 < 100 AND p.region1 = q.j AND p.region2 = q.i)""",
+             SELECT 1 FROM pixels p WHERE p.logfc > 0 AND p.region1 = q.j AND p.region2 = q.i)""",
     ),
 )
 def for_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Polygons of the pixels in a window."""
-    seen = pixels(spark, d).filter("region1 < 100 AND region2 < 100").select(
+    """Polygons of the pixels that interact more."""
+    seen = pixels(spark, d).filter("logfc > 0").select(
         F.col("region2").alias("i"), F.col("region1").alias("j")
     )
     return rows_for_keys(polygons(spark, d), seen, ["i", "j"])
@@ -349,17 +353,18 @@ def scalar_rows(spark: SparkSession, d: str) -> DataFrame:
     "e9_mismatch_after_join",
     s.sql(
         s.PIXELS,
-        """SELECT a.chr, a.n AS pixels, b.n AS band_pixels FROM (SELECT chr, count(*) AS n FROM pixels GROUP BY chr) a
-           JOIN (SELECT chr, count(*) AS n FROM pixels WHERE region2 < region1 + 40 GROUP BY chr) b USING (chr)
-           WHERE a.n <> b.n""",
+        """SELECT a.chr, a.n AS pixels, b.n AS listed_pixels FROM (SELECT chr, count(*) AS n FROM pixels GROUP BY chr) a
+           JOIN (SELECT 'chr' || CAST(1 + l_partkey // 1000 AS VARCHAR) AS chr, count(*) AS n FROM lineitem GROUP BY 1) b
+           USING (chr) WHERE a.n <> b.n""",
     ),
 )
 def mismatches(spark: SparkSession, d: str) -> DataFrame:
-    """Chromosomes whose two counts differ."""
-    px = pixels(spark, d)
-    whole = px.groupBy("chr").agg(F.count("*").alias("pixels"))
-    near = px.filter("region2 < region1 + 40").groupBy("chr").agg(F.count("*").alias("band_pixels"))
-    return whole.join(near, "chr").filter(F.col("pixels") != F.col("band_pixels"))
+    """Chromosomes whose pixels are not as many as the lines their listing has."""
+    whole = pixels(spark, d).groupBy("chr").agg(F.count("*").alias("pixels"))
+    chromosome = F.concat(F.lit("chr"), (1 + F.expr("l_partkey div 1000")).cast("string"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(chromosome.alias("chr"))
+    listed = lines.agg(F.count("*").alias("listed_pixels"))
+    return whole.join(listed, "chr").filter(F.col("pixels") != F.col("listed_pixels"))
 
 
 @query(
@@ -368,14 +373,17 @@ def mismatches(spark: SparkSession, d: str) -> DataFrame:
         s.PIXELS, s.POLYGONS,
         """SELECT q.nb_clust, q.id, q.i, q.j, q.i || ',' || q.j AS ij, p.region1, p.region2, p.clust, p.logfc
            FROM polygons q LEFT JOIN (
-             SELECT *, region2 - (SELECT least(min(region1), min(region2)) FROM pixels) + 1 AS i,
-                    region1 - (SELECT least(min(region1), min(region2)) FROM pixels) + 1 AS j FROM pixels) p
-             ON p.i = q.i AND p.j = q.j""",
+             SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j FROM pixels
+             JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)) p
+             ON p.i = q.i AND p.j = q.j AND p.chr = 'chr1'""",
     ),
 )
 def pixels_to_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """Every polygon row with its pixel; many polygons may sit on one pixel."""
-    shifted = index_shift(pixels(spark, d)).select("i", "j", "region1", "region2", "clust", "logfc")
+    """Every polygon row with its pixel; many polygons may sit on one pixel.
+
+    Polygons are those of one chromosome, so its pixels are picked before the join.
+    """
+    shifted = index_shift(pixels(spark, d).filter("chr = 'chr1'")).select("i", "j", "region1", "region2", "clust", "logfc")
     drawn = polygons(spark, d).select("nb_clust", "id", "i", "j")
     joined = join_spread(drawn, shifted, ["i", "j"], "left")
     return joined.withColumn("ij", pair_text(F.col("i").cast("string"), F.col("j").cast("string")))
@@ -412,13 +420,14 @@ def stacked(spark: SparkSession, d: str) -> DataFrame:
     "f2_union",
     s.sql(
         s.PIXELS,
-        """SELECT chr, region1, region2 FROM pixels WHERE logfc < -1 UNION ALL
-           SELECT chr, region1, region2 FROM pixels WHERE logfc > 1""",
+        """SELECT chr, region1, region2, logfc FROM pixels UNION ALL
+           SELECT chr, region2, region1, logfc FROM pixels""",
     ),
 )
 def union(spark: SparkSession, d: str) -> DataFrame:
+    """Both triangles: every pixel and its mirror image."""
     px = pixels(spark, d).select("chr", "region1", "region2", "logfc")
-    return px.filter("logfc < -1").unionByName(px.filter("logfc > 1")).drop("logfc")
+    return px.union(px.select("chr", "region2", "region1", "logfc"))
 
 
 @query(
@@ -433,7 +442,7 @@ _SCALE = """
 fine AS (
   SELECT logfc, round_even(logfc * 16e0, 0) / 16e0 + 0e0 AS round_logfc,
          round_even(neg_log10_p * 64e0, 0) / 64e0 + 0e0 AS round_neg_log10_p
-  FROM scored),
+  FROM (SELECT logfc, neg_log10_p + abs(logfc) AS neg_log10_p FROM scored)),
 limits AS (SELECT max(round_neg_log10_p) AS m FROM fine WHERE round_logfc = 0),
 signed AS (
   SELECT DISTINCT CAST(sign(logfc) AS DOUBLE) * round_neg_log10_p + 0e0 AS v
@@ -449,7 +458,9 @@ signed AS (
     ),
 )
 def scale_keys(spark: SparkSession, d: str) -> DataFrame:
-    return color_scale(coarse_volcano_bins(scored(spark, d), 16.0, 64.0), 16.0)
+    # Larger changes are made more significant, as in a volcano, so that some bins lie above.
+    px = scored(spark, d).withColumn("neg_log10_p", F.col("neg_log10_p") + F.abs("logfc"))
+    return color_scale(coarse_volcano_bins(px, 16.0, 64.0), 16.0)
 
 
 @query(
@@ -498,11 +509,11 @@ def sorted_groups(spark: SparkSession, d: str) -> DataFrame:
     "g4_first_k_after_filter",
     s.sql(
         s.PIXELS,
-        "SELECT region1 || '-' || region2 AS r1r2 FROM pixels WHERE region1 = region2 ORDER BY region1 LIMIT 5",
+        "SELECT region1 || '-' || region2 AS r1r2 FROM pixels WHERE region1 = region2 ORDER BY chr, region1 LIMIT 5",
     ),
 )
 def first_k(spark: SparkSession, d: str) -> DataFrame:
-    first = pixels(spark, d).filter("region1 = region2").orderBy("region1").limit(5)
+    first = pixels(spark, d).filter("region1 = region2").orderBy("chr", "region1").limit(5)
     return first.select(
         pair_text(F.col("region1").cast("string"), F.col("region2").cast("string"), "-").alias("r1r2")
     )
@@ -517,14 +528,14 @@ def first_k(spark: SparkSession, d: str) -> DataFrame:
         s.PIXELS, s.ZERO_P,
         """SELECT region1, region2, round(0e0 - log10(p_value), 9) AS neg_log10_p,
              round(CAST(sign(logfc) AS DOUBLE) * (0e0 - log10(p_value)), 9) + 0e0 AS sign_neg_log10_p,
-             round(log10(0e0 - log10(p_value)), 9) AS log_log_p, round(log2(region2), 9) AS log2_region2,
+             round(CASE WHEN p_value = 1 THEN '-inf'::DOUBLE ELSE log10(0e0 - log10(p_value)) END, 9) AS log_log_p, round(log2(region2), 9) AS log2_region2,
              abs(logfc) AS abs_logfc, CAST(sign(logfc) AS DOUBLE) + 0e0 AS sign_logfc
-           FROM pixels_p0 WHERE p_value > 0""",
+           FROM pixels_p0""",
     ),
 )
 def logarithms(spark: SparkSession, d: str) -> DataFrame:
     p, fc = F.col("p_value"), F.col("logfc")
-    return pixels(spark, d, with_zero_p=True).filter(p > 0).select(
+    return pixels(spark, d, with_zero_p=True).select(
         "region1",
         "region2",
         F.round(neg_log10(p), 9).alias("neg_log10_p"),
@@ -591,9 +602,7 @@ def rounding(spark: SparkSession, d: str) -> DataFrame:
 def text(spark: SparkSession, d: str) -> DataFrame:
     rows = tiled_pixels(pixels(spark, d))
     quarter = bin_by_width(F.col("logfc"), 0.25)
-    # The fold change has few values: format each once and join the text back.
-    values = rows.select("logfc").distinct().withColumn("one_decimal", one_decimal("logfc"))
-    return join_spread(rows, values, ["logfc"]).select(
+    return rows.select(
         "region1",
         "region2",
         pair_text(F.col("region1").cast("string"), F.col("region2").cast("string")).alias("pair"),
@@ -601,7 +610,7 @@ def text(spark: SparkSession, d: str) -> DataFrame:
         plain_text(quarter).alias("plain"),
         whole_text(F.col("region_x")).alias("whole"),
         fixed_text(quarter).alias("fixed"),
-        "one_decimal",
+        one_decimal("logfc").alias("one_decimal"),
     )
 
 

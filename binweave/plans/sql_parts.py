@@ -26,6 +26,18 @@ polygons AS (
          CAST(l_partkey AS DOUBLE) AS x, l_quantity AS y, l_extendedprice AS iff
   FROM lineitem)"""
 
+# Bins that restart on each of two chromosomes, and clusters that may be missing.
+RESTARTING = """
+rsums AS (
+  SELECT l_linenumber % 2 AS m, l_partkey AS region1, l_partkey + CAST(l_quantity AS BIGINT) - 1 AS region2,
+         CAST(sum(l_orderkey * 7 + l_linenumber) AS BIGINT) AS s
+  FROM lineitem GROUP BY 1, 2, 3),
+restarting AS (
+  SELECT 'chr' || CAST(1 + m AS VARCHAR) AS chr, region1, region2,
+         CASE WHEN s % 13 <> 0 THEN CAST((region1 // 7) * 100 + (region2 - region1) // 6 AS INTEGER) END AS clust,
+         CAST(s % 81 - 40 AS DOUBLE) / 16 AS logfc, CAST(1 + s % 1000 AS DOUBLE) / 1000 AS p_value
+  FROM rsums)"""
+
 CRITERION = """
 criterion AS (
   SELECT l_linenumber AS nb_clust, CAST(count(*) AS DOUBLE) AS crit
@@ -148,7 +160,7 @@ def segments(source: str, keys: str, saddle: str = "separate", name: str = "segs
   (1, 1, 0, 0, 1), (2, 2, 1, 1, 0), (3, 2, 1, 0, 1), (4, 0, 1, 1, 2), (5, 1, 0, 1, 2),
   (7, 2, 1, 1, 2), (8, 1, 2, 2, 1), (10, 1, 2, 1, 0), (11, 1, 2, 0, 1), (12, 0, 1, 2, 1),
   (13, 1, 0, 2, 1), (14, 0, 1, 1, 0), {MOVES[saddle]}),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT {keys}, CAST(2 * ca + a AS BIGINT) AS x1, CAST(2 * cb + b AS BIGINT) AS y1,
          CAST(2 * ca + c AS BIGINT) AS x2, CAST(2 * cb + d AS BIGINT) AS y2
   FROM {name}_cells JOIN {name}_moves USING (code))"""
@@ -157,12 +169,15 @@ def segments(source: str, keys: str, saddle: str = "separate", name: str = "segs
 def vertices(keys: str, segs: str = "segs", name: str = "verts") -> str:
     """``verts``: each vertex with directions in and out."""
     return f"""
-{name} AS (
-  SELECT {', '.join('o.' + k.strip() for k in keys.split(','))}, o.x1 AS x, o.y1 AS y, o.x2 AS nx, o.y2 AS ny,
-         i.x2 - i.x1 AS in_dx, i.y2 - i.y1 AS in_dy, o.x2 - o.x1 AS out_dx, o.y2 - o.y1 AS out_dy,
-         (i.x2 - i.x1 <> o.x2 - o.x1) OR (i.y2 - i.y1 <> o.y2 - o.y1) AS keep
-  FROM {segs} o JOIN {segs} i ON {' AND '.join(f'o.{k.strip()} = i.{k.strip()}' for k in keys.split(','))}
-    AND i.x2 = o.x1 AND i.y2 = o.y1)"""
+{name} AS MATERIALIZED (
+  SELECT *, (in_dx <> out_dx) OR (in_dy <> out_dy) AS keep FROM (
+    SELECT {keys}, x, y, max(nx) AS nx, max(ny) AS ny, max(in_dx) AS in_dx, max(in_dy) AS in_dy,
+           max(out_dx) AS out_dx, max(out_dy) AS out_dy
+    FROM (SELECT {keys}, x1 AS x, y1 AS y, x2 AS nx, y2 AS ny, CAST(NULL AS BIGINT) AS in_dx,
+                 CAST(NULL AS BIGINT) AS in_dy, x2 - x1 AS out_dx, y2 - y1 AS out_dy FROM {segs}
+          UNION ALL
+          SELECT {keys}, x2, y2, NULL, NULL, x2 - x1, y2 - y1, NULL, NULL FROM {segs})
+    GROUP BY {keys}, x, y))"""
 
 
 def rings(keys: str, verts: str = "verts") -> str:

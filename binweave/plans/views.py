@@ -8,12 +8,15 @@ only the chunk of the current selection.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import cache, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from binweave.functions.text import pair_text
 from binweave.operators.boundary import segments
@@ -41,6 +44,7 @@ from binweave.operators.relational import (
     grid_counts,
     missing_pixels,
     relative_to_least,
+    rows_for_keys,
     strictly_between,
     tagged_union,
     window,
@@ -60,6 +64,7 @@ from binweave.operators.summaries import (
     coarse_volcano_bins,
     color_scale,
     first_polygon_extents,
+    midpoint_intervals,
     polygon_counts,
     representation_labels,
     representation_rows,
@@ -75,17 +80,13 @@ from binweave.operators.summaries import (
     with_p,
 )
 from binweave.scratch import cut
-from binweave.sinks.chunks import write_bucketed_chunks, write_chunks
+from binweave.sinks.chunks import read_chunks, write_bucketed_chunks, write_chunks
 
 CLUSTER = ["chr", "clust"]
 LOCAL = ["chr", "clust", *TILE]
 
-# Selectors by which each table is chunked.
+# Selectors of few values, with a folder of text files for each.
 CHUNKS = {
-    "pixels": ["chr", "round_regions"],
-    "volcano_points": ["chr", "volcano_bin"],
-    "local_outlines": ["chr", "round_regions"],
-    "labels": ["chr", "round_regions"],
     "tiles": ["chr"],
     "presence": ["chr"],
     "volcano_heat": ["chr"],
@@ -94,10 +95,18 @@ CHUNKS = {
     "shape": [],
     "first": [],
 }
-# Tables looked up by cluster, of which there are too many for a folder each.
-BUCKETED = {"outlines": ["chr", "clust"], "cluster_points": ["chr", "clust"]}
-BUCKETS = 64
+# Tables looked up by tile, volcano bin or cluster, of which there are too many for a folder each.
+BUCKETED = {
+    "pixels": ["chr", "round_regions"],
+    "volcano_points": ["chr", "volcano_bin"],
+    "local_outlines": ["chr", "round_regions"],
+    "labels": ["chr", "round_regions"],
+    "outlines": ["chr", "clust"],
+    "cluster_points": ["chr", "clust"],
+}
+BUCKET_ROWS = 2_000_000  # rows a bucket is meant to hold
 TABLES = (*CHUNKS, *BUCKETED)
+ABOUT = "about"  # the table of a written view that lists the others
 
 
 # Columns of the prepared pixels that the tables are made of.
@@ -188,16 +197,65 @@ def linked_tables(
     return {name: build[name]() for name in names}
 
 
-def write_linked_view(tables: Mapping[str, DataFrame], path: str) -> None:
-    """Every table in its chunks below ``path``."""
+def write_linked_view(tables: Mapping[str, DataFrame], path: str, buckets: int | None = None) -> None:
+    """Every table in its chunks below ``path``, and a table of their schemas and buckets.
+
+    The number of buckets follows the rows of the largest table that is at hand, if not given.
+    """
+    if buckets is None:
+        sized = next((n for n in ("pixels", "volcano_points", "cluster_points", *BUCKETED) if n in tables), None)
+        buckets = tables[sized].count() // BUCKET_ROWS + 1 if sized else 1
+    about = []
     for name, df in tables.items():
         if name in BUCKETED:
-            write_bucketed_chunks(df, BUCKETED[name], f"{path}/{name}", BUCKETS)
+            write_bucketed_chunks(df, BUCKETED[name], f"{path}/{name}", buckets)
         else:
             write_chunks(df, CHUNKS[name], f"{path}/{name}")
+        about.append((name, df.schema.json(), buckets if name in BUCKETED else None))
+        spark = df.sparkSession
+    spark.createDataFrame(about, "name string, schema string, buckets int").coalesce(1).write.json(f"{path}/{ABOUT}")
+
+
+@dataclass
+class WrittenView:
+    """Tables read from their chunks, and the number of buckets of those that have some."""
+
+    tables: dict[str, DataFrame]
+    buckets: dict[str, int]
 
+    def show(self, selection: Mapping[str, Any]) -> dict[str, DataFrame]:
+        return linked_view(self.tables, selection, self.buckets)
+
+    def show_from(self, selection: DataFrame) -> dict[str, DataFrame]:
+        return linked_from(self.tables, selection, self.buckets)
+
+
+def read_linked_view(spark: SparkSession, path: str) -> WrittenView:
+    """A written view; a selection opens only the chunks that can hold it."""
+    tables, buckets = {}, {}
+    listed = spark.read.schema("name string, schema string, buckets int").json(f"{path}/{ABOUT}")
+    for row in listed.collect():  # one row per table
+        schema = T.StructType.fromJson(json.loads(row["schema"]))
+        if row["buckets"]:
+            buckets[row["name"]] = row["buckets"]
+            stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+            tables[row["name"]] = spark.read.schema(stored).parquet(f"{path}/{row['name']}")
+        else:
+            tables[row["name"]] = read_chunks(spark, f"{path}/{row['name']}", schema)
+    return WrittenView(tables, buckets)
 
-def linked_view(tables: Mapping[str, DataFrame], selection: Mapping[str, Any]) -> dict[str, DataFrame]:
+
+def _in_bucket(df: DataFrame, name: str, values: Mapping[str, Column], buckets: Mapping[str, int]) -> DataFrame:
+    """Rows of the one bucket that can hold the values, for a bucketed table whose keys are all given."""
+    if name not in buckets or any(k not in values for k in BUCKETED[name]):
+        return df.drop("bucket")
+    keys = [values[k].cast(df.schema[k].dataType) for k in BUCKETED[name]]
+    return df.filter(F.col("bucket") == F.pmod(F.xxhash64(*keys), F.lit(buckets[name])).cast("int")).drop("bucket")
+
+
+def linked_view(
+    tables: Mapping[str, DataFrame], selection: Mapping[str, Any], buckets: Mapping[str, int] | None = None
+) -> dict[str, DataFrame]:
     """What each view shows for chosen ``chr, volcano_bin, clust, round_regions, size_bin``.
 
     A volcano bin lists its pixels, a pixel's cluster lists its tiles, and a tile lists
@@ -206,30 +264,36 @@ def linked_view(tables: Mapping[str, DataFrame], selection: Mapping[str, Any]) -
 
     def pick(name: str, *selectors: str) -> DataFrame:
         wanted = {s: selection[s] for s in ("chr", *selectors) if s in selection}
-        return shown(tables[name], wanted)
+        single = {s: F.lit(v) for s, v in wanted.items() if isinstance(v, (str, int, float))}
+        return shown(_in_bucket(tables[name], name, single, buckets or {}), wanted)
 
     mine = {"clust": selection["clust"]} if "clust" in selection else {}
-    return {
-        "volcano_zoom": flag_selected(pick("volcano_points", "volcano_bin"), mine),
-        "cluster_pixels": pick("cluster_points", "clust"),
-        "cluster_outline": pick("outlines", "clust"),
-        "cluster_tiles": pick("presence", "clust"),
-        "tile_pixels": flag_selected(pick("pixels", "round_regions"), mine),
-        "tile_outlines": flag_selected(pick("local_outlines", "round_regions"), mine),
-        "tile_label": pick("labels", "clust", "round_regions"),
-        "size_zoom": flag_selected(pick("size_points", "size_bin"), mine),
-        "volcano_heat": pick("volcano_heat"),
-        "size_heat": pick("size_heat"),
-        "tiles": pick("tiles"),
+    views = {
+        "volcano_zoom": ("volcano_points", ["volcano_bin"], True),
+        "cluster_pixels": ("cluster_points", ["clust"], False),
+        "cluster_outline": ("outlines", ["clust"], False),
+        "cluster_tiles": ("presence", ["clust"], False),
+        "tile_pixels": ("pixels", ["round_regions"], True),
+        "tile_outlines": ("local_outlines", ["round_regions"], True),
+        "tile_label": ("labels", ["clust", "round_regions"], False),
+        "size_zoom": ("size_points", ["size_bin"], True),
+        "volcano_heat": ("volcano_heat", [], False),
+        "size_heat": ("size_heat", [], False),
+        "tiles": ("tiles", [], False),
     }
+    found = {view: (pick(name, *keys), flag) for view, (name, keys, flag) in views.items() if name in tables}
+    return {view: flag_selected(df, mine) if flag else df for view, (df, flag) in found.items()}
 
 
-def linked_from(tables: Mapping[str, DataFrame], selection: DataFrame) -> dict[str, DataFrame]:
+def linked_from(
+    tables: Mapping[str, DataFrame], selection: DataFrame, buckets: Mapping[str, int] | None = None
+) -> dict[str, DataFrame]:
     """The same chain for those of the tables that are given, from a table of one row.
 
-    Its values enter the filters as scalar subqueries: nothing is collected or joined,
-    chunk folders are pruned when the query runs, and a second row is an error.
+    The row is written once and its values enter the filters as scalar subqueries: nothing is
+    collected or joined, chunk folders are pruned when the query runs, and a second row is an error.
     """
+    selection = cut(selection, "selection")
     views = {
         "volcano_zoom": ("volcano_points", ["chr", "volcano_bin"]),
         "cluster_pixels": ("cluster_points", CLUSTER),
@@ -242,17 +306,19 @@ def linked_from(tables: Mapping[str, DataFrame], selection: DataFrame) -> dict[s
     found = {}
     for view, (name, keys) in views.items():
         if name in tables:
-            chosen = [F.col(k) == selection.select(k).scalar() for k in keys]
-            found[view] = tables[name].filter(reduce(lambda a, b: a & b, chosen))
+            values = {k: selection.select(k).scalar() for k in keys}
+            chosen = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in values.items()])
+            found[view] = _in_bucket(tables[name].filter(chosen), name, values, buckets or {})
     return found
 
 
 def missing_report(pixels: DataFrame, max_distance: int | None = None) -> dict[str, DataFrame]:
-    """Missing cells of the grid, and how many of how many.
+    """Missing cells of the grid up to a distance, and how many of how many.
 
-    The counts are of the whole triangle; ``max_distance`` bounds the listing.
+    Without ``max_distance`` only the counts are made, of the whole triangle.
     """
-    return {"missing": missing_pixels(pixels, max_distance), "counts": grid_counts(pixels)}
+    counts = {"counts": grid_counts(pixels, max_distance=max_distance)}
+    return counts if max_distance is None else {"missing": missing_pixels(pixels, max_distance), **counts}
 
 
 def outline_report(
@@ -278,27 +344,37 @@ def outline_report(
     }
 
 
-def polygon_view(polygons: DataFrame, below: float = 100.0, divisor: float = 10.0) -> dict[str, DataFrame]:
-    """Polygons below a distance: counts per level, tiles, relative vertices, tile means, first vertices."""
-    some = polygon_tiles(polygons.filter(F.col("y") < below), divisor)
+def polygon_view(
+    polygons: DataFrame, below: float | None = None, divisor: float = 10.0, criterion: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Polygons, or those below a distance: counts per level, tiles, relative vertices, tile means, first vertices.
+
+    ``criterion`` (``nb_clust, crit``) adds itself with the interval in which each level is clicked.
+    """
+    near = polygons if below is None else polygons.filter(F.col("y") < below)
+    some = polygon_tiles(near, divisor)
     keys = ["nb_clust", "round_x", "round_y"]
     rel = relative_to_least(some, keys, ["x", "y"])
-    return {
+    tables = {
         "counts": polygon_counts(some),
         "polygons": rel,
         "tile_means": some.groupBy(*keys, "tile_id").agg(F.avg("iff").alias("mean_iff")),
         "first_extents": first_polygon_extents(rel),
     }
+    if criterion is not None:
+        tables["criterion"] = criterion.join(midpoint_intervals(criterion, "nb_clust"), "nb_clust")
+    return tables
 
 
 def volcano_view(
-    pixels: DataFrame, band: int = 50, below: int | None = None, per_unit: float = LOGFC_PER_UNIT
+    pixels: DataFrame, band: int | None = None, below: int | None = None, per_unit: float = LOGFC_PER_UNIT
 ) -> dict[str, DataFrame]:
-    """Pixels near the diagonal linked to a volcano plot by pixel name.
+    """Pixels linked to a volcano plot by pixel name, with the outlines of the clusters they show.
 
-    ``band`` bounds the distance of the two bins, ``below`` the greatest bin.
+    ``band`` bounds the distance of the two bins, ``below`` the greatest bin; without them
+    all pixels are in.
     """
-    near = pixels.filter(F.col("region2") < F.col("region1") + band)
+    near = pixels if band is None else pixels.filter(F.col("region2") < F.col("region1") + band)
     if below is not None:
         near = near.filter(F.col("region2") < below)
     named = coarse_volcano_bins(pixel_name(with_p(near)), per_unit)
@@ -309,9 +385,15 @@ def volcano_view(
         "volcano_heat": tooltip(volcano_heat(named)),
         "color_scale": color_scale(named, per_unit),
         "first": diagonal_pixels(named.select("chr", "region1", "region2", "r1r2")),
+        "outlines": visible_outlines(pixels, near),
     }
 
 
+def visible_outlines(pixels: DataFrame, shown_pixels: DataFrame) -> DataFrame:
+    """Whole outlines of just the clusters that have a pixel among those shown."""
+    return outlines(rows_for_keys(pixels, shown_pixels.filter("clust IS NOT NULL"), CLUSTER), CLUSTER)
+
+
 def axis_view(pixels: DataFrame, width: float = 100.0, half: float = PIXEL_HALF) -> dict[str, DataFrame]:
     """Pixels on tiles of the unrotated axes, with rings around pixels and tiles."""
     tiled = axis_tile(with_p(pixels), width)
@@ -326,9 +408,20 @@ def axis_view(pixels: DataFrame, width: float = 100.0, half: float = PIXEL_HALF)
         "tiles": tiles,
         "tile_corners": tile_corners(tiles, width * half),
         "spacing": tile_spacing(tiled),
+        "outlines": axis_tile_outlines(tiled),
     }
 
 
+def axis_tile_outlines(tiled: DataFrame) -> DataFrame:
+    """Outlines of the clusters, each within every axis tile that it has pixels in."""
+    return outlines(tiled, [*CLUSTER, "round_r1r2"])
+
+
+def closed_pixel_rings(pixels: DataFrame, half: float = 0.4) -> DataFrame:
+    """A closed ring of five corners inside each pixel's square, for borders that don't touch."""
+    return corners(pixels, half, closed=True)
+
+
 def pixel_name(df: DataFrame) -> DataFrame:
     """``r1r2``: the pixel's two bins as text."""
     return df.withColumn(

@@ -91,9 +91,9 @@ def chunk_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataF
 def audit_chunks(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Files whose listed size (``name, du_bytes``) differs from the one on disk.
 
-    A listed file that is absent has NULL bytes and is reported as well.
+    A listed file that is absent has NULL bytes, a file that is not listed NULL du_bytes.
     """
-    both = listing.join(files, "name", "left")
+    both = listing.join(files, "name", "full")
     return both.filter(~F.col("bytes").eqNullSafe(F.col("du_bytes")))
 
 

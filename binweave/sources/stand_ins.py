@@ -38,6 +38,30 @@ def pixels(spark: SparkSession, sf_dir: str, with_zero_p: bool = False) -> DataF
     )
 
 
+def restarting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels on two chromosomes that use the same bin numbers, some without a cluster."""
+    sums = (
+        _lines(spark, sf_dir)
+        .select(
+            (F.col("l_linenumber") % 2).alias("m"),
+            F.col("l_partkey").alias("region1"),
+            (F.col("l_partkey") + F.col("l_quantity").cast("bigint") - 1).alias("region2"),
+            (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("v"),
+        )
+        .groupBy("m", "region1", "region2")
+        .agg(F.sum("v").alias("s"))
+    )
+    cluster = F.expr("(region1 div 7) * 100 + (region2 - region1) div 6").cast("int")
+    return sums.select(
+        F.concat(F.lit("chr"), (1 + F.col("m")).cast("string")).alias("chr"),
+        "region1",
+        "region2",
+        F.when(F.col("s") % 13 != 0, cluster).alias("clust"),
+        ((F.col("s") % 81 - 40).cast("double") / 16.0).alias("logfc"),
+        ((1 + F.col("s") % 1000).cast("double") / 1000.0).alias("p_value"),
+    )
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per polygon vertex, at several numbers of clusters."""
     x = F.col("l_partkey")

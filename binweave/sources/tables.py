@@ -36,12 +36,18 @@ CRITERION_SCHEMA = T.StructType(
     [T.StructField("nb_clust", T.IntegerType()), T.StructField("crit", T.DoubleType())]
 )
 
+# A listing of chunk files: bytes, then the file's name; it has no header line.
+LISTING_SCHEMA = T.StructType([T.StructField("du_bytes", T.LongType()), T.StructField("name", T.StringType())])
+
 # Names the input files use for columns we spell in lower case.
 FILE_NAMES = {"logFC": "logfc", "p.value": "p_value", "IFF": "iff"}
 
 
-# How the input files spell missing and infinite numbers.
+# How the input files spell missing and infinite numbers.  A value that is no
+# number, and a file whose header has other columns or another order, are errors.
 TSV_OPTIONS = {
+    "mode": "FAILFAST",
+    "enforceSchema": "false",
     "sep": "\t",
     "nullValue": "NA",
     "positiveInf": "Inf",
@@ -52,7 +58,8 @@ TSV_OPTIONS = {
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A tab-separated file with a header line, which may hold more columns than ``schema``.
 
-    Only the header is looked at beforehand; types come from ``schema``.
+    Only the header is looked at beforehand; types come from ``schema``.  Of several files, all
+    must have the columns in one order, and every number must be one; anything else is an error.
     """
     reader = spark.read.options(**TSV_OPTIONS).option("header", True)
     names = reader.csv(path).columns
@@ -69,7 +76,11 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_headerless_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A tab-separated file without a header line; ``schema`` gives names and types."""
-    return spark.read.options(**TSV_OPTIONS).schema(schema).csv(path)
+    return spark.read.options(**TSV_OPTIONS | {"enforceSchema": "true"}).schema(schema).csv(path)
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    return read_headerless_tsv(spark, path, LISTING_SCHEMA)
 
 
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:

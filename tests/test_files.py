@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from binweave.operators.geometry import corners, position_name, relative_corners, relative_shape, tiled_pixels
 from binweave.plans.views import (
-    BUCKETS,
+    ABOUT,
     TABLES,
     axis_view,
     linked_from,
@@ -17,6 +17,7 @@ from binweave.plans.views import (
     missing_report,
     outline_report,
     polygon_view,
+    read_linked_view,
     volcano_view,
     write_linked_view,
 )
@@ -61,6 +62,19 @@ def test_read_pixels(spark, tmp_path):
         read_tsv(spark, path, T.StructType([T.StructField("other", T.LongType())]))
 
 
+def test_files_must_agree_and_hold_numbers(spark, tmp_path):
+    head = "chr\tregion1\tregion2\tclust\tlogFC\tp.value\n"
+    for name, lines in {"a": head + "chr1\t5\t7\t1\t0.5\t0.1\n", "b": head.replace("region1\tregion2", "region2\tregion1") + "chr1\t7\t5\t1\t0.5\t0.1\n"}.items():
+        (tmp_path / f"{name}.tsv").write_text(lines)
+    with pytest.raises(Exception, match="header"):
+        read_pixels(spark, str(tmp_path)).collect()
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "x.tsv").write_text(head + "chr1\t5\t7\t1\t0.5\tbad\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_pixels(spark, str(bad)).collect()
+
+
 def test_partitions_and_filters_reach_the_scan(spark, sf_dir, tmp_path):
     root = str(tmp_path / "px")
     write_partitioned(pixels(spark, sf_dir), root, 50000)
@@ -163,14 +177,19 @@ def test_linked_view_end_to_end(spark, sf_dir, tmp_path):
     assert views["tile_outlines"].filter("selected").count() > 0
     assert views["size_zoom"].count() == tables["size_points"].count()  # no size bin chosen yet
     path = str(tmp_path / "view")
-    write_linked_view(tables, path)
-    assert set(os.listdir(path)) == set(TABLES)
+    write_linked_view(tables, path, 16)
+    assert set(os.listdir(path)) == {*TABLES, ABOUT}
+    written = read_linked_view(spark, path)
+    assert set(written.tables) == set(TABLES)
     mine = {"chr": first["chr"], "clust": first["clust"]}
-    found = read_bucketed_chunk(spark, f"{path}/outlines", mine, BUCKETS)
+    found = read_bucketed_chunk(spark, f"{path}/outlines", mine, 16)
     assert found.count() == views["cluster_outline"].count() > 0
-    stored = read_chunks(spark, f"{path}/pixels", tables["pixels"].schema)
-    again = linked_view({**tables, "pixels": stored}, first)["tile_pixels"]
-    assert again.count() == views["tile_pixels"].count()
+    clicked = written.show(first)
+    assert {name: df.count() for name, df in clicked.items()} == {name: df.count() for name, df in views.items()}
+    for name, df in written.show_from(written.tables["first"]).items():
+        assert df.count() == clicked[name].count()
+    for name in ("volcano_zoom", "cluster_pixels", "cluster_outline", "tile_pixels", "tile_outlines", "tile_label"):
+        assert "bucket" in plan(clicked[name]).split("PartitionFilters")[1].split("]")[0]
     assert tables["tiles"].agg(F.sum("pixels")).first()[0] == tables["pixels"].count()
     small = linked_tables(pixels(spark, sf_dir), greatest=100, log2_tiles=True, names=["tiles", "size_heat"])
     assert small["tiles"].agg(F.sum("corner_rows")).first()[0] == 5 * pixels(spark, sf_dir).filter(
@@ -180,8 +199,9 @@ def test_linked_view_end_to_end(spark, sf_dir, tmp_path):
 
 def test_reports(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    report = missing_report(px)
+    report = missing_report(px, 60)
     assert report["missing"].count() == report["counts"].first()["missing"]
+    assert set(missing_report(px)) == {"counts"}
     outline = outline_report(px, 0, 60)
     sizes = {r["data_type"]: r["n"] for r in outline["sizes"].groupBy("data_type").agg(F.sum("rows").alias("n")).collect()}
     rings = outline["outlines"].select("data_type", "chr", "clust", "ring_x", "ring_y").distinct()

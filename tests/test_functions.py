@@ -61,8 +61,12 @@ def test_text(spark):
     assert values(spark, plain_text, [3 * 0.1, 600.0, 0.25, -0.0, math.inf, -math.inf, 1e9]) == [
         "0.3", "600", "0.25", "0", "Inf", "-Inf", "1000000000",
     ]
-    assert values(spark, plain_text, [0.0001, -12345678.5, 2.9999999999, -0.0625, 1e-12]) == [
-        "0.0001", "-12345678.5", "3", "-0.0625", "0",
+    assert values(spark, plain_text, [0.0001, -12345678.5, 2.9999999999, -0.0625, 1e-12, 1 - 2e-16]) == [
+        "0.0001", "-12345678.5", "2.9999999999", "-0.0625", "0.000000000001", "1",
+    ]
+    # Bins of any width keep names of their own.
+    assert values(spark, plain_text, [1e-10, 2e-10, 1e30, 1.5e-300, 123456.789012345]) == [
+        "0.0000000001", "0.0000000002", "1" + "0" * 30, "0." + "0" * 299 + "15", "123456.789012345",
     ]
     assert values(spark, fixed_text, [2.0, 0.25]) == ["2.00", "0.25"]
     assert values(spark, lambda x: volcano_text(x, x), [0.5]) == ["logFC=0.5 -log10(p)=0.5"]

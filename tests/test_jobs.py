@@ -24,9 +24,9 @@ def inputs(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize(
     "job,options,tables",
     [
-        ("linked", ["--pixels", "{}/pixels.tsv", "--greatest", "80"], set(TABLES)),
-        ("volcano", ["--pixels", "{}/px", "--chr", "chr1"], {"pixels", "corners", "volcano_heat", "color_scale", "first"}),
-        ("axis", ["--pixels", "{}/px", "--width", "50"], {"pixels", "corners", "tiles", "tile_corners", "spacing"}),
+        ("linked", ["--format", "tsv", "--pixels", "{}/pixels.tsv", "--greatest", "80"], {*TABLES, "about"}),
+        ("volcano", ["--pixels", "{}/px", "--chr", "chr1"], {"pixels", "corners", "volcano_heat", "color_scale", "first", "outlines"}),
+        ("axis", ["--pixels", "{}/px", "--width", "50"], {"pixels", "corners", "tiles", "tile_corners", "spacing", "outlines"}),
         ("missing", ["--pixels", "{}/px", "--max-distance", "49"], {"missing", "counts"}),
         ("outlines", ["--pixels", "{}/px", "--low", "0", "--high", "60"], {"outlines", "pixels", "sizes", "labels"}),
         ("polygons", ["--polygons", "{}/polygons.tsv"], {"counts", "polygons", "tile_means", "first_extents"}),
@@ -37,3 +37,12 @@ def test_job(spark, inputs, tmp_path, job, options, tables):
     jobs.main([job, "--out", out, *[o.format(inputs) for o in options]])
     assert set(os.listdir(out)) == tables
     assert all("_SUCCESS" in os.listdir(f"{out}/{name}") for name in tables)
+
+
+def test_tsv_takes_chromosomes_and_no_resolution(spark, inputs, tmp_path):
+    out = str(tmp_path / "one")
+    jobs.main(["missing", "--format", "tsv", "--pixels", f"{inputs}/pixels.tsv", "--chr", "chr9", "--max-distance", "5", "--out", out])
+    counts = spark.read.option("header", True).option("sep", "\t").csv(f"{out}/counts").first()
+    assert counts is None or int(counts["possible"] or 0) == 0
+    with pytest.raises(SystemExit, match="resolution"):
+        jobs.main(["missing", "--format", "tsv", "--pixels", f"{inputs}/pixels.tsv", "--resolution", "5", "--out", f"{out}2"])

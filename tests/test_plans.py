@@ -4,15 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as driver
 from binweave.operators.boundary import segments, vertices
 from binweave.operators.geometry import corner_extents, tiled_pixels
 from binweave.operators.summaries import cluster_sizes, size_bins, size_points, tile_summary, volcano_bins, volcano_heat, with_p
+from binweave.plans import catalog
 from binweave.sources.stand_ins import pixels
 
-# A window over a handful of rows only: the distinct levels.
-SMALL_WINDOWS = {"d8_midpoint_intervals"}
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -28,12 +25,12 @@ def has_global_window(text):
     )
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cartesian_product_or_global_window(spark, sf_dir, name):
-    text = plan(driver.queries()[name](spark, sf_dir))
+    text = plan(catalog.QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
-    assert has_global_window(text) == (name in SMALL_WINDOWS)
+    assert not has_global_window(text)
 
 
 def test_core_operators_stay_in_the_jvm(spark, sf_dir):
@@ -80,7 +77,7 @@ def test_same_shape_at_ten_times_the_size(spark):
                      "e10_pixels_to_polygons", "i10_simplified", "a6_restored"):
             shapes = []
             for sf in ("sf0.001", "sf0.01"):
-                text = plan(driver.queries()[name](spark, f"/root/testdata/{sf}"))
+                text = plan(catalog.QUERIES[name](spark, f"/root/testdata/{sf}"))
                 shapes.append(re.findall(r"\b(\w+(?:Join|Aggregate|Exchange|Window|Generate))\b", text))
                 # What is still broadcast is hinted: hot-key lists and the shared shape.
                 hinted = text.count("BroadcastExchange")

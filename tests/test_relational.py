@@ -91,25 +91,34 @@ def test_numbers_run_through_blocks(spark, block):
 
 def test_grids(spark):
     full = pixels(spark, [(1, 1), (1, 3), (3, 3)])
-    assert rows(grid(full)) == [("chr1", 1, 1), ("chr1", 1, 3), ("chr1", 3, 3)]
-    assert rows(missing_pixels(full)) == []
+    assert rows(grid(full, whole=True)) == [("chr1", 1, 1), ("chr1", 1, 3), ("chr1", 3, 3)]
+    assert rows(missing_pixels(full, whole=True)) == []
     gap = pixels(spark, [(1, 1), (2, 3), (3, 3)])
-    assert rows(grid(gap)) == [("chr1", 1, 1), ("chr1", 1, 3), ("chr1", 2, 3), ("chr1", 3, 3)]
-    assert rows(missing_pixels(gap)) == [("chr1", 1, 3)]
+    assert rows(grid(gap, whole=True)) == [("chr1", 1, 1), ("chr1", 1, 3), ("chr1", 2, 3), ("chr1", 3, 3)]
+    assert rows(missing_pixels(gap, whole=True)) == [("chr1", 1, 3)]
     assert rows(missing_pixels(gap, 1)) == []
     assert tuple(grid_counts(gap).first()) == (1, 4, "1 missing pixels out of 4 possible in grid")
     assert rows(grid_sizes(gap)) == [("chr1", 1, 2), ("chr1", 2, 1), ("chr1", 3, 1)]
 
 
+def test_a_whole_grid_must_be_asked_for(spark):
+    with pytest.raises(ValueError, match="whole"):
+        grid(pixels(spark, [(1, 1)]))
+
+
 def test_grid_over_block_borders(spark):
     cells = [(a, a + k) for a in range(1000, 1060) for k in (0, 30) if a % 7]
     px = pixels(spark, cells)
     firsts, seconds = {a for a, _ in cells}, {b for _, b in cells}
     for limit in (None, 40):
         wanted = {(a, b) for a in firsts for b in seconds if a <= b and (limit is None or b - a <= limit)}
-        assert {(r["region1"], r["region2"]) for r in grid(px, limit).collect()} == wanted
-        absent = {(r["region1"], r["region2"]) for r in missing_pixels(px, limit).collect()}
+        assert {(r["region1"], r["region2"]) for r in grid(px, limit, whole=limit is None).collect()} == wanted
+        absent = {(r["region1"], r["region2"]) for r in missing_pixels(px, limit, whole=limit is None).collect()}
         assert absent == wanted - set(cells)
+        counted = grid_counts(px, max_distance=limit).first()
+        assert (counted["missing"], counted["possible"]) == (len(wanted - set(cells)), len(wanted))
+    sizes = {a: len([b for b in seconds if b >= a]) for a in firsts}
+    assert {r["region1"]: r["cells"] for r in grid_sizes(px).collect()} == {a: n for a, n in sizes.items() if n}
 
 
 def test_index_shift_takes_the_least_of_both_columns(spark):
@@ -156,8 +165,8 @@ def test_midpoint_intervals(spark):
 
 def test_crosstab(spark):
     out = presence_crosstab(pixels(spark, [(1, 2), (1, 1), (3, 3), (9, 9)]), 0, 4)
-    assert out.columns == ["region1", "1", "2", "3"]
-    assert rows(out) == [(1, 1, 1, 0), (3, 0, 0, 1)]
+    assert out.columns == ["chr", "region1", "1", "2", "3"]
+    assert rows(out) == [("chr1", 1, 1, 1, 0), ("chr1", 3, 0, 0, 1)]
 
 
 def test_selections(spark):
@@ -170,3 +179,25 @@ def test_selections(spark):
     assert rows(shown(df, {"v": table}), "k") == [(2,)]
     assert rows(flag_selected(df, {"v": table}), "k", "selected") == [(1, False), (2, True), (3, False)]
     assert rows(flag_selected(df, {"k": [1, 2], "v": "b"}), "k", "selected") == [(1, False), (2, True), (3, False)]
+
+
+def test_a_selection_means_the_same_at_any_length(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    for more in ([], list(range(100, 5_100))):
+        assert rows(shown(df, {"k": [1.5, *more]})) == []
+        assert rows(shown(df, {"k": [2.0, 1.5, *more]})) == [(2,)]
+    assert rows(shown(df, {"k": spark.createDataFrame([(1.5,), (3.0,)], "k double")})) == [(3,)]
+
+
+def test_midpoints_across_partitions(spark):
+    df = spark.range(1_000).select((F.col("id") * F.col("id")).alias("n")).repartition(16)
+    found = rows(midpoint_intervals(df, "n"))
+    assert len(found) == 1_000
+    assert all(a[2] == b[1] for a, b in zip(found, found[1:]))
+
+
+def test_missing_keys_are_groups(spark):
+    df = spark.createDataFrame([(None, 5), (None, 3), (1, 7)], "k int, v int")
+    assert rows(relative_to_least(df, ["k"], ["v"]), "v", "rel_v") == [(3, 0), (5, 2), (7, 0)]
+    assert rows(relative_to_least(df, ["k"], ["v"], hot_rows=1), "v", "rel_v") == [(3, 0), (5, 2), (7, 0)]
+    assert rows(rows_of_first_id(df, ["k"], "v"), "v") == [(3,), (7,)]
