@@ -32,6 +32,17 @@ def tokenizer(name: str):
     return Tokenizer.from_file(vocabulary_path(name))
 
 
+def _may_be_space(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends there may be white space beyond ASCII, by its bytes."""
+    one, two, three = (data[np.maximum(ends - k, 0)] for k in (1, 2, 3))
+    return (
+        ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+        | ((three == 0xE1) & (two == 0x9A))
+        | ((three == 0xE2) & ((two == 0x80) | (two == 0x81)))
+        | ((three == 0xE3) & (two == 0x80))
+    )
+
+
 class Encoder:
     """Ids of texts under one vocabulary file.
 
@@ -76,9 +87,10 @@ class Encoder:
         row = np.repeat(np.arange(len(offsets) - 1), words.counts)
         first = np.ones(len(starts), bool)
         first[1:] = row[1:] != row[:-1]
-        # A word joins the chunk before it unless exactly one space stands between the two.
+        # A word joins the chunk before it unless exactly one space stands between the two, and no
+        # other white space before that.
         opens = first.copy()
-        opens[1:] |= (starts[1:] - ends[:-1] == 1) & (data[starts[1:] - 1] == 0x20)
+        opens[1:] |= (starts[1:] - ends[:-1] == 1) & (data[starts[1:] - 1] == 0x20) & ~_may_be_space(data, ends[:-1])
         head = np.flatnonzero(opens)
         last = np.append(first[head][1:], True)[: len(head)]
         # The first and the last chunk of a row take the white space around them.
