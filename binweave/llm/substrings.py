@@ -17,8 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binweave.llm.bits import bitmap, contains, slot
-from binweave.llm.packed import PACKED, bucket_count, bucket_of, pack, unpack
+from binweave.llm.bits import maybe
+from binweave.llm.packed import (
+    PACKED,
+    answer,
+    bucket_count,
+    bucket_of,
+    chunk_group,
+    look_up,
+    pack,
+    resolve,
+    send_chunks,
+    unpack,
+    unpack_chunks,
+)
 from binweave.llm.registry import query, table
 from binweave.llm.words import Words, mix, row_chunks, split, text_bytes, windows
 from binweave.scratch import cut
@@ -41,20 +53,23 @@ def _long_rows(words: Words, least: int) -> Words:
 def _probes(buckets: int, window: int, block: int):
     """All rolling windows of a block's length; those at a block's place are flagged as index."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            texts, ids = batch.column("text"), batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for low, high in row_chunks(texts):
                 words = _long_rows(split(texts.slice(low, high - low)), window)
                 rolling = windows(words, block)
                 rows = rolling.rows
                 indexed = (rolling.at - words.first[rows]) % block == 0
-                yield pack(bucket_of(rolling.hashes, buckets), buckets, ids[low:high][rows].astype(np.int64), rolling.hashes, 6, indexed)
+                yield rolling.hashes, rows, indexed.astype(np.uint8), ids[low:high], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return send_chunks(parts(batches), buckets, 6)
 
     return run
 
 
-def _groups(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by value, group starts, and the number of each sorted pair's group."""
     order = np.argsort(values)
     sorted_ = values[order]
@@ -63,23 +78,23 @@ def _groups(values: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _reply(ids: np.ndarray, values: np.ndarray, groups: int, width: int) -> pa.Table:
-    dealt = bucket_of(mix(ids.view(np.uint64) + np.uint64(1)), groups)
+def _reply(ids: np.ndarray, values: np.ndarray, groups: int, width: int, by_chunk: bool = False) -> pa.Table:
+    dealt = chunk_group(ids >> np.int64(16), groups) if by_chunk else bucket_of(mix(ids.view(np.uint64) + np.uint64(1)), groups)
     return pa.Table.from_batches([pack(dealt, groups, ids, values, width, sort_ids=True)])
 
 
 def _hits(groups: int):
     """Probes that meet an indexed block, where more than one document holds the value."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        values, flags, ids, _ = unpack(rows, 6)
-        order, starts, group = _groups(values, ids)
+    def reduce(rows: pa.Table) -> pa.Table:
+        values, flags, ids = unpack_chunks(rows, 6)
+        order, starts, group = _groups(values)
         ids = ids[order]
         several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
         hit = np.flatnonzero((several & (np.maximum.reduceat(flags[order], starts) > 0))[group])
-        return _reply(ids[hit], values[order[hit]], groups, 6)
+        return _reply(ids[hit], values[order[hit]], groups, 6, by_chunk=True)
 
-    return run
+    return lambda rows: answer(rows, groups, reduce)
 
 
 def _repeats(groups: int):
@@ -87,7 +102,7 @@ def _repeats(groups: int):
 
     def run(rows: pa.Table) -> pa.Table:
         values, _, ids, _ = unpack(rows, 8)
-        order, starts, group = _groups(values, ids)
+        order, starts, group = _groups(values)
         ids = ids[order]
         hit = np.flatnonzero(ids > np.minimum.reduceat(ids, starts)[group])
         return _reply(ids[hit], values[order[hit]], groups, 8)
@@ -95,9 +110,16 @@ def _repeats(groups: int):
     return run
 
 
-def _per_doc(width: int):
+def _per_doc(width: int, by_chunk: bool = False):
+    """Values of each document; ids of rows in chunks are turned into those of documents."""
+
     def run(rows: pa.Table) -> pa.Table:
+        known = {}
+        if by_chunk:
+            rows, known = resolve(rows)
         values, _, ids, _ = unpack(rows, width)
+        if by_chunk:
+            ids = look_up(ids, known, 0)
         order = np.lexsort((values, ids))
         values, ids = values[order], ids[order]
         new = np.ones(len(ids), bool)
@@ -189,7 +211,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id`` and ``keys``: the distinct hashes of a document's repeated windows, packed.
 
     Only documents with such a window have a row.  Rows that share an id are one document with
-    the windows of all; a NULL id or text takes no part.  Hashes are 64 bits wide here, 48 in the
+    the windows of all; a NULL id or text takes no part.  ``docs`` is read in the order it is stored
+    in, so it should be a table and not the result of a shuffle.  Hashes are 64 bits wide here, 48 in the
     search for hits, which later steps only narrow.
     """
     block = window // 2
@@ -197,24 +220,13 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = bucket_count(usable)
     probes = usable.mapInArrow(_probes(buckets, window, block), PACKED)
     hits = probes.groupBy("bucket").applyInArrow(_hits(buckets), PACKED)
-    per_doc = cut(hits.groupBy("bucket").applyInArrow(_per_doc(6), _PER_DOC), "hits")
+    per_doc = cut(hits.groupBy("bucket").applyInArrow(_per_doc(6, by_chunk=True), _PER_DOC), "hits")
     near = maybe(usable, per_doc).filter("__maybe").drop("__maybe").join(per_doc, "doc_id")
     full = near.select("doc_id", "text", "keys").mapInArrow(_candidates(buckets, window, block), PACKED)
     found = full.groupBy("bucket").applyInArrow(_repeats(buckets), PACKED)
     return cut(found.groupBy("bucket").applyInArrow(_per_doc(8), _PER_DOC), "repeats")
 
 
-def maybe(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``docs`` with ``__maybe``: false for documents certainly not among ``members``."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(members, "doc_id"))  # fixed size
-
-    @F.arrow_udf("boolean")
-    def inside(slots: pa.Array) -> pa.Array:
-        return pa.array(contains(shared.value, slots.to_numpy(zero_copy_only=False).astype(np.int64)))
-
-    return docs.withColumn("__maybe", inside(slot("doc_id")))
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, removed: str = "removed") -> DataFrame:
     """``docs`` with repeated words cut out of ``text``, and ``removed``: the runs cut out.
 
