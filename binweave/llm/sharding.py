@@ -52,15 +52,42 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
         .withColumn("_middle", 2 * (F.col("_bytes_before") + F.col("_local")) + F.col("_size"))
         .withColumn("_at", F.col("_rows_before") + F.col("_row"))
     )
-    share = F.expr(f"cast(_middle as decimal(30, 0)) * {shards}") / (2 * F.greatest(total, F.lit(1)))
-    sharded = placed.withColumn("shard", F.least(F.floor(share), F.lit(shards - 1)).cast("int"))
+    twice = (2 * F.greatest(total, F.lit(1))).cast("decimal(20, 0)")
+    share = F.expr(f"(cast(_middle as decimal(20, 0)) * {shards}) div _twice")  # exact
+    sharded = placed.withColumn("_twice", twice).withColumn("shard", F.least(share, F.lit(shards - 1)).cast("int"))
     firsts = sharded.groupBy("shard").agg(F.min("_at").alias("_first"))  # at most ``shards`` rows
     return sharded.join(F.broadcast(firsts), "shard").select(
         *columns, "shard", (F.col("_at") - F.col("_first")).cast("bigint").alias("slot")
     )
 
 
-@query("op2_sharding")
+OP2_SQL = f"""
+WITH powers AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS p
+), d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), b AS (
+  SELECT doc_id, list_transform(range(len(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16
+    + instr('0123456789ABCDEF', x[2 * i + 2]) - 1) AS bytes FROM d
+), c AS (
+  SELECT doc_id, CAST(len(bytes) + {ROW_BYTES} AS BIGINT) AS size,
+         CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+           lambda a, b: xor(a >> 8, p[1 + (xor(a, b) & 255)])), 4294967295) AS BIGINT) AS text_crc32
+  FROM b, powers
+), s AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32) AS n, sum(size) OVER () AS total FROM c
+), t AS (
+  SELECT *, CAST(least(((2 * upto - size) * {SHARDS}) // (2 * total), {SHARDS - 1}) AS INTEGER) AS shard FROM s
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       CAST(n - min(n) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM t
+"""
+
+
+@query("op2_sharding", OP2_SQL)
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes; a NULL text has none, and CRC 0."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -162,5 +162,5 @@ def test_matches_sql(spark, hard_dir, sf_dir, name, folder):
     result = con.execute(SQL[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
-    wanted = sorted(tuple(row[names.index(c)] for c in columns) for row in result.fetchall())
-    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == wanted
+    wanted = sorted((tuple(row[names.index(c)] for c in columns) for row in result.fetchall()), key=key)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=key) == wanted
