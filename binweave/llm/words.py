@@ -9,6 +9,7 @@ share a hash with a probability of about 2**-63; where that matters callers chec
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,6 +66,14 @@ class _Powers:
 _BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
 
 
+def _release() -> None:
+    """Give freed memory back; where the C library has no such call, it stays with the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of consecutive rows; row ``r`` holds words ``first[r]`` to ``first[r + 1] - 1``."""
@@ -106,7 +115,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text each; a longer text stands alone, whole."""
+    """Row ranges of about ``most`` bytes of text each; a longer text stands alone, whole.
+
+    After the last range the scratch memory goes back to the system, so that what one batch
+    needed does not stay with a worker for good.
+    """
     offsets = text_bytes(column)[1]
     low, rows = 0, len(offsets) - 1
     while low < rows:
@@ -114,6 +127,7 @@ def row_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         high = min(max(high, low + 1), rows, low + 65_535)
         yield low, high
         low = high
+    _release()
 
 
 def span_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray, lower: bool = False) -> np.ndarray:
