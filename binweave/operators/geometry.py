@@ -21,6 +21,7 @@ TILE_HALF = 45.0
 TILE_WIDTH = 50.0
 TILE_OFFSET = (20.0, -24.0)
 
+MASK_BINS = 10_000  # bins along a side of a dense mask
 BROADCAST_PLACES = 200_000  # places of a tile up to which its shape is broadcast
 
 AXES = ("x", "y")
@@ -226,15 +227,9 @@ def relative_shape(tiled: DataFrame, half: float = PIXEL_HALF) -> DataFrame:
     return places.select("*", F.inline(points))
 
 
-def restore_corners(
-    tiled: DataFrame, shape: DataFrame, width: float = TILE_WIDTH
-) -> DataFrame:
-    """Corner rows from pixels and the shape their tiles share.
-
-    A tile has at most 2 * width**2 places, which decides whether the shape is
-    small enough to broadcast.
-    """
-    small = 2 * width * width <= BROADCAST_PLACES
+def restore_corners(tiled: DataFrame, shape: DataFrame) -> DataFrame:
+    """Corner rows from pixels and the shape their tiles share, broadcast after a look at its size."""
+    small = shape.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     return tiled.join(F.broadcast(shape) if small else shape, ["rel_region_x", "rel_region_y"])
 
 
@@ -257,8 +252,11 @@ def polygon_tiles(polygons: DataFrame, divisor: float = 10.0) -> DataFrame:
 def mask_long(pixels: DataFrame, low: int, high: int) -> DataFrame:
     """Dense 0/1 mask of the bins ``low..high`` on both axes, one row per cell and chromosome.
 
-    The window is what bounds the result; outside a window use the sparse mask.
+    The window is what bounds the result, at most ``MASK_BINS`` bins wide; outside a window
+    use the sparse mask.
     """
+    if high - low >= MASK_BINS:
+        raise ValueError(f"a mask of more than {MASK_BINS} bins a side")
     seen = pixels.filter(
         F.col("region1").between(low, high) & F.col("region2").between(low, high)
     )
