@@ -2,9 +2,10 @@
 
 Counts of words and of pairs of adjacent tokens are quantised to levels of half a power of two.
 An n-gram of level q is put into a Bloom filter once for each level up to q; its level is read
-back by probing level after level until one is missing.  The filter is broadcast, and its size
-has a fixed bound: if the n-grams of all levels would not fit, the lowest levels of pairs are
-left to the words' probabilities, the same for all pairs of such a level.
+back by probing level after level until one is missing.  The filter has a fixed number of bits per
+entry and lies in segments of bounded size, whose number grows with the entries, so every level of
+every n-gram is in it.  No machine holds all of it: the distinct n-grams of each chunk of text go
+to the segments they belong to, and their levels come back to the chunk.
 
 Tokens are words (A-Z in lower case) and one end per text; a text starts from a begin mark that
 is only ever a context.  With quantised counts c', and Z making the words' part sum to 1:
@@ -17,7 +18,7 @@ where R is the share of all training tokens that the discounted pairs in the fil
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +26,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from binweave.llm.packed import PACKED, bucket_count, bucket_of, pack, unpack
+from binweave.llm.packed import PACKED, bucket_count, bucket_of, chunk_group, pack, unpack
 from binweave.llm.registry import query, table
 from binweave.llm.words import mix, row_chunks, split
 from binweave.scratch import cut
 
-MAX_BITS = 1 << 28  # bound of the filter: 32 MB
+SEGMENT_BITS = 1 << 25  # bound of a segment of the filter: 4 MB
 BITS_PER_ENTRY = 8
 PROBES = 4
-SEGMENTS = 64
+SEGMENTS = 64  # at least
 TOP_WORDS = 1 << 18  # words whose exact counts are broadcast; others are joined
 BETA, DISCOUNT = 0.2, 0.75
-MIN_PAIR = 2  # pairs seen once carry no evidence beyond their words
 
 _END, _BEGIN = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
 _BUFFER = 1 << 19
+_ASKED = "bucket int, chunk long, segment int, data binary"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,46 +125,63 @@ def _pair_counts(rows: pa.Table) -> pa.Table:
     bucket = rows["bucket"][0].as_py()
     distinct, inverse = np.unique(values, return_inverse=True)
     counts = np.bincount(inverse, weights=flags).astype(np.int64)
-    kept = counts >= MIN_PAIR
-    keys = mix(distinct[kept] ^ (np.uint64(bucket) << np.uint64(48)))
-    return pa.table({"word": keys.view(np.int64), "c": counts[kept]})
+    keys = mix(distinct ^ (np.uint64(bucket) << np.uint64(48)))
+    return pa.table({"word": keys.view(np.int64), "c": counts})
 
 
 def _level(count: str) -> Column:
     return F.floor(2 * F.log2(F.col(count).cast("double")) + 1e-9).cast("int")
 
 
-def _bit(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """Bit number of one probe of one level, in the key's own segment."""
-    span = bits // SEGMENTS
+def _bit(keys: np.ndarray, level: int, probe: int, span: int) -> np.ndarray:
+    """Bit number of one probe of one level within the key's own segment of ``span`` bits."""
     state = mix(keys + np.uint64((level * PROBES + probe + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
-    return (keys >> np.uint64(58)).astype(np.int64) * span + (state & np.uint64(span - 1)).astype(np.int64)
+    return (state & np.uint64(span - 1)).astype(np.int64)
 
 
-def _segment(bits: int):
+def filter_size(entries: int) -> tuple[int, int]:
+    """Segments of the filter and the bits of each, both powers of two."""
+    bits = 1 << max(16, int(entries * BITS_PER_ENTRY - 1).bit_length())
+    segments = max(SEGMENTS, bits // SEGMENT_BITS)
+    return segments, bits // segments
+
+
+def _segment(span: int):
     def build(rows: pa.Table) -> pa.Table:
-        keys = rows["key"].to_numpy().view(np.uint64)
-        low, high = rows["low"].to_numpy(), rows["level"].to_numpy()
-        segment = int(rows["segment"][0].as_py())
-        span = bits // SEGMENTS
+        keys, high = rows["key"].to_numpy().view(np.uint64), rows["level"].to_numpy()
         part = np.zeros(span, bool)
         for level in range(int(high.max(initial=-1)) + 1):
-            some = keys[(low <= level) & (level <= high)]
+            some = keys[level <= high]
             for probe in range(PROBES):
-                part[_bit(some, level, probe, bits) - segment * span] = True
-        return pa.table({"segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+                part[_bit(some, level, probe, span)] = True
+        bits = np.packbits(part, bitorder="little").tobytes()
+        return pa.table({"segment": rows["segment"][:1].cast(pa.int32()), "bits": pa.array([bits], pa.binary())})
 
     return build
 
 
+def levels_in(part: np.ndarray, keys: np.ndarray, span: int, first: int, top: int) -> np.ndarray:
+    """Level of each key of one segment, ``first - 1`` if it is not in it."""
+    found = np.full(len(keys), first - 1)
+    open_ = np.arange(len(keys))
+    for level in range(first, top + 1):
+        for probe in range(PROBES):
+            at = _bit(keys[open_], level, probe, span)
+            open_ = open_[(part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        found[open_] = level
+        if not len(open_):
+            break
+    return found
+
+
 @dataclass
 class Model:
-    """What the workers need; all of it of bounded size."""
+    """What the workers need, all of it of bounded size, and the table of the filter's segments."""
 
-    bits: int
-    filter: np.ndarray
+    parts: DataFrame | None  # segment, bits; stays with the driver
+    segments: int
+    span: int  # bits of a segment
     buckets: int
-    pair_level: int  # least level of pairs in the filter
     top: int  # greatest level of any n-gram
     n: int
     v: int
@@ -173,17 +191,15 @@ class Model:
     words: np.ndarray  # sorted hashes of the most frequent words
     word_counts: np.ndarray
 
+    def segment_of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(65 - self.segments.bit_length())).astype(np.int64)
+
     def level_of(self, keys: np.ndarray, first: int) -> np.ndarray:
-        """Level of each key, ``first - 1`` if it is not in the filter."""
-        found = np.full(len(keys), first - 1)
-        open_ = np.arange(len(keys))
-        for level in range(first, self.top + 1):
-            for probe in range(PROBES):
-                at = _bit(keys[open_], level, probe, self.bits)
-                open_ = open_[(self.filter[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            found[open_] = level
-            if not len(open_):
-                break
+        """Level of each key, ``first - 1`` if it is not in the filter; one segment at a time."""
+        found, segment = np.full(len(keys), first - 1), self.segment_of(keys)
+        for r in self.parts.filter(F.col("segment").isin(np.unique(segment).tolist())).toLocalIterator():
+            mine = segment == r["segment"]
+            found[mine] = levels_in(np.frombuffer(r["bits"], np.uint8), keys[mine], self.span, first, self.top)
         return found
 
 
@@ -191,8 +207,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the exact counts of all words (``word, c``), from all of ``docs``.
 
     Words and pairs are counted in buckets whose number follows the amount of text.  Nothing but
-    sums per level, the filter (at most ``MAX_BITS``) and at most ``TOP_WORDS`` words reach
-    the driver.
+    sums per level and at most ``TOP_WORDS`` words reach the driver; the filter stays a table.
     """
     spark = docs.sparkSession
     texts = docs.select("text")
@@ -205,25 +220,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     n, v = sum(r["c"] for r in word_levels.values()), sum(r["n"] for r in word_levels.values())
     n_texts = docs.count()
 
-    entries = sum(r["n"] * (q + 1) for q, r in word_levels.items())
-    first = min(pair_levels, default=0)
-    of_pairs = lambda low: sum(r["n"] * (q - low + 1) for q, r in pair_levels.items() if q >= low)
-    last = max(pair_levels, default=0)
-    while first <= last and (entries + of_pairs(first)) * BITS_PER_ENTRY > MAX_BITS:
-        first += 1
-    least = (entries + of_pairs(first)) * BITS_PER_ENTRY
-    bits = min(MAX_BITS, 1 << max(16, int(least - 1).bit_length()))
-    keyed = words.select(F.col("word").alias("key"), F.lit(0).alias("low"), _level("c").alias("level")).unionByName(
-        pairs.select(F.col("word").alias("key"), F.lit(first).alias("low"), _level("c").alias("level")).filter(F.col("level") >= first)
-    )
     # The begin mark is a context only; its count is the number of texts.
-    begin = spark.range(1).select(F.lit(int(np.int64(_BEGIN.view(np.int64)))).alias("key"), F.lit(0).alias("low"), F.lit(int(levels(np.array([n_texts]))[0])).alias("level"))
-    segments = keyed.unionByName(begin).withColumn("segment", F.shiftrightunsigned("key", 58).cast("int"))
-    parts = segments.groupBy("segment").applyInArrow(_segment(bits), "segment int, bits binary").collect()
-    packed = np.zeros(bits // 8, np.uint8)
-    size = bits // 8 // SEGMENTS
-    for r in parts:
-        packed[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    begin_level = int(levels(np.array([n_texts]))[0])
+    segments, span = filter_size(begin_level + 1 + sum(r["n"] * (q + 1) for by in (word_levels, pair_levels) for q, r in by.items()))
+    keyed = words.unionByName(pairs).select(F.col("word").alias("key"), _level("c").alias("level"))
+    begin = spark.range(1).select(F.lit(int(np.int64(_BEGIN.view(np.int64)))).alias("key"), F.lit(begin_level).alias("level"))
+    placed = keyed.unionByName(begin).withColumn("segment", F.shiftrightunsigned("key", 65 - segments.bit_length()).cast("int"))
+    parts = cut(placed.groupBy("segment").applyInArrow(_segment(span), "segment int, bits binary"), "filter")
 
     # Exact counts of the most frequent words: whole levels, as many as fit the bound.
     total, cut_level = 0, max(word_levels, default=0) + 1
@@ -235,55 +238,122 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     most = words.filter(_level("c") >= cut_level).toArrow()
     hashes = most["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    kept = {q: r for q, r in pair_levels.items() if q >= first}
-    share = sum(max(float(level_count(np.array(q))) - DISCOUNT, 0) * r["n"] for q, r in kept.items()) / max(n, 1)
+    share = sum(max(float(level_count(np.array(q))) - DISCOUNT, 0) * r["n"] for q, r in pair_levels.items()) / max(n, 1)
     z = sum((float(level_count(np.array(q))) + 1) * r["n"] for q, r in word_levels.items()) + 1
-    model = Model(bits, packed, buckets, first, max([*word_levels, *kept, int(levels(np.array([n_texts]))[0])]), n, v, n_texts, z,
+    model = Model(parts, segments, span, buckets, max([*word_levels, *pair_levels, begin_level]), n, v, n_texts, z,
                   min(share, 1.0), hashes[order], most["c"].to_numpy()[order].astype(np.int64))
     return model, words
 
 
-def _score(shared, columns: list[str]):
+def _probes(model: Model, column: pa.Array):
+    """Tokens of a chunk, its distinct words and pairs, and the order in which their keys are asked for."""
+    every, before, first = tokens(column)
+    distinct, inverse = np.unique(every, return_inverse=True)
+    pairs, back = np.unique(pair_hashes(before, every), return_inverse=True)
+    keys = np.concatenate([distinct, pair_keys(pairs, model.buckets)])
+    return first, distinct, inverse, back, keys, np.argsort(keys)
+
+
+def _ask(shared, groups: int):
+    """Of each chunk of text a row of keys per segment, and the chunk itself for its group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        key = TaskContext.get().partitionId() << 36
+        chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
-            texts = batch.column("text")
-            for low, high in row_chunks(texts):
+            for low, high in row_chunks(batch.column("text")):
                 part = batch.slice(low, high - low)
-                every, before, first = tokens(part.column("text"))
-                rows = np.repeat(np.arange(high - low), np.diff(first))
-                distinct, inverse = np.unique(every, return_inverse=True)
-                # The model: levels of distinct words and pairs, read back from the filter.
-                word_level = model.level_of(distinct, 0)
-                word_count = np.where(word_level >= 0, level_count(word_level), 0.0)
-                p = ((1 - BETA * model.share) * (word_count + 1) / model.z)[inverse]
-                pairs, back = np.unique(pair_hashes(before, every), return_inverse=True)
-                pair_level = model.level_of(pair_keys(pairs, model.buckets), model.pair_level)
-                context = np.empty(len(every))
-                context[1:] = word_count[inverse[:-1]]
-                context[first[:-1]] = model.texts
-                pair_count = np.where(pair_level >= model.pair_level, level_count(pair_level) - DISCOUNT, 0.0)[back]
-                p += BETA * np.minimum(np.maximum(pair_count, 0) / np.maximum(context, 1), 1.0)
-                score = np.add.reduceat(np.log10(p), first[:-1]) if high > low else np.zeros(0)
-                # The base: exact counts of frequent words; the others are listed for the join.
-                place = np.minimum(np.searchsorted(model.words, distinct), max(len(model.words) - 1, 0))
-                frequent = model.words[place] == distinct if len(model.words) else np.zeros(len(distinct), bool)
-                logs = np.where(frequent, np.log10((model.word_counts[place] if len(model.words) else 0) + 1.0), 0.0)
-                base = np.add.reduceat(logs[inverse], first[:-1])
-                known = np.add.reduceat(frequent[inverse].astype(np.int64), first[:-1])
-                rest = np.flatnonzero(~frequent[inverse])
-                # Rest words of a row, each with its number of times.
-                combined, times = np.unique(rows[rest].astype(np.int64) * (len(distinct) + 1) + inverse[rest], return_counts=True)
-                bounds = np.searchsorted(combined, np.arange(high - low + 1) * (len(distinct) + 1)).astype(np.int32)
-                listed = distinct[combined % (len(distinct) + 1)].view(np.int64)
-                arrays = [part.column(c) for c in columns] + [
-                    pa.array(key + np.arange(high - low)), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(score),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(listed)),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
-                ]
-                key += high - low
-                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "_key", "n_tokens", "_known", "_base", "score", "_words", "_times"])
+                *_, keys, order = _probes(model, part.column("text"))
+                keys = keys[order]
+                bounds = np.searchsorted(model.segment_of(keys), np.arange(model.segments + 1))
+                asked = np.flatnonzero(np.diff(bounds))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                group = int(chunk_group(np.array([chunk]), groups)[0])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*asked, model.segments + group], pa.int32()), pa.array([chunk] * (len(asked) + 1), pa.int64()),
+                    pa.array([*asked, -1], pa.int32()),
+                    pa.array([*(keys[bounds[k] : bounds[k + 1]].tobytes() for k in asked), sink.getvalue().to_pybytes()], pa.binary()),
+                ], names=["bucket", "chunk", "segment", "data"])
+                chunk += 1
+
+    return run
+
+
+def _answer(shared, groups: int):
+    """A segment's levels of the keys asked for, a byte each; chunks of text pass on to their group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        bucket = rows["bucket"][0].as_py()
+        if bucket >= model.segments:
+            return rows.set_column(0, "bucket", pa.array([bucket - model.segments] * rows.num_rows, pa.int32()))
+        chunks, data = rows["chunk"].to_numpy(), rows["data"].to_pylist()
+        asked = np.flatnonzero(chunks >= 0)
+        part = next((np.frombuffer(data[k], np.uint8) for k in np.flatnonzero(chunks < 0)), np.zeros(model.span // 8, np.uint8))
+        keys = np.frombuffer(b"".join(data[k] for k in asked), np.uint64)
+        level = (levels_in(part, keys, model.span, 0, model.top) + 1).astype(np.uint8)
+        bounds = np.cumsum([0, *(len(data[k]) // 8 for k in asked)])
+        return pa.table({
+            "bucket": pa.array(chunk_group(chunks[asked], groups).astype(np.int32)), "chunk": pa.array(chunks[asked]),
+            "segment": pa.array(np.full(len(asked), bucket, np.int32)),
+            "data": pa.array([level[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+        })
+
+    return run
+
+
+def _score(shared, columns: list[str]):
+    """Rows of the chunks of a group, once all levels have come back."""
+
+    def chunk_rows(chunk: int, part: pa.RecordBatch, replies: bytes) -> pa.RecordBatch:
+        model: Model = shared.value
+        n_rows = part.num_rows
+        first, distinct, inverse, back, keys, order = _probes(model, part.column("text"))
+        level = np.empty(len(keys), np.int64)
+        level[order] = np.frombuffer(replies, np.uint8).astype(np.int64) - 1
+        rows = np.repeat(np.arange(n_rows), np.diff(first))
+        # The model: levels of distinct words and pairs, read back from the filter.
+        word_level, pair_level = level[: len(distinct)], level[len(distinct) :]
+        word_count = np.where(word_level >= 0, level_count(word_level), 0.0)
+        p = ((1 - BETA * model.share) * (word_count + 1) / model.z)[inverse]
+        context = np.empty(len(inverse))
+        context[1:] = word_count[inverse[:-1]]
+        context[first[:-1]] = model.texts
+        pair_count = np.where(pair_level >= 0, level_count(pair_level) - DISCOUNT, 0.0)[back]
+        p += BETA * np.minimum(np.maximum(pair_count, 0) / np.maximum(context, 1), 1.0)
+        score = np.add.reduceat(np.log10(p), first[:-1])
+        # The base: exact counts of frequent words; the others are listed for the join.
+        place = np.minimum(np.searchsorted(model.words, distinct), max(len(model.words) - 1, 0))
+        frequent = model.words[place] == distinct if len(model.words) else np.zeros(len(distinct), bool)
+        logs = np.where(frequent, np.log10((model.word_counts[place] if len(model.words) else 0) + 1.0), 0.0)
+        base = np.add.reduceat(logs[inverse], first[:-1])
+        known = np.add.reduceat(frequent[inverse].astype(np.int64), first[:-1])
+        rest = np.flatnonzero(~frequent[inverse])
+        # Rest words of a row, each with its number of times.
+        combined, times = np.unique(rows[rest].astype(np.int64) * (len(distinct) + 1) + inverse[rest], return_counts=True)
+        bounds = np.searchsorted(combined, np.arange(n_rows + 1) * (len(distinct) + 1)).astype(np.int32)
+        listed = distinct[combined % (len(distinct) + 1)].view(np.int64)
+        arrays = [part.column(c) for c in columns] + [
+            pa.array((chunk << 16) + np.arange(n_rows)), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(score),
+            pa.ListArray.from_arrays(pa.array(bounds), pa.array(listed)),
+            pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=[*columns, "_key", "n_tokens", "_known", "_base", "score", "_words", "_times"])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("chunk", "ascending"), ("segment", "ascending")])
+        chunks = rows["chunk"].to_numpy()
+        heads = np.flatnonzero(np.diff(chunks, prepend=-1))
+        out = []
+        for a, b in zip(heads, np.append(heads[1:], len(chunks)), strict=True):
+            # Segment -1 is the chunk of text; the others follow in the order of their keys.
+            text, *replies = rows["data"][a:b].to_pylist()
+            with pa.ipc.open_stream(text) as stream:
+                for part in stream:
+                    out.append(chunk_rows(int(chunks[a]), part, b"".join(replies)))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -295,13 +365,17 @@ def scored(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     word of a document meets its count in a join.  A NULL text is empty and has its end token
     alone; rows that repeat an id are scored each for itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, parts=None))
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     fields = [f for f in docs.schema if f.name != "text" and f.name not in added]
     kept = docs.select(*[f.name for f in fields], "text")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     schema += "_key long, n_tokens long, _known long, _base double, score double, _words array<long>, _times array<int>"
-    rows = cut(kept.mapInArrow(_score(shared, [f.name for f in fields]), schema), "scored")
+    groups = bucket_count(kept)
+    parts = model.parts.select(F.col("segment").alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "segment", F.col("bits").alias("data"))
+    asked = kept.mapInArrow(_ask(shared, groups), _ASKED).unionByName(parts)
+    answers = asked.groupBy("bucket").applyInArrow(_answer(shared, groups), _ASKED)
+    rows = cut(answers.groupBy("bucket").applyInArrow(_score(shared, [f.name for f in fields]), schema), "scored")
     each = rows.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("_w"))
     met = each.select("_key", F.col("_w._words").alias("word"), F.col("_w._times").alias("_times")).join(words, "word")
     sums = met.groupBy("_key").agg(F.sum("_times").alias("_n"), F.sum(F.col("_times") * F.log10(F.col("c") + 1)).alias("_sum"))

@@ -177,6 +177,35 @@ def test_filter_gives_back_levels(spark):
     assert (model.level_of(strangers, 0) >= 0).mean() < 0.05
 
 
+@pytest.mark.parametrize("segment_bits", [1 << 25, 1 << 8])
+def test_every_level_of_every_pair_is_in_the_filter(spark, monkeypatch, segment_bits):
+    """Pairs seen once too, in however many segments; scores follow the formula with the levels read back."""
+    monkeypatch.setattr(lm, "SEGMENT_BITS", segment_bits)
+    texts = [" ".join(words(200 + k, 40, 300)) for k in range(40)] + ["only once", None]
+    docs = docs_of(spark, texts)
+    model, counted = lm.train(docs)
+    assert model.segments * model.span >= 1 << 16 and model.segments == max(64, (model.segments * model.span) // segment_bits)
+    every, before, first = lm.tokens(pa.array(texts))
+    pairs, times = np.unique(lm.pair_hashes(before, every), return_counts=True)
+    level = model.level_of(lm.pair_keys(pairs, model.buckets), 0)
+    assert (level >= lm.levels(times)).all() and (times == 1).any()
+    assert (level == lm.levels(times)).mean() > 0.9
+    counts = lambda keys: np.where((q := model.level_of(keys, 0)) >= 0, lm.level_count(q), 0.0)
+    context = np.append(0.0, counts(every)[:-1])
+    context[first[:-1]] = model.texts
+    both = np.maximum(counts(lm.pair_keys(lm.pair_hashes(before, every), model.buckets)) - lm.DISCOUNT, 0)
+    p = (1 - lm.BETA * model.share) * (counts(every) + 1) / model.z + lm.BETA * np.minimum(both / np.maximum(context, 1), 1)
+    wanted = np.add.reduceat(np.log10(p), first[:-1])
+    got = {r["doc_id"]: r["score"] for r in lm.scored(docs, model, counted).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], wanted)
+
+
+def test_the_filter_grows_with_its_entries():
+    for entries in (1, 10**6, 10**8, 10**11):
+        segments, span = lm.filter_size(entries)
+        assert segments * span >= entries * lm.BITS_PER_ENTRY and span <= lm.SEGMENT_BITS
+
+
 # --- pairs ----------------------------------------------------------------------
 
 
