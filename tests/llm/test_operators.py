@@ -1,5 +1,6 @@
 """Parts of the operators, and cases made to be hard for one of them."""
 
+import itertools
 import math
 import random
 
@@ -255,6 +256,35 @@ def test_seeds_tolerate_substitutions(spark):
     assert kept.count() == len(upper) + 20 - len(found)
 
 
+@pytest.mark.parametrize("width", range(1, 14))
+def test_masks_hit_every_stretch_that_agrees_enough(width):
+    masks = [[k for k, sign in enumerate(m) if sign == "1"] for m in decontaminate.FAMILIES[width]]
+    placed = [{at + k for k in m} for m, text in zip(masks, decontaminate.FAMILIES[width], strict=True) for at in range(width - len(text) + 1)]
+    for differing in itertools.combinations(range(width), width - decontaminate.needed(width)):
+        assert any(not p.intersection(differing) for p in placed), differing
+
+
+def test_short_items_and_scattered_substitutions(spark):
+    """Items of every length with as many tokens changed as the rule allows, and with one more."""
+    rng = random.Random(5)
+    items, texts, wanted = [], [], set()
+    for size in [*range(1, 14), 40]:
+        item = words(3_000 + size, size, 10**6)
+        items.append((size, " ".join(item)))
+        allowed = min(size, 13) - decontaminate.needed(size)
+        patterns = list(itertools.combinations(range(min(size, 13)), allowed))
+        for pattern in rng.sample(patterns, min(len(patterns), 40)):
+            changed = [f"z{k}" if k % 13 in pattern else w for k, w in enumerate(item)]
+            wanted.add((len(texts), size))
+            texts.append(" ".join(words(5_000 + len(texts), 7, 10**6) + changed + words(9_000 + len(texts), 7, 10**6)))
+        if size <= 13:
+            texts.append(" ".join(f"z{k}" if k <= allowed else w for k, w in enumerate(item)))
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs_of(spark, texts), frame).collect()} == wanted
+    repeated = docs_of(spark, [f"a {items[0][1]} b {items[0][1]}", f"{items[0][1]}x"])
+    assert [tuple(r) for r in decontaminate.overlaps(repeated, frame).collect()] == [(0, 1, 1, 0, 1, 1)]
+
+
 def test_repeats_at_every_offset(spark):
     """A passage of exactly a window, wherever it lies against the blocks of the first document."""
     passage = words(21, 50, 100_000)
