@@ -379,9 +379,9 @@ def mismatches(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def pixels_to_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """Every polygon row with its pixel; many polygons may sit on one pixel.
+    """Every polygon row with its pixel of chr1, as its SQL asks; many polygons may sit on one pixel.
 
-    Polygons are those of one chromosome, so its pixels are picked before the join.
+    Polygons lie on all chromosomes; ``e10_pixels_to_polygons_by_chr`` joins them all.
     """
     shifted = index_shift(pixels(spark, d).filter("chr = 'chr1'")).select("i", "j", "region1", "region2", "clust", "logfc")
     drawn = polygons(spark, d).select("nb_clust", "id", "i", "j")
@@ -389,6 +389,31 @@ def pixels_to_polygons(spark: SparkSession, d: str) -> DataFrame:
     return joined.withColumn("ij", pair_text(F.col("i").cast("string"), F.col("j").cast("string")))
 
 
+@query(
+    "e10_pixels_to_polygons_by_chr",
+    s.sql(
+        s.PIXELS, s.POLYGONS,
+        """SELECT q.chr, q.nb_clust, q.id, q.i, q.j, q.i || ',' || q.j AS ij, p.region1, p.region2, p.clust, p.logfc
+           FROM (
+             SELECT chr, nb_clust, id, i - m + 1 AS i, j - m + 1 AS j
+             FROM (SELECT *, 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr FROM polygons)
+             JOIN (SELECT 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr, least(min(i), min(j)) AS m FROM polygons GROUP BY 1) USING (chr)) q
+           LEFT JOIN (
+             SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j FROM pixels
+             JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)) p
+             ON p.chr = q.chr AND p.i = q.i AND p.j = q.j""",
+    ),
+)
+def pixels_to_polygons_by_chr(spark: SparkSession, d: str) -> DataFrame:
+    """Every polygon row with its pixel, on all chromosomes; bins count from the least one of each."""
+    shifted = index_shift(pixels(spark, d)).select("chr", "i", "j", "region1", "region2", "clust", "logfc")
+    drawn = polygons(spark, d).select("nb_clust", "id", F.col("i").alias("region2"), F.col("j").alias("region1"))
+    placed = drawn.withColumn("chr", F.concat(F.lit("chr"), (1 + F.expr("region1 div 1000")).cast("string")))
+    counted = index_shift(placed).select("chr", "nb_clust", "id", "i", "j")
+    joined = join_spread(counted, shifted, ["chr", "i", "j"], "left")
+    return joined.withColumn("ij", pair_text(F.col("i").cast("string"), F.col("j").cast("string")))
+
+
 # --- unions, sorts ---------------------------------------------------------------
 
 

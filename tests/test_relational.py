@@ -20,6 +20,7 @@ from binweave.operators.relational import (
 )
 from binweave.operators.selection import flag_selected, shown
 from binweave.operators.summaries import count_of_counts, histogram, midpoint_intervals, presence_crosstab
+from binweave.plans import catalog
 
 PIXELS = "chr string, region1 bigint, region2 bigint"
 
@@ -201,3 +202,12 @@ def test_missing_keys_are_groups(spark):
     assert rows(relative_to_least(df, ["k"], ["v"]), "v", "rel_v") == [(3, 0), (5, 2), (7, 0)]
     assert rows(relative_to_least(df, ["k"], ["v"], hot_rows=1), "v", "rel_v") == [(3, 0), (5, 2), (7, 0)]
     assert rows(rows_of_first_id(df, ["k"], "v"), "v") == [(3,), (7,)]
+
+
+def test_polygons_of_every_chromosome_meet_their_pixels(spark):
+    """On tables of several chromosomes; the query of one chromosome leaves most polygons without a pixel."""
+    folder = "/root/testdata/sf0.01"
+    joined = catalog.QUERIES["e10_pixels_to_polygons_by_chr"](spark, folder)
+    seen = joined.groupBy("chr").agg(F.count("*").alias("n"), F.count("region1").alias("met")).collect()
+    assert len(seen) > 1 and all(r["n"] == r["met"] for r in seen)
+    assert sum(r["n"] for r in seen) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
