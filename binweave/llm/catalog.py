@@ -7,9 +7,12 @@ from binweave.llm import (  # noqa: F401
     decontaminate,
     jaccard,
     language,
+    lexical,
     lm,
+    neighbours,
     packing,
     quality,
+    resampling,
     sharding,
     substrings,
     topk,
