@@ -31,7 +31,7 @@ JOB_CHUNKS: dict[str, dict[str, Sequence[str]]] = {
     "linked": {},
     "volcano": {"pixels": ["chr", "volcano_bin"]},
     "axis": {"corners": ["chr", "round_r1r2"], "pixels": ["chr", "round_r1r2"]},
-    "missing": {"missing": ["chr"]},
+    "missing": {"missing": ["chr"], "runs": ["chr"]},
     "outlines": {"outlines": ["chr", "data_type"]},
     "polygons": {"polygons": ["nb_clust", "tile_id"], "tile_means": ["nb_clust"]},
     "audit": {},

@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binweave.operators.geometry import MASK_BINS
 from binweave.operators.relational import join_null_safe
 
 # Fixed values.  A dual cell is the square between four neighbouring bin
@@ -58,49 +57,6 @@ def bounding_boxes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return box.withColumn("zeros", area - F.col("ones"))
 
 
-def _side(low: str, high: str) -> Column:
-    """All bins of a box's side, if it isn't too long for a dense mask."""
-    too_long = F.col(high) - F.col(low) >= MASK_BINS
-    error = F.raise_error(F.lit(f"a mask of more than {MASK_BINS} bins a side")).cast("array<bigint>")
-    return F.when(too_long, error).otherwise(F.sequence(low, high))
-
-
-def group_masks(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Dense 0/1 mask of each group on its box padded by one bin, one row per cell.
-
-    Meant for groups whose keys bound their box, such as a cluster within a tile:
-    the result grows with the area of the boxes.  Only lines of a mask are joined, not cells,
-    and a box of more than ``MASK_BINS`` bins a side is an error.
-    """
-    box = pixels.groupBy(*keys).agg(
-        (F.min("region1") - 1).alias("low1"),
-        (F.max("region1") + 1).alias("high1"),
-        (F.min("region2") - 1).alias("low2"),
-        (F.max("region2") + 1).alias("high2"),
-    )
-    lines = box.select(
-        *keys,
-        "low1",
-        "low2",
-        F.explode(_side("low1", "high1")).alias("region1"),
-        _side("low2", "high2").alias("across"),
-    )
-    present = pixels.groupBy(*keys, "region1").agg(F.collect_set("region2").alias("present"))
-    both = join_null_safe(lines, present, [*keys, "region1"], "left")
-    found = lambda c: F.coalesce(F.array_contains("present", c), F.lit(False))
-    cells = F.transform(
-        "across", lambda c: F.struct(c.alias("region2"), found(c).cast("int").alias("value"))
-    )
-    return both.select(*keys, "region1", "low1", "low2", F.inline(cells)).select(
-        *keys,
-        "region1",
-        "region2",
-        (F.col("region1") - F.col("low1") + 1).alias("row"),
-        (F.col("region2") - F.col("low2") + 1).alias("col"),
-        "value",
-    )
-
-
 def dual_cells(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Code of every dual cell touched by a pixel of the group.
 

@@ -1,7 +1,7 @@
 """Rotation, corner expansion and tiling of pixels.
 
 Everything here is a projection: no operator in this module shuffles, apart
-from ``presence`` and the tile spacing, which aggregate.
+from ``presence`` and the tile spacing, which aggregate, and ``restore_corners``, which joins.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from binweave.functions.numeric import bin_by_count, bin_by_width, half_even, two_digits
 from binweave.functions.text import plain_text, whole_text
+from binweave.scratch import cut
 
 # Half width of a drawn pixel and of a drawn tile, tile width in
 # bins, and what is added to rotated coordinates before rounding to a tile.
@@ -21,7 +22,6 @@ TILE_HALF = 45.0
 TILE_WIDTH = 50.0
 TILE_OFFSET = (20.0, -24.0)
 
-MASK_BINS = 10_000  # bins along a side of a dense mask
 BROADCAST_PLACES = 200_000  # places of a tile up to which its shape is broadcast
 
 AXES = ("x", "y")
@@ -228,9 +228,13 @@ def relative_shape(tiled: DataFrame, half: float = PIXEL_HALF) -> DataFrame:
 
 
 def restore_corners(tiled: DataFrame, shape: DataFrame) -> DataFrame:
-    """Corner rows from pixels and the shape their tiles share, broadcast after a look at its size."""
-    small = shape.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    return tiled.join(F.broadcast(shape) if small else shape, ["rel_region_x", "rel_region_y"])
+    """Corner rows from pixels and the shape their tiles share, broadcast after a look at its size.
+
+    The shape is written first, so that looking at it doesn't derive it from all pixels again.
+    """
+    written = cut(shape, "shape")
+    small = written.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    return tiled.join(F.broadcast(written) if small else written, ["rel_region_x", "rel_region_y"])
 
 
 def label_anchor(extents: DataFrame) -> DataFrame:
@@ -247,25 +251,3 @@ def polygon_tiles(polygons: DataFrame, divisor: float = 10.0) -> DataFrame:
     return polygons.withColumns(rounded).withColumn(
         "tile_id", F.concat_ws(" ", whole_text(F.col("round_x")), whole_text(F.col("round_y")))
     )
-
-
-def mask_long(pixels: DataFrame, low: int, high: int) -> DataFrame:
-    """Dense 0/1 mask of the bins ``low..high`` on both axes, one row per cell and chromosome.
-
-    The window is what bounds the result, at most ``MASK_BINS`` bins wide; outside a window
-    use the sparse mask.
-    """
-    if high - low >= MASK_BINS:
-        raise ValueError(f"a mask of more than {MASK_BINS} bins a side")
-    seen = pixels.filter(
-        F.col("region1").between(low, high) & F.col("region2").between(low, high)
-    )
-    bins = F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
-    cells = (
-        pixels.select("chr")
-        .distinct()
-        .select("chr", F.explode(bins).alias("region1"))
-        .select("*", F.explode(bins).alias("region2"))
-    )
-    ones = seen.select("chr", "region1", "region2", F.lit(1).alias("value")).distinct()
-    return cells.join(ones, ["chr", "region1", "region2"], "left").fillna(0, ["value"])

@@ -134,26 +134,53 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Counts in equal bins between the extremes; a bin holds its upper edge, the first both."""
+def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """Counts in equal bins between the extremes; a bin holds its upper edge, the first both.
+
+    Without ``bins`` their number follows from the count of values and edges are round numbers:
+    the width is the least of 1, 2 or 5 times a power of ten with which the range takes no more
+    than 1 + log2(count) bins.
+    """
     v = F.col(column)
+    known = df.filter(v.isNotNull())
     low = df.agg(F.min(column)).scalar()
     high = df.agg(F.max(column)).scalar()
-    width = (high - low) / F.lit(float(bins))
-    at = F.ceil((v - low) / width)
-    # All values equal: one bin of no width.
-    number = F.when(high == low, F.lit(1)).otherwise(F.least(F.greatest(at, F.lit(1)), F.lit(bins)))
-    counts = (
-        df.filter(v.isNotNull())
-        .groupBy(number.cast("int").alias("bin"))
-        .agg(F.count("*").alias("count"))
-    )
-    return counts.select(
-        "bin",
-        (low + (F.col("bin") - 1) * width).alias("lower"),
-        (low + F.col("bin") * width).alias("upper"),
-        "count",
-    )
+    if bins is None:
+        width = _round_width(low, high, df.agg(F.count(column)).scalar())
+        start = F.floor(low / width)
+        number = F.greatest(F.ceil(v / width) - start, F.lit(1))
+        edge = lambda n: (start + n) * width
+    else:
+        width = (high - low) / F.lit(float(bins))
+        at = F.ceil((v - low) / width)
+        # All values equal: one bin of no width.
+        number = F.when(high == low, F.lit(1)).otherwise(F.least(F.greatest(at, F.lit(1)), F.lit(bins)))
+        edge = lambda n: low + n * width
+    counts = known.groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("count"))
+    return counts.select("bin", edge(F.col("bin") - 1).alias("lower"), edge(F.col("bin")).alias("upper"), "count")
+
+
+def _round_width(low: Column, high: Column, count: Column) -> Column:
+    """Width of the bins of a histogram whose number is not given; 1 if all values are equal."""
+    least = (high - low) / (F.ceil(F.log2(count)) + 1)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(least)))
+    times = least / power
+    step = F.when(times <= 1, 1.0).when(times <= 2, 2.0).when(times <= 5, 5.0).otherwise(10.0)
+    return F.when(high == low, F.lit(1.0)).otherwise(step * power)
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], column: str, lg: int = 12) -> DataFrame:
+    """A mergeable sketch of the distinct values of ``column`` for each group, to be stored.
+
+    A sketch has at most 2**lg registers; ``distinct_estimate`` unites those of any selection of
+    groups without reading their rows again.  NULLs are no value.
+    """
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(F.col(column).cast("string"), lg).alias("sketch"))
+
+
+def distinct_estimate(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Approximate number of distinct values of the united groups, in all or by some of their keys."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
 def midpoint_intervals(df: DataFrame, column: str, by: str | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from binweave.operators.summaries import (
     cluster_sizes,
     coarse_volcano_bins,
     count_of_counts,
+    distinct_estimate,
+    distinct_sketches,
     histogram,
     most_significant,
     multi_aggregate,
@@ -37,6 +39,7 @@ from binweave.operators.summaries import (
 )
 from binweave.plans import sql_parts as s
 from binweave.plans.registry import query
+from binweave.scratch import cut
 from binweave.sources.stand_ins import pixels, polygons
 
 
@@ -120,6 +123,26 @@ def distinct_count(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).groupBy("chr").agg(F.count_distinct("clust").alias("clusters"))
 
 
+_SKETCH = 12
+
+
+@query(
+    "c5_approximate_distinct",
+    s.sql(
+        s.PIXELS, s.TILED,
+        "SELECT chr, count(DISTINCT clust) AS clusters, true AS near FROM tiled GROUP BY chr",
+    ),
+)
+def approximate_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct clusters of a chromosome from the stored sketches of its tiles, within their bound of the exact number."""
+    rows = tiled(spark, d)
+    sketches = cut(distinct_sketches(rows, ["chr", *TILE], "clust", _SKETCH), "sketches")
+    exact = rows.groupBy("chr").agg(F.count_distinct("clust").alias("clusters"))
+    off = F.abs(F.col("distinct") - F.col("clusters"))
+    near = off <= 4 * 1.04 / 2 ** (_SKETCH / 2) * F.col("clusters") + 1
+    return exact.join(distinct_estimate(sketches, ["chr"]), "chr").select("chr", "clusters", near.alias("near"))
+
+
 @query(
     "c6_least_corner",
     s.sql(
@@ -464,6 +487,29 @@ def size_histogram(spark: SparkSession, d: str) -> DataFrame:
     return histogram(counts.select(F.round(log10_full(F.col("n")), 9).alias("v")), "v", 10)
 
 
+def _default_histogram_sql(value: str, source: str) -> str:
+    return f"""
+      SELECT CAST(bin AS INTEGER) AS bin, (start + bin - 1) * width AS lower, (start + bin) * width AS upper, count(*) AS count FROM (
+        SELECT start, width, greatest(ceil({value} / width) - start, 1) AS bin FROM {source}, (
+          SELECT width, floor(low / width) AS start FROM (
+            SELECT low, CASE WHEN high = low THEN 1e0 ELSE power * CASE WHEN least / power <= 1 THEN 1 WHEN least / power <= 2 THEN 2
+                     WHEN least / power <= 5 THEN 5 ELSE 10 END END AS width
+            FROM (SELECT low, high, least, pow(10e0, floor(log10(least))) AS power FROM (
+              SELECT min({value}) AS low, max({value}) AS high, (max({value}) - min({value})) / (ceil(log2(count({value}))) + 1) AS least FROM {source}))))
+      ) GROUP BY start, width, bin"""
+
+
+@query("c23_histogram_default_logfc", s.sql(s.PIXELS, _default_histogram_sql("logfc", "pixels")))
+def default_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Bins of a round width, as many as the number of pixels calls for."""
+    return histogram(pixels(spark, d), "logfc")
+
+
+@query("c23_histogram_default_p", s.sql(s.PIXELS, _default_histogram_sql("p_value", "pixels")))
+def default_p_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return histogram(pixels(spark, d), "p_value")
+
+
 @query("c24_extents", s.sql(s.PIXELS, s.TILED, s.EXTENTS, "SELECT * FROM extents"))
 def extents(spark: SparkSession, d: str) -> DataFrame:
     return corner_extents(tiled(spark, d))

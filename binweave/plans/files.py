@@ -17,12 +17,13 @@ from binweave.operators.summaries import volcano_bins, with_p
 from binweave.plans import sql_parts as s
 from binweave.plans.registry import query
 from binweave.scratch import new_path
+from binweave.sinks.chunk_index import IndexedChunks, write_indexed_chunks
 from binweave.sinks.chunks import (
     audit_chunks,
     chunk_files,
+    dependent_columns,
     factor_common,
     read_bucketed_chunk,
-    read_chunks,
     write_bucketed_chunks,
     write_chunks,
 )
@@ -75,8 +76,46 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = volcano_bins(with_p(pixels(spark, d))).select(
         "region1", "region2", "clust", "logfc", "chr", "volcano_bin"
     )
-    write_chunks(rows, ["chr", "volcano_bin"], path)
-    return read_chunks(spark, path, rows.schema)
+    selectors = ["chr", "volcano_bin"]
+    write_indexed_chunks(rows, selectors, path, 50_000, "csv")
+    return IndexedChunks(spark, path, rows.schema, selectors, "csv").all()
+
+
+@query(
+    "a4_indexed_chunk",
+    s.sql(
+        s.PIXELS, s.with_p(), s.volcano(),
+        """SELECT chr, volcano_bin, region1, region2, clust, logfc FROM binned
+           WHERE chr = 'chr1' AND volcano_bin = 'logFC=0.25 -log10(p)=0'""",
+    ),
+)
+def indexed_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """One chunk of the same files, through their index."""
+    path = new_path(spark, "chunks")
+    rows = volcano_bins(with_p(pixels(spark, d))).select("region1", "region2", "clust", "logfc", "chr", "volcano_bin")
+    selectors = ["chr", "volcano_bin"]
+    write_indexed_chunks(rows, selectors, path, 10_000)
+    return IndexedChunks(spark, path, rows.schema, selectors).read({"chr": "chr1", "volcano_bin": "logFC=0.25 -log10(p)=0"})
+
+
+@query(
+    "a4_chunk_index",
+    s.sql(
+        s.PIXELS,
+        """SELECT CAST(count(*) AS BIGINT) AS "rows", min(chr) AS chr, min(clust) FILTER (WHERE chr = (SELECT min(chr) FROM pixels)) AS clust,
+             true AS in_order FROM pixels""",
+    ),
+)
+def chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    """What an index says of all files: their rows, the least selectors, and that ranges follow each other."""
+    path = new_path(spark, "chunks")
+    rows = pixels(spark, d).select("chr", "clust", "region1", "region2")
+    write_indexed_chunks(rows, ["chr", "clust"], path, 1_000)
+    index = IndexedChunks(spark, path, rows.schema, ["chr", "clust"]).index
+    ranges = F.sort_array(F.collect_list(F.struct("least", "greatest")))
+    pairs = F.transform(F.slice(ranges, 2, F.greatest(F.size(ranges) - 1, F.lit(0))), lambda r, i: F.get(ranges, i).greatest <= r.least)
+    first = F.element_at(ranges, 1).least
+    return index.agg(F.sum("rows").alias("rows"), first.chr.alias("chr"), first.clust.alias("clust"), F.forall(pairs, lambda x: x).alias("in_order"))
 
 
 @query(
@@ -154,6 +193,27 @@ def factored(spark: SparkSession, d: str) -> DataFrame:
     return factor_common(_corner_rows(spark, d), keys, shared)[0]
 
 
+_CANDIDATES = [["rel_regions"], ["rel_regions", "corner_ord"], ["chr", "corner_ord"], ["chr", "region1", "region2"]]
+_CHECKED = ["logfc", "rel_corner_x", "rel_corner_y", "corner_ord"]
+
+
+@query(
+    "a6_dependent_columns",
+    s.sql(
+        s.PIXELS, s.TILED, s.EXTENTS, _REL,
+        " UNION ALL ".join(
+            f"""SELECT '{','.join(k)}' AS keys, '{c}' AS "column", count(*) AS groups
+                FROM (SELECT count(DISTINCT {c}) AS n FROM named GROUP BY {', '.join(k)}) HAVING max(n) = 1"""
+            for k in _CANDIDATES
+            for c in _CHECKED
+        ),
+    ),
+)
+def dependent(spark: SparkSession, d: str) -> DataFrame:
+    """Which columns of the corner table repeat with which keys: the shape does with a corner's place."""
+    return dependent_columns(_corner_rows(spark, d), _CANDIDATES, _CHECKED)
+
+
 @query(
     "a6_restored",
     s.sql(

@@ -173,21 +173,23 @@ def shifted(spark: SparkSession, d: str) -> DataFrame:
     "b13_unmatched",
     s.sql(
         s.PIXELS, s.POLYGONS,
-        """SELECT p.region1, p.region2 FROM pixels p LEFT JOIN
-             (SELECT DISTINCT i, j FROM polygons WHERE iff > 50000) q ON p.region2 = q.i AND p.region1 = q.j
+        """SELECT l.nb_clust, p.region1, p.region2 FROM pixels p CROSS JOIN (SELECT DISTINCT nb_clust FROM polygons) l
+           LEFT JOIN (SELECT DISTINCT nb_clust, i, j FROM polygons) q ON p.region2 = q.i AND p.region1 = q.j AND q.nb_clust = l.nb_clust
            WHERE q.i IS NULL""",
     ),
 )
 def unmatched(spark: SparkSession, d: str) -> DataFrame:
-    cells = (
-        polygons(spark, d)
-        .filter(F.col("iff") > 50_000)
-        .select(F.col("i").alias("region2"), F.col("j").alias("region1"))
-        .distinct()
-        .withColumn("matched", F.lit(True))
-    )
+    """Pixels without a polygon, for each level of the polygons.
+
+    A cell has the levels of its polygons, so pixels are joined once and not once per level.
+    """
+    drawn = polygons(spark, d).select("nb_clust", F.col("i").alias("region2"), F.col("j").alias("region1"))
+    cells = drawn.groupBy("region1", "region2").agg(F.collect_set("nb_clust").alias("drawn"))
+    levels = drawn.agg(F.collect_set("nb_clust")).scalar()  # as many as the polygons have levels
     joined = join_spread(pixels(spark, d).select("region1", "region2"), cells, ["region1", "region2"])
-    return joined.filter(F.col("matched").isNull()).drop("matched")
+    none = F.array().cast("array<int>")
+    absent = F.array_except(levels, F.coalesce(F.col("drawn").cast("array<int>"), none))
+    return joined.select(F.explode(absent).alias("nb_clust"), "region1", "region2")
 
 
 _KEYS = ["chr", "clust", "round_region_x", "round_region_y"]

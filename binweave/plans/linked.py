@@ -43,13 +43,13 @@ from binweave.scratch import new_path
 from binweave.sources.stand_ins import criterion, pixels, polygons
 
 _BIN = "logFC=0.25 -log10(p)=0"
-_WRITTEN_BUCKETS = 8
+_ROWS_PER_FILE = 10_000  # small, so that there are files to choose from
 
 
 def _written(spark: SparkSession, d: str, names: list[str]) -> WrittenView:
     """Some tables of the linked view, written in chunks and read back."""
     path = new_path(spark, "view")
-    write_linked_view(linked_tables(pixels(spark, d), names=names), path, _WRITTEN_BUCKETS)
+    write_linked_view(linked_tables(pixels(spark, d), names=names), path, _ROWS_PER_FILE)
     return read_linked_view(spark, path)
 
 
@@ -61,7 +61,7 @@ def _written(spark: SparkSession, d: str, names: list[str]) -> WrittenView:
     ),
 )
 def written_bin(spark: SparkSession, d: str) -> DataFrame:
-    """A click on a volcano bin opens the one bucket that holds it."""
+    """A click on a volcano bin opens the files that hold it."""
     views = _written(spark, d, ["volcano_points", "size_points"]).show({"chr": "chr1", "volcano_bin": _BIN})
     return views["volcano_zoom"].select("chr", "region1", "region2", "clust")
 

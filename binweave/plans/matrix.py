@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from binweave.operators.boundary import (
     bounding_boxes,
     group_areas,
-    group_masks,
     segments,
     simplified_vertices,
     vertices,
@@ -19,7 +19,6 @@ from binweave.operators.geometry import (
     corner_extents,
     corners,
     label_anchor,
-    mask_long,
     polygon_tiles,
     position_name,
     presence,
@@ -31,6 +30,7 @@ from binweave.operators.geometry import (
     tile_name,
     tiled_pixels,
 )
+from binweave.operators.masks import box_blocks, cells_of_blocks, group_masks, mask_blocks, mask_long
 from binweave.operators.relational import relative_to_least, tagged_union
 from binweave.operators.rings import outlines, ring_roles, rings
 from binweave.operators.summaries import (
@@ -397,6 +397,31 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
     return group_masks(tiled(spark, d), LOCAL)
 
 
+@query(
+    "i17_mask_blocks",
+    s.sql(
+        s.PIXELS,
+        """boxes AS (SELECT chr, clust % 10 AS part, min(region1) - 1 AS low1, max(region1) + 1 AS high1, min(region2) - 1 AS low2,
+                       max(region2) + 1 AS high2 FROM pixels GROUP BY ALL),
+           ones AS (SELECT chr, clust % 10 AS part, region1 // 64 AS block1, region2 // 64 AS block2, count(*) AS ones FROM pixels GROUP BY ALL)""",
+        """SELECT o.chr, o.part, block1, block2, ones,
+             (least(block1 * 64 + 63, high1) - greatest(block1 * 64, low1) + 1) * (least(block2 * 64 + 63, high2) - greatest(block2 * 64, low2) + 1) - ones AS zeros,
+             CAST((floor(high1 / 64e0) - floor(low1 / 64e0) + 1) * (floor(high2 / 64e0) - floor(low2 / 64e0) + 1) AS BIGINT) AS blocks
+           FROM ones o JOIN boxes b ON o.chr = b.chr AND o.part = b.part""",
+    ),
+)
+def blocks_of_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Masks whose boxes span a chromosome, as bitmaps of the blocks that hold a pixel."""
+    parts = pixels(spark, d).select("chr", (F.col("clust") % 10).alias("part"), "region1", "region2")
+    return box_blocks(parts, ["chr", "part"], 64)
+
+
+@query("i17_cells_of_blocks", s.sql(s.PIXELS, "SELECT chr, region1, region2 FROM pixels"))
+def bitmaps_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """All pixels of each chromosome, from its bitmaps."""
+    return cells_of_blocks(mask_blocks(pixels(spark, d), ["chr"]), ["chr"])
+
+
 @query(
     "i18_presence",
     s.sql(s.PIXELS, s.TILED, "SELECT DISTINCT chr, round_region_x, round_region_y, clust FROM tiled"),

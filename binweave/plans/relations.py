@@ -367,41 +367,35 @@ def mismatches(spark: SparkSession, d: str) -> DataFrame:
     return whole.join(listed, "chr").filter(F.col("pixels") != F.col("listed_pixels"))
 
 
+_BY_CHR = """
+shifted AS (
+  SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j FROM pixels
+  JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)),
+drawn AS (
+  SELECT chr, nb_clust, id, i - m + 1 AS i, j - m + 1 AS j
+  FROM (SELECT *, 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr FROM polygons)
+  JOIN (SELECT 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr, least(min(i), min(j)) AS m FROM polygons GROUP BY 1) USING (chr))"""
+
+
 @query(
     "e10_pixels_to_polygons",
     s.sql(
-        s.PIXELS, s.POLYGONS,
+        s.PIXELS, s.POLYGONS, _BY_CHR,
         """SELECT q.nb_clust, q.id, q.i, q.j, q.i || ',' || q.j AS ij, p.region1, p.region2, p.clust, p.logfc
-           FROM polygons q LEFT JOIN (
-             SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j FROM pixels
-             JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)) p
-             ON p.i = q.i AND p.j = q.j AND p.chr = 'chr1'""",
+           FROM drawn q LEFT JOIN shifted p ON p.chr = q.chr AND p.i = q.i AND p.j = q.j""",
     ),
 )
 def pixels_to_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """Every polygon row with its pixel of chr1, as its SQL asks; many polygons may sit on one pixel.
-
-    Polygons lie on all chromosomes; ``e10_pixels_to_polygons_by_chr`` joins them all.
-    """
-    shifted = index_shift(pixels(spark, d).filter("chr = 'chr1'")).select("i", "j", "region1", "region2", "clust", "logfc")
-    drawn = polygons(spark, d).select("nb_clust", "id", "i", "j")
-    joined = join_spread(drawn, shifted, ["i", "j"], "left")
-    return joined.withColumn("ij", pair_text(F.col("i").cast("string"), F.col("j").cast("string")))
+    """Every polygon row with its pixel, whatever its chromosome; many polygons may sit on one pixel."""
+    return pixels_to_polygons_by_chr(spark, d).drop("chr")
 
 
 @query(
     "e10_pixels_to_polygons_by_chr",
     s.sql(
-        s.PIXELS, s.POLYGONS,
+        s.PIXELS, s.POLYGONS, _BY_CHR,
         """SELECT q.chr, q.nb_clust, q.id, q.i, q.j, q.i || ',' || q.j AS ij, p.region1, p.region2, p.clust, p.logfc
-           FROM (
-             SELECT chr, nb_clust, id, i - m + 1 AS i, j - m + 1 AS j
-             FROM (SELECT *, 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr FROM polygons)
-             JOIN (SELECT 'chr' || CAST(1 + j // 1000 AS VARCHAR) AS chr, least(min(i), min(j)) AS m FROM polygons GROUP BY 1) USING (chr)) q
-           LEFT JOIN (
-             SELECT pixels.*, region2 - m + 1 AS i, region1 - m + 1 AS j FROM pixels
-             JOIN (SELECT chr, least(min(region1), min(region2)) AS m FROM pixels GROUP BY chr) USING (chr)) p
-             ON p.chr = q.chr AND p.i = q.i AND p.j = q.j""",
+           FROM drawn q LEFT JOIN shifted p ON p.chr = q.chr AND p.i = q.i AND p.j = q.j""",
     ),
 )
 def pixels_to_polygons_by_chr(spark: SparkSession, d: str) -> DataFrame:

@@ -40,6 +40,7 @@ from binweave.operators.geometry import (
     tile_spacing,
     tiled_pixels,
 )
+from binweave.operators.gaps import missing_runs
 from binweave.operators.relational import (
     grid_counts,
     missing_pixels,
@@ -80,7 +81,8 @@ from binweave.operators.summaries import (
     with_p,
 )
 from binweave.scratch import cut
-from binweave.sinks.chunks import read_chunks, write_bucketed_chunks, write_chunks
+from binweave.sinks.chunk_index import IndexedChunks, write_indexed_chunks
+from binweave.sinks.chunks import ROWS_PER_FILE, read_chunks, write_chunks
 
 CLUSTER = ["chr", "clust"]
 LOCAL = ["chr", "clust", *TILE]
@@ -95,8 +97,9 @@ CHUNKS = {
     "shape": [],
     "first": [],
 }
-# Tables looked up by tile, volcano bin or cluster, of which there are too many for a folder each.
-BUCKETED = {
+# Tables looked up by tile, volcano bin or cluster, of which there are too many for a folder each:
+# files in the order of these selectors, found through an index.
+INDEXED = {
     "pixels": ["chr", "round_regions"],
     "volcano_points": ["chr", "volcano_bin"],
     "local_outlines": ["chr", "round_regions"],
@@ -104,8 +107,7 @@ BUCKETED = {
     "outlines": ["chr", "clust"],
     "cluster_points": ["chr", "clust"],
 }
-BUCKET_ROWS = 2_000_000  # rows a bucket is meant to hold
-TABLES = (*CHUNKS, *BUCKETED)
+TABLES = (*CHUNKS, *INDEXED)
 ABOUT = "about"  # the table of a written view that lists the others
 
 
@@ -197,64 +199,55 @@ def linked_tables(
     return {name: build[name]() for name in names}
 
 
-def write_linked_view(tables: Mapping[str, DataFrame], path: str, buckets: int | None = None) -> None:
-    """Every table in its chunks below ``path``, and a table of their schemas and buckets.
-
-    The number of buckets follows the rows of the largest table that is at hand, if not given.
-    """
-    if buckets is None:
-        sized = next((n for n in ("pixels", "volcano_points", "cluster_points", *BUCKETED) if n in tables), None)
-        buckets = tables[sized].count() // BUCKET_ROWS + 1 if sized else 1
+def write_linked_view(tables: Mapping[str, DataFrame], path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Every table in its chunks below ``path``, and a table of their schemas."""
     about = []
     for name, df in tables.items():
-        if name in BUCKETED:
-            write_bucketed_chunks(df, BUCKETED[name], f"{path}/{name}", buckets)
+        if name in INDEXED:
+            write_indexed_chunks(df, INDEXED[name], f"{path}/{name}", rows_per_file)
         else:
             write_chunks(df, CHUNKS[name], f"{path}/{name}")
-        about.append((name, df.schema.json(), buckets if name in BUCKETED else None))
+        about.append((name, df.schema.json(), name in INDEXED))
         spark = df.sparkSession
-    spark.createDataFrame(about, "name string, schema string, buckets int").coalesce(1).write.json(f"{path}/{ABOUT}")
+    spark.createDataFrame(about, "name string, schema string, indexed boolean").coalesce(1).write.json(f"{path}/{ABOUT}")
 
 
 @dataclass
 class WrittenView:
-    """Tables read from their chunks, and the number of buckets of those that have some."""
+    """Tables read from their chunks, and the chunks of those that have an index."""
 
     tables: dict[str, DataFrame]
-    buckets: dict[str, int]
+    chunks: dict[str, IndexedChunks]
 
     def show(self, selection: Mapping[str, Any]) -> dict[str, DataFrame]:
-        return linked_view(self.tables, selection, self.buckets)
+        return linked_view(self.tables, selection, self.chunks)
 
     def show_from(self, selection: DataFrame) -> dict[str, DataFrame]:
-        return linked_from(self.tables, selection, self.buckets)
+        return linked_from(self.tables, selection, self.chunks)
 
 
 def read_linked_view(spark: SparkSession, path: str) -> WrittenView:
-    """A written view; a selection opens only the chunks that can hold it."""
-    tables, buckets = {}, {}
-    listed = spark.read.schema("name string, schema string, buckets int").json(f"{path}/{ABOUT}")
+    """A written view; a selection opens only the files that can hold it."""
+    tables, chunks = {}, {}
+    listed = spark.read.schema("name string, schema string, indexed boolean").json(f"{path}/{ABOUT}")
     for row in listed.collect():  # one row per table
-        schema = T.StructType.fromJson(json.loads(row["schema"]))
-        if row["buckets"]:
-            buckets[row["name"]] = row["buckets"]
-            stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-            tables[row["name"]] = spark.read.schema(stored).parquet(f"{path}/{row['name']}")
+        name, schema = row["name"], T.StructType.fromJson(json.loads(row["schema"]))
+        if row["indexed"]:
+            chunks[name] = IndexedChunks(spark, f"{path}/{name}", schema, INDEXED[name])
+            tables[name] = chunks[name].all()
         else:
-            tables[row["name"]] = read_chunks(spark, f"{path}/{row['name']}", schema)
-    return WrittenView(tables, buckets)
+            tables[name] = read_chunks(spark, f"{path}/{name}", schema)
+    return WrittenView(tables, chunks)
 
 
-def _in_bucket(df: DataFrame, name: str, values: Mapping[str, Column], buckets: Mapping[str, int]) -> DataFrame:
-    """Rows of the one bucket that can hold the values, for a bucketed table whose keys are all given."""
-    if name not in buckets or any(k not in values for k in BUCKETED[name]):
-        return df.drop("bucket")
-    keys = [values[k].cast(df.schema[k].dataType) for k in BUCKETED[name]]
-    return df.filter(F.col("bucket") == F.pmod(F.xxhash64(*keys), F.lit(buckets[name])).cast("int")).drop("bucket")
+def _opened(tables: Mapping[str, DataFrame], name: str, values: Mapping[str, Any], chunks: Mapping[str, IndexedChunks] | None) -> DataFrame:
+    """The table, or of an indexed one the rows with the given selectors from the files that can hold them."""
+    known = {s: values[s] for s in INDEXED.get(name, []) if s in values}
+    return chunks[name].read(known) if chunks and name in chunks and known else tables[name]
 
 
 def linked_view(
-    tables: Mapping[str, DataFrame], selection: Mapping[str, Any], buckets: Mapping[str, int] | None = None
+    tables: Mapping[str, DataFrame], selection: Mapping[str, Any], chunks: Mapping[str, IndexedChunks] | None = None
 ) -> dict[str, DataFrame]:
     """What each view shows for chosen ``chr, volcano_bin, clust, round_regions, size_bin``.
 
@@ -264,8 +257,8 @@ def linked_view(
 
     def pick(name: str, *selectors: str) -> DataFrame:
         wanted = {s: selection[s] for s in ("chr", *selectors) if s in selection}
-        single = {s: F.lit(v) for s, v in wanted.items() if isinstance(v, (str, int, float))}
-        return shown(_in_bucket(tables[name], name, single, buckets or {}), wanted)
+        single = {s: v for s, v in wanted.items() if isinstance(v, (str, int, float))}
+        return shown(_opened(tables, name, single, chunks), wanted)
 
     mine = {"clust": selection["clust"]} if "clust" in selection else {}
     views = {
@@ -286,12 +279,12 @@ def linked_view(
 
 
 def linked_from(
-    tables: Mapping[str, DataFrame], selection: DataFrame, buckets: Mapping[str, int] | None = None
+    tables: Mapping[str, DataFrame], selection: DataFrame, chunks: Mapping[str, IndexedChunks] | None = None
 ) -> dict[str, DataFrame]:
     """The same chain for those of the tables that are given, from a table of one row.
 
-    The row is written once and its values enter the filters as scalar subqueries: nothing is
-    collected or joined, chunk folders are pruned when the query runs, and a second row is an error.
+    The row is written once and its values enter the filters as scalar subqueries, of which a second
+    row is an error.  For indexed chunks the row is looked at first, since it names the files.
     """
     selection = cut(selection, "selection")
     views = {
@@ -303,22 +296,28 @@ def linked_from(
         "tile_outlines": ("local_outlines", ["chr", "round_regions"]),
         "tile_label": ("labels", [*CLUSTER, "round_regions"]),
     }
+    row = {}
+    if chunks:
+        rows = selection.limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError("a selection of more than one row")
+        row = rows[0].asDict() if rows else {}
     found = {}
     for view, (name, keys) in views.items():
         if name in tables:
             values = {k: selection.select(k).scalar() for k in keys}
             chosen = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in values.items()])
-            found[view] = _in_bucket(tables[name].filter(chosen), name, values, buckets or {})
+            found[view] = _opened(tables, name, {k: row[k] for k in keys if k in row}, chunks).filter(chosen)
     return found
 
 
 def missing_report(pixels: DataFrame, max_distance: int | None = None) -> dict[str, DataFrame]:
     """Missing cells of the grid up to a distance, and how many of how many.
 
-    Without ``max_distance`` only the counts are made, of the whole triangle.
+    Without ``max_distance`` it is the whole triangle, whose missing cells are given as runs.
     """
-    counts = {"counts": grid_counts(pixels, max_distance=max_distance)}
-    return counts if max_distance is None else {"missing": missing_pixels(pixels, max_distance), **counts}
+    missing = {"runs": missing_runs(pixels)} if max_distance is None else {"missing": missing_pixels(pixels, max_distance)}
+    return missing | {"counts": grid_counts(pixels, max_distance=max_distance)}
 
 
 def outline_report(

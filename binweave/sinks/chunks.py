@@ -97,14 +97,40 @@ def audit_chunks(files: DataFrame, listing: DataFrame) -> DataFrame:
     return both.filter(~F.col("bytes").eqNullSafe(F.col("du_bytes")))
 
 
+def dependent_columns(df: DataFrame, candidates: Sequence[Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """Which columns are functions of which keys: ``keys, column, groups`` for each that is.
+
+    One pass over the rows for all candidate keys: a row counts towards its group under each of them,
+    and a column depends on the keys if its least value is its greatest one in every group, NULL being
+    a value of its own.  Columns that are shared by chunks are found this way, before
+    ``factor_common`` splits them off.
+    """
+    keyed = [F.struct(F.lit(",".join(c)).alias("keys"), F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("group")) for c in candidates]
+    rows = df.select(*dict.fromkeys(columns), F.explode(F.array(*keyed)).alias("_key")).select(*dict.fromkeys(columns), "_key.*")
+    seen = rows.groupBy("keys", "group").agg(
+        F.count("*").alias("_n"),
+        *[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("least", F.min), ("greatest", F.max), ("known", F.count))],
+    )
+    one = {c: F.col(f"_least_{c}").eqNullSafe(F.col(f"_greatest_{c}")) & F.col(f"_known_{c}").isin(F.lit(0), F.col("_n")) for c in columns}
+    whole = seen.groupBy("keys").agg(F.count("*").alias("groups"), *[F.bool_and(same).alias(f"_one_{c}") for c, same in one.items()])
+    found = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_one_{c}").alias("one")) for c in columns])
+    return whole.select("keys", "groups", F.inline(found)).filter("one").drop("one")
+
+
 def factor_common(
     df: DataFrame, keys: Sequence[str], shared: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """Split columns that repeat across chunks from those that vary.
 
-    ``shared`` must be a function of ``keys``.  Returns the shared table, one row per key,
-    and the varying table, which keeps the keys; joining on them restores ``df``.
+    Returns the shared table, one row per key, and the varying table, which keeps the keys;
+    joining on them restores ``df``.  ``shared`` must be a function of ``keys``: a key with two
+    sets of shared values is an error when the shared table is read, since the join would
+    multiply its rows.  See ``dependent_columns`` for finding them.
     """
-    dim = df.select(*keys, *shared).distinct()
+    values = df.select(*keys, *shared).distinct()
+    both = values.groupBy(*keys).agg(F.min(F.struct(*shared)).alias("_least"), F.max(F.struct(*shared)).alias("_greatest"))
+    wrong = F.raise_error(F.lit(f"{', '.join(shared)} are no function of {', '.join(keys)}"))
+    one = F.when(F.col("_least").eqNullSafe(F.col("_greatest")), F.col("_least")).otherwise(wrong)
+    dim = both.select(*keys, one.alias("_one")).select(*keys, "_one.*")
     fact = df.drop(*shared)
     return dim, fact

@@ -21,9 +21,11 @@ from binweave.plans.views import (
     volcano_view,
     write_linked_view,
 )
+from binweave.sinks.chunk_index import IndexedChunks, write_indexed_chunks
 from binweave.sinks.chunks import (
     audit_chunks,
     chunk_files,
+    dependent_columns,
     factor_common,
     read_bucketed_chunk,
     read_chunks,
@@ -141,6 +143,56 @@ def test_buckets(spark, sf_dir, tmp_path):
     assert "bucket" in plan(found).split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_a_click_opens_one_file(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "i")
+    px = pixels(spark, sf_dir).select("region1", "logfc", "chr", "clust")
+    write_indexed_chunks(px, ["chr", "clust"], path, 300)
+    chunks = IndexedChunks(spark, path, px.schema, ["chr", "clust"])
+    index = chunks.index.collect()
+    assert len(index) > 5 and sum(r["rows"] for r in index) == px.count() == chunks.all().count()
+    assert all(a["greatest"] <= b["least"] for a, b in zip(index, index[1:]))
+    for clust in [r["clust"] for r in px.select("clust").distinct().orderBy("clust").collect()][::25]:
+        found = chunks.read({"chr": "chr1", "clust": clust})
+        assert found.count() == px.filter(F.col("clust") == clust).count() > 0
+        assert len(found.inputFiles()) <= 2
+    assert len(chunks.files({"chr": "chr1"})) == len(index)
+    assert chunks.files({"chr": "chr7"}) == [] and chunks.read({"chr": "chr7"}).count() == 0
+    assert len(chunks.files({"clust": 203})) == len(index)  # not a leading selector: the index can't tell
+    assert chunks.read({"clust": 203}).count() == px.filter("clust = 203").count()
+
+
+def test_indexed_chunks_with_hot_and_missing_values(spark, tmp_path):
+    rows = spark.range(0, 9_000, 1, 4).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("v"), (F.col("id") % 200).cast("string"))).alias("s")
+    )
+    for fmt in ("parquet", "csv"):
+        path = str(tmp_path / fmt)
+        write_indexed_chunks(rows, ["s"], path, 500, fmt)
+        chunks = IndexedChunks(spark, path, rows.schema, ["s"], fmt)
+        assert chunks.index.agg(F.max("rows")).first()[0] < 1_500  # neither the hot value nor NULL is one file
+        assert chunks.read({"s": "hot"}).count() == chunks.read({"s": None}).count() == 3_000
+        assert chunks.read({"s": "v1"}).count() == rows.filter("s = 'v1'").count() > 0
+        assert len(chunks.read({"s": "v1"}).inputFiles()) <= 2
+    write_indexed_chunks(rows.limit(0), ["s"], str(tmp_path / "empty"), 500)
+    empty = IndexedChunks(spark, str(tmp_path / "empty"), rows.schema, ["s"])
+    assert empty.all().count() == 0 and empty.read({"s": "hot"}).count() == 0
+
+
+def test_dependent_columns_and_a_check_on_what_is_shared(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 10, None, 1.0), ("a", 1, 10, None, 2.0), ("a", 2, 10, "x", 3.0), (None, 1, 11, "y", 3.0), (None, 1, 11, None, 3.0)],
+        "k string, l int, of_k int, of_kl string, v double",
+    )
+    found = {(r["keys"], r["column"]) for r in dependent_columns(rows, [["k"], ["k", "l"]], ["of_k", "of_kl", "v"]).collect()}
+    assert found == {("k", "of_k"), ("k,l", "of_k")}
+    known = rows.filter("k IS NOT NULL")
+    found = {(r["keys"], r["column"], r["groups"]) for r in dependent_columns(known, [["k"], ["k", "l"]], ["of_k", "of_kl", "v"]).collect()}
+    assert found == {("k", "of_k", 1), ("k,l", "of_k", 2), ("k,l", "of_kl", 2)}
+    assert factor_common(known, ["k", "l"], ["of_k", "of_kl"])[0].count() == 2
+    with pytest.raises(Exception, match="no function of k"):
+        factor_common(known, ["k"], ["of_k", "of_kl"])[0].collect()
+
+
 def test_audit_finds_wrong_and_absent_files(spark, sf_dir, tmp_path):
     path = str(tmp_path / "a")
     write_chunks(pixels(spark, sf_dir).filter("clust < 104"), ["clust"], path)
@@ -177,19 +229,20 @@ def test_linked_view_end_to_end(spark, sf_dir, tmp_path):
     assert views["tile_outlines"].filter("selected").count() > 0
     assert views["size_zoom"].count() == tables["size_points"].count()  # no size bin chosen yet
     path = str(tmp_path / "view")
-    write_linked_view(tables, path, 16)
+    write_linked_view(tables, path, 500)
     assert set(os.listdir(path)) == {*TABLES, ABOUT}
     written = read_linked_view(spark, path)
     assert set(written.tables) == set(TABLES)
     mine = {"chr": first["chr"], "clust": first["clust"]}
-    found = read_bucketed_chunk(spark, f"{path}/outlines", mine, 16)
-    assert found.count() == views["cluster_outline"].count() > 0
+    assert written.chunks["outlines"].read(mine).count() == views["cluster_outline"].count() > 0
     clicked = written.show(first)
     assert {name: df.count() for name, df in clicked.items()} == {name: df.count() for name, df in views.items()}
     for name, df in written.show_from(written.tables["first"]).items():
         assert df.count() == clicked[name].count()
     for name in ("volcano_zoom", "cluster_pixels", "cluster_outline", "tile_pixels", "tile_outlines", "tile_label"):
-        assert "bucket" in plan(clicked[name]).split("PartitionFilters")[1].split("]")[0]
+        assert 1 <= len(clicked[name].inputFiles()) <= 2
+    with pytest.raises(ValueError, match="more than one row"):
+        written.show_from(tables["tiles"].select(F.lit("chr1").alias("chr"), F.lit(1).alias("clust")))
     assert tables["tiles"].agg(F.sum("pixels")).first()[0] == tables["pixels"].count()
     small = linked_tables(pixels(spark, sf_dir), greatest=100, log2_tiles=True, names=["tiles", "size_heat"])
     assert small["tiles"].agg(F.sum("corner_rows")).first()[0] == 5 * pixels(spark, sf_dir).filter(
@@ -201,7 +254,9 @@ def test_reports(spark, sf_dir):
     px = pixels(spark, sf_dir)
     report = missing_report(px, 60)
     assert report["missing"].count() == report["counts"].first()["missing"]
-    assert set(missing_report(px)) == {"counts"}
+    whole = missing_report(px)
+    assert set(whole) == {"runs", "counts"}
+    assert whole["runs"].agg(F.sum("cells")).first()[0] == whole["counts"].first()["missing"]
     outline = outline_report(px, 0, 60)
     sizes = {r["data_type"]: r["n"] for r in outline["sizes"].groupBy("data_type").agg(F.sum("rows").alias("n")).collect()}
     rings = outline["outlines"].select("data_type", "chr", "clust", "ring_x", "ring_y").distinct()

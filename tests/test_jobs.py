@@ -5,7 +5,8 @@ import os
 import pytest
 
 from binweave import jobs
-from binweave.plans.views import TABLES
+from binweave.plans.views import INDEXED, TABLES
+from binweave.sinks.chunk_index import INDEX, ROWS
 from binweave.sources.stand_ins import pixels, polygons
 from binweave.sources.tables import write_partitioned
 
@@ -28,6 +29,7 @@ def inputs(spark, sf_dir, tmp_path_factory):
         ("volcano", ["--pixels", "{}/px", "--chr", "chr1"], {"pixels", "corners", "volcano_heat", "color_scale", "first", "outlines"}),
         ("axis", ["--pixels", "{}/px", "--width", "50"], {"pixels", "corners", "tiles", "tile_corners", "spacing", "outlines"}),
         ("missing", ["--pixels", "{}/px", "--max-distance", "49"], {"missing", "counts"}),
+        ("missing", ["--pixels", "{}/px"], {"runs", "counts"}),
         ("outlines", ["--pixels", "{}/px", "--low", "0", "--high", "60"], {"outlines", "pixels", "sizes", "labels"}),
         ("polygons", ["--polygons", "{}/polygons.tsv"], {"counts", "polygons", "tile_means", "first_extents"}),
     ],
@@ -36,7 +38,10 @@ def test_job(spark, inputs, tmp_path, job, options, tables):
     out = str(tmp_path / job)
     jobs.main([job, "--out", out, *[o.format(inputs) for o in options]])
     assert set(os.listdir(out)) == tables
-    assert all("_SUCCESS" in os.listdir(f"{out}/{name}") for name in tables)
+    for name in tables:
+        # Tables with an index keep it beside their rows.
+        parts = [f"{out}/{name}/{part}" for part in (ROWS, INDEX)] if job == "linked" and name in INDEXED else [f"{out}/{name}"]
+        assert all("_SUCCESS" in os.listdir(part) for part in parts)
 
 
 def test_tsv_takes_chromosomes_and_no_resolution(spark, inputs, tmp_path):
