@@ -1,6 +1,7 @@
 """Headline queries, timed; prints one JSON line.
 
-Every query is run in full into Spark's ``noop`` sink.  ``BENCH_SF_DIR`` and
+Every query is run in full into Spark's ``noop`` sink; ``view_write`` and ``view_click`` time writing a
+linked view and a click on it apart.  ``BENCH_SF_DIR`` and
 ``BENCH_CPUS`` choose the tables and the cores; ``BENCH_QUERIES`` narrows the list.
 """
 
@@ -10,8 +11,13 @@ import json
 import os
 import time
 
+from pyspark.sql import DataFrame, SparkSession
+
 from binweave.plans import catalog
+from binweave.plans.views import linked_tables, read_linked_view, write_linked_view
+from binweave.scratch import new_path
 from binweave.session import local_session
+from binweave.sources.stand_ins import pixels
 
 HEADLINE = [
     "b6_window",
@@ -39,6 +45,35 @@ HEADLINE = [
     "i15_ring_roles",
     "j8_linked_chain",
 ]
+# Timed too, but not part of the total, which stays comparable from round to round.
+ALSO = ["e3_missing_runs", "k1_longest_run", "k2_weighted_median"]
+VIEW = ["pixels", "volcano_points", "cluster_points", "presence", "labels", "first"]
+CLICKED = ["volcano_zoom", "cluster_pixels", "tile_pixels", "cluster_tiles", "tile_label"]
+
+
+def run(df: DataFrame) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+def timed(spark: SparkSession, sf_dir: str, name: str) -> float:
+    start = time.perf_counter()
+    run(catalog.QUERIES[name](spark, sf_dir))
+    return round(time.perf_counter() - start, 3)
+
+
+def view_times(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Seconds to write a view, and to show what one selection opens in five of its tables."""
+    path = new_path(spark, "view")
+    start = time.perf_counter()
+    write_linked_view(linked_tables(pixels(spark, sf_dir), names=VIEW), path, 50_000)
+    written = time.perf_counter()
+    view = read_linked_view(spark, path)
+    selection = view.tables["first"].first().asDict()
+    opened = time.perf_counter()
+    shown = view.show(selection)
+    for name in CLICKED:
+        run(shown[name])
+    return {"view_write": round(written - start, 3), "view_click": round(time.perf_counter() - opened, 3)}
 
 
 def main() -> None:
@@ -48,12 +83,11 @@ def main() -> None:
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     # One untimed run starts the JVM's code paths and the Python workers.
     for warm in ("c10_tile_summary", "i12_local_outlines"):
-        catalog.QUERIES[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in names:
-        start = time.perf_counter()
-        catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        run(catalog.QUERIES[warm](spark, sf_dir))
+    times = {name: timed(spark, sf_dir, name) for name in names}
+    also = {}
+    if names == HEADLINE:
+        also = {name: timed(spark, sf_dir, name) for name in ALSO} | view_times(spark, sf_dir)
     print(
         json.dumps(
             {
@@ -61,6 +95,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "also": also,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "cpus": cpus,
             }

@@ -43,6 +43,49 @@ def _with_keys(table: pa.Table, keys: Sequence[str], out: pa.Table) -> pa.Table:
     return out
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _each_group(function: Function, keys: Sequence[str], named: Sequence[str] | None = None):
+    """``function`` over each group of rows that are sorted by ``keys``, with the keys ``named`` added.
+
+    Only the group that a batch ends in is held until it is known to be whole.
+    """
+    named = keys if named is None else named
+
+    def whole(table: pa.Table) -> list[pa.Table]:
+        first = np.append(_codes(table, keys)[1], table.num_rows).tolist()
+        groups = [table.slice(a, b - a) for a, b in zip(first, first[1:])]
+        return [_with_keys(g, named, function(g)) for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # pieces of one group
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            last = _codes(table, keys)[1][-1]
+            if held:
+                # Does the batch begin with more of the group that is held?
+                ends = pa.concat_tables([held[0].slice(0, 1), table.slice(0, 1)])
+                if len(_codes(ends, keys)[1]) > 1:
+                    yield from _batches(whole(pa.concat_tables(held)))
+                    held = []
+            if last:
+                yield from _batches(whole(pa.concat_tables([*held, table.slice(0, last)])))
+                held = []
+            held.append(table.slice(last))
+        if held:
+            yield from _batches(whole(pa.concat_tables(held)))
+
+    return run
+
+
+def _batches(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    return iter(pa.concat_tables(tables).combine_chunks().to_batches())
+
+
 def _with_halo(ranged: DataFrame, keys: Sequence[str], order: str, halo: float) -> DataFrame:
     """Rows repeated in every block of their group that they lie within ``halo`` of.
 
@@ -83,11 +126,8 @@ def apply_in_blocks(
     partials = rows_in_blocks(df, keys, order, partial, partial_schema, halo, block_rows, with_block=True)
     out = T.StructType([*_fields(df, keys), *T.StructType.fromDDL(schema).fields])
 
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_block")
-        return _with_keys(table, keys, merge(table.drop_columns([*keys, "_block"])))
-
-    return partials.groupBy(*keys).applyInArrow(join, out)
+    merged = _each_group(lambda table: merge(table.drop_columns([*keys, "_block"])), keys)
+    return partials.repartition(*keys).sortWithinPartitions(*keys, "_block").mapInArrow(merged, out)
 
 
 def rows_in_blocks(
@@ -102,11 +142,10 @@ def rows_in_blocks(
     fields = [*_fields(df, keys), *([T.StructField("_block", T.IntegerType())] if with_block else []), *T.StructType.fromDDL(schema).fields]
     named = [*keys, "_block"] if with_block else list(keys)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        return _with_keys(table, named, function(table.drop_columns(["_block"])))
-
-    return blocks.groupBy(*keys, "_block").applyInArrow(run, T.StructType(fields))
+    run = _each_group(lambda table: function(table.drop_columns(["_block"])), [*keys, "_block"], named)
+    # A task for each block that is full, and many small groups to a task.
+    dealt = blocks.repartition(max(parts, _partitions(df)), *keys, "_block")
+    return dealt.sortWithinPartitions(*keys, "_block", order).mapInArrow(run, T.StructType(fields))
 
 
 # --- user aggregates -----------------------------------------------------------------

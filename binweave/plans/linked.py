@@ -43,7 +43,7 @@ from binweave.scratch import new_path
 from binweave.sources.stand_ins import criterion, pixels, polygons
 
 _BIN = "logFC=0.25 -log10(p)=0"
-_ROWS_PER_FILE = 10_000  # small, so that there are files to choose from
+_ROWS_PER_FILE = 50_000  # small, so that there are files to choose from
 
 
 def _written(spark: SparkSession, d: str, names: list[str]) -> WrittenView:

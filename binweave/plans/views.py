@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cache, reduce
 from typing import Any
@@ -108,6 +109,7 @@ INDEXED = {
     "cluster_points": ["chr", "clust"],
 }
 TABLES = (*CHUNKS, *INDEXED)
+WRITERS = 4  # tables of a view that are written at once
 ABOUT = "about"  # the table of a written view that lists the others
 
 
@@ -200,15 +202,21 @@ def linked_tables(
 
 
 def write_linked_view(tables: Mapping[str, DataFrame], path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Every table in its chunks below ``path``, and a table of their schemas."""
-    about = []
-    for name, df in tables.items():
+    """Every table in its chunks below ``path``, and a table of their schemas.
+
+    Tables are written a few at a time, so that the small ones fill the cores the last tasks of others leave idle.
+    """
+
+    def write(name: str) -> None:
         if name in INDEXED:
-            write_indexed_chunks(df, INDEXED[name], f"{path}/{name}", rows_per_file)
+            write_indexed_chunks(tables[name], INDEXED[name], f"{path}/{name}", rows_per_file)
         else:
-            write_chunks(df, CHUNKS[name], f"{path}/{name}")
-        about.append((name, df.schema.json(), name in INDEXED))
-        spark = df.sparkSession
+            write_chunks(tables[name], CHUNKS[name], f"{path}/{name}")
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        list(pool.map(write, tables))
+    about = [(name, df.schema.json(), name in INDEXED) for name, df in tables.items()]
+    spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame(about, "name string, schema string, indexed boolean").coalesce(1).write.json(f"{path}/{ABOUT}")
 
 
