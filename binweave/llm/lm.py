@@ -2,45 +2,59 @@
 
 Counts of words and of pairs of adjacent tokens are quantised to levels of half a power of two.
 An n-gram of level q is put into a Bloom filter once for each level up to q; its level is read
-back by probing level after level until one is missing.  The filter has a fixed number of bits per
-entry and lies in segments of bounded size, whose number grows with the entries, so every level of
-every n-gram is in it.  No machine holds all of it: the distinct n-grams of each chunk of text go
-to the segments they belong to, and their levels come back to the chunk.
+back by probing level after level until one is missing.
+
+The filter grows with the corpus, so it can't be broadcast: it lies in segments, one per bucket of
+n-grams, each sized by its own entries.  Every chunk of text sends the distinct n-grams it holds to
+their buckets, with how often the texts to learn from hold them.  A bucket adds those up, builds its
+segment, reads the levels back from it, and returns them to the chunks.  So n-grams travel once, as five
+or eight bytes each, and levels once as a byte.  The most frequent n-grams (``HEAD`` of each kind) are sent
+once per task instead, and their levels are broadcast.
 
 Tokens are words (A-Z in lower case) and one end per text; a text starts from a begin mark that
-is only ever a context.  With quantised counts c', and Z making the words' part sum to 1:
+is only ever a context.  With the lower end L and the upper end U of the counts of a level,
 
-    p(w | h) = (1 - BETA * R) * (c'(w) + 1) / Z  +  BETA * max(c'(h w) - D, 0) / c'(h)
+    p(w | h) = (1 - b(h)) * (L(w) + 1) / Z  +  b(h) * max(L(h w) - D, 0) / U(h),   b(h) = BETA * U(h) / (U(h) + RARE)
 
-where R is the share of all training tokens that the discounted pairs in the filter account for.
+where Z makes the words' part, with one share for all unknown words, sum to 1.  The pairs of a context
+occur no more often than the context, so the second part sums to b(h) at most and p to 1 at most,
+whatever the levels; only the filter's false positives can add to it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from binweave.llm.packed import PACKED, bucket_count, bucket_of, chunk_group, pack, unpack
+from binweave.llm.packed import bucket_count, bucket_of, chunk_group
 from binweave.llm.registry import query, table
 from binweave.llm.words import mix, row_chunks, split
 from binweave.scratch import cut
 
-SEGMENT_BITS = 1 << 25  # bound of a segment of the filter: 4 MB
 BITS_PER_ENTRY = 8
 PROBES = 4
-SEGMENTS = 64  # at least
-TOP_WORDS = 1 << 18  # words whose exact counts are broadcast; others are joined
-BETA, DISCOUNT = 0.2, 0.75
+CHUNK_BYTES = 4_000_000  # text whose n-grams are sent together; a longer text stands alone, whole
+HEAD = 1 << 18  # most frequent words, and as many pairs, whose levels are broadcast
+SAMPLE_ROWS = 20_000  # rows by which the head is chosen; it spares work and changes no result
+BETA, RARE, DISCOUNT = 0.6, 4.0, 0.5
+MOST_LEVELS = 127
 
 _END, _BEGIN = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
-_BUFFER = 1 << 19
-_ASKED = "bucket int, chunk long, segment int, data binary"
+_PAIR_BITS = 40  # of a pair's hash, beside its bucket
+_PAIR_SALT = np.uint64(0xA0761D6478BD642F)
+_SENT = "bucket int, chunk long, words binary, word_times binary, pairs binary, pair_times binary"
+_READ = (
+    "bucket int, chunk long, word_levels binary, word_counts binary, pair_levels binary, "
+    "words binary, pairs binary, n long, v long, z double"
+)
+_MET = "bucket int, chunk long, part int, word_levels binary, word_counts binary, pair_levels binary, data binary"
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,339 +68,378 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return every, before, first
 
 
-def pair_hashes(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
-
-
-def pair_keys(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Pairs as they are counted: by 48 bits and the bucket they are dealt to."""
-    low = hashes & np.uint64((1 << 48) - 1)
-    return mix(low ^ (bucket_of(hashes, buckets).astype(np.uint64) << np.uint64(48)))
+def pair_keys(before: np.ndarray, token: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs by their bucket and ``_PAIR_BITS`` of their hash below it, so that keys are in the order of buckets."""
+    hashes = mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
+    return (bucket_of(hashes, buckets).astype(np.uint64) << np.uint64(_PAIR_BITS)) | (hashes & np.uint64((1 << _PAIR_BITS) - 1))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(2 * np.log2(np.maximum(counts, 1)) + 1e-9).astype(np.int64)
 
 
-def level_count(level: np.ndarray) -> np.ndarray:
-    """The middle of the whole counts that share a level (its lower end where there is none)."""
-    low = np.ceil(2 ** (np.asarray(level) / 2) - 1e-9)
-    high = np.ceil(2 ** ((np.asarray(level) + 1) / 2) - 1e-9) - 1
-    return np.where(high >= low, (low + np.maximum(high, low)) / 2, low)
+def lower_end(level: np.ndarray) -> np.ndarray:
+    """The least whole count of each level, 0 for level -1."""
+    level = np.asarray(level)
+    return np.where(level >= 0, np.ceil(2 ** (level / 2) - 1e-9), 0.0)
 
 
-def _counts(buckets: int, pairs: bool):
-    """Counts per chunk of text (pairs) or per buffer of distinct words, packed by bucket."""
+def upper_end(level: np.ndarray) -> np.ndarray:
+    """The greatest whole count of each level, 0 for level -1."""
+    level = np.asarray(level)
+    return np.where(level >= 0, np.maximum(np.ceil(2 ** ((level + 1) / 2) - 1e-9) - 1, lower_end(level)), 0.0)
 
-    def send(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        # A count goes as bytes that sum up to it.
-        full = counts // 255
-        values, counts = np.repeat(values, full + 1), np.repeat(counts, full + 1)
-        last = np.cumsum(full + 1) - 1
-        flags = np.full(len(values), 255)
-        flags[last] = counts[last] % 255
-        return pack(bucket_of(values, buckets), buckets, np.zeros(len(values), np.int64), values, 6 if pairs else 8, flags)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+# --- the filter --------------------------------------------------------------------
+
+
+def _bit(keys: np.ndarray, level: int, probe: int, span: int) -> np.ndarray:
+    """Bit number of one probe of one level within a segment of ``span`` bits."""
+    state = mix(keys + np.uint64((level * PROBES + probe + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+    return (state & np.uint64(span - 1)).astype(np.int64)
+
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            values, inverse = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
-            return values, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+def segment_of(keys: np.ndarray, level: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
+    """A segment of the filter that holds every level of each key up to its own, as bytes."""
+    entries = int((level + 1).sum())
+    span = 1 << max(10, (entries * bits_per_entry - 1).bit_length())
+    part = np.zeros(span, bool)
+    for q in range(int(level.max(initial=-1)) + 1):
+        some = keys[level >= q]
+        for probe in range(PROBES):
+            part[_bit(some, q, probe, span)] = True
+    return np.packbits(part, bitorder="little")
+
+
+def levels_in(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Level of each key by repeated probes, -1 if it is not in the segment."""
+    found, open_, span = np.full(len(keys), -1), np.arange(len(keys)), 8 * len(part)
+    for level in range(MOST_LEVELS + 1):
+        for probe in range(PROBES):
+            at = _bit(keys[open_], level, probe, span)
+            open_ = open_[(part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        found[open_] = level
+        if not len(open_):
+            break
+    return found
 
+
+# --- from texts to buckets -------------------------------------------------------------
+
+
+@dataclass
+class Head:
+    """Sorted keys of the most frequent words and pairs, at most ``HEAD`` of each."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+
+
+def _in(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted ones, and its place there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return sorted_keys[at] == keys, at
+
+
+@dataclass
+class _Chunk:
+    """Distinct words and pairs of a chunk, in the order of their buckets, and the tokens that are they."""
+
+    first: np.ndarray
+    words: np.ndarray
+    word: np.ndarray  # of each token
+    pairs: np.ndarray
+    pair: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array, buckets: int) -> _Chunk:
+        every, before, first = tokens(column)
+        words, word = np.unique(every, return_inverse=True)
+        pairs, pair = np.unique(pair_keys(before, every, buckets), return_inverse=True)
+        return cls(first, words, word, pairs, pair)
+
+
+def _low(pairs: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(pairs).view(np.uint8).reshape(-1, 8)[:, : _PAIR_BITS // 8]
+
+
+def _high(data: bytes, bucket: int) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, _PAIR_BITS // 8)
+    keys = np.zeros((len(low), 8), np.uint8)
+    keys[:, : _PAIR_BITS // 8] = low
+    return keys.view(np.uint64).reshape(-1) | (np.uint64(bucket) << np.uint64(_PAIR_BITS))
+
+
+def _rows(chunk: int, buckets: int, words: np.ndarray, word_times: np.ndarray, pairs: np.ndarray, pair_times: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket that has any of the n-grams, which are sorted."""
+    edges = np.arange(buckets + 1)
+    of_word = np.searchsorted(bucket_of(words, buckets), edges)
+    of_pair = np.searchsorted(pairs >> np.uint64(_PAIR_BITS), edges)
+    some = np.flatnonzero((np.diff(of_word) > 0) | (np.diff(of_pair) > 0))
+    cut_up = lambda values, bounds: pa.array([values[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk), pa.int64()), cut_up(words, of_word),
+         cut_up(word_times.astype(np.uint32), of_word), cut_up(_low(pairs), of_pair), cut_up(pair_times.astype(np.uint32), of_pair)],
+        names=["bucket", "chunk", "words", "word_times", "pairs", "pair_times"],
+    )
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for low, high in row_chunks(batch.column("text"), CHUNK_BYTES):
+        yield batch.slice(low, high - low)
+
+
+def _first_chunk() -> int:
+    return TaskContext.get().partitionId() << 24
+
+
+def _send(head, buckets: int, mark: str):
+    """The n-grams of every chunk by bucket, and once per task those of the head (chunk -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: Head = head.value
+        of_head = [np.zeros(len(x), np.int64) for x in (most.words, most.pairs)]
+        chunk = _first_chunk()
         for batch in batches:
-            texts = batch.column("text")
-            for low, high in row_chunks(texts):
-                every, before, _ = tokens(texts.slice(low, high - low))
-                if pairs:
-                    yield send(*np.unique(pair_hashes(before, every), return_counts=True))
-                    continue
-                held.append(np.unique(every, return_counts=True))
-                if sum(len(v) for v, _ in held) > _BUFFER:
-                    held = [merged()]
-                    if len(held[0][0]) > _BUFFER // 2:
-                        yield send(*held[0])
-                        held = []
-        if held:
-            yield send(*merged())
+            for part in _chunks(batch):
+                seen = _Chunk.of(part.column("text"), buckets)
+                learn = np.repeat(part.column(mark).to_numpy(zero_copy_only=False), np.diff(seen.first))
+                sent = []
+                for keys, each, frequent, total in ((seen.words, seen.word, most.words, of_head[0]), (seen.pairs, seen.pair, most.pairs, of_head[1])):
+                    times = np.bincount(each, weights=learn, minlength=len(keys)).astype(np.int64)
+                    known, at = _in(keys, frequent)
+                    np.add.at(total, at[known], times[known])
+                    sent += [keys[~known], times[~known]]
+                yield _rows(chunk, buckets, *sent)
+                chunk += 1
+        some = [np.flatnonzero(x) for x in of_head]
+        yield _rows(-1, buckets, most.words[some[0]], of_head[0][some[0]], most.pairs[some[1]], of_head[1][some[1]])
 
     return run
 
 
-def _word_counts(rows: pa.Table) -> pa.Table:
-    values, flags, _, _ = unpack(rows)
-    distinct, inverse = np.unique(values, return_inverse=True)
-    counts = np.bincount(inverse, weights=flags).astype(np.int64)
-    return pa.table({"word": distinct.view(np.int64), "c": counts})
+def _frequent(buckets: int):
+    """Counts of the words (kind 0) and pairs (kind 1) of a sample that come more than once in a chunk."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _chunks(batch):
+                seen = _Chunk.of(part.column("text"), buckets)
+                for kind, keys, each in ((0, seen.words, seen.word), (1, seen.pairs, seen.pair)):
+                    times = np.bincount(each, minlength=len(keys))
+                    often = times > 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(often.sum()), kind, np.int32)), pa.array(keys[often].view(np.int64)), pa.array(times[often].astype(np.int64))],
+                        names=["kind", "key", "times"],
+                    )
 
-def _pair_counts(rows: pa.Table) -> pa.Table:
-    values, flags, _, _ = unpack(rows, 6)
-    bucket = rows["bucket"][0].as_py()
-    distinct, inverse = np.unique(values, return_inverse=True)
-    counts = np.bincount(inverse, weights=flags).astype(np.int64)
-    keys = mix(distinct ^ (np.uint64(bucket) << np.uint64(48)))
-    return pa.table({"word": keys.view(np.int64), "c": counts})
+    return run
 
 
-def _level(count: str) -> Column:
-    return F.floor(2 * F.log2(F.col(count).cast("double")) + 1e-9).cast("int")
+def frequent_ngrams(docs: DataFrame, buckets: int, rows: int, head: int = HEAD) -> Head:
+    """The most frequent n-grams of about ``SAMPLE_ROWS`` rows (``rows`` is the number of all)."""
+    sample = docs.select("text").sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), 7)
+    counted = sample.mapInArrow(_frequent(buckets), "kind int, key long, times long").groupBy("kind", "key").agg(F.sum("times").alias("times"))
+    most = [counted.filter(F.col("kind") == k).orderBy(F.desc("times"), "key").limit(head).toArrow()["key"].to_numpy() for k in (0, 1)]
+    return Head(*[np.sort(x.view(np.uint64)) for x in most])
 
 
-def _bit(keys: np.ndarray, level: int, probe: int, span: int) -> np.ndarray:
-    """Bit number of one probe of one level within the key's own segment of ``span`` bits."""
-    state = mix(keys + np.uint64((level * PROBES + probe + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
-    return (state & np.uint64(span - 1)).astype(np.int64)
+# --- buckets ---------------------------------------------------------------------------
 
 
-def filter_size(entries: int) -> tuple[int, int]:
-    """Segments of the filter and the bits of each, both powers of two."""
-    bits = 1 << max(16, int(entries * BITS_PER_ENTRY - 1).bit_length())
-    segments = max(SEGMENTS, bits // SEGMENT_BITS)
-    return segments, bits // segments
+def _binary(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
 
 
-def _segment(span: int):
-    def build(rows: pa.Table) -> pa.Table:
-        keys, high = rows["key"].to_numpy().view(np.uint64), rows["level"].to_numpy()
-        part = np.zeros(span, bool)
-        for level in range(int(high.max(initial=-1)) + 1):
-            some = keys[level <= high]
-            for probe in range(PROBES):
-                part[_bit(some, level, probe, span)] = True
-        bits = np.packbits(part, bitorder="little").tobytes()
-        return pa.table({"segment": rows["segment"][:1].cast(pa.int32()), "bits": pa.array([bits], pa.binary())})
+def _read_back(groups: int, bits_per_entry: int):
+    """A bucket's segment of the filter, and from it the levels that its chunks ask for.
 
-    return build
+    Returns a row per chunk, already named by the group that the chunk is scored in, and one row
+    (chunk -1) of sums over the bucket and of the levels of the head's n-grams.
+    """
 
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, chunks = rows["bucket"][0].as_py(), rows["chunk"].to_numpy()
+        sizes = {c: [len(x) // w for x in rows[c].to_pylist()] for c, w in (("words", 8), ("pairs", _PAIR_BITS // 8))}
+        join = lambda c: b"".join(rows[c].to_pylist())
+        words, w_at = np.unique(np.frombuffer(join("words"), np.uint64), return_inverse=True)
+        pairs, p_at = np.unique(_high(join("pairs"), bucket), return_inverse=True)
+        w_count = np.bincount(w_at, weights=np.frombuffer(join("word_times"), np.uint32), minlength=len(words)).astype(np.int64)
+        p_count = np.bincount(p_at, weights=np.frombuffer(join("pair_times"), np.uint32), minlength=len(pairs)).astype(np.int64)
+        keys = np.concatenate([mix(words), mix(pairs + _PAIR_SALT)])
+        count = np.concatenate([w_count, p_count])
+        part = segment_of(keys[count > 0], levels(count[count > 0]), bits_per_entry)
+        level = levels_in(part, keys)
+        w_level, p_level = level[: len(words)], level[len(words) :]
+        z = float((lower_end(w_level[w_count > 0]) + 1).sum())
+        # Replies are in the order of the keys of each row.
+        w_bounds, p_bounds = (np.cumsum([0, *sizes[c]]) for c in ("words", "pairs"))
+        w_byte, p_byte = (w_level[w_at] + 1).astype(np.uint8), (p_level[p_at] + 1).astype(np.uint8)
+        counts = w_count[w_at].astype(np.uint64)
+        cut_up = lambda values, bounds, which: [values[bounds[k] : bounds[k + 1]].tobytes() for k in which]
+        asked, of_head = np.flatnonzero(chunks >= 0), np.flatnonzero(chunks < 0)
+        none = [b""] * len(asked)
+        head_words = np.unique(np.concatenate([np.zeros(0, np.int64), *[w_at[w_bounds[k] : w_bounds[k + 1]] for k in of_head]]))
+        head_pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *[p_at[p_bounds[k] : p_bounds[k + 1]] for k in of_head]]))
+        number = lambda value, kind: pa.array([None] * len(asked) + [value], kind)
+        return pa.table({
+            "bucket": pa.array([*chunk_group(chunks[asked], groups).tolist(), bucket], pa.int32()),
+            "chunk": pa.array([*chunks[asked].tolist(), -1], pa.int64()),
+            "word_levels": _binary([*cut_up(w_byte, w_bounds, asked), (w_level[head_words] + 1).astype(np.uint8).tobytes()]),
+            "word_counts": _binary([*cut_up(counts, w_bounds, asked), w_count[head_words].astype(np.uint64).tobytes()]),
+            "pair_levels": _binary([*cut_up(p_byte, p_bounds, asked), (p_level[head_pairs] + 1).astype(np.uint8).tobytes()]),
+            "words": _binary([*none, words[head_words].tobytes()]), "pairs": _binary([*none, pairs[head_pairs].tobytes()]),
+            "n": number(int(w_count.sum()), pa.int64()), "v": number(int((w_count > 0).sum()), pa.int64()), "z": number(z, pa.float64()),
+        })
 
-def levels_in(part: np.ndarray, keys: np.ndarray, span: int, first: int, top: int) -> np.ndarray:
-    """Level of each key of one segment, ``first - 1`` if it is not in it."""
-    found = np.full(len(keys), first - 1)
-    open_ = np.arange(len(keys))
-    for level in range(first, top + 1):
-        for probe in range(PROBES):
-            at = _bit(keys[open_], level, probe, span)
-            open_ = open_[(part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-        found[open_] = level
-        if not len(open_):
-            break
-    return found
+    # A reply's order within its chunk is that of the buckets it came from.
+    def placed(rows: pa.Table) -> pa.Table:
+        bucket = rows["bucket"][0].as_py()
+        found = run(rows)
+        return found.append_column("part", pa.array([bucket] * found.num_rows, pa.int32()))
+
+    return placed
 
 
 @dataclass
 class Model:
-    """What the workers need, all of it of bounded size, and the table of the filter's segments."""
+    """What every worker needs: sums, and the levels and counts of the head."""
 
-    parts: DataFrame | None  # segment, bits; stays with the driver
-    segments: int
-    span: int  # bits of a segment
-    buckets: int
-    top: int  # greatest level of any n-gram
     n: int
     v: int
-    texts: int
     z: float
-    share: float  # R
-    words: np.ndarray  # sorted hashes of the most frequent words
+    texts: int
+    words: np.ndarray  # sorted
+    word_levels: np.ndarray
     word_counts: np.ndarray
+    pairs: np.ndarray  # sorted
+    pair_levels: np.ndarray
 
-    def segment_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(65 - self.segments.bit_length())).astype(np.int64)
 
-    def level_of(self, keys: np.ndarray, first: int) -> np.ndarray:
-        """Level of each key, ``first - 1`` if it is not in the filter; one segment at a time."""
-        found, segment = np.full(len(keys), first - 1), self.segment_of(keys)
-        for r in self.parts.filter(F.col("segment").isin(np.unique(segment).tolist())).toLocalIterator():
-            mine = segment == r["segment"]
-            found[mine] = levels_in(np.frombuffer(r["bits"], np.uint8), keys[mine], self.span, first, self.top)
-        return found
+def _model(read: DataFrame, texts: int) -> Model:
+    """Sums over all buckets and the head's levels, at most ``HEAD`` of each kind."""
+    sums = read.filter("chunk < 0").agg(*[F.sum(c).alias(c) for c in ("n", "v", "z")]).first()
+    rows = read.filter("chunk < 0 AND (length(words) > 0 OR length(pairs) > 0)").select("words", "word_levels", "word_counts", "pairs", "pair_levels").toArrow()
+    joined = {c: np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in
+              (("words", np.uint64), ("word_levels", np.uint8), ("word_counts", np.uint64), ("pairs", np.uint64), ("pair_levels", np.uint8))}
+    w, p = np.argsort(joined["words"]), np.argsort(joined["pairs"])
+    level = lambda c, order: joined[c][order].astype(np.int64) - 1
+    return Model(sums["n"] or 0, sums["v"] or 0, (sums["z"] or 0.0) + 1, texts, joined["words"][w], level("word_levels", w),
+                 joined["word_counts"][w].astype(np.int64), joined["pairs"][p], level("pair_levels", p))
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the exact counts of all words (``word, c``), from all of ``docs``.
-
-    Words and pairs are counted in buckets whose number follows the amount of text.  Nothing but
-    sums per level and at most ``TOP_WORDS`` words reach the driver; the filter stays a table.
-    """
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    buckets = bucket_count(texts)
-    count = lambda pairs, reduce: texts.mapInArrow(_counts(buckets, pairs), PACKED).groupBy("bucket").applyInArrow(reduce, "word long, c long")
-    words = cut(count(False, _word_counts), "words")
-    pairs = cut(count(True, _pair_counts), "pairs")
-    by_level = lambda df: {r["level"]: r for r in df.groupBy(_level("c").alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    word_levels, pair_levels = by_level(words), by_level(pairs)
-    n, v = sum(r["c"] for r in word_levels.values()), sum(r["n"] for r in word_levels.values())
-    n_texts = docs.count()
-
-    # The begin mark is a context only; its count is the number of texts.
-    begin_level = int(levels(np.array([n_texts]))[0])
-    segments, span = filter_size(begin_level + 1 + sum(r["n"] * (q + 1) for by in (word_levels, pair_levels) for q, r in by.items()))
-    keyed = words.unionByName(pairs).select(F.col("word").alias("key"), _level("c").alias("level"))
-    begin = spark.range(1).select(F.lit(int(np.int64(_BEGIN.view(np.int64)))).alias("key"), F.lit(begin_level).alias("level"))
-    placed = keyed.unionByName(begin).withColumn("segment", F.shiftrightunsigned("key", 65 - segments.bit_length()).cast("int"))
-    parts = cut(placed.groupBy("segment").applyInArrow(_segment(span), "segment int, bits binary"), "filter")
-
-    # Exact counts of the most frequent words: whole levels, as many as fit the bound.
-    total, cut_level = 0, max(word_levels, default=0) + 1
-    for q in sorted(word_levels, reverse=True):
-        total += word_levels[q]["n"]
-        if total > TOP_WORDS:
-            break
-        cut_level = q
-    most = words.filter(_level("c") >= cut_level).toArrow()
-    hashes = most["word"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    share = sum(max(float(level_count(np.array(q))) - DISCOUNT, 0) * r["n"] for q, r in pair_levels.items()) / max(n, 1)
-    z = sum((float(level_count(np.array(q))) + 1) * r["n"] for q, r in word_levels.items()) + 1
-    model = Model(parts, segments, span, buckets, max([*word_levels, *pair_levels, begin_level]), n, v, n_texts, z,
-                  min(share, 1.0), hashes[order], most["c"].to_numpy()[order].astype(np.int64))
-    return model, words
+# --- scores ----------------------------------------------------------------------------
 
 
-def _probes(model: Model, column: pa.Array):
-    """Tokens of a chunk, its distinct words and pairs, and the order in which their keys are asked for."""
-    every, before, first = tokens(column)
-    distinct, inverse = np.unique(every, return_inverse=True)
-    pairs, back = np.unique(pair_hashes(before, every), return_inverse=True)
-    keys = np.concatenate([distinct, pair_keys(pairs, model.buckets)])
-    return first, distinct, inverse, back, keys, np.argsort(keys)
+def probabilities(word_level: np.ndarray, context_level: np.ndarray, pair_level: np.ndarray, begins: np.ndarray, texts: int, z: float) -> np.ndarray:
+    """The model's probability of tokens from the levels of word, context and pair; a begin mark is counted exactly."""
+    context = np.where(begins, float(texts), upper_end(context_level))
+    share = BETA * context / (context + RARE)
+    pair = np.maximum(lower_end(pair_level) - DISCOUNT, 0) / np.maximum(context, 1)
+    return (1 - share) * (lower_end(word_level) + 1) / z + share * np.minimum(pair, 1)
 
 
-def _ask(shared, groups: int):
-    """Of each chunk of text a row of keys per segment, and the chunk itself for its group."""
+def _texts(groups: int):
+    """Every chunk of text, for the group that it is scored in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        chunk = TaskContext.get().partitionId() << 24
+        chunk = _first_chunk()
         for batch in batches:
-            for low, high in row_chunks(batch.column("text")):
-                part = batch.slice(low, high - low)
-                *_, keys, order = _probes(model, part.column("text"))
-                keys = keys[order]
-                bounds = np.searchsorted(model.segment_of(keys), np.arange(model.segments + 1))
-                asked = np.flatnonzero(np.diff(bounds))
+            for part in _chunks(batch):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
                 group = int(chunk_group(np.array([chunk]), groups)[0])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([*asked, model.segments + group], pa.int32()), pa.array([chunk] * (len(asked) + 1), pa.int64()),
-                    pa.array([*asked, -1], pa.int32()),
-                    pa.array([*(keys[bounds[k] : bounds[k + 1]].tobytes() for k in asked), sink.getvalue().to_pybytes()], pa.binary()),
-                ], names=["bucket", "chunk", "segment", "data"])
+                row = (group, chunk, -1, b"", b"", b"", sink.getvalue().to_pybytes())
+                kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+                names = ["bucket", "chunk", "part", "word_levels", "word_counts", "pair_levels", "data"]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
                 chunk += 1
 
     return run
 
 
-def _answer(shared, groups: int):
-    """A segment's levels of the keys asked for, a byte each; chunks of text pass on to their group."""
+def _score(shared, head, buckets: int, columns: list[str], added: list[str]):
+    """Rows of the chunks of a group, once all their levels have come back."""
+
+    def scored(part: pa.RecordBatch, replies: pa.Table) -> pa.RecordBatch:
+        model, most = shared.value, head.value
+        seen = _Chunk.of(part.column("text"), buckets)
+        joined = lambda c, kind: np.frombuffer(b"".join(replies[c].to_pylist()), kind).astype(np.int64)
+        level = {}
+        for kind, keys, frequent, known, known_levels in (("word", seen.words, most.words, model.words, model.word_levels), ("pair", seen.pairs, most.pairs, model.pairs, model.pair_levels)):
+            of_head = _in(keys, frequent)[0]
+            found, at = _in(keys, known)
+            level[kind] = np.full(len(keys), -1)
+            level[kind][~of_head] = joined(f"{kind}_levels", np.uint8) - 1
+            # One of the head that no text to learn from holds has no level.
+            level[kind][of_head & found] = known_levels[at[of_head & found]]
+            if kind == "word":
+                count = np.zeros(len(keys), np.int64)
+                count[~of_head] = joined("word_counts", np.uint64)
+                count[of_head & found] = model.word_counts[at[of_head & found]]
+        begins = np.zeros(len(seen.word), bool)
+        begins[seen.first[:-1]] = True
+        context = np.full(len(seen.word), -1)
+        context[1:] = level["word"][seen.word[:-1]]
+        p = probabilities(level["word"][seen.word], context, level["pair"][seen.pair], begins, model.texts, model.z)
+        per_row = lambda values: np.add.reduceat(values, seen.first[:-1])
+        base = per_row((np.log10(count + 1.0) - np.log10(model.n + model.v + 1.0))[seen.word])
+        results = [np.diff(seen.first), per_row((count > 0)[seen.word].astype(np.int64)), np.full(part.num_rows, model.n), base, per_row(np.log10(p))]
+        return pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *map(pa.array, results)], names=[*columns, *added])
 
     def run(rows: pa.Table) -> pa.Table:
-        model: Model = shared.value
-        bucket = rows["bucket"][0].as_py()
-        if bucket >= model.segments:
-            return rows.set_column(0, "bucket", pa.array([bucket - model.segments] * rows.num_rows, pa.int32()))
-        chunks, data = rows["chunk"].to_numpy(), rows["data"].to_pylist()
-        asked = np.flatnonzero(chunks >= 0)
-        part = next((np.frombuffer(data[k], np.uint8) for k in np.flatnonzero(chunks < 0)), np.zeros(model.span // 8, np.uint8))
-        keys = np.frombuffer(b"".join(data[k] for k in asked), np.uint64)
-        level = (levels_in(part, keys, model.span, 0, model.top) + 1).astype(np.uint8)
-        bounds = np.cumsum([0, *(len(data[k]) // 8 for k in asked)])
-        return pa.table({
-            "bucket": pa.array(chunk_group(chunks[asked], groups).astype(np.int32)), "chunk": pa.array(chunks[asked]),
-            "segment": pa.array(np.full(len(asked), bucket, np.int32)),
-            "data": pa.array([level[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-        })
-
-    return run
-
-
-def _score(shared, columns: list[str]):
-    """Rows of the chunks of a group, once all levels have come back."""
-
-    def chunk_rows(chunk: int, part: pa.RecordBatch, replies: bytes) -> pa.RecordBatch:
-        model: Model = shared.value
-        n_rows = part.num_rows
-        first, distinct, inverse, back, keys, order = _probes(model, part.column("text"))
-        level = np.empty(len(keys), np.int64)
-        level[order] = np.frombuffer(replies, np.uint8).astype(np.int64) - 1
-        rows = np.repeat(np.arange(n_rows), np.diff(first))
-        # The model: levels of distinct words and pairs, read back from the filter.
-        word_level, pair_level = level[: len(distinct)], level[len(distinct) :]
-        word_count = np.where(word_level >= 0, level_count(word_level), 0.0)
-        p = ((1 - BETA * model.share) * (word_count + 1) / model.z)[inverse]
-        context = np.empty(len(inverse))
-        context[1:] = word_count[inverse[:-1]]
-        context[first[:-1]] = model.texts
-        pair_count = np.where(pair_level >= 0, level_count(pair_level) - DISCOUNT, 0.0)[back]
-        p += BETA * np.minimum(np.maximum(pair_count, 0) / np.maximum(context, 1), 1.0)
-        score = np.add.reduceat(np.log10(p), first[:-1])
-        # The base: exact counts of frequent words; the others are listed for the join.
-        place = np.minimum(np.searchsorted(model.words, distinct), max(len(model.words) - 1, 0))
-        frequent = model.words[place] == distinct if len(model.words) else np.zeros(len(distinct), bool)
-        logs = np.where(frequent, np.log10((model.word_counts[place] if len(model.words) else 0) + 1.0), 0.0)
-        base = np.add.reduceat(logs[inverse], first[:-1])
-        known = np.add.reduceat(frequent[inverse].astype(np.int64), first[:-1])
-        rest = np.flatnonzero(~frequent[inverse])
-        # Rest words of a row, each with its number of times.
-        combined, times = np.unique(rows[rest].astype(np.int64) * (len(distinct) + 1) + inverse[rest], return_counts=True)
-        bounds = np.searchsorted(combined, np.arange(n_rows + 1) * (len(distinct) + 1)).astype(np.int32)
-        listed = distinct[combined % (len(distinct) + 1)].view(np.int64)
-        arrays = [part.column(c) for c in columns] + [
-            pa.array((chunk << 16) + np.arange(n_rows)), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(score),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array(listed)),
-            pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
-        ]
-        return pa.RecordBatch.from_arrays(arrays, names=[*columns, "_key", "n_tokens", "_known", "_base", "score", "_words", "_times"])
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("chunk", "ascending"), ("segment", "ascending")])
+        rows = rows.sort_by([("chunk", "ascending"), ("part", "ascending")])
         chunks = rows["chunk"].to_numpy()
         heads = np.flatnonzero(np.diff(chunks, prepend=-1))
         out = []
         for a, b in zip(heads, np.append(heads[1:], len(chunks)), strict=True):
-            # Segment -1 is the chunk of text; the others follow in the order of their keys.
-            text, *replies = rows["data"][a:b].to_pylist()
-            with pa.ipc.open_stream(text) as stream:
-                for part in stream:
-                    out.append(chunk_rows(int(chunks[a]), part, b"".join(replies)))
+            # Part -1 is the chunk of text; the others follow in the order of their keys.
+            with pa.ipc.open_stream(rows["data"][a].as_py()) as stream:
+                out += [scored(batch, rows.slice(a + 1, b - a - 1)) for batch in stream]
         return pa.Table.from_batches(out)
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, head_size: int = HEAD, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """``docs`` without their text, with ``n_tokens, n_known, train_tokens, base_score, score``.
 
-    ``base_score`` is exact: counts of the most frequent words are broadcast, and every other
-    word of a document meets its count in a join.  A NULL text is empty and has its end token
-    alone; rows that repeat an id are scored each for itself.
+    The model is learned from the texts where ``learn`` holds and scores all of them.  ``score`` is
+    the log10 probability of the text by the model (module docstring), ``base_score`` that of exact
+    counts with one added, where words are told apart by 64-bit hashes.  Every word and every pair is
+    counted and held in the filter, those seen once too.
+
+    A NULL text is empty and has its end token alone; long texts are scored whole; rows that repeat
+    an id, and equal rows, count and are scored each for itself.  An empty table gives none; without a text
+    to learn from every score is 0 and every base score too.  Columns of ``docs`` may have any names; those that bear a result's
+    name are replaced.  ``docs`` is read twice in the order it is stored in, so it should be a table and not the
+    result of a shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, parts=None))
+    spark = docs.sparkSession
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     fields = [f for f in docs.schema if f.name != "text" and f.name not in added]
-    kept = docs.select(*[f.name for f in fields], "text")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    schema += "_key long, n_tokens long, _known long, _base double, score double, _words array<long>, _times array<int>"
-    groups = bucket_count(kept)
-    parts = model.parts.select(F.col("segment").alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "segment", F.col("bits").alias("data"))
-    asked = kept.mapInArrow(_ask(shared, groups), _ASKED).unionByName(parts)
-    answers = asked.groupBy("bucket").applyInArrow(_answer(shared, groups), _ASKED)
-    rows = cut(answers.groupBy("bucket").applyInArrow(_score(shared, [f.name for f in fields]), schema), "scored")
-    each = rows.select("_key", F.explode(F.arrays_zip("_words", "_times")).alias("_w"))
-    met = each.select("_key", F.col("_w._words").alias("word"), F.col("_w._times").alias("_times")).join(words, "word")
-    sums = met.groupBy("_key").agg(F.sum("_times").alias("_n"), F.sum(F.col("_times") * F.log10(F.col("c") + 1)).alias("_sum"))
-    per_token = float(np.log10(model.n + model.v + 1))
-    return rows.join(sums, "_key", "left").select(
-        *[f.name for f in fields], "n_tokens",
-        (F.col("_known") + F.coalesce("_n", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(model.n).cast("bigint").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        "score",
-    )
+    names = [f.name for f in fields]
+    learned = F.coalesce(learn, F.lit(False))
+    mark = "learn"
+    while mark in docs.columns:
+        mark += "_"
+    # The same rows and columns for both readings, so that chunks are the same ones.
+    texts = docs.select(*names, "text", learned.alias(mark))
+    n_learned = docs.filter(learned).count()
+    buckets = bucket_count(docs)
+    head = spark.sparkContext.broadcast(frequent_ngrams(docs.filter(learned), buckets, n_learned, head_size))  # at most 2 * HEAD keys
+    sent = texts.mapInArrow(_send(head, buckets, mark), _SENT)
+    read = cut(sent.groupBy("bucket").applyInArrow(_read_back(buckets, bits_per_entry), f"{_READ}, part int"), "levels")
+    model = spark.sparkContext.broadcast(_model(read, n_learned))
+    replies = read.filter("chunk >= 0").select("bucket", "chunk", "part", "word_levels", "word_counts", "pair_levels", F.lit(b"").alias("data"))
+    parts = texts.mapInArrow(_texts(buckets), _MET)
+    met = parts.unionByName(replies)
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*fields, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]])
+    return met.groupBy("bucket").applyInArrow(_score(model, head, buckets, names, added), schema)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -398,5 +451,4 @@ def is_held_out(doc_id: Column) -> Column:
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"))
-    model, words = train(docs.filter(~F.col("held_out")))
-    return scored(docs, model, words)
+    return scored(docs, ~F.col("held_out"))

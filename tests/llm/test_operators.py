@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 import random
 
 import numpy as np
@@ -163,48 +164,93 @@ def test_levels_hold_their_counts():
     counts = np.arange(1, 5_000)
     level = lm.levels(counts)
     assert (np.diff(level) >= 0).all()
-    assert (np.abs(np.log2(lm.level_count(level) / counts)) < 0.5).all()
-    assert lm.level_count(np.array([0]))[0] == 1
-
-
-def test_filter_gives_back_levels(spark):
-    texts = ["alpha beta gamma " * k for k in range(1, 60)] + ["rare word"]
-    model, counted = lm.train(docs_of(spark, texts))
-    exact = {r["word"]: r["c"] for r in counted.collect()}
-    keys = np.array(list(exact), np.int64).view(np.uint64)
-    level = model.level_of(keys, 0)
-    assert (level >= lm.levels(np.array(list(exact.values())))).all()
-    strangers = np.random.default_rng(0).integers(0, 2**63, 10_000).astype(np.uint64)
-    assert (model.level_of(strangers, 0) >= 0).mean() < 0.05
-
-
-@pytest.mark.parametrize("segment_bits", [1 << 25, 1 << 8])
-def test_every_level_of_every_pair_is_in_the_filter(spark, monkeypatch, segment_bits):
-    """Pairs seen once too, in however many segments; scores follow the formula with the levels read back."""
-    monkeypatch.setattr(lm, "SEGMENT_BITS", segment_bits)
-    texts = [" ".join(words(200 + k, 40, 300)) for k in range(40)] + ["only once", None]
-    docs = docs_of(spark, texts)
-    model, counted = lm.train(docs)
-    assert model.segments * model.span >= 1 << 16 and model.segments == max(64, (model.segments * model.span) // segment_bits)
-    every, before, first = lm.tokens(pa.array(texts))
-    pairs, times = np.unique(lm.pair_hashes(before, every), return_counts=True)
-    level = model.level_of(lm.pair_keys(pairs, model.buckets), 0)
-    assert (level >= lm.levels(times)).all() and (times == 1).any()
-    assert (level == lm.levels(times)).mean() > 0.9
-    counts = lambda keys: np.where((q := model.level_of(keys, 0)) >= 0, lm.level_count(q), 0.0)
-    context = np.append(0.0, counts(every)[:-1])
-    context[first[:-1]] = model.texts
-    both = np.maximum(counts(lm.pair_keys(lm.pair_hashes(before, every), model.buckets)) - lm.DISCOUNT, 0)
-    p = (1 - lm.BETA * model.share) * (counts(every) + 1) / model.z + lm.BETA * np.minimum(both / np.maximum(context, 1), 1)
-    wanted = np.add.reduceat(np.log10(p), first[:-1])
-    got = {r["doc_id"]: r["score"] for r in lm.scored(docs, model, counted).collect()}
-    assert np.allclose([got[k] for k in range(len(texts))], wanted)
-
-
-def test_the_filter_grows_with_its_entries():
-    for entries in (1, 10**6, 10**8, 10**11):
-        segments, span = lm.filter_size(entries)
-        assert segments * span >= entries * lm.BITS_PER_ENTRY and span <= lm.SEGMENT_BITS
+    assert (lm.lower_end(level) <= counts).all() and (counts <= lm.upper_end(level)).all()
+    assert (lm.upper_end(level) / lm.lower_end(level) < 2**0.5 + 0.01).all()
+    assert lm.lower_end(np.array([-1, 0])).tolist() == lm.upper_end(np.array([-1, 0])).tolist() == [0, 1]
+
+
+def test_a_segment_gives_back_levels():
+    rng = np.random.default_rng(0)
+    keys, counts = rng.integers(0, 2**63, 20_000).astype(np.uint64), rng.integers(1, 500, 20_000) ** 2 // 300 + 1
+    part = lm.segment_of(keys, lm.levels(counts))
+    level = lm.levels_in(part, keys)
+    assert (level >= lm.levels(counts)).all() and (level == lm.levels(counts)).mean() > 0.95
+    strangers = rng.integers(0, 2**63, 10_000).astype(np.uint64)
+    assert (lm.levels_in(part, strangers) >= 0).mean() < 0.05
+    assert (lm.levels_in(lm.segment_of(keys[:0], counts[:0]), keys) == -1).all()
+
+
+def counted(texts):
+    """Counts of words, contexts and pairs, by plain Python."""
+    words_, contexts, pairs = Counter(), Counter(), Counter()
+    for t in texts:
+        before = "<begin>"
+        for w in [*brute.split(brute.lower(t)), "<end>"]:
+            words_[w] += 1
+            contexts[before] += 1
+            pairs[before, w] += 1
+            before = w
+    return words_, contexts, pairs
+
+
+def brute_probability(words_, pairs, texts, context, word):
+    low = lambda c: math.ceil(2 ** (math.floor(2 * math.log2(c) + 1e-9) / 2) - 1e-9) if c else 0
+    high = lambda c: max(math.ceil(2 ** ((math.floor(2 * math.log2(c) + 1e-9) + 1) / 2) - 1e-9) - 1, low(c)) if c else 0
+    z = sum(low(c) + 1 for c in words_.values()) + 1
+    of_context = texts if context == "<begin>" else high(words_[context])
+    share = lm.BETA * of_context / (of_context + lm.RARE)
+    pair = max(low(pairs[context, word]) - lm.DISCOUNT, 0) / max(of_context, 1)
+    return (1 - share) * (low(words_[word]) + 1) / z + share * pair
+
+
+LM_TEXTS = [" ".join(words(200 + k, 40, 300)) for k in range(40)] + ["only once", None, "only w1 w2 w1 w2 once", "W1 w2"]
+
+
+def test_probabilities_sum_to_one_at_most():
+    words_, _, pairs = counted(LM_TEXTS)
+    unseen = "never seen"
+    for context in ["<begin>", unseen, "only", "once", *[w for w, _ in words_.most_common(5)], *list(words_)[-5:]]:
+        total = sum(brute_probability(words_, pairs, len(LM_TEXTS), context, w) for w in [*words_, unseen])
+        assert 0.3 < total <= 1 + 1e-9
+    # The same by the arrays the workers use.
+    vocabulary = [*words_, unseen]
+    level = lambda counts: np.where(np.array(counts) > 0, lm.levels(np.array(counts)), -1)
+    z = float((lm.lower_end(level([words_[w] for w in words_])) + 1).sum()) + 1
+    for context in ("<begin>", "w1", unseen):
+        n = len(vocabulary)
+        p = lm.probabilities(level([words_[w] for w in vocabulary]), np.full(n, level([words_[context]])[0]), level([pairs[context, w] for w in vocabulary]),
+                             np.full(n, context == "<begin>"), len(LM_TEXTS), z)
+        assert np.allclose(p, [brute_probability(words_, pairs, len(LM_TEXTS), context, w) for w in vocabulary])
+
+
+@pytest.mark.parametrize("head", [0, 5, 1 << 18])
+def test_scores_by_brute_force(spark, head):
+    """Every pair counts, those seen once too, whatever the head; the filter is large, so that levels are exact."""
+    docs = docs_of(spark, LM_TEXTS)
+    learn = F.col("doc_id") % 5 != 0
+    words_, _, pairs = counted([t for k, t in enumerate(LM_TEXTS) if k % 5])
+    n = sum(k % 5 != 0 for k in range(len(LM_TEXTS)))
+    got = {r["doc_id"]: r for r in lm.scored(docs, learn, head, 256).collect()}
+    total, distinct = sum(words_.values()), len(words_)
+    for k, text in enumerate(LM_TEXTS):
+        each = [*brute.split(brute.lower(text)), "<end>"]
+        p = [brute_probability(words_, pairs, n, a, b) for a, b in zip(["<begin>", *each], each)]
+        assert abs(got[k]["score"] - sum(map(math.log10, p))) < 1e-9 * len(each)
+        assert abs(got[k]["base_score"] - sum(math.log10((words_[w] + 1) / (total + distinct + 1)) for w in each)) < 1e-9 * len(each)
+        assert (got[k]["n_tokens"], got[k]["n_known"], got[k]["train_tokens"]) == (len(each), sum(w in words_ for w in each), total)
+
+
+def test_language_model_without_texts_to_learn_from(spark):
+    rows = lm.scored(docs_of(spark, ["a b", None, ""]), F.lit(False)).collect()
+    assert [(r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows] == [(0, 0, 0.0, 0.0)] * 3
+
+
+def test_language_model_keeps_columns_of_any_name(spark):
+    names = ["bucket", "chunk", "part", "data", "words", "pairs", "word_levels", "pair_levels", "word_counts", "learn", "learn_", "n", "v", "z", "times", "key", "kind"]
+    docs = docs_of(spark, LM_TEXTS).withColumns({c: F.lit("kept") for c in names}).withColumn("score", F.lit(7)).withColumn("n_known", F.lit("x"))
+    found = lm.scored(docs, F.lit(True))
+    assert found.filter(" OR ".join(f"`{c}` <> 'kept'" for c in names)).isEmpty()
+    assert found.count() == len(LM_TEXTS) and found.filter("score >= 0 OR n_known < 1").isEmpty()
 
 
 # --- pairs ----------------------------------------------------------------------
@@ -344,8 +390,7 @@ def test_clashing_columns_of_operators(clashing):
     assert quality.with_quality(clashing, np.zeros(2**quality.BITS + 1, np.float32)).filter("score <> 0.5 OR predicted <> 1").isEmpty()
     assert substrings.without_repeats(clashing).filter("size(removed) > 0").count() > 0
     assert jaccard.similar_documents(clashing).count() == clashing.count()
-    model, counted = lm.train(clashing)
-    assert lm.scored(clashing, model, counted).filter("n = 'kept' AND score < 0").count() == clashing.count()
+    assert lm.scored(clashing, F.lit(True)).filter("n = 'kept' AND score < 0").count() == clashing.count()
 
 
 def test_pipeline_against_brute_force(spark, hard_dir, hard_rows, monkeypatch):
