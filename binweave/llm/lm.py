@@ -40,7 +40,7 @@ from binweave.scratch import cut
 
 BITS_PER_ENTRY = 8
 PROBES = 4
-CHUNK_BYTES = 4_000_000  # text whose n-grams are sent together; a longer text stands alone, whole
+CHUNK_BYTES = 2_000_000  # text whose n-grams are sent together; a longer text stands alone, whole
 HEAD = 1 << 18  # most frequent words, and as many pairs, whose levels are broadcast
 SAMPLE_ROWS = 20_000  # rows by which the head is chosen; it spares work and changes no result
 BETA, RARE, DISCOUNT = 0.6, 4.0, 0.5

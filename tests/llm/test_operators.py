@@ -373,7 +373,9 @@ def test_shards_of_zero_and_huge_rows(spark):
 # --- columns and the pipeline -----------------------------------------------------
 
 
-def test_clashing_columns_pass_through_the_pipeline(spark, clashing, hard_dir):
+def test_clashing_columns_pass_through_the_pipeline(spark, clashing, hard_dir, monkeypatch):
+    # A classifier that accepts all, so that every stage has rows.
+    monkeypatch.setattr(corpus_pipeline.quality, "train", lambda *a, **k: np.zeros(2**quality.BITS + 1, np.float32))
     df = clashing
     for name, stage in corpus_pipeline.STAGES[:-1]:
         path = f"{hard_dir}/clashing-{name}"
@@ -397,11 +399,11 @@ def test_pipeline_against_brute_force(spark, hard_dir, hard_rows, monkeypatch):
     """All stages on the hard cases; the classifier accepts all, so that the rest has work."""
     monkeypatch.setattr(corpus_pipeline.quality, "train", lambda *a, **k: np.zeros(2**quality.BITS + 1, np.float32))
     out = corpus_pipeline.run(spark, hard_dir).select("doc_id", "doc_tokens").distinct().collect()
-    rows = [(r[0], r[1]) for r in hard_rows]
-    label = {}
-    for (i, _), (_, _, c) in zip(rows, brute.jaccard(rows)):
-        label.setdefault(i, c)
-    kept = sorted({(i, t) for i, t in rows if i is not None and label[i] in (i, None)}, key=lambda r: r[0])
+    # A key for each row: ids that stand once, then numbers above them.
+    ids = Counter(r[0] for r in hard_rows)
+    rows = [(r[0] if r[0] is not None and ids[r[0]] == 1 else 1_000 + k, r[1]) for k, r in enumerate(hard_rows)]
+    old = {rows[k][0]: r[0] for k, r in enumerate(hard_rows)}
+    kept = sorted((i, t) for (i, t), (_, _, c) in zip(rows, brute.jaccard(rows)) if c == i)
     cut = {}
     for (i, t), (_, _, gone, _) in zip(kept, brute.substring_dedup(kept)):
         cut[i] = (t, gone)
@@ -410,5 +412,28 @@ def test_pipeline_against_brute_force(spark, hard_dir, hard_rows, monkeypatch):
     assert all((texts[i] == t) == (gone == 0) for i, (t, gone) in cut.items())
     left = {i: t for i, t in texts.items() if not cut[i][1] or brute.split(t)}
     leaked = {i for i, _ in brute.overlaps([(i, t) for i, t in left.items() if len(t or "") < 5_000], items)}
-    wanted = {i: len(brute.encode("word_bpe_49k.json", t, 1)) for i, t in left.items() if i not in leaked}
-    assert {r["doc_id"]: r["doc_tokens"] for r in out if r["doc_id"] is not None} == wanted
+    wanted = [(old[i], len(brute.encode("word_bpe_49k.json", t, 1))) for i, t in left.items() if i not in leaked]
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted({(r["doc_id"], r["doc_tokens"]) for r in out}, key=key) == sorted(set(wanted), key=key)
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_stages_judge_rows_by_their_text(spark, tmp_path, monkeypatch, most):
+    """Unlike texts that share an id stay, copies and leaks without an id go; few or many repeated ids."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", most)
+    leak = " ".join(words(900, 40, 5_000))
+    spark.createDataFrame([(0, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d = (" ".join(words(k, 80, 5_000)) for k in (901, 902, 903, 904))
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, a), (2, None), (2, ""), (None, None), (3, leak + " " + d), (None, "x " + leak), (4, d + " " + a)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumns({"doc_id_": F.lit("kept"), "_id": F.lit("kept")}).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    once = found(corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path)))
+    assert sum(once[i, t] for i, t in rows if t == a) == 1 and once[1, b] == 1 and once[None, c] == 1
+    assert all(once[r] == 1 for r in [(2, None), (2, ""), (None, None), (4, d + " " + a)])
+    clean = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and clean.filter("doc_id_ <> 'kept' OR _id <> 'kept'").isEmpty()
+    assert found(clean) == Counter(r for r in rows if leak not in (r[1] or ""))
+    short = corpus_pipeline.cut_repeats(spark, docs.filter("doc_id IS NULL OR doc_id = 4"), str(tmp_path))
+    assert sorted(len(brute.split(r["text"])) for r in short.collect()) == sorted([160, 80, 41, 0])
