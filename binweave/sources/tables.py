@@ -6,6 +6,8 @@ Schemas are declared, never inferred: inference would read the files twice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +41,14 @@ CRITERION_SCHEMA = T.StructType(
 # A listing of chunk files: bytes, then the file's name; it has no header line.
 LISTING_SCHEMA = T.StructType([T.StructField("du_bytes", T.LongType()), T.StructField("name", T.StringType())])
 
+HEADERS_AT_ONCE = 8
+
 # Names the input files use for columns we spell in lower case.
 FILE_NAMES = {"logFC": "logfc", "p.value": "p_value", "IFF": "iff"}
 
 
 # How the input files spell missing and infinite numbers.  A value that is no
-# number, and a file whose header has other columns or another order, are errors.
+# number, and a file whose header is not the one it is read by, are errors.
 TSV_OPTIONS = {
     "mode": "FAILFAST",
     "enforceSchema": "false",
@@ -56,22 +60,43 @@ TSV_OPTIONS = {
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A tab-separated file with a header line, which may hold more columns than ``schema``.
+    """Tab-separated files with a header line, which may hold more columns than ``schema``.
 
-    Only the header is looked at beforehand; types come from ``schema``.  Of several files, all
-    must have the columns in one order, and every number must be one; anything else is an error.
+    Every file's own header says where its columns are: files are grouped by their header, each
+    group is read at once, and the groups are united by name.  Types come from ``schema``; a column
+    that a file lacks, and a number that is none, are errors.
     """
     reader = spark.read.options(**TSV_OPTIONS).option("header", True)
-    names = reader.csv(path).columns
-    spelled = {FILE_NAMES.get(n, n): n for n in names}
-    missing = [n for n in schema.fieldNames() if n not in spelled]
-    if missing:
-        raise ValueError(f"columns not in the file: {missing}")
-    types = {spelled[f.name]: f.dataType for f in schema.fields}
-    in_file = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    return reader.schema(in_file).csv(path).select(
-        *[F.col(f"`{spelled[n]}`").alias(n) for n in schema.fieldNames()]
-    )
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in _headers(spark, path):
+        groups.setdefault(names, []).append(file)
+    parts = []
+    for names, files in groups.items():
+        spelled = {FILE_NAMES.get(n, n): n for n in names}
+        missing = [n for n in schema.fieldNames() if n not in spelled]
+        if missing:
+            raise ValueError(f"columns not in the file: {missing} ({files[0]})")
+        types = {spelled[f.name]: f.dataType for f in schema.fields}
+        in_file = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        # One header for all: the path itself, so that a folder of very many files stays one path.
+        rows = reader.schema(in_file).csv(path if len(groups) == 1 else files)
+        parts.append(rows.select(*[F.col(f"`{spelled[n]}`").alias(n) for n in schema.fieldNames()]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _headers(spark: SparkSession, path: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Every file below ``path`` and the names in its first line; no more than that line's block is read.
+
+    The files of a matrix are few (one per chromosome or so); some are looked at at a time.
+    """
+    reader = spark.read.options(**TSV_OPTIONS).option("header", True)
+    # Contents are not read: only the column of paths is.
+    listed = spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()
+    files = [r["path"] for r in listed if not r["path"].rsplit("/", 1)[-1].startswith(("_", "."))]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        names = pool.map(lambda f: tuple(reader.csv(f).columns), files)
+        found = [(f, n) for f, n in zip(files, names, strict=True) if n]
+    return found or [(path, tuple(reader.csv(path).columns))]
 
 
 def read_headerless_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -64,12 +64,24 @@ def test_read_pixels(spark, tmp_path):
         read_tsv(spark, path, T.StructType([T.StructField("other", T.LongType())]))
 
 
-def test_files_must_agree_and_hold_numbers(spark, tmp_path):
+def test_files_may_differ_in_order_but_must_hold_numbers(spark, tmp_path):
     head = "chr\tregion1\tregion2\tclust\tlogFC\tp.value\n"
-    for name, lines in {"a": head + "chr1\t5\t7\t1\t0.5\t0.1\n", "b": head.replace("region1\tregion2", "region2\tregion1") + "chr1\t7\t5\t1\t0.5\t0.1\n"}.items():
+    files = {
+        "a": head + "chr1\t5\t7\t1\t0.5\t0.1\n",
+        "b": head.replace("region1\tregion2", "region2\tregion1") + "chr1\t8\t6\t2\t0.5\t0.1\n",
+        "c": "p.value\textra\tlogFC\tclust\tregion2\tregion1\tchr\n0.25\tx\t-1\t3\t9\t4\tchr2\n",
+        "d": head + "chr1\t1\t2\tNA\t0.5\t0.1\n",
+    }
+    for name, lines in files.items():
         (tmp_path / f"{name}.tsv").write_text(lines)
-    with pytest.raises(Exception, match="header"):
-        read_pixels(spark, str(tmp_path)).collect()
+    df = read_pixels(spark, str(tmp_path))
+    assert df.schema == PIXEL_SCHEMA
+    assert sorted(tuple(r)[:4] for r in df.select("chr", "region1", "region2", "clust").collect()) == [
+        ("chr1", 1, 2, None), ("chr1", 5, 7, 1), ("chr1", 6, 8, 2), ("chr2", 4, 9, 3)]
+    assert df.filter("chr = 'chr2' AND logfc = -1 AND p_value = 0.25").count() == 1
+    (tmp_path / "e.tsv").write_text("chr\tregion1\nchr1\t5\n")
+    with pytest.raises(ValueError, match="region2"):
+        read_pixels(spark, str(tmp_path))
     bad = tmp_path / "bad"
     bad.mkdir()
     (bad / "x.tsv").write_text(head + "chr1\t5\t7\t1\t0.5\tbad\n")
