@@ -1,13 +1,14 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Pieces are the byte strings of a fixed public vocabulary.  Each language has a probability per
-piece; the probability of a word under a language is the sum, over all ways to cut the word into
-pieces, of the product of their probabilities, found by a forward pass over the word.  A text's
-log likelihood is the sum over its words; the prediction is the most likely language.
-
-A word is lower-cased (A-Z) and gets a space in front, as in the vocabulary; words of more than
-``LONGEST`` bytes are scored in parts of that length.  Pieces of more than ``PIECE_BYTES`` bytes
-are left out.  Probabilities are fitted by expectation maximisation over the same segmentations.
+Pieces are the byte strings of a fixed public vocabulary, of any length.  Each language has a
+probability per piece; the probability of a word under a language is the sum, over all ways to cut
+the word into pieces, of the product of their probabilities, found by a forward pass over the word.
+A text's log likelihood is the sum over its words; the prediction is the most likely language, the
+first by name if several are equally likely.
+
+A word is lower-cased (A-Z) and gets a space in front, as in the vocabulary; every word is scored
+whole, however long.  Probabilities are fitted by expectation maximisation over the same
+segmentations; only there, words of more than ``LONGEST`` bytes are learned from in parts.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from pyspark.sql import functions as F
 from binweave.llm.quality import is_held_out
 from binweave.llm.registry import query, table
 from binweave.llm.tokens import vocabulary_path
-from binweave.llm.words import CHUNK_BYTES, mix, row_chunks, span_hashes, split
+from binweave.llm.words import CHUNK_BYTES, Words, mix, row_chunks, split
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PIECE_BYTES = 8
-LONGEST = 40
+LONGEST = 41  # bytes of a word, with its space, that is scored in a dense table
 TRAIN_ROWS = 600  # documents per language the probabilities are fitted on
 ROUNDS = 4
 SMOOTHING = 0.5  # added to each piece's expected count
@@ -36,10 +36,14 @@ UNKNOWN = "und"
 HAS_LETTER = r"\p{L}"
 
 _SLOT_BITS = 20
+_SHORT = 8  # bytes of a piece that fit in one number
+_LONG_WORDS, _STRETCH = 512, 256  # long words scored together, and bytes of each at a time
+_MOST_SCALE = 1e7  # to the power of ``LONGEST`` still a double
 
 
 class Pieces:
-    """The vocabulary's byte strings, found by number from eight bytes packed in a word."""
+    """The vocabulary's byte strings: short ones found by number from eight bytes packed in a word,
+    longer ones by a walk from their first eight bytes on."""
 
     def __init__(self, name: str):
         strings = set()
@@ -47,32 +51,66 @@ class Pieces:
             for line in lines:
                 piece = base64.b64decode(line.split()[0]) if line.strip() else b""
                 inner = piece[1:] if piece[:1] == b" " else piece
-                if 0 < len(piece) <= PIECE_BYTES and not any(b in inner for b in b" \t\n\v\f\r"):
+                if piece and not any(b in inner for b in b" \t\n\v\f\r"):
                     strings.add(piece.lower())
         strings |= {bytes([b]) for b in range(256)}
         self.strings = sorted(strings)
-        keys = np.array([int.from_bytes(s.ljust(8, b"\0"), "little") for s in self.strings], np.uint64)
-        lengths = np.array([len(s) for s in self.strings], np.uint64)
         self.count = len(self.strings)
+        self.sizes = np.array([len(s) for s in self.strings])
+        self.reach = int(self.sizes.max())
+        self._table([k for k in range(self.count) if self.sizes[k] <= _SHORT])
+        self._walks([k for k in range(self.count) if self.sizes[k] > _SHORT])
+
+    def _table(self, short: list[int]) -> None:
+        keys = np.array([int.from_bytes(self.strings[k].ljust(8, b"\0"), "little") for k in short], np.uint64)
+        lengths = self.sizes[short].astype(np.uint64)
         # A table of slots, four times as long as needed; pieces that share a slot go to the next free one.
         self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
         self.lengths = np.zeros(1 << _SLOT_BITS, np.uint8)
         self.numbers = np.full(1 << _SLOT_BITS, -1, np.int32)
         slots = self._slot(keys, lengths)
         self.probes = 1
-        for number in range(self.count):
-            slot, probes = int(slots[number]), 1
+        for at, number in enumerate(short):
+            slot, probes = int(slots[at]), 1
             while self.numbers[slot] >= 0:
                 slot, probes = (slot + 1) & ((1 << _SLOT_BITS) - 1), probes + 1
-            self.keys[slot], self.lengths[slot], self.numbers[slot] = keys[number], lengths[number], number
+            self.keys[slot], self.lengths[slot], self.numbers[slot] = keys[at], lengths[at], number
             self.probes = max(self.probes, probes)
 
+    def _walks(self, longer: list[int]) -> None:
+        nodes: dict[bytes, int] = {}
+        for k in longer:
+            for size in range(_SHORT, len(self.strings[k]) + 1):
+                nodes.setdefault(self.strings[k][:size], len(nodes))
+        self.piece_at = np.full(len(nodes), -1, np.int32)
+        for k in longer:
+            self.piece_at[nodes[self.strings[k]]] = k
+        heads = sorted((int.from_bytes(s, "little"), n) for s, n in nodes.items() if len(s) == _SHORT)
+        steps = sorted((nodes[s[:-1]] << 8 | s[-1], n) for s, n in nodes.items() if len(s) > _SHORT)
+        self.head_keys, self.heads = np.array([k for k, _ in heads], np.uint64), np.array([n for _, n in heads], np.int64)
+        self.step_keys, self.steps = np.array([k for k, _ in steps], np.int64), np.array([n for _, n in steps], np.int64)
+
+    @staticmethod
+    def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[place] == keys, values[place], -1)
+
+    def enter(self, keys: np.ndarray) -> np.ndarray:
+        """Node reached by eight bytes, or -1."""
+        return self._look_up(keys, self.head_keys, self.heads)
+
+    def step(self, nodes: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Node reached from each node by one more byte, or -1."""
+        return self._look_up(nodes << 8 | values, self.step_keys, self.steps)
+
     @staticmethod
     def _slot(keys: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
         return (mix(keys ^ (np.asarray(lengths, np.uint64) << np.uint64(57))) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
     def find(self, keys: np.ndarray, length: int) -> np.ndarray:
-        """Number of each string of ``length`` bytes, or -1."""
+        """Number of each string of ``length`` bytes, at most eight, or -1."""
         slot = self._slot(keys, length)
         found = np.full(len(keys), -1, np.int32)
         open_ = np.arange(len(keys))
@@ -92,60 +130,68 @@ def pieces(name: str = VOCABULARY) -> Pieces:
     return Pieces(name)
 
 
-def word_units(column: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct units (rows of ``LONGEST + 1`` bytes, zero-padded) and their lengths, the unit of each occurrence,
-    and the row offsets into the occurrences."""
+def distinct_words(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """All words, the spans of the distinct ones, and the distinct one of each occurrence."""
     words = split(column, lower=True)
-    sizes = words.ends - words.starts
-    parts = -(-sizes // LONGEST)
-    if len(parts) and parts.max() > 1:
-        number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        low = np.repeat(words.starts, parts) + number * LONGEST
-        high = np.minimum(low + LONGEST, np.repeat(words.ends, parts))
-        hashes = span_hashes(words.data, low, high, lower=True) + (number > 0).astype(np.uint64)
-        first = np.concatenate([[0], np.cumsum(parts)])[words.first]
-        heads = number == 0
-    else:
-        low, high, hashes, first, heads = words.starts, words.ends, words.hashes, words.first, np.ones(len(sizes), bool)
-    _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    low, high, heads = low[at], high[at], heads[at]
-    place = low[:, None] + np.arange(LONGEST)
-    inside = place < high[:, None]
-    units = np.zeros((len(at), LONGEST + 1), np.uint8)
-    if len(at):
-        units[:, 1:] = np.where(inside, words.data[np.minimum(place, len(words.data) - 1)], 0)
-        capital = (units >= 0x41) & (units <= 0x5A)
-        units[capital] += 32
-    units[:, 0] = np.where(heads, 0x20, 0)
-    # A later part of a long word has no space in front: it is shifted to the left.
-    tail = np.flatnonzero(~heads)
-    units[tail, :-1] = units[tail, 1:]
-    units[tail, -1] = 0
-    lengths = (high - low + heads).astype(np.int64)
-    return (units, lengths), inverse, first
+    _, at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+    return words, words.starts[at], words.ends[at], inverse
 
 
-def _matches(units: np.ndarray, lengths: np.ndarray, vocabulary: Pieces) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Every piece found in the units: ``(end, length, unit numbers, piece numbers)`` by end."""
+def word_bytes(data: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray | int, width: int) -> np.ndarray:
+    """Bytes ``begin`` to ``begin + width - 1`` of each word behind its space; zeros beyond its end."""
+    place = np.broadcast_to(np.asarray(begin).reshape(-1, 1) + np.arange(width), (len(low), width))
+    source = low[:, None] + place - 1
+    out = np.where(source < high[:, None], data[np.clip(source, 0, max(len(data) - 1, 0))], 0).astype(np.uint8)
+    out[(out >= 0x41) & (out <= 0x5A)] += 32
+    out[place == 0] = 0x20
+    return out
+
+
+def matches(units: np.ndarray, lengths: np.ndarray, vocabulary: Pieces, after: int = 0) -> tuple[np.ndarray, ...]:
+    """Every piece that ends in a unit (a row of bytes) behind byte ``after``: ends, sizes, units, pieces."""
     n, width = units.shape
-    padded = np.zeros((n, width + 8), np.uint8)
+    padded = np.zeros((n, width + _SHORT), np.uint8)
     padded[:, :width] = units
-    out = []
-    longest = int(lengths.max(initial=0))
-    full = []
-    for start in range(longest):
-        full.append(np.ascontiguousarray(padded[:, start : start + 8]).view(np.uint64).reshape(-1))
-    for end in range(1, longest + 1):
-        live = np.flatnonzero(lengths >= end)
-        for size in range(1, min(PIECE_BYTES, end) + 1):
-            keys = full[end - size][live]
-            if size < 8:
-                keys = keys & np.uint64((1 << (8 * size)) - 1)
-            number = vocabulary.find(keys, size)
-            hit = number >= 0
-            if hit.any():
-                out.append((end, size, live[hit], number[hit]))
-    return out
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, _SHORT, axis=1)[:, :width]).view(np.uint64)[..., 0]
+    unit, start = np.nonzero(np.arange(width) < lengths[:, None])
+    keys, left = eight[unit, start], lengths[unit] - start
+    parts = []
+
+    def add(at: np.ndarray, size: int, number: np.ndarray) -> None:
+        hit = (number >= 0) & (start[at] + size > after)
+        at = at[hit]
+        parts.append((start[at] + size, np.full(len(at), size), unit[at], number[hit]))
+
+    for size in range(1, _SHORT + 1):
+        at = np.flatnonzero((left >= size) & (start + size > after))
+        add(at, size, vocabulary.find(keys[at] & np.uint64((1 << (8 * size)) - 1), size))
+    at = np.flatnonzero(left > _SHORT)
+    node = vocabulary.enter(keys[at])
+    for size in range(_SHORT + 1, vocabulary.reach + 1):
+        onward = (node >= 0) & (left[at] >= size)
+        at, node = at[onward], node[onward]
+        if not len(at):
+            break
+        node = vocabulary.step(node, units[unit[at], start[at] + size - 1])
+        add(at, size, np.where(node >= 0, vocabulary.piece_at[node], -1))
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _matches(units: np.ndarray, lengths: np.ndarray, vocabulary: Pieces) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same by end and size: ``(end, size, unit numbers, piece numbers)``, each unit at most once in a row."""
+    end, size, unit, piece = matches(units, lengths, vocabulary)
+    both = end * (vocabulary.reach + 1) + size
+    order = np.argsort(both, kind="stable")
+    both, unit, piece = both[order], unit[order], piece[order]
+    cuts = np.flatnonzero(np.diff(both, prepend=-1, append=-1)) if len(both) else np.zeros(1, int)
+    return [(*divmod(int(both[a]), vocabulary.reach + 1), unit[a:b], piece[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _scaled(log_p: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, float]:
+    """Probabilities times a factor per byte, which keeps sums over ``LONGEST`` bytes in the range of doubles,
+    and the factor's logarithm."""
+    factor = min(-float(log_p.min(initial=0)) / 2, float(np.log(_MOST_SCALE)))
+    return np.exp(log_p + vocabulary.sizes[:, None] * factor), factor
 
 
 def forward(matches, n: int, longest: int, probabilities: np.ndarray) -> np.ndarray:
@@ -158,9 +204,9 @@ def forward(matches, n: int, longest: int, probabilities: np.ndarray) -> np.ndar
 
 
 def log_likelihoods(units: np.ndarray, lengths: np.ndarray, log_p: np.ndarray, vocabulary: Pieces) -> np.ndarray:
-    """Natural log probability of each unit under each language."""
+    """Natural log probability of each unit of at most ``LONGEST`` bytes under each language."""
     out = np.zeros((len(units), log_p.shape[1]))
-    probabilities = np.exp(log_p)
+    probabilities, factor = _scaled(log_p, vocabulary)
     order = np.argsort(lengths, kind="stable")
     # Units of like length go together, so that short ones don't wait for long ones.
     block = max(64, 65_536 // max(1, log_p.shape[1]))
@@ -169,36 +215,98 @@ def log_likelihoods(units: np.ndarray, lengths: np.ndarray, log_p: np.ndarray, v
         longest = int(lengths[some].max())
         found = _matches(units[some][:, :longest], lengths[some], vocabulary)
         alpha = forward(found, len(some), longest, probabilities)
-        out[some] = np.log(np.maximum(alpha[lengths[some], np.arange(len(some))], 1e-300))
+        out[some] = np.log(alpha[lengths[some], np.arange(len(some))]) - lengths[some][:, None] * factor
+    return out
+
+
+def long_log_likelihoods(data: np.ndarray, low: np.ndarray, high: np.ndarray, log_p: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """The same for words of any length, given as byte spans.
+
+    The forward pass works in logarithms and a stretch of bytes at a time; only the sums that a
+    piece can still start from are kept, so memory does not grow with a word's length.
+    """
+    out = np.zeros((len(low), log_p.shape[1]))
+    order = np.argsort(high - low, kind="stable")
+    for first in range(0, len(order), _LONG_WORDS):
+        some = order[first : first + _LONG_WORDS]
+        out[some] = _long_forward(data, low[some], high[some], log_p, vocabulary)
+    return out
+
+
+def _long_forward(data: np.ndarray, low: np.ndarray, high: np.ndarray, log_p: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    lengths = high - low + 1
+    around = vocabulary.reach + 1
+    sums = np.zeros((around, len(low), log_p.shape[1]))  # by end modulo ``around``
+    out = np.zeros((len(low), log_p.shape[1]))
+    for done in range(0, int(lengths.max()), _STRETCH):
+        live = np.flatnonzero(lengths > done)
+        base = max(0, done - vocabulary.reach)
+        stop = min(done + _STRETCH, int(lengths.max()))
+        units = word_bytes(data, low[live], high[live], base, stop - base)
+        end, size, unit, piece = matches(units, np.minimum(lengths[live] - base, stop - base), vocabulary, done - base)
+        order = np.lexsort((unit, end))
+        end, size, word, piece = end[order] + base, size[order], live[unit[order]], piece[order]
+        heads = np.flatnonzero((np.diff(end, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        groups = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(end)))
+        cuts = np.searchsorted(end, np.arange(done + 1, stop + 2))
+        for now in range(done + 1, stop + 1):
+            a, b = cuts[now - done - 1], cuts[now - done]
+            group = groups[a:b] - groups[a]
+            head = heads[groups[a] : groups[b - 1] + 1]
+            terms = sums[(now - size[a:b]) % around, word[a:b]] + log_p[piece[a:b]]
+            top = np.maximum.reduceat(terms, head - a, axis=0)
+            here = word[head]
+            sums[now % around, here] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), head - a, axis=0))
+            last = here[lengths[here] == now]
+            out[last] = sums[now % around, last]
     return out
 
 
+def word_log_likelihoods(column: pa.Array, log_p: np.ndarray, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probability of each word under each language, and the row offsets into the words."""
+    words, low, high, inverse = distinct_words(column)
+    out = np.zeros((len(low), log_p.shape[1]))
+    lengths = high - low + 1
+    short, long = np.flatnonzero(lengths <= LONGEST), np.flatnonzero(lengths > LONGEST)
+    out[short] = log_likelihoods(word_bytes(words.data, low[short], high[short], 0, LONGEST), lengths[short], log_p, vocabulary)
+    out[long] = long_log_likelihoods(words.data, low[long], high[long], log_p, vocabulary)
+    return out[inverse], words.first
+
+
 def fit_language(column: pa.Array, vocabulary: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Log probability per piece after ``rounds`` of expectation maximisation on the texts."""
     matched, weights = [], []
-    for low, high in row_chunks(column):
-        (units, lengths), inverse, _ = word_units(column.slice(low, high - low))
-        counts = np.bincount(inverse, minlength=len(units)).astype(float)
+    for first, last in row_chunks(column):
+        words, low, high, inverse = distinct_words(column.slice(first, last - first))
+        times = np.bincount(inverse, minlength=len(low)).astype(float)
+        parts = -(-(high - low + 1) // LONGEST)
+        number = np.repeat(np.arange(len(low)), parts)
+        begin = (np.arange(len(number)) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+        lengths = np.minimum((high - low + 1)[number] - begin, LONGEST)
         order = np.argsort(lengths, kind="stable")
         for at in range(0, len(order), 16_384):
             some = order[at : at + 16_384]
-            longest = int(lengths[some].max())
-            matched.append((_matches(units[some][:, :longest], lengths[some], vocabulary), lengths[some], longest))
-            weights.append(counts[some])
-    p = np.full((vocabulary.count, 1), 1 / vocabulary.count)
+            longest, which = int(lengths[some].max()), number[some]
+            units = word_bytes(words.data, low[which], high[which], begin[some], longest)
+            matched.append((_matches(units, lengths[some], vocabulary), lengths[some], longest))
+            weights.append(times[which])
+    log_p = np.full((vocabulary.count, 1), -np.log(vocabulary.count))
     for _ in range(rounds):
+        p, _ = _scaled(log_p, vocabulary)
         expected = np.zeros(vocabulary.count)
         for (found, lengths, longest), count in zip(matched, weights, strict=True):
             alpha = forward(found, len(lengths), longest, p)[:, :, 0]
-            total = np.maximum(alpha[lengths, np.arange(len(lengths))], 1e-300)
             beta = np.zeros((longest + 1, len(lengths)))
-            beta[lengths, np.arange(len(lengths))] = count / total
+            every = np.arange(len(lengths))
+            beta[lengths, every] = 1
+            total = count / alpha[lengths, every]
             for end, size, unit, piece in reversed(found):
                 onward = beta[end, unit] * p[piece, 0]
-                expected += np.bincount(piece, weights=alpha[end - size, unit] * onward, minlength=vocabulary.count)
+                share = alpha[end - size, unit] * onward * total[unit]
+                expected += np.bincount(piece, weights=share, minlength=vocabulary.count)
                 beta[end - size, unit] += onward
-        p = ((expected + SMOOTHING) / (expected.sum() + SMOOTHING * vocabulary.count))[:, None]
-    return np.log(p[:, 0])
+        log_p = np.log((expected + SMOOTHING) / (expected.sum() + SMOOTHING * vocabulary.count))[:, None]
+    return log_p[:, 0]
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
@@ -212,7 +320,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: str = VOCABULARY)
     # Only ids whose hash is low enough for about three times ``rows`` are ranked at all.
     sizes = ids.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(1 << 40)
-    low = ids.join(sizes, "lang").filter(place < F.lit(3.0 * rows) / F.col("_n"))
+    # One small row per language, of which there must be few: the model holds a column for each.
+    low = ids.join(F.broadcast(sizes), "lang").filter(place < F.lit(3.0 * rows) / F.col("_n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     sample = F.broadcast(  # at most ``rows`` ids per language
         low.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("doc_id").distinct()
@@ -234,7 +343,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: str = VOCABULARY)
 def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the predicted language's share of the likelihood.
 
-    A NULL text and one without a letter get ``und`` and 0, as do all if no language was learned.
+    A NULL text and one without a letter get ``und`` and 0, as do all if no language was learned; of
+    equally likely languages the first by name is predicted.  Rows that repeat each other get the
+    same, an empty table stays empty, and columns of ``docs`` that bear the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast((languages, log_p))  # vocabulary x languages
     kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score", "__letter")])
@@ -248,8 +359,7 @@ def predict(docs: DataFrame, languages: list[str], log_p: np.ndarray, vocabulary
             # Memory follows words x languages, so many languages mean shorter chunks.
             most = CHUNK_BYTES * 4 // max(4, len(names))
             for low, high in row_chunks(texts, most) if names else ():
-                (units, lengths), inverse, first = word_units(texts.slice(low, high - low))
-                per_word = log_likelihoods(units, lengths, weights, tool)[inverse]
+                per_word, first = word_log_likelihoods(texts.slice(low, high - low), weights, tool)
                 sums = np.concatenate([np.zeros((1, len(names))), np.cumsum(per_word, axis=0)])
                 total = sums[first[1:]] - sums[first[:-1]]
                 total -= total.max(axis=1, keepdims=True)

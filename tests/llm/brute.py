@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -110,3 +111,22 @@ def overlaps(docs, items, stretch=13, share=0.7):
                     found.add((d, i))
                     break
     return found
+
+
+@cache
+def _piece_numbers():
+    from binweave.llm import language
+
+    return {s: k for k, s in enumerate(language.pieces().strings)}
+
+
+def segmentations(word, log_p):
+    """Log of the sum over all ways to cut a word, behind a space, into pieces of the vocabulary."""
+    number = _piece_numbers()
+    data = b" " + word.encode().lower()
+    sums = [0.0]
+    for end in range(1, len(data) + 1):
+        terms = [sums[start] + log_p[number[data[start:end]]] for start in range(max(0, end - 64), end) if data[start:end] in number]
+        top = max(terms)
+        sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return sums[-1]

@@ -134,27 +134,39 @@ def test_quality_learns_a_sign():
 
 def test_forward_sums_all_segmentations():
     vocabulary = language.pieces()
-    number = {s: k for k, s in enumerate(vocabulary.strings)}
     rng = np.random.default_rng(3)
-    log_p = np.log(rng.dirichlet(np.ones(vocabulary.count)))[:, None]
+    log_p = np.log(rng.dirichlet(np.ones(vocabulary.count), 2)).T
+    # Words below and above the dense table's width, a long one of several stretches, pieces of up to 33 bytes.
+    long_piece = max(vocabulary.strings, key=len).decode().strip()
+    texts = ["the theory of", "être là", "internationalization " + "Verantwortlichkeit" * 2, None, "",
+             "é" * 20 + " " + "é" * 21, long_piece, "x" + "misunderstanding" * 60 + long_piece * 12, "😀" * 9, "z" * 40 + " " + "z" * 41]
+    found, first = language.word_log_likelihoods(pa.array(texts, pa.string()), log_p, vocabulary)
+    for row, text in enumerate(texts):
+        words = (text or "").split()
+        assert first[row + 1] - first[row] == len(words)
+        for at, word in enumerate(words):
+            for lang in range(2):
+                assert np.isclose(found[first[row] + at, lang], brute.segmentations(word, log_p[:, lang]), rtol=1e-9)
 
-    def brute_sum(text):
-        if not text:
-            return 1.0
-        return sum(math.exp(log_p[number[text[:k]], 0]) * brute_sum(text[k:]) for k in range(1, min(len(text), language.PIECE_BYTES) + 1) if text[:k] in number)
 
-    column = pa.array(["the theory of", "être là"])
-    (units, lengths), inverse, first = language.word_units(column)
-    found = language.log_likelihoods(units, lengths, log_p, vocabulary)
-    for row, text in enumerate(column.to_pylist()):
-        wanted = [math.log(brute_sum(b" " + w.encode())) for w in text.split()]
-        assert np.allclose(found[inverse[first[row] : first[row + 1]], 0], wanted)
+def test_every_piece_of_the_vocabulary_is_found():
+    vocabulary = language.pieces()
+    assert vocabulary.reach > 30
+    width = vocabulary.reach
+    units = np.zeros((vocabulary.count, width), np.uint8)
+    for row, piece in enumerate(vocabulary.strings):
+        units[row, : len(piece)] = list(piece)
+    end, size, unit, piece = language.matches(units, vocabulary.sizes, vocabulary)
+    whole = size == vocabulary.sizes[unit]
+    assert np.array_equal(np.sort(unit[whole]), np.arange(vocabulary.count)) and np.array_equal(unit[whole], piece[whole])
 
 
-def test_long_words_are_scored_in_parts():
-    (units, lengths), inverse, first = language.word_units(pa.array(["ab " + "y" * 100, None, "ab"]))
-    assert list(np.diff(first)) == [1 + math.ceil(100 / language.LONGEST), 0, 1]
-    assert lengths[inverse].sum() == 3 + 101 + 3
+def test_no_language_ties_by_underflow():
+    vocabulary = language.pieces()
+    log_p = np.full((vocabulary.count, 2), -25.0)
+    log_p[:, 1] = -25.5
+    found, _ = language.word_log_likelihoods(pa.array(["\x7f" * 40, "\x7f" * 5000]), log_p, vocabulary)
+    assert np.isfinite(found).all() and (found[:, 0] > found[:, 1]).all()
 
 
 # --- language model -------------------------------------------------------------

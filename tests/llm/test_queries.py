@@ -1,6 +1,7 @@
 """The registered queries on hard cases, on empty tables and against their SQL."""
 
 import os
+import re
 import zlib
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from binweave.llm import catalog
+from binweave.llm import catalog, language
 
 from . import brute
 
@@ -48,6 +49,31 @@ def test_language(spark, hard_dir, hard_rows):
             assert (lang == "und") == (not any(ch.isalpha() for ch in texts[i] or ""))
 
 
+def test_language_against_all_segmentations(spark, hard_dir, hard_rows):
+    """The query on whole texts, by the learned probabilities and a plain sum over segmentations."""
+    names, log_p = language.train(spark.read.parquet(f"{hard_dir}/documents.parquet"))
+    assert len(names) > 1
+    likely = {}
+
+    def of(text):
+        if not any(ch.isalpha() for ch in text or ""):
+            return "und", 0.0
+        sums = np.zeros(len(names))
+        for word in re.findall("[^\x20\x09-\x0d]+", text):
+            word = "".join(ch.lower() if ch.isascii() else ch for ch in word)
+            if word not in likely:
+                likely[word] = np.array([brute.segmentations(word, log_p[:, k]) for k in range(len(names))])
+            sums += likely[word]
+        return names[int(sums.argmax())], 1 / np.exp(sums - sums.max()).sum()
+
+    def rounded(i, lang, score):
+        return key((i, round(score, 6), lang))
+
+    wanted = sorted(rounded(r[0], *of(r[1])) for r in hard_rows)
+    rows = QUERIES["op1_language"](spark, hard_dir).collect()
+    assert sorted(rounded(r.doc_id, r.lang_pred, r.score) for r in rows) == wanted
+
+
 def test_sharding(spark, hard_dir, pairs):
     rows = QUERIES["op2_sharding"](spark, hard_dir).collect()
     size = lambda t: len((t or "").encode()) + 16
