@@ -12,9 +12,11 @@ into one task:
    segments alone are linked again on blocks shifted by half a block, which
    finishes the small rings that only happened to lie on a border.
 3. What is still open belongs to rings as large as a block.  Their paths are
-   joined end to start.  Each round doubles how far a path sees, so a ring of n
-   paths takes about log2(n) rounds of equi-joins on unique vertices.  Every
-   round is written to the shared folder.
+   joined end to start.  In each round an independent set of paths, about a
+   quarter, is swallowed by the paths before them and leaves, so rounds shrink
+   and all rounds together write about four times the paths, to the shared
+   folder.  Once they fit in one task's chunk, the rest are linked there; then
+   those that left are placed, last round first, each by the path before it.
 
 A ring is named by its least vertex (ring_x, ring_y) and starts there, which
 makes the result independent of partitioning.  Rings are open: the first vertex
@@ -28,7 +30,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,16 +233,106 @@ def _path_table(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _join_paths(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Part 3: for each open path its ring and its distance along the ring.
+_PLACED = ("best", "to_best", "to_best_kept", "ring_n", "ring_kept")
 
-    Each path knows the least vertex among the paths it sees ahead, how far
-    away that one's path is, and where its view ends.
+
+def _finish(keys: Sequence[str]):
+    """Arrow batch function: place all paths of the given rings, of which one task holds every path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        n = table.num_rows
+        column = {c: table[c].to_numpy() for c in ("head_x", "head_y", "next_x", "next_y", "to_best", "to_best_kept", "span", "span_kept")}
+        start, end = _codes((column["head_x"], column["head_y"]), (column["next_x"], column["next_y"]), group=_groups(table, keys))
+        by_start = np.argsort(start, kind="stable")
+        ahead = by_start[np.searchsorted(start[by_start], end)]
+        parts = [c.to_numpy() for c in table["best"].combine_chunks().flatten()]
+        by_best = np.lexsort(parts[::-1])
+        best = np.empty(n, np.int64)
+        best[by_best] = np.arange(n)  # two rings may have equal least vertices in different groups
+        far, far_kept, span, span_kept = (column[c].copy() for c in ("to_best", "to_best_kept", "span", "span_kept"))
+        while True:
+            better = best[ahead] < best
+            if not better.any():
+                break
+            far = np.where(better, span + far[ahead], far)
+            far_kept = np.where(better, span_kept + far_kept[ahead], far_kept)
+            best = np.minimum(best, best[ahead])
+            span, span_kept, ahead = span + span[ahead], span_kept + span_kept[ahead], ahead[ahead]
+        totals = np.zeros((2, n), np.int64)
+        np.add.at(totals[0], best, column["span"])
+        np.add.at(totals[1], best, column["span_kept"])
+        out = table.select([*keys, "head_x", "head_y"]).append_column("best", table["best"].take(pa.array(by_best[best])))
+        for name, values in zip(_PLACED[1:], (far, far_kept, totals[0][best], totals[1][best]), strict=True):
+            out = out.append_column(name, pa.array(values))
+        yield from out.to_batches(max_chunksize=50_000)
+
+    return run
+
+
+def _contract(alive: DataFrame, keys: Sequence[str], turn: int) -> DataFrame:
+    """One round: the paths that stay, each with the one it swallowed, if any (``gone_x, gone_y``).
+
+    A path leaves if its coin shows 1 and that of the path behind it 0, so of two neighbours at
+    most one leaves, and both know it from their own row.
     """
-    view = paths.select(
+
+    def coin(end: str) -> Column:
+        return F.xxhash64(*keys, f"{end}_x", f"{end}_y", F.lit(turn)).bitwiseAND(1) == 1
+
+    leaves = coin("head") & ~coin("next")
+    measures = ("best", "to_best", "to_best_kept", "span", "span_kept")
+    gone = alive.filter(leaves).select(
+        *keys,
+        F.col("head_x").alias("next_x"),
+        F.col("head_y").alias("next_y"),
+        *[F.col(c).alias(f"on_{c}") for c in ("next_x", "next_y", *measures)],
+    )
+    stays = alive.filter(~leaves)
+    met = join_null_safe(stays.filter(coin("next")), gone, [*keys, "next_x", "next_y"], "left")
+    left = F.col("on_span").isNotNull()
+    better = left & (F.col("on_best") < F.col("best"))
+    none = F.lit(None).cast("long")
+    joined = met.select(
         *keys,
         "head_x",
         "head_y",
+        F.coalesce("on_next_x", "next_x").alias("next_x"),
+        F.coalesce("on_next_y", "next_y").alias("next_y"),
+        F.least("best", "on_best").alias("best"),
+        F.when(better, F.col("span") + F.col("on_to_best")).otherwise(F.col("to_best")).alias("to_best"),
+        F.when(better, F.col("span_kept") + F.col("on_to_best_kept"))
+        .otherwise(F.col("to_best_kept"))
+        .alias("to_best_kept"),
+        (F.col("span") + F.coalesce("on_span", F.lit(0))).alias("span"),
+        (F.col("span_kept") + F.coalesce("on_span_kept", F.lit(0))).alias("span_kept"),
+        F.when(left, F.col("next_x")).alias("gone_x"),
+        F.when(left, F.col("next_y")).alias("gone_y"),
+        F.when(left, F.col("span")).alias("offset"),
+        F.when(left, F.col("span_kept")).alias("offset_kept"),
+    )
+    alone = stays.filter(~coin("next")).select(
+        *keys, "head_x", "head_y", "next_x", "next_y", *measures,
+        *[none.alias(c) for c in ("gone_x", "gone_y", "offset", "offset_kept")],
+    )
+    return cut(joined.unionByName(alone), "paths")
+
+
+def _join_paths(paths: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Part 3: for each open path its ring, its distance along the ring and the ring's length.
+
+    Each path knows the least vertex among the paths it has swallowed, how far
+    away that one's path is, and where it ends.  A path that ends at its own
+    head is a whole ring.
+    """
+    ends = ["head_x", "head_y"]
+    measures = ("best", "to_best", "to_best_kept", "span", "span_kept")
+    alive = paths.select(
+        *keys,
+        *ends,
         "next_x",
         "next_y",
         F.col("least").alias("best"),
@@ -248,54 +340,40 @@ def _join_paths(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(0).cast("long").alias("to_best_kept"),
         F.col("n").alias("span"),
         F.col("kept").alias("span_kept"),
-        F.lit(False).alias("moved"),
     )
-    view = cut(view, "paths")
-    while True:
-        onward = view.select(
+    whole = F.expr("head_x = next_x AND head_y = next_y")
+    placed_form = [*keys, *ends, "best", "to_best", "to_best_kept", F.col("span").alias("ring_n"), F.col("span_kept").alias("ring_kept")]
+    known = alive.filter(whole).select(*placed_form)
+    alive = alive.filter(~whole)
+    rounds = []
+    while alive.count() > chunk_rows:
+        step = _contract(alive, keys, len(rounds))
+        rounds.append(step.filter("gone_x IS NOT NULL").select(*keys, *ends, "gone_x", "gone_y", "offset", "offset_kept"))
+        view = step.select(*keys, *ends, "next_x", "next_y", *measures)
+        known = known.unionByName(view.filter(whole).select(*placed_form))
+        alive = view.filter(~whole)
+    rest = alive.repartition(1).sortWithinPartitions(*keys).mapInArrow(_finish(keys), known.schema)
+    known = cut(known.unionByName(rest), "placed")
+    for swallowed in reversed(rounds):
+        placed = join_null_safe(swallowed, known, [*keys, *ends]).select(
             *keys,
-            F.col("head_x").alias("next_x"),
-            F.col("head_y").alias("next_y"),
-            *[
-                F.col(c).alias(f"on_{c}")
-                for c in ("next_x", "next_y", "best", "to_best", "to_best_kept", "span", "span_kept")
-            ],
+            F.col("gone_x").alias("head_x"),
+            F.col("gone_y").alias("head_y"),
+            "best",
+            F.pmod(F.col("to_best") - F.col("offset"), F.col("ring_n")).alias("to_best"),
+            F.pmod(F.col("to_best_kept") - F.col("offset_kept"), F.col("ring_kept")).alias("to_best_kept"),
+            "ring_n",
+            "ring_kept",
         )
-        better = F.col("on_best") < F.col("best")
-        view = cut(
-            join_null_safe(view, onward, [*keys, "next_x", "next_y"]).select(
-                *keys,
-                "head_x",
-                "head_y",
-                F.col("on_next_x").alias("next_x"),
-                F.col("on_next_y").alias("next_y"),
-                F.least("best", "on_best").alias("best"),
-                F.when(better, F.col("span") + F.col("on_to_best")).otherwise(F.col("to_best")).alias("to_best"),
-                F.when(better, F.col("span_kept") + F.col("on_to_best_kept"))
-                .otherwise(F.col("to_best_kept"))
-                .alias("to_best_kept"),
-                (F.col("span") + F.col("on_span")).alias("span"),
-                (F.col("span_kept") + F.col("on_span_kept")).alias("span_kept"),
-                better.alias("moved"),
-            ),
-            "paths",
-        )
-        if view.filter("moved").isEmpty():
-            break
-    return view.select(*keys, "head_x", "head_y", "best", "to_best", "to_best_kept")
+        known = known.unionByName(cut(placed, "placed"))
+    return known
 
 
-def _number_open(open_rows: DataFrame, paths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    seen = _join_paths(paths, keys)
+def _number_open(open_rows: DataFrame, paths: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
     ends = [*keys, "head_x", "head_y"]
-    placed = join_null_safe(paths.select(*ends, "n", "kept", "head_kept"), seen, ends)
-    totals = placed.groupBy(*keys, "best").agg(
-        F.sum("n").alias("ring_n"), F.sum("kept").alias("ring_kept")
-    )
-    placed = join_null_safe(placed, totals, [*keys, "best"]).select(
-        *keys,
-        "head_x",
-        "head_y",
+    seen = _join_paths(paths, keys, chunk_rows)
+    placed = join_null_safe(paths.select(*ends, "head_kept"), seen, ends).select(
+        *ends,
         "head_kept",
         "best",
         "ring_n",
@@ -361,7 +439,7 @@ def trace(
         open_rows = traced.filter("not closed")
         if not open_rows.isEmpty():
             paths = cut(_path_table(open_rows, keys), "heads")
-            rows = rows.unionByName(_number_open(open_rows, paths, keys))
+            rows = rows.unionByName(_number_open(open_rows, paths, keys, chunk_rows))
     half = {"least_x": "ring_x", "least_y": "ring_y", "x1": "x", "y1": "y", "x2": "next_x", "y2": "next_y"}
     return rows.select(
         *keys,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binweave.operators.boundary import group_areas, segments, simplified_vertices
-from binweave.operators.rings import _local_paths, close_rings, outlines, ring_roles, rings, trace
+from binweave.operators.rings import _contract, _join_paths, _local_paths, close_rings, outlines, ring_roles, rings, trace
 
 KEY = ["m"]
 
@@ -252,3 +252,46 @@ def test_hot_group_is_linked_in_many_tasks(spark):
     assert len(shares) == 8 and max(shares) < sum(shares) / 3
     areas = ring_roles(rings(holed, KEY, block=16), KEY).agg(F.sum("area")).first()[0]
     assert areas == group_areas(segments(holed, KEY), KEY).first()["area"]
+
+
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_paths_are_ranked_by_contraction(spark, most):
+    """Rings of 1, 2, 3 and 300 paths in several groups, one of them without a key, against a walk."""
+    rng = random.Random(8)
+    rows, wanted = [], {}
+    for group, sizes in ((0, (1, 2, 3, 300)), (1, (300,)), (None, (5,))):
+        free = rng.sample(range(100_000), 400)
+        for size in sizes:
+            ring = [(free.pop(), rng.randint(0, 50)) for _ in range(size)]
+            n, kept = ([rng.randint(1, 9) for _ in ring] for _ in range(2))
+            best = min(range(size), key=lambda k: ring[k])
+            for k, (x, y) in enumerate(ring):
+                between = [(k + step) % size for step in range((best - k) % size)]
+                rows.append((group, x, y, n[k], kept[k], *ring[(k + 1) % size], (x, y, 0, 0)))
+                wanted[group, x, y] = (ring[best], sum(n[j] for j in between), sum(kept[j] for j in between), sum(n), sum(kept))
+    paths = spark.createDataFrame(
+        rows,
+        "m int, head_x bigint, head_y bigint, n bigint, kept bigint, next_x bigint, next_y bigint, "
+        "least struct<x: bigint, y: bigint, pos: bigint, kept_before: bigint>",
+    )
+    found = _join_paths(paths, KEY, most).collect()
+    assert len(found) == len(wanted)
+    for r in found:
+        assert wanted[r["m"], r["head_x"], r["head_y"]] == (
+            (r["best"]["x"], r["best"]["y"]), r["to_best"], r["to_best_kept"], r["ring_n"], r["ring_kept"])
+
+
+def test_rounds_of_contraction_shrink(spark):
+    n = 4_000
+    alive = spark.range(n).select(
+        F.lit(0).alias("m"), F.col("id").alias("head_x"), F.lit(0).cast("bigint").alias("head_y"),
+        ((F.col("id") + 1) % n).alias("next_x"), F.lit(0).cast("bigint").alias("next_y"),
+        F.struct("id").alias("best"), *[F.lit(k).cast("bigint").alias(c) for c, k in (("to_best", 0), ("to_best_kept", 0), ("span", 1), ("span_kept", 1))],
+    )
+    counts = [n]
+    for turn in range(4):
+        alive = _contract(alive, KEY, turn)
+        seen = alive.agg(F.count("*"), F.sum("span"), F.count_distinct("next_x")).first()
+        assert seen[1] == n and seen[2] == seen[0]
+        counts.append(seen[0])
+    assert all(0.65 * a < b < 0.85 * a for a, b in zip(counts, counts[1:]))
