@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from binweave.llm.registry import query, table
@@ -12,6 +12,10 @@ SHARDS = 40
 ROW_BYTES = 16  # what a row takes beside its text
 
 
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: str | None = None) -> DataFrame:
     """``rows`` with ``shard`` (0 to ``shards - 1``) and ``slot``, its place in the shard from 0.
 
@@ -25,12 +29,19 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
     interchangeable and spread over partitions by a random third key, so that one order value may
     hold any share of the rows; NULL order values come first.  A NULL size counts as 0, an
     empty table gives none.  If all sizes are 0, every row goes to shard 0.  A single row above
-    the target makes its shard that much larger.
+    the target makes its shard that much larger.  Columns named ``shard`` or ``slot`` are replaced;
+    all others pass through, whatever their names.
     """
     spark = rows.sparkSession
-    keys = [order, *([tie] if tie else []), "_any"]
-    columns = rows.columns
-    dealt = rows.withColumn("_any", F.rand(7)).withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("bigint"))
+    # The caller's columns travel in a struct by number, so that none can clash with those below.
+    names = {c: f"c{k}" for k, c in enumerate(rows.columns)}
+    by = list(dict.fromkeys([order, *([tie] if tie else [])]))
+    names |= {c: f"key{k}" for k, c in enumerate(by)}
+    keys = [*[f"_given.{names[c]}" for c in by], "_any"]
+    given = F.struct(*[_column(c).alias(n) for c, n in names.items()])
+    dealt = rows.select(
+        given.alias("_given"), F.rand(7).alias("_any"), F.coalesce(_column(size), F.lit(0)).cast("bigint").alias("_size")
+    )
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = dealt.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys])
     written = cut(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
@@ -57,7 +68,8 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
     sharded = placed.withColumn("_twice", twice).withColumn("shard", F.least(share, F.lit(shards - 1)).cast("int"))
     firsts = sharded.groupBy("shard").agg(F.min("_at").alias("_first"))  # at most ``shards`` rows
     return sharded.join(F.broadcast(firsts), "shard").select(
-        *columns, "shard", (F.col("_at") - F.col("_first")).cast("bigint").alias("slot")
+        *[F.col(f"_given.{n}").alias(c) for c, n in names.items() if c not in ("shard", "slot")],
+        "shard", (F.col("_at") - F.col("_first")).cast("bigint").alias("slot")
     )
 
 
