@@ -232,10 +232,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, removed: str = "remov
 
     ``removed`` holds (first word, number of words) in the numbering of the input's words, which
     are unchanged otherwise, as is the white space around them; it is empty where nothing was
-    cut.  A column of ``docs`` that bears its name is replaced.  A NULL text stays NULL, and a
-    document with a NULL id stays as it is.
+    cut.  A column of ``docs`` that bears its name is replaced, all others pass through, whatever
+    their names.  A NULL text stays NULL, and a document with a NULL id stays as it is.
     """
-    fields = [c for c in docs.columns if c != removed]
+    # Other columns go by number in between, so that none can clash with those made here.
+    names = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns) if c != removed}
+    docs = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items()])
+    clean = _without_repeats(docs, window)
+    return clean.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__removed").alias(removed))
+
+
+def _without_repeats(docs: DataFrame, window: int) -> DataFrame:
+    fields, removed = docs.columns, "__removed"
     found = repeats(docs, window).withColumnRenamed("keys", "__keys")
     marked = maybe(docs.select(*fields), found)
     kind = "array<struct<start: bigint, words: bigint>>"

@@ -399,6 +399,22 @@ def test_clashing_columns_pass_through_the_pipeline(spark, clashing, hard_dir, m
     assert corpus_pipeline.pack(spark, df, hard_dir).count() > 0
 
 
+def test_inner_names_may_clash_too(spark, hard):
+    """Columns that bear the names that operators use inside come back as they were."""
+    inner = ["_size", "_first", "_any", "_part", "_row", "shard", "slot", "order", "tie", "c0", "a.b"]
+    rows = spark.range(40).select(F.col("id").alias("k"), (F.col("id") % 7).alias("size"), *[F.lit(777).alias(c) for c in inner])
+    found = sharding.balanced_shards(rows, "k", "size", 4, "_size")
+    assert sorted(found.columns) == sorted(rows.columns)
+    assert found.filter(" OR ".join(f"`{c}` <> 777" for c in inner if c not in ("shard", "slot"))).isEmpty()
+    assert found.select("shard", "slot").distinct().count() == 40 and found.filter("shard > 3").isEmpty()
+    inner = ["__keys", "__maybe", "__slot", "__word", "__set", "__removed", "keys", "removed", "c1", "a.b"]
+    df = hard.select("doc_id", "text", *[F.lit("kept").alias(c) for c in inner])
+    found = substrings.without_repeats(df)
+    assert sorted(found.columns) == sorted(df.columns) and found.count() == df.count()
+    assert found.filter(" OR ".join(f"`{c}` <> 'kept'" for c in inner if c != "removed")).isEmpty()
+    assert not found.filter("size(removed) > 0").isEmpty()
+
+
 def test_clashing_columns_of_operators(clashing):
     assert language.predict(clashing, [], np.zeros((language.pieces().count, 0))).filter("lang_pred <> 'und' OR score <> 0").isEmpty()
     assert quality.with_quality(clashing, np.zeros(2**quality.BITS + 1, np.float32)).filter("score <> 0.5 OR predicted <> 1").isEmpty()
