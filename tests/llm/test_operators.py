@@ -169,6 +169,35 @@ def test_no_language_ties_by_underflow():
     assert np.isfinite(found).all() and (found[:, 0] > found[:, 1]).all()
 
 
+# --- inverted lists -------------------------------------------------------------
+
+
+@pytest.mark.parametrize("changed,pool", [(0, 9), (3, 10**6), (20, 40), (45, 60)])
+def test_divide_skip_by_brute_force(changed, pool):
+    """Sets from alike to unlike, some tiny; heap merge, skips and probes find what counting finds."""
+    rng = np.random.default_rng(changed)
+    base = np.arange(10**7, 10**7 + 50).astype(np.uint64)
+    grams = []
+    for k in range(120):
+        own = base[: rng.integers(1, 51)].copy() if k % 5 == 0 else base.copy()
+        own[rng.permutation(len(own))[:changed]] = rng.integers(0, pool, min(changed, len(own)))
+        grams.append(rng.permutation(np.unique(own)))
+    sizes = np.array([len(g) for g in grams])
+    index = jaccard.Index(grams, sizes)
+    sets = [set(g.tolist()) for g in grams]
+    for q in range(len(grams)):
+        open_ = rng.random(len(grams)) < (0.1 if q % 3 else 1)
+        open_[q] = False
+        found = index.search(grams[q], int(sizes[q]), open_)
+        wanted = [k for k in np.flatnonzero(open_) if 100 * len(sets[q] & sets[k]) >= 80 * len(sets[q] | sets[k])]
+        assert found.tolist() == wanted
+        for least in (1, 2, 7, 30):
+            low, high = np.searchsorted(index.values, grams[q], "left"), np.searchsorted(index.values, grams[q], "right")
+            nodes, counts = index.merge(low, high, open_, least)
+            both = {int(k): len(sets[q] & sets[k]) for k in np.flatnonzero(open_)}
+            assert dict(zip(nodes.tolist(), counts.tolist())) == {k: c for k, c in both.items() if c >= least}
+
+
 # --- language model -------------------------------------------------------------
 
 
