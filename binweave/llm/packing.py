@@ -7,8 +7,10 @@ fill a bin of capacity C.  A document longer than C gives full pieces first.  Of
 ids of j * floor(C / j); what remains is a piece of its own class.
 
 Every task fills its own bins, class by class, and keeps only the pieces of its unfinished bins
-apart; those are filled class by class across tasks.  What then remains is less than one bin per
-class, so at most C bins whatever the input, and is packed by first fit decreasing.
+apart; those are filled class by class across tasks.  A piece's number among the leftovers of its
+class is its place in its task plus the leftovers of earlier tasks, so leftovers are never ordered:
+only their counts per task are.  What then remains is less than one bin per class, so at most C bins
+whatever the input, and is packed by first fit decreasing.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 _PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "bin"]
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls long, bin long"
+# Of a piece in an unfinished bin: its task, and its place among that task's leftovers of the class.
+_LEFT = ["task", "place"]
+_WRITTEN = f"{_SCHEMA}, task long, place long"
 
 
 def cut_points(tokens: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[tuple[int, int, int]]:
@@ -55,13 +60,15 @@ def cut_points(tokens: int, capacity: int = CAPACITY, cuts: int = CUTS) -> list[
 def _pieces(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary, False)
-        base = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
+        base = task << 36
         open_bins: dict[int, list[tuple]] = {}
         done = 0
 
         def table_of(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_PIECE)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PIECE)
+            names = _PIECE + _LEFT
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("doc_id").to_pylist()
@@ -78,11 +85,11 @@ def _pieces(vocabulary: str, end_id: int, capacity: int):
                         held = open_bins.setdefault(cls, [])
                         held.append(piece)
                         if len(held) == cls:
-                            out += [(*p, base + done) for p in held]
+                            out += [(*p, base + done, None, None) for p in held]
                             done += 1
                             held.clear()
                 yield table_of(out)
-        yield table_of([(*p, None) for held in open_bins.values() for p in held])
+        yield table_of([(*p, None, task, place) for held in open_bins.values() for place, p in enumerate(held)])
 
     return run
 
@@ -110,22 +117,34 @@ def _last_bins(capacity: int):
     return run
 
 
+def _numbered(left: DataFrame) -> DataFrame:
+    """Leftovers with ``_rank``, from 0 without gaps within their class, and ``_n``, how many their class has.
+
+    What is ordered within a class is one row per task, with a count; a task leaves less than
+    ``cls`` pieces, so the join back has no hot key.
+    """
+    held = left.groupBy("cls", "task").agg(F.count("*").alias("_held"))
+    by_class = Window.partitionBy("cls")
+    earlier = by_class.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = held.select(
+        "cls", "task", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_shift"), F.sum("_held").over(by_class).alias("_n")
+    )
+    return left.join(shifts, ["cls", "task"]).withColumn("_rank", F.col("_shift") + F.col("place"))
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: ``sequence_id`` and ``offset`` in it.
 
+    Ids are whole numbers; columns other than ``doc_id`` and ``text`` are not looked at.
     A NULL or empty text is its end id alone; an empty table gives no piece; rows that share a
     doc_id are packed each for itself; a NULL doc_id stays NULL.  Sequence ids are unique, not
     dense.  The pieces are written once, so that a retried task cannot fill bins another way.
     """
     slim = docs.select("doc_id", "text")
-    written = cut(slim.mapInArrow(_pieces(vocabulary, end_id, capacity), _SCHEMA), "pieces")
-    full = written.filter("bin IS NOT NULL")
+    written = cut(slim.mapInArrow(_pieces(vocabulary, end_id, capacity), _WRITTEN), "pieces")
+    full = written.filter("bin IS NOT NULL").select(*_PIECE)
     # Second round: a class's unfinished bins of all tasks, less than cls pieces from each task.
-    rest = written.filter("bin IS NULL").drop("bin")
-    by_class = Window.partitionBy("cls")
-    ranked = rest.withColumn("_n", F.count("*").over(by_class)).withColumn(
-        "_rank", F.row_number().over(by_class.orderBy("doc_id", "start", "length", "ids_crc32")) - 1
-    )
+    ranked = _numbered(written.filter("bin IS NULL").drop("bin"))
     ranked = cut(ranked.withColumn("bin", F.floor(F.col("_rank") / F.col("cls")).cast("bigint")), "ranked")
     filled = (F.col("bin") + 1) * F.col("cls") <= F.col("_n")
     # Bin numbers of the rounds are kept apart by high bits: tasks, then classes, then the rest.

@@ -122,6 +122,30 @@ def test_padding_is_small(spark):
     assert row["ids"] / row["n"] / 2048 > 0.99
 
 
+def test_leftovers_fill_bins_across_tasks(spark):
+    """A third of all rows in one class, over many tasks: bins of the class are full but for one."""
+    df = spark.range(3_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("one two three")).otherwise(F.repeat(F.lit("word "), (F.col("id") % 700).cast("int"))).alias("text"),
+    )
+    pieces = packing.pack(df.repartition(37, "doc_id")).toPandas()
+    assert set(pieces.doc_id) == set(range(3_000))
+    loads = pieces.groupby("sequence_id").length.sum()
+    assert loads.max() <= 2048 and loads.sum() / len(loads) / 2048 > 0.98
+    for _, bin_ in pieces.sort_values("offset").groupby("sequence_id"):
+        assert (bin_.offset.to_numpy() == np.concatenate([[0], bin_.length.cumsum()[:-1]])).all()
+    cuts = pieces.sort_values(["doc_id", "start"]).groupby("doc_id")
+    assert (cuts.length.sum() == cuts.doc_tokens.first()).all()
+
+
+def test_leftovers_are_numbered_without_gaps(spark):
+    rng = random.Random(4)
+    rows = [(cls, task, place) for cls in (2, 3, 700) for task in range(40) for place in range(rng.randrange(cls))]
+    found = packing._numbered(spark.createDataFrame(rows, "cls long, task long, place long").repartition(7)).toPandas()
+    for cls, group in found.groupby("cls"):
+        assert sorted(group._rank) == list(range(len(group))) and (group._n == sum(r[0] == cls for r in rows)).all()
+
+
 # --- classifiers ----------------------------------------------------------------
 
 
