@@ -66,13 +66,21 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     return (both & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(both >> np.uint64(bits), np.arange(len(column) + 1))
 
 
+def places_of(column: pa.Array, bits: int = BITS) -> Iterator[np.ndarray]:
+    """The distinct feature places of each row, at most ``2**bits`` of them whatever the text's length."""
+    for low, high in row_chunks(column):
+        places, first = features(column.slice(low, high - low), bits)
+        yield from (places[a:b].astype("<i4") for a, b in zip(first[:-1], first[1:], strict=True))
+
+
 def fit(texts: Iterator[pa.Array], labels: Iterator[np.ndarray], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the last one is the constant) after FTRL-proximal passes over the rows."""
-    rows = []
-    for column, label in zip(texts, labels, strict=True):
-        for low, high in row_chunks(column):
-            places, first = features(column.slice(low, high - low), bits)
-            rows += [(places[first[i] : first[i + 1]].astype(np.int32), int(label[low + i])) for i in range(high - low)]
+    """Weights after FTRL-proximal passes over texts and their labels."""
+    rows = [row for column, label in zip(texts, labels, strict=True) for row in zip(places_of(column, bits), label, strict=True)]
+    return fit_places(rows, bits, epochs)
+
+
+def fit_places(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights (the last one is the constant) after FTRL-proximal passes over ``(places, label)``."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
@@ -118,27 +126,27 @@ def sample_of(labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFram
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, bits: int = BITS) -> np.ndarray:
     """Weights fitted on at most ``rows`` labelled documents, in one task.
 
-    Without a labelled document all weights are 0 and every score is 0.5.  Of documents that
-    repeat an id, the first by text is used.
+    That task is given the feature places of each document, at most 4 * 2**bits bytes a row, and
+    no texts, so neither very long texts nor a large table make it grow beyond that bound; places
+    are worked out where the documents are.  Without a labelled document all weights are 0 and
+    every score is 0.5.  Of documents that repeat an id, the first by text is used.
     """
     sample = F.broadcast(sample_of(labels, label, rows))  # bounded by ``rows``
     chosen = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("label").alias("label"))
 
-    def learn(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = pa.Table.from_batches(list(table), schema=schema).sort_by("doc_id")
-        texts = [batches["text"].combine_chunks()] if batches.num_rows else []
-        texts = texts[0].chunks if texts and isinstance(texts[0], pa.ChunkedArray) else texts
-        values, at = batches["label"].to_numpy(), 0
-        parts = []
-        for text in texts:
-            parts.append(values[at : at + len(text)])
-            at += len(text)
-        weights = fit(iter(texts), iter(parts), bits)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = pa.array([p.tobytes() for p in places_of(batch.column("text"), bits)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), places], names=["doc_id", "label", "places"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[0])
+        weights = fit_places([(np.frombuffer(places, "<i4"), label) for _, label, places in rows], bits)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())])
-    one = chosen.select(F.col("doc_id").cast("bigint"), "text", F.col("label").cast("int")).coalesce(1)
-    found = one.mapInArrow(learn, "weights binary").collect()  # one model of 4 * 2**bits bytes
+    slim = chosen.select(F.col("doc_id").cast("bigint"), F.col("label").cast("int"), "text")
+    placed = slim.mapInArrow(find, "doc_id long, label int, places binary").repartition(1)
+    found = placed.mapInArrow(learn, "weights binary").collect()  # one model of 4 * 2**bits bytes
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 

@@ -6,11 +6,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from binweave.llm import catalog, language
+from binweave.llm import catalog, language, quality
 
 from . import brute
 
@@ -138,6 +139,23 @@ def test_quality(spark, hard_dir, pairs):
     assert all(0 <= r[2] <= 1 and r[3] == (r[2] >= 0.5) and r[1] == brute.held(r[0], 3, 1) for r in rows)
 
 
+def test_quality_by_brute_force(spark, hard_dir, pairs):
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{hard_dir}/labels.parquet").collect()]
+    wanted = brute.quality(pairs, labels, lambda text: quality.features(pa.array([text], pa.string()))[0])
+    rows = QUERIES["op7_quality"](spark, hard_dir).collect()
+    assert len({round(w[1], 3) for w in wanted}) > 2
+    by_id = lambda rows: sorted(((i, s) for i, s in rows), key=lambda r: (key((r[0],)), r[1]))
+    found = by_id((r.doc_id, r.score) for r in rows)
+    assert [r[0] for r in found] == [w[0] for w in by_id(wanted)]
+    assert np.allclose([r[1] for r in found], [w[1] for w in by_id(wanted)], atol=1e-5)
+
+
+def test_quality_features_of_small_texts(pairs):
+    for text in {t for _, t in pairs if len(t or "") < 2_000}:
+        places, first = quality.features(pa.array([text], pa.string()))
+        assert first[1] == len(places) == len(brute.quality_features(text))
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES["op7_quality"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").toPandas()
