@@ -208,9 +208,24 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap an item; a NULL doc_id stays."""
-    found = overlaps(docs, items).select("doc_id").distinct()
+def _long_enough(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = split(batch.column("text"), lower=True, plain=True).counts
+            yield batch.filter(pa.array(counts >= least))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, least_tokens: int = TOLERANT) -> DataFrame:
+    """``docs`` without the documents that overlap an item; a NULL doc_id stays.
+
+    Items of fewer than ``least_tokens`` tokens remove nothing: an item of one common word would
+    take every document that holds the word.  ``overlaps`` reports them, and ``least_tokens=1``
+    lets them remove documents too.
+    """
+    whole = items.select(F.col("item_id").cast("bigint"), "text").mapInArrow(_long_enough(least_tokens), "item_id long, text string")
+    found = overlaps(docs, whole).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")
 
 

@@ -95,6 +95,13 @@ def test_blocks_round_trip(ids):
     assert (bitplanes.decode_block(len(ids), mask, planes) == ids).all()
 
 
+def test_short_items_remove_documents_only_if_asked(spark):
+    df = docs_of(spark, ["the cat sat", "a dog ran", "one two three four five six seven"])
+    items = spark.createDataFrame([(0, "the"), (1, None), (2, "ONE two three four five six")], "item_id long, text string")
+    left = lambda **k: sorted(r.doc_id for r in decontaminate.without_contaminated(df, items, **k).collect())
+    assert left() == [0, 1] and left(least_tokens=1) == [1]
+
+
 # --- packing --------------------------------------------------------------------
 
 
