@@ -14,6 +14,7 @@ from binweave.scratch import cut
 HOT_ROWS = 10_000_000  # rows of one key above which a join salts the key
 HOT_KEYS = 10_000  # bound of the list of salted keys, which is broadcast
 BROADCAST_ROWS = 100_000  # rows up to which a counted table is broadcast
+BROADCAST_BYTES = 64 << 20  # and bytes, by the length of texts and nested values
 NULL_PARTS = 1024  # parts over which rows with a missing key are spread
 BIN_BLOCK = 1024  # bins per block when a grid is built
 NUMBER_BLOCK = 65_536  # values per block when rows are numbered
@@ -70,22 +71,40 @@ def join_spread(
     return join(salted, repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and nested values by their length, all else as 8."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))))
+    return reduce(lambda a, b: a + b, sizes)
+
+
 def join_checked(
     big: DataFrame,
     unique: DataFrame,
     keys: Sequence[str],
     how: str = "left",
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join to a side that is usually small, after looking at its size.
 
-    The side is written first, so that counting it costs next to nothing.  Up to
-    ``broadcast_rows`` rows it is broadcast, beyond that joined by ``join_spread``.
+    The side is written first, so that measuring it costs next to nothing.  Up to
+    ``broadcast_rows`` rows of ``broadcast_bytes`` in all it is broadcast, beyond that joined by
+    ``join_spread``.  A missing key matches a missing one if ``null_safe``, else nothing.
     """
     written = cut(unique, "unique")
-    if written.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    rows, size = written.limit(broadcast_rows + 1).agg(F.count("*"), F.coalesce(F.sum(_row_bytes(written)), F.lit(0))).first()
+    if rows <= broadcast_rows and size <= broadcast_bytes:
+        if null_safe:
+            return join_null_safe(big, F.broadcast(written), keys, how)
         return big.join(F.broadcast(written), list(keys), how)
-    return join_spread(big, written, keys, how)
+    return join_spread(big, written, keys, how, null_safe=null_safe)
 
 
 def rows_for_keys(
@@ -140,7 +159,8 @@ def above_subset_max(df: DataFrame, column: str, subset: Column, by: Sequence[st
     """Rows above the greatest value ``column`` takes where ``subset`` holds, in all or by group."""
     if by:
         limits = df.filter(subset).groupBy(*by).agg(F.max(column).alias("_limit"))
-        return join_null_safe(df, limits, by).filter(F.col(column) > F.col("_limit")).drop("_limit")
+        # One row per group, so that all rows of a large group stay where they are.
+        return join_checked(df, limits, by, "inner", null_safe=True).filter(F.col(column) > F.col("_limit")).drop("_limit")
     limit = df.filter(subset).agg(F.max(column)).scalar()
     return df.filter(F.col(column) > limit)
 
@@ -148,7 +168,7 @@ def above_subset_max(df: DataFrame, column: str, subset: Column, by: Sequence[st
 def index_shift(pixels: DataFrame) -> DataFrame:
     """``i, j``: region2 and region1 counted from the least bin of their chromosome, from 1."""
     least = pixels.groupBy("chr").agg(F.least(F.min("region1"), F.min("region2")).alias("_least"))
-    return join_null_safe(pixels, least, ["chr"]).withColumns(
+    return join_checked(pixels, least, ["chr"], "inner", null_safe=True).withColumns(
         {"i": F.col("region2") - F.col("_least") + 1, "j": F.col("region1") - F.col("_least") + 1}
     ).drop("_least")
 

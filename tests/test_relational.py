@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binweave.operators.relational import (
+    above_subset_max,
     first_rows,
     grid,
     grid_counts,
@@ -62,6 +63,34 @@ def test_checked_join_broadcasts_small_sides_only(spark, skewed, how, limit):
     assert ("_salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == (limit == 2)
 
 
+@pytest.mark.parametrize("value", [lambda: F.repeat(F.lit("x"), 1000), lambda: F.array_repeat(F.lit(123456789), 100)])
+def test_checked_join_looks_at_bytes(spark, skewed, value):
+    unique = spark.range(1, 10).select(F.col("id").cast("int").alias("k"), value().alias("wide"))
+    for most, salted in ((2_000, True), (1 << 20, False)):
+        joined = join_checked(skewed, unique, ["k"], "left", broadcast_bytes=most)
+        assert ("_salt" in joined._jdf.queryExecution().optimizedPlan().toString()) == salted
+        assert joined.count() == skewed.count()
+
+
+@pytest.mark.parametrize("limit", [0, 1_000])
+def test_checked_join_of_missing_keys(spark, skewed, limit):
+    unique = skewed.groupBy("k").agg(F.max("v").alias("most"))
+    joined = join_checked(skewed, unique, ["k"], "inner", limit, null_safe=True)
+    assert joined.count() == skewed.count() and joined.filter("v > most").isEmpty()
+
+
+def test_limits_by_group_leave_the_rows_where_they_are(spark, skewed):
+    """The side with a row per group is broadcast, so the rows are not dealt by the group's key."""
+    above = above_subset_max(skewed, "v", F.col("v") % 2 == 0, ["k"])
+    shifted = index_shift(pixels(spark, [(12, 10), (11, 15)]))
+    for df in (above, shifted):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    most = {k: max([v for j, v in map(tuple, skewed.collect()) if j == k and v is not None and v % 2 == 0], default=None) for k in {r.k for r in skewed.collect()}}
+    wanted = [(k, v) for k, v in map(tuple, skewed.collect()) if v is not None and most[k] is not None and v > most[k]]
+    assert sorted(map(repr, map(tuple, above.collect()))) == sorted(map(repr, wanted))
+
+
 def test_hot_key_is_split(spark, skewed):
     """The hot key's rows reach the join under several salts."""
     unique = spark.createDataFrame([(1, "a")], "k int, name string")
