@@ -20,10 +20,12 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
     """``rows`` with ``shard`` (0 to ``shards - 1``) and ``slot``, its place in the shard from 0.
 
     Rows are dealt to partitions by ranges of ``order`` (then ``tie``) and written, so that a
-    lost executor cannot change a partition.  Each partition's total and count follow from an
-    aggregate; their prefix sums, over one small row per partition, shift the sums within the
-    partitions.  A row goes to the shard that its middle byte falls into, so shards are
-    contiguous and each cut is off its target by half a row at most.
+    lost executor cannot change a partition.  Their number is left to adaptive execution, which
+    merges neighbours by bytes: each is a file, and without Hadoop's native library every new file
+    starts processes that share the executor's memory for a moment.  Each partition's total and
+    count follow from an aggregate; their prefix sums, over one small row per partition, shift the
+    sums within the partitions.  A row goes to the shard that its middle byte falls into, so shards
+    are contiguous and each cut is off its target by half a row at most.
 
     Only slim rows should be passed: whatever is in ``rows`` is shuffled.  Equal rows are
     interchangeable and spread over partitions by a random third key, so that one order value may
@@ -32,7 +34,6 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
     the target makes its shard that much larger.  Columns named ``shard`` or ``slot`` are replaced;
     all others pass through, whatever their names.
     """
-    spark = rows.sparkSession
     # The caller's columns travel in a struct by number, so that none can clash with those below.
     names = {c: f"c{k}" for k, c in enumerate(rows.columns)}
     by = list(dict.fromkeys([order, *([tie] if tie else [])]))
@@ -42,8 +43,7 @@ def balanced_shards(rows: DataFrame, order: str, size: str, shards: int, tie: st
     dealt = rows.select(
         given.alias("_given"), F.rand(7).alias("_any"), F.coalesce(_column(size), F.lit(0)).cast("bigint").alias("_size")
     )
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dealt.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys])
+    ranged = dealt.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
     written = cut(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
 
     totals = written.groupBy("_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))

@@ -442,6 +442,31 @@ def test_shards_of_zero_and_huge_rows(spark):
     assert rows == sorted(rows, key=lambda r: (r["shard"], r["slot"]))
 
 
+@pytest.mark.parametrize("merged", [True, False])
+def test_shards_come_from_files_by_bytes(spark, monkeypatch, merged):
+    """Few rows are written to a few files; many partitions give the same shards and slots."""
+    written = []
+    monkeypatch.setattr(sharding, "cut", lambda df, name, of=sharding.cut: written.append(of(df, name)) or written[-1])
+    sizes = [(k * 7919) % 1_000 for k in range(3_000)]
+    rows = spark.range(3_000).select((F.col("id") * 7 % 3_000).alias("k")).withColumn("size", F.col("k") * 7919 % 1_000)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(merged).lower())
+    try:
+        found = sorted(tuple(r) for r in sharding.balanced_shards(rows, "k", "size", 4).select("k", "shard", "slot").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(written) == 1
+    files, parts = len(written[0].inputFiles()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert files < parts if merged else files == parts
+    wanted, counts, upto = [], Counter(), 0
+    for k, size in enumerate(sizes):
+        shard = min((2 * upto + size) * 4 // (2 * sum(sizes)), 3)
+        wanted.append((k, shard, counts[shard]))
+        counts[shard] += 1
+        upto += size
+    assert found == wanted
+
+
 # --- columns and the pipeline -----------------------------------------------------
 
 
