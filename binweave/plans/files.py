@@ -113,7 +113,9 @@ def chunk_index(spark: SparkSession, d: str) -> DataFrame:
     write_indexed_chunks(rows, ["chr", "clust"], path, 1_000)
     index = IndexedChunks(spark, path, rows.schema, ["chr", "clust"]).index
     ranges = F.sort_array(F.collect_list(F.struct("least", "greatest")))
-    pairs = F.transform(F.slice(ranges, 2, F.greatest(F.size(ranges) - 1, F.lit(0))), lambda r, i: F.get(ranges, i).greatest <= r.least)
+    # Each range beside the next one: looking ranges up by number would sort them anew for every file.
+    others = F.greatest(F.size(ranges) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(ranges, 1, others), F.slice(ranges, 2, others), lambda a, b: a.greatest <= b.least)
     first = F.element_at(ranges, 1).least
     return index.agg(F.sum("rows").alias("rows"), first.chr.alias("chr"), first.clust.alias("clust"), F.forall(pairs, lambda x: x).alias("in_order"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from binweave.sinks.chunks import ROWS_PER_FILE
 
+TASK_ROWS = 200_000  # rows a task writes, as so many files as they fill
 FORMATS = {"parquet": {}, "csv": {"header": True, "sep": "\t"}}
 ROWS, INDEX = "rows", "index"
 
@@ -28,12 +29,16 @@ def write_indexed_chunks(
     """Files of about ``rows_per_file`` rows in the order of ``selectors``, and their index.
 
     Rows are dealt by ranges of the selectors and then at random, so that a value with very many
-    rows fills several files and no task holds it whole.  ``fmt`` is parquet, or csv for
-    tab-separated text.
+    rows fills several files and no task holds it whole.  Small files are not a task each: there are
+    tasks for ``TASK_ROWS`` rows, or one per shuffle partition if that is more, and each cuts its
+    range into files.  ``fmt`` is parquet, or csv for tab-separated text.
     """
-    files = df.count() // rows_per_file + 1
-    ranged = df.repartitionByRange(files, *selectors, F.rand(7)).sortWithinPartitions(*selectors)
-    ranged.write.format(fmt).options(**FORMATS[fmt]).save(f"{path}/{ROWS}")
+    rows = df.count()
+    files = rows // rows_per_file + 1
+    tasks = min(files, max(rows // TASK_ROWS + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = df.repartitionByRange(tasks, *selectors, F.rand(7)).sortWithinPartitions(*selectors)
+    most = {"maxRecordsPerFile": rows_per_file} if tasks < files else {}
+    ranged.write.format(fmt).options(**FORMATS[fmt], **most).save(f"{path}/{ROWS}")
     written = df.sparkSession.read.format(fmt).options(**FORMATS[fmt]).schema(df.schema).load(f"{path}/{ROWS}")
     # Distinct values first, by hash: whole rows are never sorted for their extremes.
     values = written.select(F.col("_metadata.file_name").alias("file"), *selectors).groupBy("file", *selectors).agg(F.count("*").alias("n"))

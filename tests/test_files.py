@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from binweave.operators.geometry import corners, position_name, relative_corners, relative_shape, tiled_pixels
+from binweave.plans.files import chunk_index
 from binweave.plans.views import (
     ABOUT,
     TABLES,
@@ -190,6 +191,27 @@ def test_indexed_chunks_with_hot_and_missing_values(spark, tmp_path):
     assert empty.all().count() == 0 and empty.read({"s": "hot"}).count() == 0
 
 
+def test_small_chunk_files_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("binweave.sinks.chunk_index.TASK_ROWS", 2_000)
+    rows = spark.range(0, 20_000, 1, 4).select("id", (F.col("id") % 700).alias("s"))
+    path = str(tmp_path / "many")
+    write_indexed_chunks(rows, ["s"], path, 50)
+    chunks = IndexedChunks(spark, path, rows.schema, ["s"])
+    index = chunks.index.collect()
+    assert sum(r["rows"] for r in index) == 20_000 and max(r["rows"] for r in index) <= 50 and len(index) >= 400
+    assert all(a["greatest"] <= b["least"] for a, b in zip(index, index[1:]))
+    assert len({r["file"].split("-")[1] for r in index}) <= 11  # tasks, not one per file
+    for s in (0, 333, 699):
+        assert chunks.read({"s": s}).count() == rows.filter(F.col("s") == s).count() > 0
+
+
+def test_order_of_the_index_takes_one_sort(spark, sf_dir):
+    text = chunk_index(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    inner = text.partition("lambdafunction(")[2].partition("lambda ")[0]
+    # Sorted inside a function of one range, all ranges would be sorted again for each.
+    assert "lambdafunction(" in text and "sort_array" not in inner
+
+
 def test_dependent_columns_and_a_check_on_what_is_shared(spark):
     rows = spark.createDataFrame(
         [("a", 1, 10, None, 1.0), ("a", 1, 10, None, 2.0), ("a", 2, 10, "x", 3.0), (None, 1, 11, "y", 3.0), (None, 1, 11, None, 3.0)],
