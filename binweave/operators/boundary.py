@@ -11,6 +11,8 @@ whole numbers make exact join keys.  x is region1 and y is region2.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,7 @@ SADDLES = {
     "separate": {6: ["RB", "LT"], 9: ["BL", "TR"]},
     "connect": {6: ["LB", "RT"], 9: ["BR", "TL"]},
 }
+BLOCK_CELLS = 7  # cells on a side of a block, whose 8 x 8 pixels are the bits of one number
 SIDES = {"B": (1, 0), "L": (0, 1), "R": (2, 1), "T": (1, 2)}
 
 
@@ -57,29 +60,58 @@ def bounding_boxes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return box.withColumn("zeros", area - F.col("ones"))
 
 
+def _block_places(bin: str, start: str, at: str) -> Column:
+    """The blocks a bin's cells lie in: first cell of the block, place of the bin in it.
+
+    The bin at a block's first cell ends the block before as well.  A missing bin has a block
+    of its own, without a place.
+    """
+    r = F.col(bin)
+    inside = F.pmod(r, F.lit(BLOCK_CELLS))
+    place = lambda first, n: F.struct(first.alias(start), n.cast("int").alias(at))
+    both = F.array(place(r - BLOCK_CELLS, F.lit(BLOCK_CELLS)), place(r, F.lit(0)))
+    return F.inline(F.when(inside == 0, both).otherwise(F.array(place(r - inside, inside))))
+
+
 def dual_cells(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Code of every dual cell touched by a pixel of the group.
 
-    ``bit_or`` makes repeated pixels harmless, and its partial aggregation
+    Pixels are bits of blocks, 8 x 8 pixels around 7 x 7 cells, and cells are read off the blocks
+    after the shuffle.  ``bit_or`` makes repeated pixels harmless, and its partial aggregation
     merges neighbouring pixels before the shuffle.
     """
-    r1, r2 = F.col("region1"), F.col("region2")
-    touched = F.array(
-        *[
-            F.struct((r1 - a).alias("ca"), (r2 - b).alias("cb"), F.lit(bit).alias("bit"))
-            for bit, a, b in ((1, 0, 0), (2, 1, 0), (4, 0, 1), (8, 1, 1))
-        ]
+    placed = pixels.select(*keys, "region2", _block_places("region1", "_a0", "_a")).select(
+        *keys, "_a0", "_a", _block_places("region2", "_b0", "_b")
     )
+    # A missing bin counts on both sides of its one cell.
+    line = F.when(F.col("_b").isNull(), F.lit(3)).otherwise(F.expr("shiftleft(1, _b)")).cast("bigint")
+    bits = F.when(F.col("_a").isNull(), line.bitwiseOR(F.shiftleft(line, 8))).otherwise(
+        F.call_function("shiftleft", line, 8 * F.col("_a"))
+    )
+    blocks = placed.groupBy(*keys, "_a0", "_b0").agg(F.bit_or(bits).alias("_bits"))
+    side = range(BLOCK_CELLS)
+    cells = F.array(*[F.struct(F.lit(a).alias("_a"), F.lit(b).alias("_b")) for a in side for b in side])
+    corner = F.call_function("shiftrightunsigned", F.col("_bits"), 8 * F.col("_a") + F.col("_b")).cast("bigint")
+    at = {1: 0, 2: 8, 4: 1, 8: 9}  # where the pixel of each bit of a code lies
+    code = reduce(
+        lambda x, y: x.bitwiseOR(y),
+        [F.shiftright(corner, n).bitwiseAND(1).cast("int") * bit for bit, n in at.items()],
+    )
+    is_cell = "(_a = 0 OR _a0 IS NOT NULL) AND (_b = 0 OR _b0 IS NOT NULL)"
     return (
-        pixels.select(*keys, F.inline(touched))
-        .groupBy(*keys, "ca", "cb")
-        .agg(F.bit_or("bit").alias("code"))
+        blocks.select(*keys, "_a0", "_b0", "_bits", F.inline(cells))
+        .filter(is_cell)
+        .select(*keys, (F.col("_a0") + F.col("_a")).alias("ca"), (F.col("_b0") + F.col("_b")).alias("cb"), code.alias("code"))
+        .filter("code > 0")
     )
 
 
-def _crossings(saddle: str) -> Column:
-    """Array literal: the side offsets to draw for each code 1..15."""
+def _crossings(saddle: str, unlike: str | None = None) -> Column:
+    """Array literal: the side offsets to draw for each code 1..15, without those that ``unlike`` draws too."""
     table = CROSSINGS | SADDLES[saddle]
+    if unlike:
+        other = CROSSINGS | SADDLES[unlike]
+        table = {code: [m for m in moves if m not in other[code]] for code, moves in table.items()}
     none = F.array().cast("array<struct<dx1:int,dy1:int,dx2:int,dy2:int>>")
     rows = []
     for code in range(1, 16):
@@ -98,15 +130,23 @@ def _crossings(saddle: str) -> Column:
 
 
 def segments(
-    pixels: DataFrame, keys: Sequence[str], saddle: str = "separate"
+    pixels: DataFrame, keys: Sequence[str], saddle: str = "separate", unlike: str | None = None
 ) -> DataFrame:
     """Directed outline segments in doubled coordinates, pixels on the left.
 
     Within a group every vertex starts one segment and ends one.  Cells inside
     the group (code 15) draw nothing and vanish here.
+
+    ``unlike`` names another saddle rule, whose segments are taken off.  Both ends of a segment lie
+    in one dual cell, so two rules are compared cell by cell and no segments are joined.  As in a
+    join on all columns, a segment with a NULL key or coordinate equals none and stays.
     """
     cells = dual_cells(pixels, keys).filter("code < 15")
-    moves = F.inline(F.element_at(_crossings(saddle), F.col("code")))
+    drawn = F.element_at(_crossings(saddle), F.col("code"))
+    if unlike:
+        known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "ca", "cb")])
+        drawn = F.when(known, F.element_at(_crossings(saddle, unlike), F.col("code"))).otherwise(drawn)
+    moves = F.inline(drawn)
     x, y = 2 * F.col("ca"), 2 * F.col("cb")
     return cells.select(*keys, "ca", "cb", moves).select(
         *keys,

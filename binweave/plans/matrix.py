@@ -333,12 +333,10 @@ def roles(spark: SparkSession, d: str) -> DataFrame:
 def saddle_differences(spark: SparkSession, d: str) -> DataFrame:
     """Segments only one of the two saddle rules draws."""
     px = pixels(spark, d)
-    both = {rule: segments(px, CLUSTER, rule) for rule in ("separate", "connect")}
-    columns = both["connect"].columns
     return tagged_union(
         {
-            "separate": both["separate"].join(both["connect"], columns, "left_anti"),
-            "connect": both["connect"].join(both["separate"], columns, "left_anti"),
+            "separate": segments(px, CLUSTER, "separate", unlike="connect"),
+            "connect": segments(px, CLUSTER, "connect", unlike="separate"),
         },
         "saddle",
     )

@@ -1,13 +1,15 @@
 """Outlines: small exact fixtures, brute force on random masks, and rings over many blocks."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from binweave.operators.boundary import group_areas, segments, simplified_vertices
+from binweave.operators.boundary import dual_cells, group_areas, segments, simplified_vertices
 from binweave.operators.rings import _contract, _join_paths, _local_paths, close_rings, outlines, ring_roles, rings, trace
+from binweave.plans.matrix import saddle_differences
 
 KEY = ["m"]
 
@@ -229,6 +231,40 @@ def test_missing_group_value_is_a_group(spark):
         assert ring_roles(rings(px, KEY, block=block), KEY).count() == 2
 
 
+def test_rules_differ_as_by_a_join(spark, random_masks):
+    """Segments of one rule alone: as by an anti-join of all segments, also with missing values."""
+    rows = [(m, a, b) for m, cells in random_masks.items() for a, b in cells]
+    rows += [(None, a, b) for a, b in FIXED[2]] + [(99, 5, None), (99, 6, None), (98, None, 3), (None, None, None)] + rows[:20]
+    px = spark.createDataFrame(rows, "m int, region1 bigint, region2 bigint")
+    for rule, other in (("separate", "connect"), ("connect", "separate")):
+        whole, against = segments(px, KEY, rule), segments(px, KEY, other)
+        expected = sorted(map(str, whole.join(against, whole.columns, "left_anti").collect()))
+        found = segments(px, KEY, rule, unlike=other)
+        assert found.columns == whole.columns and sorted(map(str, found.collect())) == expected and len(expected) > 20
+
+
+def test_cells_of_blocks_by_brute_force(spark):
+    """Every cell's code once, over borders of blocks, below zero, with repeats and missing bins."""
+    rng = random.Random(5)
+    side = [None, *range(-16, 17)]
+    rows = [(rng.choice([None, 1, 2]), rng.choice(side), rng.choice(side)) for _ in range(900)]
+    codes = defaultdict(int)
+    for m, a, b in rows:
+        for bit, i, j in ((1, 0, 0), (2, 1, 0), (4, 0, 1), (8, 1, 1)):
+            codes[m, None if a is None else a - i, None if b is None else b - j] |= bit
+    px = spark.createDataFrame(rows, "m int, region1 bigint, region2 bigint")
+    found = [tuple(r) for r in dual_cells(px, KEY).select("m", "ca", "cb", "code").collect()]
+    assert len(found) == len(codes) and {r[:3]: r[3] for r in found} == codes
+    one = spark.range(64).selectExpr("1 AS m", "id div 8 AS region1", "id % 8 AS region2")
+    blocks = dual_cells(one, KEY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in blocks and not re.search(r"Aggregate \[[^\]]*\bca#", blocks)  # cells are read off blocks, not shuffled
+
+
+def test_rules_are_compared_without_a_join(spark, sf_dir):
+    text = saddle_differences(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "hashpartitioning" in text
+
+
 def test_no_pixels_no_outlines(spark):
     px = spark.createDataFrame([], "m int, region1 bigint, region2 bigint")
     assert outlines(px, KEY).isEmpty()
