@@ -229,6 +229,59 @@ def test_divide_skip_by_brute_force(changed, pool):
             assert dict(zip(nodes.tolist(), counts.tolist())) == {k: c for k, c in both.items() if c >= least}
 
 
+def family(seed, count, length, least, most):
+    """Word lists that differ from one another in some places, a third of them in too many to be partners."""
+    rng = np.random.default_rng(seed)
+    base = words(seed, length, 10_000)
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for place in rng.integers(0, length, rng.integers(0, least) if rng.random() < 0.66 else rng.integers(least, most)):
+            copy[place] = f"e{rng.integers(0, 6)}"
+        out.append(copy)
+    return out
+
+
+def test_a_family_is_searched_from_few_nodes(monkeypatch):
+    """Near copies that share most lists: each pair once, and long lists are not merged."""
+    sets = [set(zip(*[t[k:] for k in range(5)])) for t in family(4, 300, 200, 3, 9)]
+    held = Counter(g for s in sets for g in s)
+    number = {g: k for k, g in enumerate(sorted(g for g, c in held.items() if c > 1))}
+    order = np.random.default_rng(1).permutation(len(number)).astype(np.uint64) + np.uint64(5)
+    grams = [np.sort(order[[number[g] for g in s if g in number]]) for s in sets]
+    asked, popped = [], []
+    search, pop = jaccard.Index.search, jaccard.heappop
+    monkeypatch.setattr(jaccard.Index, "search", lambda self, *a: (asked.append(int(a[2].sum())), search(self, *a))[1])
+    monkeypatch.setattr(jaccard, "heappop", lambda heap: (popped.append(1), pop(heap))[1])
+    found = jaccard._search(pa.table({
+        "role": pa.array([0] * 300, pa.int32()), "node": list(range(300)), "n": [len(s) for s in sets],
+        "weight": [sum(min(held[g], 255) for g in s if g in number) for s in sets], "settled": [False] * 300,
+        "grams": pa.array([g.tobytes() for g in grams], pa.binary()),
+    }))
+    pairs = [(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    links = set(map(tuple, map(sorted, zip(found["a"].to_pylist(), found["b"].to_pylist()))))
+    assert links <= {tuple(sorted(p)) for p in pairs}
+
+    def parts(edges):
+        label = list(range(300))
+        for _ in range(300):
+            before = list(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    assert parts(links) == parts(pairs) and 2 < len(set(parts(pairs))) < 200
+    assert len(asked) < 150 and len(popped) < 100_000  # 300 and 1.2 million when every node asked
+
+
+@pytest.mark.parametrize("bounds", [{}, {"chunk_nodes": 12, "chunk_postings": 3_000}])
+def test_a_family_with_members_apart(spark, bounds):
+    texts = [" ".join(t) for t in family(8, 70, 120, 3, 9)]
+    found = jaccard.similar_documents(docs_of(spark, texts), **bounds).select("doc_id", "n_shingles", "component_id")
+    assert sorted(tuple(r) for r in found.collect()) == brute.jaccard(list(enumerate(texts)))
+
+
 # --- language model -------------------------------------------------------------
 
 
